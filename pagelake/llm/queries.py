@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelake.llm import sharding, token_counts, warc_zip
+from pagelake.llm import decontamination, fingerprints, packing, secret_scan, sharding, token_counts, warc_zip
 from pagelake.llm.common import table, written
 
 
@@ -18,6 +19,17 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archived(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    kinds = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{rule.kind}')) as long)").alias(f"n_{rule.kind}") for rule in secret_scan.RULES]
+    spans = secret_scan.span_text(F.col("spans"))
+    return found.select("doc_id", *kinds, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), "blob")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = sharding.slot_sizes(sharding.measured(docs))
@@ -25,5 +37,16 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs, slot_map)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc_zip, op7_virtual_slots)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_warc_zip, op3_secret_scan, op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination)
+}
 ORACLES: dict[str, str] = {}
