@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontamination, fingerprints, packing, secret_scan, sharding, token_counts, warc_zip
+from pagelake.llm import decontamination, fingerprints, html_text, language_id, packing, secret_scan, sharding, token_counts, warc_zip
 from pagelake.llm.common import table, written
 
 
@@ -26,6 +26,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), "blob")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_warc_zip, op3_secret_scan, op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination)
+    for f in (
+        op1_token_counts, op2_warc_zip, op3_secret_scan, op4_language_id, op5_html_text,
+        op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination,
+    )
 }
 ORACLES: dict[str, str] = {}
