@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontamination, fingerprints, html_text, language_id, packing, secret_scan, sharding, token_counts, warc_zip
+from pagelake.llm import decontamination, fingerprints, html_text, language_id, near_duplicates, packing, secret_scan, sharding, token_counts, warc_zip
 from pagelake.llm.common import table, written
 
 
@@ -53,11 +53,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_warc_zip, op3_secret_scan, op4_language_id, op5_html_text,
-        op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination,
+        op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination, op10_prefix_tree_join,
     )
 }
 ORACLES: dict[str, str] = {}
