@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import written
@@ -84,16 +84,17 @@ def may_miss(n, percent: int = PERCENT):
 
 
 def shapes_of(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, n, region (how many digests lie in the region), node of every row."""
+    """doc_id, text_hash (Spark's xxhash64), n, region (how many digests lie in the region), node of every row."""
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            sets = (shingler(x.as_py()) for x in batch.column(1))
+            sets = (shingler(x.as_py()) for x in batch.column(2))
             n, region, node = zip(*((len(s), int(np.searchsorted(s, REGION)), node_of(s)) for s in sets), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, region, node))], names=["doc_id", "n", "region", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, region, node))], names=["doc_id", "text_hash", "n", "region", "node"])
 
-    return df.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(shape, f"doc_id {df.schema[id_col].dataType.simpleString()}, n long, region long, node long")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text_col)
+    return rows.mapInArrow(shape, f"doc_id {df.schema[id_col].dataType.simpleString()}, text_hash long, n long, region long, node long")
 
 
 def post(df: DataFrame, text_col: str, size: int, percent: int, n_buckets: int, flush: int = 2_000_000) -> DataFrame:
@@ -335,8 +336,7 @@ def join_group(table: pa.Table, percent: int) -> pa.Table:
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bucket_tokens: int = 750_000, most_tokens: int = 4_000_000
 ) -> DataFrame:
-    """`id_col`, n_shingles, component_id of every row."""
-    kind = df.schema[id_col].dataType.simpleString()
+    """`id_col`, n_shingles, component_id, text_hash of every row."""
     shapes = written(shapes_of(df, id_col, text_col, size), "shapes")
     total, rows = shapes.agg(F.coalesce(F.sum("region"), F.lit(0)), F.count("node")).first()
     n_buckets = int(max(8, -(-total // bucket_tokens)))
@@ -385,6 +385,16 @@ def near_duplicates(
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = written(linked.join(least, "root").select("node", "component_id"), "linked")
     by_node = written(nodes.join(known, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "by-node")
-    out = shapes.where("node IS NOT NULL").join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = shapes.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("doc_id").cast(kind).alias(id_col), "n_shingles", "component_id")
+    out = shapes.where("node IS NOT NULL").join(by_node, "node", "left")
+    alone = shapes.where("node IS NULL").withColumn("component_id", F.col("doc_id"))
+    columns = [F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "text_hash"]
+    return out.select(*columns).unionByName(alone.select(*columns))
+
+
+def one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` that stay: of each component the document with its id, once if its row is repeated; documents without words all stay."""
+    stay = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    rows = df.withColumn("_text_hash", F.xxhash64(text_col))
+    kept = rows.join(stay.hint("shuffle_hash"), rows[id_col].eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"]))
+    rank = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
+    return kept.withColumn("_rank", rank).where("_empty OR _rank = 1").select(*df.columns)
