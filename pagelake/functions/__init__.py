@@ -1 +1 @@
-"""Part of pagelake."""
+"""Column functions: text metrics, Markdown, cost and requests. All run inside Spark's expressions."""

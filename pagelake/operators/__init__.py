@@ -1 +1 @@
-"""Part of pagelake."""
+"""Operators: OCR, budget, storage, evaluation, reports."""

@@ -1 +1 @@
-"""Part of pagelake."""
+"""Whole plans: the OCR pipeline and the registered queries."""

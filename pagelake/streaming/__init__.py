@@ -1 +1 @@
-"""Part of pagelake."""
+"""Incremental ingestion; an extension beyond the batch engine."""
