@@ -74,8 +74,8 @@ def run_ocr(pages: DataFrame, backend: str, model: str, partitions: int | None =
 def run_ocr_once_each(pages: DataFrame, folder: str, backend: str, model: str, **options) -> DataFrame:
     """Like run_ocr, but equal pages are sent once; results of the distinct pages are written to `folder` before they are joined back."""
     hashed = pages.withColumn("sha", F.sha2("page_png", 256))
-    first = hashed.where("page_num > 0").groupBy("sha").agg(F.min(F.struct("path", "page_num")).alias("at"))
-    distinct = hashed.join(first, (hashed["sha"] == first["sha"]) & (hashed["path"] == first["at.path"]) & (hashed["page_num"] == first["at.page_num"])).select(hashed["sha"], "page_png")
+    first = hashed.where("page_num > 0").groupBy("sha").agg(F.min(F.struct("path", "page_num")).alias("at")).select(F.col("sha").alias("_sha"), "at")
+    distinct = hashed.join(first, (F.col("sha") == F.col("_sha")) & (F.col("path") == F.col("at.path")) & (F.col("page_num") == F.col("at.page_num"))).select("sha", "page_png")
     udf = make_ocr_udf(backend, model, **options)
     distinct.dropDuplicates(["sha"]).select("sha", udf("page_png").alias("ocr")).write.mode("overwrite").parquet(folder)
     results = pages.sparkSession.read.parquet(folder)
