@@ -9,7 +9,8 @@ the rule works on a stream of mixed sizes, so a block's order is that of the pie
 smallest quarter last. A block leaves a few
 sequences open, a fraction of a percent, and no task grows with the input.
 
-Tokenizing: words (the tokenizer's own pieces) repeat, so each worker keeps a bounded table from word to ids. That way is taken
+Tokenizing: no piece of the tokenizer's pattern holds white space, and words between white space repeat, so each worker
+keeps a bounded table from word to ids. That way is taken
 for texts of characters below U+0250 without control characters (other than tab, newline and carriage return) and
 without special strings, where lower-casing and the pattern are the same in all libraries; every other text is encoded by the
 tokenizer itself, split in front of spaces where it is long.
@@ -20,13 +21,15 @@ each; a null id is kept; an empty table gives an empty table; other columns of t
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,42 +37,50 @@ from pagelake.llm.common import written
 from pagelake.llm.token_counts import load_tokenizer, safe_pieces
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 4096, 1
-#: The tokenizer's own pattern, as its file gives it.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*")
-MOST_WORDS = 400_000
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f]*")
+#: A character of its own id, beyond those of PLAIN.
+MARK = "\u2764"
+MOST_WORDS = 800_000
 
 
 class WordIds(dict):
-    """Word -> its ids as bytes; holds MOST_WORDS and those of one batch at most."""
+    """Word between white space -> its ids as bytes; holds MOST_WORDS and those of one batch at most."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        (self.mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Encode the missing words in one call; the tokenizer tells which word each id belongs to."""
+        """Encode the missing words in one call, with MARK, which no plain text holds, between them."""
         missing = [x for x in words if x not in self]
         if not missing:
             return
         if len(self) >= MOST_WORDS:
+            first = list(islice(self.items(), MOST_WORDS // 2))  # those met first are the common ones
             self.clear()
-            missing = list(words)
-        got = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
-        ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        if len(starts) != len(missing):  # not one piece a word, which the pattern rules out
-            self.update((x, self.ids(x)) for x in missing)
-            return
-        raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-        self.update(zip(missing, (raw[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)), strict=True))
+            self.update(first)
+            missing = [x for x in words if x not in self]
+        got = self.tokenizer.encode_batch_fast([f" {MARK} ".join(missing)], add_special_tokens=False)[0]
+        ids = np.array(got.ids, dtype="<u4")
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(missing) - 1:
+            raise ValueError("the mark's id isn't the mark's alone")
+        raw, starts, ends = ids.tobytes(), np.append(0, (marks + 1) * 4).tolist(), np.append(marks * 4, len(ids) * 4).tolist()
+        self.update(zip(missing, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
+
+
+@lru_cache(maxsize=2)
+def known_words(path: str) -> WordIds:
+    """One table a worker, kept from task to task."""
+    return WordIds(load_tokenizer(path))
 
 
 def id_bytes(texts: list[str], known: WordIds) -> list[bytes]:
     """The ids of each text, little-endian unsigned 32-bit, as the tokenizer gives them."""
-    words = [WORD.findall(x.lower()) if PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
+    words = [x.lower().split() if PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
     known.learn(set().union(*(x for x in words if x)))
     return [b"".join(map(known.__getitem__, w)) if w is not None else b"".join(map(known.ids, safe_pieces(x, 1 << 16))) for x, w in zip(texts, words, strict=True)]
 
@@ -93,7 +104,7 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     tail = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(load_tokenizer(path))
+        known = known_words(path)
         for batch in batches:
             rows, columns = [], ([], [], [], [])
             for i, ids in ((first + i, x + tail) for first, texts in runs_of(batch.column(1), 1 << 20) for i, x in enumerate(id_bytes(texts, known))):
