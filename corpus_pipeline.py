@@ -21,7 +21,8 @@ LEAST_SCORE = 0.05
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
     found = language_id.language_id(whole, keep=["row"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    unknown = (F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)  # texts with letters are und only where no language could be learned
+    return found.where(F.col("row.text").rlike(r"\p{L}") & ~unknown).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
