@@ -1,11 +1,11 @@
 """Document fingerprints (6, native): invertible Bloom lookup sketches of paragraphs.
 
-A paragraph is a line; long lines are cut further at content-defined sentence ends (one whose last letter is in a fixed
+A paragraph is a line; lines are cut further at content-defined sentence ends (those whose last letter is in a fixed
 set), so that an edit changes the parts that it touches only. Each distinct paragraph digest goes into three cells of
 a table of m cells; a cell holds a count, the XOR of its digests and the XOR of their checks. The sketches of two
 versions are subtracted cell by cell; what they share cancels out, and peeling (a cell that holds one digest gives it
-away, which frees others) recovers the digests that differ. Where peeling gets stuck, it is tried again with eight times
-the cells. Cells are kept sparsely, so a large table costs no more than its content.
+away, which frees others) recovers the digests that differ. The fingerprints are tried first; where peeling gets stuck,
+it is tried again with 64 times the cells. Cells are kept sparsely, so a large table costs no more than its content.
 
 The fingerprint is the sketch of 12 cells, which has the same size for every text. Likeness of two sets of digests A and
 B with d recovered differences: (|A| + |B| - d) / (|A| + |B| + d), the Jaccard similarity.
@@ -24,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, GROWTH, TRIES, ROUNDS = 12, 8, 7, 64
+CELLS, GROWTH, TRIES, ROUNDS = 12, 64, 4, 64
 #: Paragraph ends: line ends, and white space after a sentence that ends in one of these letters.
-PARTS = r"\\n+|(?<=[acegikmoqsuwy][.!?]) +"
+PARTS = r"\\n+|(?<=[aiou][.!?]) +"
 CELL = "struct<c:bigint,n:bigint,k:bigint,h:bigint>"
 
 
@@ -59,39 +59,51 @@ def sketch(keys: str, m: str) -> str:
 
 
 def subtracted(a: str, b: str) -> str:
+    """SQL: the first sketch less the second, cell by cell."""
     return combined(f"concat({a}, transform({b}, c -> named_struct('c', c.c, 'n', -c.n, 'k', c.k, 'h', c.h)))")
 
 
 def peeled(cells: str, m: str) -> str:
-    """SQL: struct<cells, keys>: what is left, and the recovered digests with their side (1: the first, -1: the second)."""
-    keys = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and c.h = {check('c.k')}), c -> named_struct('k', c.k, 'n', c.n)))"
-    step = f"""transform(array({keys}), found -> named_struct(
-        'cells', if(size(found) = 0, s.cells, {combined(f"concat(s.cells, flatten(transform(found, y -> {entries('y.k', '-y.n', m)})))")}),
-        'keys', concat(s.keys, found), 'on', size(found) > 0))[0]"""
-    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'keys', cast(array() as array<struct<k:bigint,n:bigint>>), 'on', true),
+    """SQL: struct<cells, plus, minus, on>: what is left, and the recovered digests of either side.
+
+    Each third of the table holds every digest once, so its counts and XOR tell when all have been recovered."""
+    pure = f"filter(s.cells, c -> abs(c.n) = 1 and c.h = {check('c.k')})"
+    found = "named_struct('p', array_distinct(transform(filter(pure, c -> c.n = 1), c -> c.k)), 'q', array_distinct(transform(filter(pure, c -> c.n = -1), c -> c.k)))"
+    third = f"filter(s.cells, c -> c.c < {m} div 3)"
+    xor = "aggregate({of}, 0L, (a, c) -> a ^ {x})"
+    whole = f"""(aggregate({third}, 0L, (a, c) -> a + c.n) = size(f.p) - size(f.q)
+        and {xor.format(of=third, x='c.k')} = {xor.format(of='f.p', x='c')} ^ {xor.format(of='f.q', x='c')})"""
+    gone = f"flatten(concat(transform(f.p, y -> {entries('y', '-1L', m)}), transform(f.q, y -> {entries('y', '1L', m)})))"
+    step = f"""transform(transform(array({pure}), pure -> {found}), f -> named_struct(
+        'cells', CASE WHEN size(f.p) + size(f.q) = 0 THEN s.cells WHEN {whole} THEN cast(array() as array<{CELL}>) ELSE {combined(f"concat(s.cells, {gone})")} END,
+        'plus', concat(s.plus, f.p), 'minus', concat(s.minus, f.q), 'on', size(f.p) + size(f.q) > 0))[0]"""
+    none = "cast(array() as array<bigint>)"
+    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'plus', {none}, 'minus', {none}, 'on', true),
         (s, i) -> if(s.on and size(s.cells) > 0, {step}, s))"""
 
 
-def difference(a: str, b: str) -> str:
-    """SQL: struct<done, m, keys>: the digests in which two arrays differ, by sketches that grow until they can be peeled."""
-    once = peeled(subtracted(sketch(a, "t.m"), sketch(b, "t.m")), "t.m")
-    return f"""aggregate(sequence(1, {TRIES}), named_struct('done', false, 'm', {CELLS}L, 'keys', cast(array() as array<struct<k:bigint,n:bigint>>)),
-        (t, i) -> if(t.done, t, transform(array({once}), r -> if(size(r.cells) = 0,
-            named_struct('done', true, 'm', t.m, 'keys', r.keys), named_struct('done', false, 'm', t.m * {GROWTH}, 'keys', t.keys)))[0]))"""
+def difference(a: str, b: str, a_cells: str, b_cells: str) -> str:
+    """SQL: struct<done, m, plus, minus>: the digests in which two arrays differ, recovered from their fingerprints or from larger sketches."""
+    first = peeled(subtracted(a_cells, b_cells), f"{CELLS}L")
+    both = f"concat(transform({a}, d -> {entries('d', '1L', 't.m')}), transform({b}, d -> {entries('d', '-1L', 't.m')}))"  # sketches are sums, so is their difference
+    again = peeled(combined(f"flatten({both})"), "t.m")
+    result = "named_struct('done', size(r.cells) = 0, 'm', {m}, 'plus', r.plus, 'minus', r.minus)"
+    return f"""aggregate(sequence(1, {TRIES}), transform(array({first}), r -> {result.format(m=f"{CELLS * GROWTH}L")})[0],
+        (t, i) -> if(t.done, t, transform(array({again}), r -> {result.format(m=f"t.m * {GROWTH}")})[0]))"""
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: str, b: str, a_cells: str, b_cells: str) -> Column:
     """By the recovered differences; by plain set difference if no size could be peeled (which no case is known to need)."""
-    d = f"if(x.done, size(x.keys), size(array_except({a}, {b})) + size(array_except({b}, {a})))"
+    d = f"if(x.done, size(x.plus) + size(x.minus), size(array_except({a}, {b})) + size(array_except({b}, {a})))"
     ratio = f"if(size({a}) + size({b}) = 0, 1.0d, cast(size({a}) + size({b}) - d as double) / greatest(size({a}) + size({b}) + d, 1))"
-    return F.expr(f"transform(transform(array({difference(a, b)}), x -> {d}), d -> {ratio})[0]")
+    return F.expr(f"transform(transform(array({difference(a, b, a_cells, b_cells)}), x -> {d}), d -> {ratio})[0]")
 
 
-def fingerprint(keys: str) -> Column:
-    """The sketch of CELLS cells in base64: 2 bytes of count, 8 of digests, 4 of checks a cell."""
-    text = "concat(right(hex(c.n), 4), lpad(hex(c.k), 16, '0'), lpad(hex(c.h), 8, '0'))".replace("right(hex(c.n), 4)", "lpad(hex(c.n & 65535), 4, '0')")
-    cell = f"coalesce(element_at(map_from_entries(transform(cells, c -> struct(c.c, {text}))), i), repeat('0', 28))"
-    return F.expr(f"transform(array({sketch(keys, f'{CELLS}L')}), cells -> replace(replace(base64(unhex(array_join(transform(sequence(0L, {CELLS - 1}L), i -> {cell}), ''))), '\\r', ''), '\\n', ''))[0]")
+def fingerprint(cells: str) -> Column:
+    """A sketch of CELLS cells in base64: 2 bytes of count, 8 of digests, 4 of checks a cell."""
+    text = "concat(lpad(hex(c.n & 65535), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.h), 8, '0'))"
+    dense = f"concat({cells}, transform(array_except(sequence(0L, {CELLS - 1}L), transform({cells}, c -> c.c)), i -> named_struct('c', i, 'n', 0L, 'k', 0L, 'h', 0L)))"
+    return F.expr(f"replace(replace(base64(unhex(array_join(transform(array_sort({dense}), c -> {text}), ''))), '\r', ''), '\n', '')")
 
 
 def next_of(rows: DataFrame, id_col: str, columns: list[str], block_rows: int = 1000, most_blocks: int = 1 << 16) -> DataFrame:
@@ -131,12 +143,13 @@ def next_of(rows: DataFrame, id_col: str, columns: list[str], block_rows: int =
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_share: int = 3) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last 1/edit_share of it replaced by the next document's beginning), and how alike they are."""
     rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = next_of(rows.select(id_col, "text", "h", F.expr(digests("text")).alias("keys")), id_col, ["text", "keys"])
+    rows = rows.withColumn("keys", F.expr(digests("text"))).withColumn("cells", F.expr(sketch("keys", f"{CELLS}L")))
+    rows = next_of(rows, id_col, ["text", "keys", "cells"])
     cut = F.floor(F.length("text") / edit_share).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut))
-    rows = rows.select(id_col, F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "keys", "next_keys")
-    rows = rows.select(id_col, "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.expr(digests("edited")).alias("edited_keys"), "keys", "next_keys")
+    rows = rows.select(id_col, F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "keys", "cells", "next_keys", "next_cells")
+    rows = rows.withColumn("edited_keys", F.expr(digests("edited"))).withColumn("edited_cells", F.expr(sketch("edited_keys", f"{CELLS}L")))
     return rows.select(
-        id_col, "n_chars", "edited_sha256", fingerprint("keys").alias("fingerprint"), fingerprint("edited_keys").alias("edited_fingerprint"),
-        likeness("keys", "edited_keys").alias("near_edited"), likeness("keys", "next_keys").alias("near_next"),
+        id_col, "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint("cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"),
+        likeness("keys", "edited_keys", "cells", "edited_cells").alias("near_edited"), likeness("keys", "next_keys", "cells", "next_cells").alias("near_next"),
     )
