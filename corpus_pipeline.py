@@ -37,12 +37,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_scan(docs).where(F.size("spans") > 0)
-    found = written(found.groupBy("blob").agg(F.first("spans").alias("_spans")), "secrets")
+    found = written(found.groupBy(F.col("blob").alias("_secret_blob")).agg(F.first("spans").alias("_secret_spans")), "secrets")
     blob = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    joined = docs.join(found.hint("shuffle_hash"), blob == found["blob"], "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("_spans")))
-    length = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*({"text": text, "n_chars": length}.get(c, docs[c]).alias(c) for c in docs.columns))
+    joined = docs.join(found.hint("shuffle_hash"), blob == F.col("_secret_blob"), "left").withColumn("_redacted_text", secret_scan.redacted(F.col("text"), F.col("_secret_spans")))
+    clean = F.col("_secret_spans").isNull()
+    changed = {"text": F.when(clean, F.col("text")).otherwise(F.col("_redacted_text")), "n_chars": F.when(clean, F.col("n_chars")).otherwise(F.length("_redacted_text"))}
+    return joined.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else docs[c] for c in docs.columns))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
