@@ -4,9 +4,9 @@ Every historical version of a file is addressed by the SHA-256 of its text. A le
 scanned with which version of the rules; only unseen pairs are scanned, each once however many paths and versions hold
 the blob, and their findings are appended. Findings are then joined back to all paths.
 
-The ledger's parts are Parquet folders: `seen` (blob, rule_version) and `findings` (blob, rule_version, spans). Texts are dealt by
-id (one row a blob takes part), never by their copies; a hot blob meets its findings in a join of two written tables,
-which Spark can split.
+The ledger is a Parquet table (blob, rule_version, spans) that has every scanned blob, also those without findings, so
+one append makes a scan known and a failed one leaves no trace. Texts are dealt by id (one row a blob is chosen), never
+by their copies; a hot blob meets its findings in a join of two written tables, which Spark can split.
 
 Positions come from splitting a text by the same pattern: the parts' and the matches' lengths add up to each match's
 start. Lengths are code points.
@@ -73,7 +73,7 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def _read(df: DataFrame, path: str, schema: str) -> DataFrame:
-    """A part of the ledger, empty if it has never been written."""
+    """The ledger, empty if it has never been written."""
     spark = df.sparkSession
     try:
         return spark.read.schema(schema).parquet(path)
@@ -83,8 +83,7 @@ def _read(df: DataFrame, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-SEEN = "blob string, rule_version string"
-FINDINGS = f"blob string, rule_version string, spans {SPANS}"
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
 
 def addressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,23 +93,20 @@ def addressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def scan_unseen(df: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
     """Scans the blobs that the ledger doesn't have under `rule_version`, appends to it, and returns the versions (path, blob)."""
-    seen_at, findings_at = f"{ledger}/seen", f"{ledger}/findings"
     rows = addressed(df, id_col, text_col)
     versions = written(rows.select("path", "blob"), "versions")
-    seen = _read(df, seen_at, SEEN).where(F.col("rule_version") == rule_version).select("blob")
+    seen = _read(df, ledger, LEDGER).where(F.col("rule_version") == rule_version).select("blob")
     chosen = versions.groupBy("blob").agg(F.min("path").alias("_at")).join(seen, "blob", "left_anti")
     chosen = written(chosen.select(F.col("blob").alias("_blob"), "_at"), "unseen")
-    # the scanned row of a blob is the one with its smallest id; the empty text has no findings and needs no scan
-    picked = rows.where(F.col("text") != "").join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("_at")) & (F.col("blob") == F.col("_blob")))
-    found = picked.select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("text"), rules).alias("spans")).where(F.size("spans") > 0)
-    found.dropDuplicates(["blob"]).write.mode("append").parquet(findings_at)
-    chosen.select(F.col("_blob").alias("blob"), F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(seen_at)
+    picked = rows.join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("_at")) & (F.col("blob") == F.col("_blob")))
+    found = picked.select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("text"), rules).alias("spans"))  # no filter: it would move below the join, to all rows
+    found.write.mode("append").parquet(ledger)
     return versions
 
 
 def findings_of(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
-    """path, blob, spans of every version, by the ledger. A part appended twice after a failed job counts once."""
-    found = _read(versions, f"{ledger}/findings", FINDINGS).where(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "spans")
+    """path, blob, spans of every version, by the ledger. A blob that stands there twice (repeated rows of an id) counts once."""
+    found = _read(versions, ledger, LEDGER).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
     return versions.join(written(found, "findings"), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
