@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontamination, fingerprints, html_text, language_id, near_duplicates, packing, secret_scan, sharding, token_counts, warc_zip
+from pagelake.llm import decontamination, fingerprints, html_text, language_id, near_duplicates, oracles, packing, secret_scan, sharding, token_counts, warc_zip
 from pagelake.llm.common import table, written
 
 
@@ -54,7 +54,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {
@@ -64,4 +64,4 @@ QUERIES = {
         op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination, op10_prefix_tree_join,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_warc_zip": oracles.OP2, "op3_secret_scan": oracles.OP3, "op9_decontamination": oracles.OP9, "op10_prefix_tree_join": oracles.OP10}
