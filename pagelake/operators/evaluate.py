@@ -62,6 +62,13 @@ class Evaluator:
         return True
 
 
+def append_metrics(spark: SparkSession, metrics: dict, path: str, run_name: str = "eval") -> DataFrame:
+    """The numbers as rows (run_name, name, value) of a JSON table, where there is no tracking server."""
+    rows = [(run_name, k, float(v)) for k, v in metrics.items() if isinstance(v, (int, float))]
+    spark.createDataFrame(rows, "run_name string, name string, value double").coalesce(1).write.mode("append").json(path)
+    return spark.read.schema("run_name string, name string, value double").json(path)
+
+
 def assert_golden(actual: str, golden: str, tolerance: float = 0.05, spark: SparkSession | None = None) -> float:
     """The normalised edit distance, which must not be beyond the tolerance."""
     spark = spark or SparkSession.getActiveSession()

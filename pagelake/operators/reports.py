@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 import time
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,12 @@ from pyspark.sql import functions as F
 from pagelake.operators.ocr import run_ocr
 from pagelake.schema import PAGE_SCHEMA
 
-#: Fixed value: the smallest PNG, one white pixel.
-PIXEL = bytes.fromhex("89504e470d0a1a0a0000000d49484452000000010000000108000000003a7e9b550000000a49444154789c63f80f00010101001bb6ee560000000049454e44ae426082")
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">L", len(data)) + kind + data + struct.pack(">L", zlib.crc32(kind + data))
+
+
+#: A PNG of one white pixel.
+PIXEL = b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">2L5B", 1, 1, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(b"\x00\xff")) + _chunk(b"IEND", b"")
 
 
 def error_rows(silver: DataFrame) -> DataFrame:

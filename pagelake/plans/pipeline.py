@@ -19,18 +19,21 @@ from pagelake.sources.documents import PageExtractor, TextExtractor, explode_pag
 class OCRPipeline:
     """Documents below `input_path` -> the silver table below `output_path`.
 
-    Unlike a plain chain of lazy steps, the results are written once and read again, so that no later action calls the
-    model a second time; with a cap the plan is checked before any call, and the true cost afterwards."""
+    Unlike in a plain chain of lazy steps, the results are written once and read again, so that no later action calls the
+    model a second time; with a cap the plan is checked before any call, and the true cost afterwards. `over_cap="admit"`
+    sends only the pages that the plan has money for."""
 
     def __init__(
         self, backend: str | None = None, model: str | None = None, input_path: str | None = None, output_path: str | None = None, batch_size: int = 8,
         max_cost_usd: float | None = None, dpi: int = 200, max_pages_per_doc: int | None = None, backend_kwargs: dict | None = None,
         pages: str = "pdf", mode: str = "overwrite", keep_failed: bool = True, partitions: int | None = None, concurrency: int = 1, processed_at: bool = False,
+        over_cap: str = "raise",
     ):
         own = settings()
         self.cfg = PipelineConfig(backend or own.default_backend, model or own.default_model, input_path, output_path, batch_size, max_cost_usd, dpi, max_pages_per_doc)
-        if pages not in ("pdf", "text") or mode not in ("overwrite", "merge", "resume"):
-            raise ValueError("pages is pdf or text, mode is overwrite, merge or resume")
+        if pages not in ("pdf", "text") or mode not in ("overwrite", "merge", "resume") or over_cap not in ("raise", "admit"):
+            raise ValueError("pages is pdf or text, mode is overwrite, merge or resume, over_cap is raise or admit")
+        self.over_cap = over_cap
         self.backend_kwargs, self.kind, self.mode = backend_kwargs or {}, pages, mode
         self.keep_failed, self.partitions, self.concurrency, self.processed_at = keep_failed, partitions, concurrency, processed_at
 
@@ -65,7 +68,12 @@ class OCRPipeline:
             pages = store.pending(pages, store.read_table(spark, silver_at))
         if c.max_cost_usd is not None:
             backend = get_backend(c.backend, model=c.model, **self.backend_kwargs)
-            budget.preflight(pages.where("page_num > 0"), backend.estimate_cost(1), c.max_cost_usd)
+            planned = backend.estimate_cost(1)
+            if self.over_cap == "raise":
+                budget.preflight(pages.where("page_num > 0"), planned, c.max_cost_usd)
+            else:  # pages in the order of documents and pages, as far as the plan goes
+                usd = F.when(F.col("page_num") > 0, F.lit(planned)).otherwise(F.lit(0.0))
+                pages = budget.admit(pages.withColumn("_planned_usd", usd), c.max_cost_usd, "_planned_usd").drop("_planned_usd")
         silver = run_ocr(pages, c.backend, c.model, self.partitions, self.concurrency, **self.backend_kwargs)
         if self.processed_at:
             silver = silver.withColumn("processed_at", F.current_timestamp())

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelake import BudgetExceeded, OCROutput, OCRPipeline
+from pagelake.functions import text as X
 from pagelake.operators import budget, reports, store
 from pagelake.operators.evaluate import Evaluator, assert_golden, score_documents
 from pagelake.operators.ocr import cached_backend, make_ocr_udf, parse_batch, run_ocr, run_ocr_once_each
@@ -175,6 +176,51 @@ def test_pipeline(spark, folder, tmp_path):
         OCRPipeline().run(spark)
 
 
+def test_admission_by_the_plan(spark, folder):
+    run = OCRPipeline(backend="modal", input_path=str(folder), pages="text", max_cost_usd=0.001, over_cap="admit", keep_failed=False)
+    assert sorted((r.filename, r.page_num) for r in run.run(spark).collect()) == [("a.txt", 1), ("a.txt", 2)]
+    with pytest.raises(BudgetExceeded):
+        OCRPipeline(backend="modal", input_path=str(folder), pages="text", max_cost_usd=0.001, keep_failed=False).run(spark)
+
+
+def test_synthetic_documents(spark, tmp_path):
+    from pagelake.sources import synthetic
+
+    made = synthetic.SyntheticDocuments(tmp_path / "pdf")
+    first = [p.read_bytes() for p in made.build_all()]
+    assert [p.read_bytes() for p in (made.build_invoice(), made.build_report(), made.build_table())] == first
+    assert sorted(r.name for r in S.list_documents(spark, str(tmp_path / "pdf"), "*.pdf").collect()) == ["synth_invoice.pdf", "synth_report.pdf", "synth_table.pdf"]
+    made.write_ground_truth(tmp_path / "gt")
+    texts = {stem: stem.encode() for stem in synthetic.DOCUMENTS}
+    canned = synthetic.canned_for(S.TextExtractor(), texts)
+    docs = spark.createDataFrame([(f"/d/{k}.pdf", bytearray(v)) for k, v in texts.items()], "path string, content binary")
+    silver_rows = run_ocr(S.explode_pages(docs, S.TextExtractor()), "mock", "mock-model", canned=canned)
+    scores = Evaluator(str(tmp_path / "gt"), synthetic.ANCHORS).score_df(silver_rows)
+    assert scores == {"edit_distance": 0.0, "exact_token_recall": 1.0, "table_f1": 1.0, "reading_order_ed": 0.0, "n_pages_scored": 3}
+    from pagelake.operators.evaluate import append_metrics
+
+    assert append_metrics(spark, scores, f"file://{tmp_path}/metrics").count() == 5
+
+
+def test_images(spark):
+    from pagelake.functions import image
+
+    assert image.png_data_uri(b"abc") == "data:image/png;base64,YWJj"
+    row = spark.createDataFrame([(bytearray(reports.PIXEL),)], "b binary").select(image.downscale_udf(1)("b"), X.is_png("b"), X.data_uri("b")).first()
+    assert bytes(row[0]) == reports.PIXEL and row[1] and row[2] == image.png_data_uri(reports.PIXEL)
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from pagelake.__main__ import main
+
+    main(["run", str(folder), f"file://{tmp_path}/cli", "--pages", "text"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["total_pages"] == 4
+    (tmp_path / "truth").mkdir()
+    (tmp_path / "truth" / "b.md").write_text("x")
+    main(["score", f"file://{tmp_path}/cli/silver", str(tmp_path / "truth")])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["n_pages_scored"] == 1
+
+
 def test_no_call_beyond_the_cap(spark, folder, tmp_path):
     run = OCRPipeline(backend="openrouter", model="qwen/qwen3-vl-instruct", input_path=str(folder), pages="text", max_cost_usd=0.0001, backend_kwargs={"api_key": "k", "base_url": "http://127.0.0.1:1"})
     began = time.time()
