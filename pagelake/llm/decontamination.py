@@ -83,7 +83,7 @@ def digest(items: set[str]) -> str:
 
 
 def decontaminate(
-    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 16 << 20, spans: bool = False
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 1 << 20, spans: bool = False
 ) -> DataFrame:
     """`id_col`, n_words, n_hit, n_items, items_sha256, contaminated of every row, and with `spans` the hit ranges of words and the items."""
     spark = df.sparkSession

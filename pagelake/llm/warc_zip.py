@@ -234,6 +234,8 @@ def write_archives(
             out.end()
             out.close()
             stream.close()
+            if store.get_file_info(final).type != fs.FileType.NotFound:  # left by an attempt that was lost; not every store moves over a file
+                store.delete_file(final)
             store.move(temporary, final)
             done.append((f"{folder}/{final.rsplit('/', 1)[1]}", len(index)))
             opened = None
