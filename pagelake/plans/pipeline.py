@@ -58,9 +58,17 @@ class OCRPipeline:
         return explode_pages(docs, self.extractor, self.keep_failed)
 
     def run(self, spark: SparkSession) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(key)
+        spark.conf.set(key, str(self.cfg.batch_size))
+        try:
+            return self._run(spark)
+        finally:
+            spark.conf.set(key, before)
+
+    def _run(self, spark: SparkSession) -> DataFrame:
         c = self.cfg
         pages = self.pages(spark)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(c.batch_size))
         silver_at = f"{c.output_path}/silver" if c.output_path else None
         if c.output_path:
             pages = store.write_bronze(pages, f"{c.output_path}/bronze").drop("extracted_at")
@@ -82,6 +90,7 @@ class OCRPipeline:
         else:
             # without a path to write to, the results are held, or every action would pay again
             silver = silver.checkpoint() if spark.sparkContext.getCheckpointDir() else silver.persist()
+            silver.count()
         if c.max_cost_usd is not None:
             budget.check_cap(budget.total_cost(silver), c.max_cost_usd)
         return silver
