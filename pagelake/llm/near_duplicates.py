@@ -12,7 +12,8 @@ when intersection >= threshold x union, so neither may miss more than a quarter
    by level: a segment's overlap with the query is counted once for all sets below it, and a subtree is left when its
    remaining length can't reach the overlap that its sizes need. Queries go on until every node outside the group's
    largest component has been asked, so no link between two components can be missed. Groups beyond `most_tokens` are cut into
-   blocks, and every pair of blocks is joined.
+   blocks: each is joined by itself, a hub of a few sets a block ties them together, and whoever is still outside the
+   group's largest component is asked against all other blocks.
 4. Components of the links found give each document the smallest id it can reach.
 
 Numbers travel as packed arrays (see packed.py); no task holds more than a bucket, a group or a pair of blocks.
@@ -273,10 +274,10 @@ class Trie:
             np.minimum.at(self.least, self.parent[at:stop], self.least[at:stop])
             np.maximum.at(self.most, self.parent[at:stop], self.most[at:stop])
 
-    def query(self, own: np.ndarray, mask: np.ndarray, percent: int) -> np.ndarray:
-        """The stored sets that link to `own`. `mask`: a cleared array over all tokens, cleared again afterwards."""
+    def query(self, own: np.ndarray, mask: np.ndarray, percent: int, n: int | None = None) -> np.ndarray:
+        """The stored sets that link to a set of `n` tokens, of which the trie knows `own`. `mask`: a cleared array over all tokens, cleared again afterwards."""
         mask[own] = True
-        n = len(own)
+        n = len(own) if n is None else n
         overlap = np.zeros(len(self.first), dtype=np.int64)
         alive = np.zeros(len(self.first), dtype=bool)
         alive[0] = True
@@ -296,25 +297,32 @@ class Trie:
         return found[100 * o >= percent * (n + self.size[found] - o)]
 
 
+def ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The sets as places in their common order, common digests first, so that paths are shared; the digests, their places and counts."""
+    names, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(names), dtype=np.int64)
+    place[np.argsort(-df, kind="stable")] = np.arange(len(names))
+    cuts = np.cumsum([len(s) for s in sets])[:-1]
+    return [np.sort(x) for x in np.split(place[at], cuts)], names, place, df
+
+
 def link(sets: list[np.ndarray], percent: int) -> Union:
     """Components of the sets' links. Every set outside the largest component has been asked in the end."""
     union = Union(len(sets))
     if len(sets) < 2:
         return union
-    names, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.empty(len(names), dtype=np.int64)
-    place[np.argsort(-df, kind="stable")] = np.arange(len(names))  # common ones first, so that paths are shared
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    ranked = [np.sort(x) for x in np.split(place[at], cuts)]
-    central = [float(x.mean()) for x in np.split(df[at], cuts)]
-    trie, mask, asked = Trie(ranked), np.zeros(len(names), dtype=bool), [False] * len(sets)
+    own, names, place, df = ranked(sets)
+    by_place = np.empty(len(names), dtype=np.int64)
+    by_place[place] = df
+    central = [float(by_place[x].mean()) for x in own]
+    trie, mask, asked = Trie(own), np.zeros(len(names), dtype=bool), [False] * len(sets)
     todo, best = sorted(range(len(sets)), key=lambda i: -central[i]), 0
     while todo:
         for i in todo:
             if union.size[union.find(i)] > 1 and union.find(i) == union.find(best):
                 continue
             asked[i] = True
-            for j in trie.query(ranked[i], mask, percent).tolist():
+            for j in trie.query(own[i], mask, percent).tolist():
                 union.join(i, j)
             if union.size[union.find(i)] > union.size[union.find(best)]:
                 best = i
@@ -323,16 +331,77 @@ def link(sets: list[np.ndarray], percent: int) -> Union:
     return union
 
 
-def join_group(table: pa.Table, percent: int) -> pa.Table:
-    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+def ask(queries: list[np.ndarray], stored: list[np.ndarray], percent: int) -> Union:
+    """Components of the links between queries (numbered first) and stored sets."""
+    union = Union(len(queries) + len(stored))
+    if not queries or not stored:
+        return union
+    own, names, place, _ = ranked(stored)
+    trie, mask = Trie(own), np.zeros(len(names), dtype=bool)
+    for i, digests in enumerate(queries):
+        at = np.minimum(np.searchsorted(names, digests), len(names) - 1)
+        for j in trie.query(place[at[names[at] == digests]], mask, percent, len(digests)).tolist():
+            union.join(i, len(queries) + j)
+    return union
+
+
+def sets_in(table: pa.Table, mask: np.ndarray | None = None) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct nodes of a group and their sets."""
+    rows = np.arange(len(table)) if mask is None else np.flatnonzero(mask)
+    nodes, first = np.unique(table.column("node").to_numpy()[rows], return_index=True)
     digests = table.column("digests")
-    sets = [np.frombuffer(digests[int(i)].as_buffer(), dtype=np.uint64) for i in first]
-    return pa.Table.from_batches([edge_batch(nodes.tolist(), link(sets, percent))])
+    return nodes.tolist(), [np.frombuffer(digests[int(rows[i])].as_buffer(), dtype=np.uint64) for i in first]
+
+
+def join_group(table: pa.Table, percent: int) -> pa.Table:
+    nodes, sets = sets_in(table)
+    return pa.Table.from_batches([edge_batch(nodes, link(sets, percent))])
+
+
+def ask_group(table: pa.Table, percent: int) -> pa.Table:
+    """Rows of a block, and of queries from other blocks (asked)."""
+    asked = table.column("asked").to_numpy(zero_copy_only=False)
+    (queries, wanted), (nodes, stored) = sets_in(table, asked), sets_in(table, ~asked)
+    return pa.Table.from_batches([edge_batch([*queries, *nodes], ask(wanted, stored, percent))])
 
 
 # ---------------------------------------------------------------- Spark
 
 
+def large_groups(whole: DataFrame, percent: int, most_tokens: int, hub_sets: int = 8) -> DataFrame:
+    """Links (a, b) of groups of several blocks. `whole`: a written table of node, root, n, blocks, block, digests.
+
+    Each block is joined by itself; a few sets of each block's largest component meet in a hub, which ties the blocks
+    together. Whoever isn't in the group's largest component by then is asked against all other blocks. So the work beyond one pass
+    grows with the outsiders, not with the square of the group."""
+    kind = "a long, b long"
+    slim = whole.select("node", "root", "n", "blocks", "block")
+    inside = written(whole.groupBy("root", "block").applyInArrow(lambda t: join_group(t, percent), kind), "inside")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        labels = components(edges).select(F.col("node").alias("_node"), F.col("root").alias("_label"))
+        return written(slim.join(labels, F.col("node") == F.col("_node"), "left").select(*slim.columns, F.coalesce("_label", "node").alias("label")), "labels")
+
+    def largest(rows: DataFrame, *keys: str) -> DataFrame:
+        return written(rows.groupBy(*keys, "label").count().groupBy(*keys).agg(F.max_by("label", F.struct("count", "label")).alias("main")), "largest")
+
+    known = labelled(inside)
+    main = known.join(largest(known, "root", "block"), ["root", "block"]).where("label = main")
+    few = main.withColumn("_k", F.row_number().over(Window.partitionBy("root", "block").orderBy(F.xxhash64("node")))).where(F.col("_k") <= hub_sets).select("node")
+    hub = written(whole.join(few, "node").groupBy("root").applyInArrow(lambda t: join_group(t, percent), kind), "hub")
+    tied = inside.unionByName(hub)
+
+    known = labelled(tied)
+    outside = known.join(largest(known, "root"), "root").where("label != main").select("node", "root", "n")
+    outside = written(outside, "outside")
+    chunks = outside.groupBy("root").agg(F.ceil(F.sum("n") * F.lit(1.0) / most_tokens).cast("int").alias("chunks"))
+    asked = whole.join(outside.select("node"), "node").join(chunks, "root").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at != block")
+    asked = asked.select("root", "at", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "digests", F.lit(True).alias("asked"))
+    stored = whole.join(chunks, "root").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    stored = stored.select("root", F.col("block").alias("at"), "chunk", "node", "digests", F.lit(False).alias("asked"))
+    return tied.unionByName(asked.unionByName(stored).groupBy("root", "at", "chunk").applyInArrow(lambda t: ask_group(t, percent), kind))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bucket_tokens: int = 750_000, most_tokens: int = 4_000_000
 ) -> DataFrame:
@@ -357,28 +426,25 @@ def near_duplicates(
     groups = components(survivors.groupBy("bucket").applyInArrow(lambda t: candidates(t, percent), "a long, b long"))
     groups = written(groups, "groups")
 
-    # whole sets meet by group; a group beyond most_tokens is cut into blocks, and each pair of blocks meets
     members = groups.join(nodes, "node")
-    sizes = members.groupBy("root").agg(F.ceil(2 * F.sum("n") / most_tokens).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != own), lambda i: F.least(i, own) * F.col("blocks") + F.greatest(i, own))
-    )
-    routes = members.join(sizes, "root").select(F.col("first_id").alias("_id"), "node", "root", pairs.alias("pairs"))
-    routes = written(routes, "routes")
+    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / most_tokens).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    routes = written(members.join(sizes, "root").select(F.col("first_id").alias("_id"), "node", "root", "n", "blocks", block), "routes")
     texts = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    routed = texts.join(routes.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id"))).select("text", "node", "root", "pairs")
+    routed = texts.join(routes.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id"))).select("text", "node", "root", "n", "blocks", "block")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
             found = [shingler(x.as_py()) for x in batch.column(0)]
             real = [i for i, (s, node) in enumerate(zip(found, batch.column(1).to_pylist(), strict=True)) if node_of(s) == node]  # an id may have more than one text
-            rest = [batch.column(i).take(pa.array(real, pa.int64())) for i in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([found[i].tobytes() for i in real], pa.binary())], names=["node", "root", "pairs", "digests"])
+            rest = [batch.column(i).take(pa.array(real, pa.int64())) for i in range(1, 6)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([found[i].tobytes() for i in real], pa.binary())], names=["node", "root", "n", "blocks", "block", "digests"])
 
-    whole = routed.mapInArrow(digest, "node long, root long, pairs array<int>, digests binary").withColumn("pair", F.explode("pairs")).drop("pairs")
-    links = whole.groupBy("root", "pair").applyInArrow(lambda t: join_group(t, percent), "a long, b long")
+    whole = routed.mapInArrow(digest, "node long, root long, n long, blocks int, block int, digests binary")
+    links = whole.where("blocks = 1").groupBy("root").applyInArrow(lambda t: join_group(t, percent), "a long, b long")
+    if not routes.where("blocks > 1").isEmpty():
+        links = links.unionByName(large_groups(written(whole.where("blocks > 1"), "large"), percent, most_tokens))
     linked = components(links)
 
     ids = linked.join(nodes.select("node", "first_id"), "node")
