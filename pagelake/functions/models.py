@@ -44,9 +44,12 @@ def price_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, *p) for m, p in PRICES.items()], "model string, usd_in double, usd_out double")
 
 
-def with_cost(df: DataFrame, prices: DataFrame, model: str = "model", prompt: str = "prompt_tokens", completion: str = "completion_tokens", strict: bool = False) -> DataFrame:
-    """Adds cost_usd by a join with a price table of models; without a price 0.0, or null if `strict`."""
-    joined = df.join(F.broadcast(prices.withColumnRenamed("model", "_priced")), F.col(model) == F.col("_priced"), "left")
+def with_cost(df: DataFrame, prices: DataFrame | None = None, model: str = "model", prompt: str = "prompt_tokens", completion: str = "completion_tokens", strict: bool = False) -> DataFrame:
+    """Adds cost_usd by a join with a price table of models; without a price 0.0, or null if `strict`.
+
+    The built-in table is broadcast (a row a model of PRICES); a table of the caller's, whose size isn't known, is joined as Spark sees fit."""
+    named = F.broadcast(price_table(df.sparkSession)) if prices is None else prices
+    joined = df.join(named.withColumnRenamed("model", "_priced"), F.col(model) == F.col("_priced"), "left")
     cost = F.col(prompt) / 1e6 * F.col("usd_in") + F.col(completion) / 1e6 * F.col("usd_out")
     return joined.withColumn("cost_usd", cost if strict else F.coalesce(cost, F.lit(0.0))).drop("_priced", "usd_in", "usd_out")
 

@@ -52,7 +52,7 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("other").alias("doc_type"), F.lit(1.0).alias("confidence"), F.lit(800).alias("prompt_tokens"),
         F.ceil(F.length("page_text") / 4).cast("int").alias("completion_tokens"), model_of().alias("model"), error_of().alias("error"), "doc_id", "source",
     )
-    return M.with_cost(rows, M.price_table(spark))
+    return M.with_cost(rows)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,7 @@ def ocr_cost(spark, d):
 @query(f"WITH {SILVER} SELECT model, count(*) AS pages, round(count(*) * coalesce(any_value(800 / 1e6 * usd_in + 1200 / 1e6 * usd_out), 0.0), 9) AS planned_usd FROM silver LEFT JOIN prices USING (model) GROUP BY model")
 def cost_estimate(spark, d):
     planned = pages(spark, d).select(model_of().alias("model"), F.lit(M.PLANNED_TOKENS[0]).alias("prompt_tokens"), F.lit(M.PLANNED_TOKENS[1]).alias("completion_tokens")).groupBy("model", "prompt_tokens", "completion_tokens").count()
-    cost = M.with_cost(planned, M.price_table(spark))
+    cost = M.with_cost(planned)
     return cost.select("model", F.col("count").alias("pages"), F.round(F.col("count") * F.col("cost_usd"), 9).alias("planned_usd"))
 
 

@@ -102,7 +102,9 @@ def test_costs(spark):
     assert M.estimate_cost("nobody", 10, 10) == 0.0 and not M.is_priced("nobody")
     assert M.page_estimate("x", 10, "mock") == 0.0 and M.page_estimate("x", 10, "modal") == pytest.approx(0.005)
     rows = spark.createDataFrame([("gemini-2.0-flash", 1000, 2000), ("nobody", 1, 1), (None, 1, 1)], "model string, prompt_tokens int, completion_tokens int")
-    assert [round(r[0], 9) for r in M.with_cost(rows, M.price_table(spark)).select("cost_usd").collect()] == [0.000675, 0.0, 0.0]
+    assert [round(r[0], 9) for r in M.with_cost(rows).select("cost_usd").collect()] == [0.000675, 0.0, 0.0]
+    own = spark.createDataFrame([("nobody", 1.0, 1.0)], "model string, usd_in double, usd_out double")
+    assert M.with_cost(rows, own).where("cost_usd > 0").count() == 1
     assert M.with_cost(rows, M.price_table(spark), strict=True).where("cost_usd IS NULL").count() == 2
     assert rows.select(M.money(F.lit(1.23456))).first()[0] == "$1.2346"
 
