@@ -72,6 +72,12 @@ def save_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)
 
 
+def as_view(df: DataFrame, name: str = "silver") -> DataFrame:
+    """A temporary view, for SQL over silver rows."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def write_bronze(pages: DataFrame, path: str, extracted_at: str | None = None) -> DataFrame:
     """Rendered pages with the time of extraction, so that a retry needn't render again."""
     ts = F.current_timestamp() if extracted_at is None else F.lit(extracted_at).cast("timestamp")

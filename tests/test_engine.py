@@ -126,6 +126,18 @@ def test_upsert(spark, tmp_path):
     assert {(r.path, r.page_num): r.markdown for r in store.latest(attempts).collect()} == {("a", 1): "x", ("a", 2): "z", ("b", 1): "w", (None, 1): "n"}
 
 
+def test_views_and_catalogue_tables(spark):
+    rows = silver(spark, [("a", 1, "x" * 400, 0.5, None), ("b", 1, None, 0.25, "e")])
+    store.as_view(rows)
+    got = spark.sql("SELECT filename, page_num, left(markdown, 300) AS preview FROM silver ORDER BY cost_usd DESC, filename LIMIT 20").collect()
+    assert [(r.filename, r.preview and len(r.preview)) for r in got] == [("a", 300), ("b", None)]
+    spark.sql("DROP TABLE IF EXISTS pagelake_silver")
+    for frame in (rows, rows.select("path", "model")):
+        store.save_table(frame, "pagelake_silver")
+        assert spark.table("pagelake_silver").columns == frame.columns
+    spark.sql("DROP TABLE pagelake_silver")
+
+
 def test_dimensions(spark):
     pages = spark.createDataFrame([("a", 1, bytearray(b"1")), ("a", 2, bytearray(b"2")), ("b", 1, bytearray(b"3"))], "stem string, page_num int, page_png binary")
     truth = spark.createDataFrame([("a", None, "whole"), ("a", 2, "two")], "stem string, page_num int, gt string")
