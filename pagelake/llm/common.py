@@ -35,3 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> None:
+    """Arrow batches by bytes, not by ten thousand texts: two Python workers and their batches share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.llm.common import small_batches
+
 #: Letters A-Z in lower case; every other ASCII character but digits and a-z parts words; all bytes of other characters are kept.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -87,6 +89,7 @@ def decontaminate(
 ) -> DataFrame:
     """`id_col`, n_words, n_hit, n_items, items_sha256, contaminated of every row, and with `spans` the hit ranges of words and the items."""
     spark = df.sparkSession
+    small_batches(spark)
     items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_bytes))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.llm.common import small_batches
+
 DIM, SYMBOLS, SEED = 1024, 1024, 20_231
 MOST_VECTORS = 32_768
 
@@ -56,7 +58,7 @@ class Vectors:
 
     def clear(self) -> None:
         self.rows: dict[int, int] = {}
-        self.matrix = np.empty((1024, self.dim), dtype=np.float32)
+        self.matrix = np.empty((1024, self.dim), dtype=np.int8)
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if len(keys) > MOST_VECTORS // 2:  # a text of very many different trigrams: part by part
@@ -75,7 +77,7 @@ class Vectors:
             bound = self.letters[0][new >> 20] * self.letters[1][(new >> 10) & 1023] * self.letters[2][new & 1023]
             self.matrix[start : start + len(new)] = bound
             self.rows.update(zip(missing, range(start, start + len(new)), strict=True))
-        return counts.astype(np.float32) @ self.matrix[[self.rows[k] for k in names]]
+        return counts.astype(np.float32) @ self.matrix[[self.rows[k] for k in names]].astype(np.float32)
 
 
 @lru_cache(maxsize=2)
@@ -91,14 +93,23 @@ def prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang", di
     """Languages and their unit prototypes, learned from all rows of `df` with a text and a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, (keys, counts) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
+
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 held.setdefault(lang.as_py(), []).append(trigrams(text.as_py()))
             for lang, found in held.items():
+                found += [sums[lang]] if lang in sums else []
                 keys, of = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                counts = np.bincount(of, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
+                sums[lang] = keys, np.bincount(of, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
+            if sum(len(k) for k, _ in sums.values()) > 1_000_000:
+                yield from rows()
+                sums = {}
+        yield from rows()
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -112,6 +123,7 @@ def prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang", di
                     sums[lang] = sums.get(lang, 0) + bound.bundle(keys[part], counts[part]).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     sums: dict[str, np.ndarray] = {}

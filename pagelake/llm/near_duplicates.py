@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import written
+from pagelake.llm.common import small_batches, written
 from pagelake.llm.components import components
 from pagelake.llm.packed import SCHEMA, deal, gather
 
 SIZE, PERCENT = 5, 75
 REGION = np.uint64(3 << 61)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 
 
 class Shingler:
@@ -98,7 +98,7 @@ def shapes_of(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     return rows.mapInArrow(shape, f"doc_id {df.schema[id_col].dataType.simpleString()}, text_hash long, n long, region long, node long")
 
 
-def post(df: DataFrame, text_col: str, size: int, percent: int, n_buckets: int, flush: int = 2_000_000) -> DataFrame:
+def post(df: DataFrame, text_col: str, size: int, percent: int, n_buckets: int, flush: int = 600_000) -> DataFrame:
     """(digest, node) of the region, and of the first digests beyond it where the region is too short for a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +115,14 @@ def post(df: DataFrame, text_col: str, size: int, percent: int, n_buckets: int,
                 nodes.append(np.full(len(own), node, dtype=np.int64))
                 count += len(own)
                 if count >= flush:
-                    yield from deal(np.concatenate(held), n_buckets, [np.concatenate(held), np.concatenate(nodes)])
+                    digests_held = np.concatenate(held)
+                    yield from deal(digests_held, n_buckets, [digests_held, np.concatenate(nodes)])
                     held, nodes, count = [], [], 0
                     if len(seen) > 1_000_000:
                         seen = set()
         if held:
-            yield from deal(np.concatenate(held), n_buckets, [np.concatenate(held), np.concatenate(nodes)])
+            digests_held = np.concatenate(held)
+            yield from deal(digests_held, n_buckets, [digests_held, np.concatenate(nodes)])
 
     return df.select(text_col).mapInArrow(run, SCHEMA)
 
@@ -403,9 +405,10 @@ def large_groups(whole: DataFrame, percent: int, most_tokens: int, hub_sets: int
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bucket_tokens: int = 750_000, most_tokens: int = 4_000_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bucket_tokens: int = 500_000, most_tokens: int = 2_000_000
 ) -> DataFrame:
     """`id_col`, n_shingles, component_id, text_hash of every row."""
+    small_batches(df.sparkSession)
     shapes = written(shapes_of(df, id_col, text_col, size), "shapes")
     total, rows = shapes.agg(F.coalesce(F.sum("region"), F.lit(0)), F.count("node")).first()
     n_buckets = int(max(8, -(-total // bucket_tokens)))

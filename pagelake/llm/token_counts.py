@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pagelake.llm.common import small_batches
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -87,4 +89,5 @@ def token_counts(
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(df.sparkSession)
     return df.select(id_col, text_col).mapInArrow(count, schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import fresh, written
+from pagelake.llm.common import fresh, small_batches, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -216,6 +216,7 @@ def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = 1 << 30, zip64: bool = False
 ) -> DataFrame:
     """Writes one or more archives a task below `folder` and returns their paths. A task that runs again replaces its own files."""
+    small_batches(pages.sparkSession)
     rows = pages.select(id_col, url_col, F.coalesce(F.col(payload_col), F.lit("")).alias(payload_col))
     rows = with_revisits(rows, id_col, payload_col, min_bytes).select(id_col, url_col, payload_col, "refers_to")
 
