@@ -12,7 +12,6 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node's neighbours (the larger ones, or the smaller ones) are tied to the least of its neighbours and itself."""
     ways = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     ways = ways.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else ways.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    ways = written(ways, "ways")
     least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     least = written(least, "least")  # so that a hub's join can be split
     tied = ways.join(least, "u")
@@ -23,16 +22,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return written(out.where("a != b").distinct(), "edges")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges lead from a node to its root: one edge a node, and no root with an edge of its own."""
+    n, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+    return n == nodes and edges.join(edges.select(F.col("a").alias("_root")).distinct(), F.col("b") == F.col("_root"), "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least node of the component, and its own root."""
     edges = written(edges.where("a != b").distinct(), "edges")
-    state = None
     for _ in range(rounds):
         edges = _star(_star(edges, True), False)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        if _settled(edges):
             break
-        state = now
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
