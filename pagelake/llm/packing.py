@@ -30,17 +30,18 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import written
+from pagelake.llm.common import small_batches, written
 from pagelake.llm.token_counts import load_tokenizer, safe_pieces
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 4096, 1
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f]*")
-#: A character of its own id, beyond those of PLAIN.
-MARK = "\u2764"
-MOST_WORDS = 800_000
+#: The tokenizer's own pattern, as its file gives it.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+MOST_WORDS = 600_000
 
 
 class WordIds(dict):
@@ -48,28 +49,30 @@ class WordIds(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        (self.mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end one of the tokenizer's own pieces
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Encode the missing words in one call, with MARK, which no plain text holds, between them."""
+        """Encode the missing words in one call; ids that end a piece tell the pieces, and the pattern how many a word has."""
         missing = [x for x in words if x not in self]
         if not missing:
             return
         if len(self) >= MOST_WORDS:
-            first = list(islice(self.items(), MOST_WORDS // 2))  # those met first are the common ones
+            first = list(islice(self.items(), MOST_WORDS * 3 // 4))  # those met first are the common ones
             self.clear()
             self.update(first)
             missing = [x for x in words if x not in self]
-        got = self.tokenizer.encode_batch_fast([f" {MARK} ".join(missing)], add_special_tokens=False)[0]
-        ids = np.array(got.ids, dtype="<u4")
-        marks = np.flatnonzero(ids == self.mark)
-        if len(marks) != len(missing) - 1:
-            raise ValueError("the mark's id isn't the mark's alone")
-        raw, starts, ends = ids.tobytes(), np.append(0, (marks + 1) * 4).tolist(), np.append(marks * 4, len(ids) * 4).tolist()
-        self.update(zip(missing, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
+        pieces = np.append(0, np.flatnonzero(self.ends[ids]) + 1) * 4
+        upto = np.cumsum([1 if x.isalpha() else len(PIECE.findall(x)) for x in missing])
+        if upto[-1] != len(pieces) - 1 or pieces[-1] != 4 * len(ids):
+            raise ValueError("the tokenizer's pieces aren't those of its pattern")
+        raw, cuts = ids.tobytes(), pieces[np.append(0, upto)].tolist()
+        self.update(zip(missing, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -107,7 +110,7 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         known = known_words(path)
         for batch in batches:
             rows, columns = [], ([], [], [], [])
-            for i, ids in ((first + i, x + tail) for first, texts in runs_of(batch.column(1), 1 << 20) for i, x in enumerate(id_bytes(texts, known))):
+            for i, ids in ((first + i, x + tail) for first, texts in runs_of(batch.column(1), 2 << 20) for i, x in enumerate(id_bytes(texts, known))):
                 for k in range(0, len(ids), 4 * length):
                     part = ids[k : k + 4 * length]
                     rows.append(i)
@@ -116,6 +119,7 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:])]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "piece", "start", "length", "ids_crc32"])
 
+    small_batches(df.sparkSession)
     return df.select(id_col, text_col).mapInArrow(cut, schema)
 
 
