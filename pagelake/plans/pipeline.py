@@ -13,6 +13,7 @@ from pagelake.config import settings
 from pagelake.operators import budget, store
 from pagelake.operators.ocr import parse_batch, run_ocr
 from pagelake.schema import OCR_SCHEMA, PipelineConfig
+from pagelake.session import prepare
 from pagelake.sources.documents import PageExtractor, TextExtractor, explode_pages, scan_documents
 
 
@@ -58,6 +59,7 @@ class OCRPipeline:
         return explode_pages(docs, self.extractor, self.keep_failed)
 
     def run(self, spark: SparkSession) -> DataFrame:
+        prepare(spark)
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = spark.conf.get(key)
         spark.conf.set(key, str(self.cfg.batch_size))

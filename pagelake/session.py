@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -43,8 +45,19 @@ def get_spark(
     return SparkSession.builder.master(f"local[{cores}]").appName(app_name).config("spark.driver.memory", memory).config(map=conf).getOrCreate()
 
 
+def share_package(spark: SparkSession) -> None:
+    """Puts the package's folder on the Python workers' path, for sessions that were started elsewhere on this machine.
+
+    On a cluster the package comes by --py-files, and a path that a worker doesn't have does no harm."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Sets what the results rely on where the session allows it."""
+    share_package(spark)
     for key in ("spark.sql.session.timeZone", "spark.sql.chunkBase64String.enabled"):
         spark.conf.set(key, NEEDED[key])
     return spark
