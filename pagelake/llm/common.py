@@ -8,9 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagelake.session import share_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder; any path that Spark can read."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,4 +42,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> None:
     """Arrow batches by bytes, not by ten thousand texts: two Python workers and their batches share an executor's memory."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
