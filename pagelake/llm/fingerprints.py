@@ -1,7 +1,7 @@
 """Document fingerprints (6, native): invertible Bloom lookup sketches of paragraphs.
 
-A paragraph is a line; lines are cut further at content-defined sentence ends (those whose last letter is in a fixed
-set), so that an edit changes the parts that it touches only. Each distinct paragraph digest goes into three cells of
+A paragraph is a line; lines are cut further at every sentence end, so that an edit changes the parts that it touches
+only. Each distinct paragraph digest goes into three cells of
 a table of m cells; a cell holds a count, the XOR of its digests and the XOR of their checks. The sketches of two
 versions are subtracted cell by cell; what they share cancels out, and peeling (a cell that holds one digest gives it
 away, which frees others) recovers the digests that differ. The fingerprints are tried first; where peeling gets stuck,
@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS, GROWTH, TRIES, ROUNDS = 12, 64, 4, 64
-#: Paragraph ends: line ends, and white space after a sentence that ends in one of these letters.
-PARTS = r"\\n+|(?<=[aiou][.!?]) +"
+#: Paragraph ends: line ends, and sentence ends of any script: a mark and blanks, or a full-width mark; closing quotes go with their sentence.
+CLOSERS = r"[\"\\x27\u00bb\u2019\u201d)\\]\u300d\u300f\uff09]"
+MARKS, WIDE = "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]", "[\u3002\uff01\uff1f\uff61]"
+PARTS = rf"\\n+| (?<={MARKS}{CLOSERS}{{0,2}} ) *|(?<={WIDE}{CLOSERS}{{0,2}})(?!{WIDE}|{CLOSERS})"
 CELL = "struct<c:bigint,n:bigint,k:bigint,h:bigint>"
 
 
@@ -46,10 +48,12 @@ def entries(key: str, sign: str, m: str) -> str:
 
 
 def combined(cells: str) -> str:
-    """SQL: one entry a cell, without empty ones."""
-    merged = "named_struct('c', x.c, 'n', x.n + try_element_at(acc, -1).n, 'k', x.k ^ try_element_at(acc, -1).k, 'h', x.h ^ try_element_at(acc, -1).h)"
-    return f"""filter(aggregate(array_sort({cells}), cast(array() as array<{CELL}>), (acc, x) ->
-        if(coalesce(try_element_at(acc, -1).c = x.c, false), concat(slice(acc, 1, size(acc) - 1), array({merged})), concat(acc, array(x)))),
+    """SQL: one entry a cell, without empty ones. Runs of a cell are found in sorted entries, so long texts cost no more than their sort."""
+    starts = "filter(sequence(1, size(e)), i -> i = 1 or e[i - 1].c != e[greatest(i - 2, 0)].c)"
+    run = "slice(e, at, coalesce(try_element_at(starts, i + 2), size(e) + 1) - at)"
+    merged = f"aggregate({run}, named_struct('c', e[at - 1].c, 'n', 0L, 'k', 0L, 'h', 0L), (a, x) -> named_struct('c', a.c, 'n', a.n + x.n, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    runs = f"transform(array({starts}), starts -> transform(starts, (at, i) -> {merged}))[0]"
+    return f"""filter(transform(array(sort_array({cells})), e -> if(size(e) = 0, cast(array() as array<{CELL}>), {runs}))[0],
         c -> c.n != 0 or c.k != 0 or c.h != 0)"""
 
 
