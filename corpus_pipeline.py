@@ -1,6 +1,6 @@
 """A corpus made ready for training: five stages, each one of the operators of pagelake.llm, each on all that the one before kept.
 
-language_id rejects texts without a letter or of no learned language; near_duplicates keeps one document of each group;
+language_id rejects texts without a letter; near_duplicates keeps one document of each group;
 decontamination drops documents with a benchmark passage; secret_scan redacts secrets inside the texts; packing cuts and packs
 the tokens of what is left. All but the last return the columns of documents.
 """
@@ -14,15 +14,12 @@ from pyspark.sql import functions as F
 from pagelake.llm import decontamination, language_id, near_duplicates, packing, secret_scan
 from pagelake.llm.common import table, written
 
-#: Texts whose best cosine is below this are of no learned language.
-LEAST_SCORE = 0.05
-
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
     found = language_id.language_id(whole, keep=["row"])
-    unknown = (F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)  # texts with letters are und only where no language could be learned
-    return found.where(F.col("row.text").rlike(r"\p{L}") & ~unknown).select("row.*")
+    # no least score: for a short text the best cosine lies within the noise; texts with letters are und only where no language could be learned
+    return found.where((F.col("lang_pred") != "und") | F.col("row.text").rlike(r"\p{L}")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
