@@ -11,9 +11,9 @@ from pagelake.sources.documents import BINARY_SCHEMA, TextExtractor, explode_pag
 
 
 def watch_documents(spark: SparkSession, path: str, glob: str = "*.pdf", files_per_batch: int = 1000) -> DataFrame:
-    """A stream of files below `path`."""
+    """A stream of files below `path`, each of them once, however old it is beside those seen."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return reader.option("maxFilesPerTrigger", files_per_batch).load(path)
+    return reader.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d").load(path)
 
 
 def ingest(spark: SparkSession, path: str, silver: str, checkpoint: str, backend: str = "mock", model: str = "mock-model", glob: str = "*.txt", extractor=None, **options) -> StreamingQuery:
@@ -23,5 +23,4 @@ def ingest(spark: SparkSession, path: str, silver: str, checkpoint: str, backend
     def land(batch: DataFrame, _: int) -> None:
         store.write_silver(run_ocr(explode_pages(batch, extractor), backend, model, **options), silver, ["path", "page_num"])
 
-    files = watch_documents(spark, path, glob).withWatermark("modificationTime", "1 day").dropDuplicatesWithinWatermark(["path", "modificationTime"])
-    return files.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return watch_documents(spark, path, glob).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
