@@ -307,6 +307,27 @@ def score_summary(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in evaluate.METRICS), "n_pages_scored")
 
 
+@query(
+    f"""WITH {TURNS}, {NATION_TABLES},
+pairs AS (SELECT text AS x, following AS y, CASE WHEN turn % 2 = 0 THEN [string_split(following, ' ')[1], 'zzz'] ELSE [] END AS anchors FROM turns
+  UNION ALL SELECT actual, expected, ['NATIONS', '| key |', 'zzz'] FROM md),
+n AS (SELECT {BYTES.format(x=NORM.format(x="x"))} AS a, {BYTES.format(x=NORM.format(x="y"))} AS b, {BYTES.format(x=FIRSTS.format(x="x"))} AS f, {BYTES.format(x=FIRSTS.format(x="y"))} AS g,
+  CASE WHEN len(anchors) = 0 THEN 1.0 ELSE len(list_filter(anchors, lambda w: contains(lower(coalesce(x, '')), lower(w)))) / len(anchors) END AS recall, {CELLS.format(x="coalesce(x, '')")} AS p, {CELLS.format(x="coalesce(y, '')")} AS q FROM pairs)
+SELECT round(avg(levenshtein(a, b) / greatest(length(a), length(b), 1)), 6) AS edit_distance, round(avg(levenshtein(f, g) / greatest(length(f), length(g), 1)), 6) AS reading_order_ed, round(avg(recall), 6) AS exact_token_recall,
+  round(avg(CASE WHEN len(q) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(p, q)) / (len(p) + len(q)) END), 6) AS table_f1, count(*) AS n_pages_scored FROM n"""
+)
+def score_summary_anchored(spark, d):
+    """All four scores at work: turns, every other one with an anchor that may be found and one that isn't, and tables of nations with changed cells."""
+    words = F.when(F.col("turn") % 2 == 0, F.array(F.split("following", " ")[0], F.lit("zzz"))).otherwise(F.array().cast("array<string>"))
+    rows = turns(spark, d).select(F.format_string("%d.md", F.col("conv_id") * 100 + F.col("turn")).alias("filename"), F.lit(1).alias("page_num"), F.col("text").alias("markdown"), F.col("following").alias("gt"), words.alias("anchors"))
+    words = F.array(F.lit("NATIONS"), F.lit("| key |"), F.lit("zzz"))
+    rows = rows.unionByName(nation_tables(spark, d).select(F.format_string("nations-%d.md", "n_regionkey").alias("filename"), F.lit(1).alias("page_num"), F.col("actual").alias("markdown"), F.col("expected").alias("gt"), words.alias("anchors")))
+    truth = rows.select(X.stem("filename").alias("stem"), F.lit(None).cast("int").alias("page_num"), "gt")
+    by_stem = rows.where(F.size("anchors") > 0).select(X.stem("filename").alias("stem"), "anchors")
+    out = evaluate.summarize(evaluate.score_pages(rows.drop("gt", "anchors"), truth, by_stem))
+    return out.select(*(F.round(c, 6).alias(c) for c in evaluate.METRICS), "n_pages_scored")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey - 1, 'N' FROM orders WHERE o_orderkey % 2 = 1")
 def silver_upsert(spark, d):
     orders = table(spark, d, "orders")
