@@ -5,11 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelake.session import share_package
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The folders that `written` has made since the innermost open scope began.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder; any path that Spark can read."""
@@ -17,12 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def named(df: DataFrame, *names: str) -> str:
+    """The fields of columns of `df` for a Python function's schema."""
+    return ", ".join("`" + n.replace("`", "``") + "` " + df.schema[n].dataType.simpleString() for n in names)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without: it gets an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pagelake-")
         spark.sparkContext.setCheckpointDir(at)
     return at if "://" in at or at.startswith("file:") else f"file://{os.path.abspath(at)}"
@@ -30,17 +51,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> Iterator[None]:
+    """Arrow batches by bytes, not by ten thousand texts, for what runs inside: Python workers and their batches share an executor's memory."""
+    share_package(spark)
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(most_bytes))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it again: the lineage is cut, and a lost executor loses nothing."""
+    """Write `df` once to the shared folder and read it again: the lineage is cut, and a lost executor loses nothing.
+
+    The folder goes with the innermost `scratch`; outside one it stays, as the table that is returned reads it."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> None:
-    """Arrow batches by bytes, not by ten thousand texts: two Python workers and their batches share an executor's memory."""
-    share_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes the folders made inside when it ends, but for those that the tables put into the yielded list read.
+
+    These belong to the scope around it from then on."""
+    outer, own, kept = _made.get(), [], []
+    token = _made.set(own)
+    try:
+        yield kept
+    finally:
+        _made.reset(token)
+        files = [f for df in kept for f in df.inputFiles()]
+        held = {path for path in own if any(path.rsplit("/", 1)[1] in f for f in files)}
+        if outer is not None:
+            outer += held
+        removed(spark, [path for path in own if path not in held])
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

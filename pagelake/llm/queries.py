@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm import decontamination, fingerprints, html_text, language_id, near_duplicates, oracles, packing, secret_scan, sharding, token_counts, warc_zip
-from pagelake.llm.common import table, written
+from pagelake.llm.common import fresh, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +39,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sizes = sharding.slot_sizes(sharding.measured(docs))
-    slot_map = written(sharding.rebalanced(sharding.first_map(sizes, 8), 8), "slot-map")
-    return sharding.shard_rows(docs, slot_map)
+    docs, folder = table(spark, sf_dir, "documents"), fresh(spark, "slot-maps")
+    first = sharding.first_map(sharding.slot_sizes(sharding.measured(docs)), 8)
+    version = sharding.store_map(first, folder)
+    version = sharding.store_map(sharding.rebalanced(sharding.stored_map(spark, folder, version), 8), folder)
+    return sharding.shard_rows(docs, sharding.stored_map(spark, folder, version))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
