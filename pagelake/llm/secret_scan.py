@@ -1,12 +1,14 @@
 """Secret scans (3, native): an incremental ledger of content-addressed blobs.
 
-Every historical version of a file is addressed by the SHA-256 of its text. A ledger table says which blobs have been
-scanned with which version of the rules; only unseen pairs are scanned, each once however many paths and versions hold
-the blob, and their findings are appended. Findings are then joined back to all paths.
+Every historical version of a file is addressed by the SHA-256 of its text. A ledger says which blobs have been
+scanned with which version of the rules, which is the digest of the rules themselves; only unseen pairs are scanned, each once
+however many paths, versions and repeated rows hold the blob. Findings are then joined back to all paths.
 
-The ledger is a Parquet table (blob, rule_version, spans) that has every scanned blob, also those without findings, so
-one append makes a scan known and a failed one leaves no trace. Texts are dealt by id (one row a blob is chosen), never
-by their copies; a hot blob meets its findings in a join of two written tables, which Spark can split.
+The ledger is a folder with one Parquet table (blob, rule_version, spans) a scan, which has every blob of that scan, also those
+without findings. Only tables that were ended (Spark's _SUCCESS) are read, so a scan that failed leaves no trace. Texts are dealt
+by id (one row a blob is chosen), never by their copies, and repeated rows are combined before the shuffle; where few blobs are
+unseen, the chosen ones are broadcast (BROADCAST_ROWS rows of 80 bytes at most) and the other texts go nowhere. A hot blob meets its
+findings in a join of two written tables, which Spark can split.
 
 Positions come from splitting a text by the same pattern: the parts' and the matches' lengths add up to each match's
 start. Lengths are code points.
@@ -17,13 +19,16 @@ is kept; spans of different kinds may overlap and all stay; an empty table gives
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import uuid
+from dataclasses import astuple, dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import fresh, written
+from pagelake.llm.common import col, fresh, scratch, written
+
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +47,11 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),  # runs are maximal, so asking for 32 at once drops the same ones
 )
-RULE_VERSION = "base-1"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """Rules that differ in anything, their order too, have different versions."""
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()[:32]
 
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -72,49 +81,62 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*(_spans(text, rank, rule) for rank, rule in enumerate(rules))))
 
 
-def _read(df: DataFrame, path: str, schema: str) -> DataFrame:
-    """The ledger, empty if it has never been written."""
-    spark = df.sparkSession
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
 
-LEDGER = f"blob string, rule_version string, spans {SPANS}"
+def ended_scans(spark: SparkSession, ledger: str) -> list[str]:
+    """The ledger's tables of scans that came to their end."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [x.getPath() for x in fs.listStatus(top)] if fs.exists(top) else []
+    return sorted(p.toString() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def ledger_rows(spark: SparkSession, ledger: str) -> DataFrame:
+    """All that the ledger holds, empty if nothing has been scanned."""
+    scans = ended_scans(spark, ledger)
+    return spark.read.schema(LEDGER).parquet(*scans) if scans else spark.createDataFrame([], LEDGER)
 
 
 def addressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("path"), text.alias("text")).withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
+    text = F.coalesce(col(text_col), F.lit(""))
+    return df.select(col(id_col).alias("path"), text.alias("text")).withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
 
 
-def scan_unseen(df: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Scans the blobs that the ledger doesn't have under `rule_version`, appends to it, and returns the versions (path, blob)."""
+def scan_unseen(df: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans the blobs that the ledger doesn't have under these rules, adds them to it, and returns the versions (path, blob)."""
+    spark, version = df.sparkSession, version_of(rules)
     rows = addressed(df, id_col, text_col)
-    versions = written(rows.select("path", "blob"), "versions")
-    seen = _read(df, ledger, LEDGER).where(F.col("rule_version") == rule_version).select("blob")
-    chosen = versions.groupBy("blob").agg(F.min("path").alias("_at")).join(seen, "blob", "left_anti")
-    chosen = written(chosen.select(F.col("blob").alias("_blob"), "_at"), "unseen")
-    picked = rows.join(chosen.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("_at")) & (F.col("blob") == F.col("_blob")))
-    found = picked.select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("text"), rules).alias("spans"))  # no filter: it would move below the join, to all rows
-    found.write.mode("append").parquet(ledger)
+    with scratch(spark) as kept:
+        versions = written(rows.select("path", "blob"), "versions")
+        kept.append(versions)
+        seen = ledger_rows(spark, ledger).where(F.col("rule_version") == version).select("blob")
+        chosen = versions.groupBy("blob").agg(F.min(F.xxhash64("path")).alias("_at")).join(seen, "blob", "left_anti")
+        chosen = written(chosen.select(F.col("blob").alias("_blob"), "_at"), "unseen")
+        unseen = chosen.count()
+        if not unseen:
+            return versions
+        keys = (F.xxhash64("path") == F.col("_at")) & (F.col("blob") == F.col("_blob"))
+        if unseen <= BROADCAST_ROWS:
+            texts = rows.join(F.broadcast(chosen), keys).groupBy("blob").agg(F.first("text").alias("text"))
+        else:
+            one = rows.groupBy("path", "blob").agg(F.first("text").alias("text"))  # partial sums first: a task sends each repeated row once
+            texts = one.withColumn("_h", F.xxhash64("path")).join(chosen.hint("shuffle_hash"), (F.col("_h") == F.col("_at")) & (F.col("blob") == F.col("_blob")))
+        found = texts.select("blob", F.lit(version).alias("rule_version"), spans_of(F.col("text"), rules).alias("spans"))  # no filter: it would move below the join, to all rows
+        found.write.parquet(f"{ledger}/scan-{uuid.uuid4().hex}")
     return versions
 
 
-def findings_of(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
-    """path, blob, spans of every version, by the ledger. A blob that stands there twice (repeated rows of an id) counts once."""
-    found = _read(versions, ledger, LEDGER).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
+def findings_of(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, blob, spans of every version, by the ledger. A blob that two scans at once have added counts once."""
+    found = ledger_rows(versions.sparkSession, ledger).where((F.col("rule_version") == version_of(rules)) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
     return versions.join(written(found, "findings"), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
-def secret_scan(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
-    """`id_col`, blob, spans of every row; `ledger`: the folder of earlier runs, or a new one."""
+def secret_scan(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`id_col`, blob, spans of every row; `ledger`: the folder of earlier scans, or a new one."""
     ledger = ledger or fresh(df.sparkSession, "ledger")
-    versions = scan_unseen(df, ledger, id_col, text_col, rules, rule_version)
-    return findings_of(versions, ledger, rule_version).withColumnRenamed("path", id_col)
+    return findings_of(scan_unseen(df, ledger, id_col, text_col, rules), ledger, rules).withColumnRenamed("path", id_col)
 
 
 def span_text(spans: Column) -> Column:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.llm import queries, secret_scan as S
@@ -51,16 +53,46 @@ def test_edges_and_redaction(spark):
     assert S.secret_scan(df.where("false")).collect() == []
 
 
-def test_only_unseen_pairs_are_scanned(spark, tmp_path):
+def entries(spark, ledger):
+    return sorted(tuple(r) for r in S.ledger_rows(spark, ledger).selectExpr("blob", "rule_version", "size(spans)").collect())
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_only_unseen_pairs_are_scanned(spark, tmp_path, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", broadcast_rows)
     ledger = f"file://{tmp_path}/ledger"
-    one = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "clean")], "doc_id int, text string")
+    one = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "clean"), (3, "clean"), (None, None), (None, None)], "doc_id int, text string")
     two = spark.createDataFrame([(1, "token=abcdefgh!"), (4, "clean"), (5, "token=abcdefgh")], "doc_id int, text string")
-    size = lambda: spark.read.parquet(ledger).count()
     S.secret_scan(one, ledger).collect()
-    assert size() == 2
+    assert len(entries(spark, ledger)) == 3 and len(S.ended_scans(spark, ledger)) == 1
     got = {r.doc_id: len(r.spans) for r in S.secret_scan(two, ledger).collect()}
-    assert got == {1: 1, 4: 0, 5: 1} and size() == 3
+    assert got == {1: 1, 4: 0, 5: 1} and len(entries(spark, ledger)) == 4
     S.secret_scan(one, ledger).collect()
-    assert size() == 3
-    S.secret_scan(one, ledger, rule_version="base-2").collect()
-    assert size() == 5
+    assert len(entries(spark, ledger)) == 4 and len(S.ended_scans(spark, ledger)) == 2
+    fewer = S.RULES[1:]  # other rules are another version, so nothing stale is found
+    assert all(r.spans == [] for r in S.secret_scan(one, ledger, rules=fewer).collect())
+    assert len(entries(spark, ledger)) == 7 and {v for _, v, _ in entries(spark, ledger)} == {S.version_of(S.RULES), S.version_of(fewer)}
+
+
+def test_repeated_rows_are_scanned_once(spark, tmp_path, monkeypatch):
+    for rows in (100_000, 0):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", rows)
+        ledger = f"file://{tmp_path}/ledger-{rows}"
+        df = spark.range(1000).selectExpr("7L as doc_id", "'token=abcdefgh' as text")
+        assert S.secret_scan(df, ledger).where("size(spans) = 1").count() == 1000
+        assert len(entries(spark, ledger)) == 1
+
+
+def test_a_scan_that_failed_leaves_no_trace(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    df = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id int, text string")
+    S.secret_scan(df, ledger).collect()
+    scan = S.ended_scans(spark, ledger)[0].removeprefix("file:")
+    os.remove(f"{scan}/_SUCCESS")  # as if it hadn't come to its end
+    assert entries(spark, ledger) == []
+    assert S.secret_scan(df, ledger).first().spans and len(entries(spark, ledger)) == 1
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", "p", "b", 3)], "doc_id int, text string, path string, _blob string, _at int")
+    assert S.secret_scan(df).count() == 1 and S.secret_scan(df.withColumnRenamed("doc_id", "a.b"), id_col="a.b").first()["a.b"] == 1
