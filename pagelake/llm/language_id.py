@@ -4,8 +4,9 @@ Each letter has a random vector of +1 and -1, made from a fixed seed. An n-gram'
 vectors, each permuted (rolled) by its place; a text's vector bundles (adds) those of its trigrams; a language's
 prototype bundles those of all its training texts. A text gets the language whose prototype has the largest cosine.
 
-Trigram counts are summed over all training rows before they are bundled; bundling happens on the executors, and the driver gets
-one vector a language and partition. The prototypes (languages x `dim` numbers) are broadcast. Letters are those of Unicode in
+Trigram counts are summed over all training rows before they are bundled; bundling and the sums of the bundles happen on the
+executors, and the driver gets one vector a language, in one job. The prototypes (at most MOST_LANGUAGES x `dim` numbers; more
+languages are an error) are broadcast. Letters are those of Unicode in
 lower case, runs of anything else count as one space; code points share `SYMBOLS` vectors by their remainder.
 
 Defined results: a null text or one without letters is `und` with score 0.0, as is every text if no row can be learned
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import small_batches
+from pagelake.llm.common import col, named, scratch, written
 
 DIM, SYMBOLS, SEED = 1024, 1024, 20_231
 MOST_VECTORS = 32_768
+MOST_LANGUAGES = 4096
 
 
 @lru_cache(maxsize=1)
@@ -86,7 +88,7 @@ def vectors(dim: int) -> Vectors:
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    return F.crc32(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 def prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> tuple[list[str], np.ndarray]:
@@ -123,30 +125,33 @@ def prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang", di
                     sums[lang] = sums.get(lang, 0) + bound.bundle(keys[part], counts[part]).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    small_batches(df.sparkSession)
-    rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    sums: dict[str, np.ndarray] = {}
-    for lang, v in counts.mapInArrow(bundle, "lang string, v array<double>").toLocalIterator():
-        sums[lang] = sums.get(lang, 0) + np.array(v)
+    rows = df.select(col(text_col).alias("text"), col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    with scratch(df.sparkSession):
+        counts = rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        bundles = counts.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
+        summed = bundles.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("v"))
+        sums = {r.lang: np.array(r.v) for r in written(summed, "prototypes").limit(MOST_LANGUAGES + 1).collect()}
+    if len(sums) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = sorted(sums)
     matrix = np.array([sums[x] / max(np.linalg.norm(sums[x]), 1e-9) for x in langs]).reshape(len(langs), dim)
     return langs, matrix.astype(np.float32)
 
 
 def identify(df: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the columns `keep` (all others but these two, if not given)."""
+    """Adds lang_pred and score to the columns `keep` (all others but these two, if not given). The text goes to Python once."""
     keep = [c for c in df.columns if c not in ("lang_pred", "score")] if keep is None else keep
-    fields = [df.schema[c] for c in keep]
     sent = df.sparkSession.sparkContext.broadcast((langs, matrix))
     dim = matrix.shape[1] if len(langs) else DIM
+    columns = [*keep, *([] if text_col in keep else [text_col])]
+    at = columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, protos = sent.value
         bound = vectors(dim)
         for batch in batches:
             preds, scores = [], []
-            for value in batch.column(len(keep)):
+            for value in batch.column(at):
                 keys, counts = trigrams(value.as_py() or "")
                 if not len(keys) or not names:
                     preds.append("und")
@@ -159,12 +164,13 @@ def identify(df: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(predict, schema)
+    schema = ", ".join([*([named(df, *keep)] if keep else []), "lang_pred string, score double"])
+    return written(df.select(*map(col, columns)).mapInArrow(predict, schema), "languages")
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Learns from the rows that aren't held out and predicts all: `id_col` or the columns `keep`, held_out, lang_pred, score."""
-    rows = df.withColumn("held_out", held_out(id_col))
-    langs, matrix = prototypes(rows.where("NOT held_out"), text_col, lang_col)
-    return identify(rows, langs, matrix, text_col, [*(keep or [id_col]), "held_out"])
+    keep = [c for c in keep or [id_col] if c != "held_out"]
+    langs, matrix = prototypes(df.where(~held_out(id_col)), text_col, lang_col)
+    rows = df.select(*map(col, dict.fromkeys([*keep, text_col])), held_out(id_col).alias("held_out"))
+    return identify(rows, langs, matrix, text_col, [*keep, "held_out"])

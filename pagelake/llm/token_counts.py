@@ -1,6 +1,6 @@
 """Token counts (1): batch encoding in Arrow functions that return lengths only.
 
-Batches are balanced by bytes, and long texts are split at safe boundaries: a cut is made only in front of an ASCII
+Batches are balanced by UTF-8 bytes, and long texts are split at safe boundaries: a cut is made only in front of an ASCII
 space or newline that follows a character that isn't white space. No piece of the byte-level pattern
 (`'s|'t|...| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`) reaches across such a place, the pattern never looks
 back, and the special strings hold no white space; so the lengths of the parts add up to the length of the whole.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagelake.llm.common import small_batches
+from pagelake.llm.common import col, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -53,11 +53,11 @@ def safe_pieces(text: str, most: int) -> list[str]:
 
 
 def byte_batches(pieces: list[tuple[int, str]], batch_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Runs of pieces whose characters add up to `batch_bytes` or a little more."""
+    """Runs of pieces whose UTF-8 bytes add up to `batch_bytes` or a little more."""
     held, size = [], 0
     for piece in pieces:
         held.append(piece)
-        size += len(piece[1])
+        size += n_bytes(piece[1])
         if size >= batch_bytes:
             yield held
             held, size = [], 0
@@ -65,6 +65,10 @@ def byte_batches(pieces: list[tuple[int, str]], batch_bytes: int) -> Iterator[li
         yield held
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def token_counts(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, batch_bytes: int = 1 << 18, piece_chars: int = 1 << 16
 ) -> DataFrame:
@@ -76,18 +80,18 @@ def token_counts(
         tokenizer = load_tokenizer(path)
         for batch in batches:
             texts = batch.column(1)
-            sizes, counts, pieces = [], [0] * len(texts), []
+            sizes, counts, pieces, held = [], [0] * len(texts), [], 0
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
-                sizes.append(len(text.encode("utf-8", "surrogatepass")))
+                sizes.append(n_bytes(text))
+                held += sizes[-1]
                 pieces += [(i, x) for x in safe_pieces(text, piece_chars) if x]
-                if sum(len(x) for _, x in pieces) >= batch_bytes or i == len(texts) - 1:
+                if held >= batch_bytes or i == len(texts) - 1:
                     for part in byte_batches(pieces, batch_bytes):
                         for (k, _), got in zip(part, tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
                             counts[k] += len(got)
-                    pieces = []
+                    pieces, held = [], 0
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    small_batches(df.sparkSession)
-    return df.select(id_col, text_col).mapInArrow(count, schema)
+    return written(df.select(col(id_col), col(text_col)).mapInArrow(count, schema), "token-counts")

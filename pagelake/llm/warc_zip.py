@@ -6,9 +6,12 @@ equal payloads, that with the smallest id is the response and the others revisit
 
 Reading: the end record, the ZIP64 locator and record (if any) and the central directory are parsed from ranges at the
 file's end; local headers give the data's place; the index is range-read, and runs of records are then read in parallel,
-each run by one range. Every response's digest is computed again from its bytes and must agree.
+each run by one range, in as many tasks as the archives' bytes ask for. Every response's digest is computed again from its bytes and must agree.
 
-Defined results: a null payload is empty; repeated rows of one id are records of one capture, so those with the smallest id are
+Only rows that may be revisits are dealt with their payloads, to meet what they refer to: a bitmap of BITS hashed (id, digest)
+pairs, 16 MB whatever the input, tells them, and all others stay where they are.
+
+Defined results: an id of any type that a string can be cast to is kept; a null payload is empty; repeated rows of one id are records of one capture, so those with the smallest id are
 all responses; a null id ranks after all others and is read back as null; a null URL leaves its header out; an empty table
 gives no archive and no row.
 """
@@ -20,6 +23,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -27,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import fresh, small_batches, written
+from pagelake.llm.common import col, fresh, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 BIG = 0xFFFFFFFF
+BITS = 1 << 27
+NO_ID = "urn:page"
 
 
 # ---------------------------------------------------------------- ZIP
@@ -156,18 +162,22 @@ def clean_header(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 33 or c == "\x7f" else c for c in value)
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
+def urn(page_id) -> str:
+    return NO_ID if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
+
+
+def record_bytes(page_id, url: str | None, payload: bytes, refers_to, date: str = DATE) -> bytes:
     """A response, or a revisit of `refers_to`, whose block has the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{urn(page_id)}>",
         f"WARC-Date: {date}",
         *([] if url is None else [f"WARC-Target-URI: {clean_header(url)}"]),
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
-        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]),
+        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{urn(refers_to)}>"]),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -188,9 +198,9 @@ def parse_record(raw: bytes) -> dict:
     if fields["warc-type"] == "response" and (len(payload) != length or base32_sha1(payload) != digest):
         raise ValueError(f"{fields['warc-record-id']}: payload and digest don't agree")
 
-    def page(value: str | None) -> int | None:
-        found = (value or "").strip("<>").removeprefix("urn:page:")
-        return int(found) if found not in ("", "none") else None
+    def page(value: str | None) -> str | None:
+        found = (value or "").strip("<>")
+        return unquote(found.removeprefix("urn:page:")) if found.startswith("urn:page:") else None
 
     return {
         "page_id": page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": length,
@@ -201,24 +211,34 @@ def parse_record(raw: bytes) -> dict:
 # ---------------------------------------------------------------- Spark
 
 
-def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """Adds refers_to. Digests meet without their payloads; payloads are dealt once, by id, so copies never meet in one task."""
-    digest = pages.withColumn("_sha1", F.sha1(F.col(payload_col).cast("binary")))
-    slim = digest.where(F.octet_length(payload_col) >= min_bytes).select(F.col(id_col).alias("_id"), F.col("_sha1").alias("_of"))
-    groups = slim.groupBy("_of").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _first IS NOT NULL")
-    groups = written(groups.select("_of", "_first"), "warc-groups")  # a written table, so that a hot digest's join can be split
-    revisits = slim.join(groups, "_of").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_of", F.col("_first").alias("refers_to")).distinct()
-    same = digest[id_col].eqNullSafe(revisits["_id"]) & (digest["_sha1"] == revisits["_of"])
-    return digest.join(revisits.hint("shuffle_hash"), same, "left").drop("_id", "_of", "_sha1")
+def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
+    """Adds refers_to to rows of (id, url, payload). Digests meet without their payloads; a payload is dealt only where its row may be a
+    revisit, by id, so copies never meet in one task."""
+    digest = pages.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
+    slim = digest.where(F.octet_length("payload") >= min_bytes).select("id", F.col("sha1").alias("of"))
+    groups = slim.groupBy("of").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    groups = written(groups.select("of", "first"), "warc-groups")  # a written table, so that a hot digest's join can be split
+    revisits = slim.join(groups, "of").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("_id"), "of", F.col("first").alias("refers_to")).distinct()
+    revisits = written(revisits, "warc-revisits")
+    bit = lambda i, of: F.pmod(F.xxhash64(i, of), F.lit(BITS))
+    hashed = revisits.select(bit("_id", "of").alias("x"))
+    bitmap = hashed.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bitmap"))  # BITS / 32768 rows of 4 KB at most
+    marked = digest.withColumn("x", bit("id", "sha1")).withColumn("bucket", F.bitmap_bucket_number("x")).join(F.broadcast(bitmap), "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.bitmap_bit_position("x") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.expr("shiftright({}, cast(bitmap_bit_position(x) % 8 as int)) & 1".format("b")) == 1, F.lit(False))
+    marked = marked.withColumn("b", byte).withColumn("maybe", maybe).drop("b", "bitmap", "bucket", "x")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("of"))
+    met = marked.where("maybe").join(revisits.hint("shuffle_hash"), same, "left").select("id", "url", "payload", "refers_to")
+    kind = pages.schema["id"].dataType
+    return met.unionByName(marked.where("NOT maybe").select("id", "url", "payload", F.lit(None).cast(kind).alias("refers_to")))
 
 
 def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = 1 << 30, zip64: bool = False
 ) -> DataFrame:
     """Writes one or more archives a task below `folder` and returns their paths. A task that runs again replaces its own files."""
-    small_batches(pages.sparkSession)
-    rows = pages.select(id_col, url_col, F.coalesce(F.col(payload_col), F.lit("")).alias(payload_col))
-    rows = with_revisits(rows, id_col, payload_col, min_bytes).select(id_col, url_col, payload_col, "refers_to")
+    rows = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), F.coalesce(col(payload_col), F.lit("")).alias("payload"))
+    rows = with_revisits(rows, min_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -238,7 +258,7 @@ def write_archives(
             if store.get_file_info(final).type != fs.FileType.NotFound:  # left by an attempt that was lost; not every store moves over a file
                 store.delete_file(final)
             store.move(temporary, final)
-            done.append((f"{folder}/{final.rsplit('/', 1)[1]}", len(index)))
+            done.append((f"{folder}/{final.rsplit('/', 1)[1]}", len(index), out.at))
             opened = None
 
         for batch in batches:
@@ -259,13 +279,18 @@ def write_archives(
                     close()
         if opened is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "n_records"])
+        columns = [pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["path", "n_records", "n_bytes"])
 
-    return written(rows.mapInArrow(write, "path string, n_records long"), "warc-manifest")
+    return written(rows.mapInArrow(write, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
-def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool = False) -> DataFrame:
-    """One row a record of the archives at `archives.path`; runs of about `run_bytes` are dealt to all tasks."""
+def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool = False, id_type: str = "long", task_bytes: int = 32 << 20) -> DataFrame:
+    """One row a record of the archives at `archives.path`; runs of about `run_bytes` are dealt to tasks of about `task_bytes`.
+
+    The number of tasks follows the bytes that are to be read (`archives.n_bytes`), and no fewer than the cluster's cores, if there are as many runs."""
+    total = archives.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    n_tasks = max(1, -(-total // task_bytes), min(archives.sparkSession.sparkContext.defaultParallelism, -(-total // run_bytes)))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,9 +312,9 @@ def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool
                     names=["path", "start", "lengths"],
                 )
 
-    fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    fields = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if payloads else [])]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,11 +329,11 @@ def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool
                 yield pa.RecordBatch.from_arrays([pa.array([x[name] for x in found], kind) for name, kind in zip(names, kinds, strict=False)], names=names)
 
     runs = archives.select("path").mapInArrow(locate, "path string, start long, lengths array<long>")
-    return runs.repartition(F.col("path"), F.col("start")).mapInArrow(read, fields + (", payload binary" if payloads else ""))
-
-
-def archived(spark: SparkSession, pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write all pages, then read the archives back."""
-    return read_archives(write_archives(pages, folder or fresh(spark, "warc"), **options))
+    records = runs.repartition(n_tasks, "path", "start").mapInArrow(read, fields + (", payload binary" if payloads else ""))  # a given number isn't coalesced by the runs' few bytes
+    return records.select(*(F.col(n).cast(id_type) if n in ("page_id", "refers_to") else F.col(n) for n in names))
 
 
+def archived(spark: SparkSession, pages: DataFrame, folder: str | None = None, id_col: str = "page_id", **options) -> DataFrame:
+    """Write all pages, then read the archives back; ids have the type that they had."""
+    archives = write_archives(pages, folder or fresh(spark, "warc"), id_col, **options)
+    return read_archives(archives, id_type=pages.schema[id_col].dataType.simpleString())

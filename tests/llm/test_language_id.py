@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 
 from pagelake.llm import language_id as L
 from pagelake.llm import queries
@@ -36,7 +37,7 @@ def test_predictions_by_brute_force(spark):
     sums = {x: sum(plain_vector(t) for _, t, y in rows if y == x) for x in langs}
     for k, x in enumerate(langs):
         assert np.allclose(matrix[k], sums[x] / np.linalg.norm(sums[x]), atol=1e-5)
-    for r, (_, text, _) in zip(L.identify(df, langs, matrix, keep=["doc_id"]).collect(), rows, strict=True):
+    for r, (_, text, _) in zip(L.identify(df, langs, matrix, keep=["doc_id"]).orderBy("doc_id").collect(), rows, strict=True):
         v = plain_vector(text)
         cosines = [v @ sums[x] / np.linalg.norm(v) / np.linalg.norm(sums[x]) for x in langs]
         assert r.lang_pred == langs[int(np.argmax(cosines))] and abs(r.score - max(0, max(cosines))) < 1e-4
@@ -58,3 +59,28 @@ def test_many_trigrams_in_one_text(monkeypatch):
     whole = bound.bundle(keys, counts)
     monkeypatch.setattr(L, "MOST_VECTORS", 4000)
     assert np.array_equal(whole, L.Vectors(64).bundle(keys, counts)) and len(keys) > 40
+
+
+def test_one_job_collects_the_prototypes(spark):
+    df = spark.range(300, numPartitions=12).selectExpr("id as doc_id", "concat('words of a text ', id) as text", "concat('l', id % 3) as lang")
+    plan = []
+    real = type(df).toLocalIterator
+    type(df).toLocalIterator = lambda *a, **k: plan.append(1) or real(*a, **k)
+    try:
+        langs, matrix = L.prototypes(df)
+    finally:
+        type(df).toLocalIterator = real
+    assert langs == ["l0", "l1", "l2"] and matrix.shape == (3, L.DIM) and not plan
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
+    df = spark.range(3).selectExpr("id as doc_id", "'text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        L.prototypes(df)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "the cat and the hat", "en", 1, 2, 3) for i in range(9)], "`a.b` int, text string, lang string, held_out int, _text int, lang_pred int")
+    got = L.language_id(df, id_col="a.b")
+    assert got.columns == ["a.b", "held_out", "lang_pred", "score"] and {r.lang_pred for r in got.collect()} == {"en"}

@@ -72,3 +72,25 @@ def test_a_changed_payload_is_an_error():
     assert W.parse_record(raw)["payload"] == b"payload"
     with pytest.raises(ValueError):
         W.parse_record(raw.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    rows = [("a b", "u", "<p>x", "q"), ("none", "u", "<p>x", "q"), (None, "u", "", "q"), ("é/%41", "u", "<p>y", "q"), ("", "u", "<p>z", "q")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, id string").selectExpr("*", "1 as refers_to", "2 as payload", "3 as _id", "4 as x")
+    got = W.archived(spark, df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == expected([r[:3] for r in rows])
+
+
+def test_reading_back_is_dealt_by_bytes(spark):
+    df = spark.range(400).selectExpr("id as page_id", "'u' as url", "repeat(sha2(cast(id as string), 512), 40) as html")
+    archives = W.write_archives(df, W.fresh(spark, "warc"))
+    total = archives.agg({"n_bytes": "sum"}).first()[0]
+    assert W.read_archives(archives, run_bytes=20_000, task_bytes=total // 20).rdd.getNumPartitions() >= 20  # the runs' descriptors have a few KB
+    assert W.read_archives(archives, run_bytes=20_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert W.read_archives(archives, run_bytes=20_000).count() == 400
+
+
+def test_payloads_without_copies_are_not_dealt(spark):
+    df = spark.createDataFrame([(i, "u", f"<p>{i % 90}") for i in range(100)], "page_id long, url string, html string")
+    rows = W.with_revisits(df.selectExpr("page_id as id", "url", "html as payload"), 0)
+    assert sorted((r.id, r.refers_to) for r in rows.collect()) == [(i, i - 90 if i >= 90 else None) for i in range(100)]
