@@ -30,11 +30,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def named(df: DataFrame, *names: str) -> str:
-    """The fields of columns of `df` for a Python function's schema."""
-    return ", ".join("`" + n.replace("`", "``") + "` " + df.schema[n].dataType.simpleString() for n in names)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without: it gets an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,13 +2,15 @@
 
 Patterns are the windows of `window` consecutive words of each benchmark item (an item of fewer words is one pattern).
 The search looks at blocks of two words: a shift table says how far the search may move when the block at its end
-stands in no pattern there; where the shift is 0, the block's hash bucket lists the patterns that end with it, and a
-direct comparison of all words confirms each. Patterns shorter than a window have tables of their own, one for each
-length, so that they don't shorten the others' shifts.
+stands in no pattern there; where the shift is 0, the block's suffix bucket is narrowed by a hash of the words before it (the
+prefix table), and a direct comparison of all words confirms each pattern left. Patterns shorter than a window have tables of
+their own, one for each length, so that they don't shorten the others' shifts.
 
-Tables are built on the driver from blocks of the benchmark of at most `block_bytes` of text each and broadcast; with more
-than one block, the documents pass through the blocks one after the other within one stage, taking their hits along, so
-nothing is shuffled and no benchmark is too large.
+Tables are flat arrays: a shift is one byte at a place that the block's checksum gives (blocks that share a place have the least
+of their shifts, which is safe), and a pattern is 16 bytes: its key (suffix and prefix checksums, sorted), its place in the benchmark's
+words, and its item. One pass over the benchmark builds them on the driver; up to `block_bytes` of benchmark text
+(about four times that in tables) are broadcast as one and searched in one Arrow function, so each text goes to Python once. A benchmark
+beyond that takes one more function for each further `block_bytes`, which hands the hits of the ones before on; nothing is shuffled.
 
 Defined results: null or empty texts have no words, no hits and the digest of the empty list; an item that is null
 or has no words matches nothing; items with equal texts all count; items that share an id count once; repeated rows
@@ -19,13 +21,16 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import small_batches
+from pagelake.llm.common import col, written
 
 #: Letters A-Z in lower case; every other ASCII character but digits and a-z parts words; all bytes of other characters are kept.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -35,97 +40,143 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORDS).split() if text else []
 
 
+def place_of(block: list[bytes]) -> int:
+    return zlib.crc32(block[-1], zlib.crc32(block[0]) if len(block) > 1 else 0)
+
+
 class Patterns:
     """Wu-Manber tables for patterns of one length in words."""
 
     def __init__(self, length: int):
         self.length, self.block = length, min(2, length)
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[str]]] = {}
-
-    def add(self, pattern: tuple[bytes, ...], item: str) -> None:
-        for end in range(self.block, self.length + 1):
-            block = pattern[end - self.block : end]
-            self.shift[block] = min(self.shift.get(block, self.length), self.length - end)
-        self.bucket.setdefault(pattern[self.length - self.block :], {}).setdefault(pattern, set()).add(item)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """(first word, items) of each occurrence."""
-        length, block, shift, bucket = self.length, self.block, self.shift, self.bucket
-        most, n, end = length - block + 1, len(words), length
-        get = shift.get
-        if block == 2:
-            while end <= n:
-                step = get((words[end - 2], words[end - 1]), most)
-                if step:
-                    end += step
-                    continue
-                items = bucket[words[end - 2], words[end - 1]].get(tuple(words[end - length : end]))
-                if items:
-                    yield end - length, items
-                end += 1
-        else:
-            for i, word in enumerate(words):
-                for items in bucket.get((word,), {}).values():
-                    yield i, items
-
-
-def build(items: list[tuple[str, str]], window: int) -> list[Patterns]:
+        self.words, self.size = [], 0
+        self.places: list[np.ndarray] = []  # of blocks, with their shifts
+        self.shifts: list[np.ndarray] = []
+        self.rows: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, words: list[bytes], item: int) -> None:
+        """All windows of an item's words."""
+        length, block, n = self.length, self.block, len(words)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        starts = self.size + np.cumsum(lengths + 1) - lengths - 1
+        self.words += words
+        self.size += int(lengths.sum()) + n
+        blocks = np.fromiter((place_of(words[i : i + block]) for i in range(n - block + 1)), np.uint32, n - block + 1)
+        at, windows = np.arange(n - block + 1), n - length + 1
+        self.places.append(blocks)
+        # a block may end at any place of a window up to its end; the least distance to a window's end counts
+        self.shifts.append(np.clip(length - block - at, 0, 255).astype(np.uint8))
+        before = np.fromiter((zlib.crc32(b" ".join(words[i : i + length - block])) for i in range(windows)), np.uint64, windows)
+        keys = blocks[length - block :].astype(np.uint64) << np.uint64(32) | before
+        self.rows.append((keys, starts[:windows], (starts + lengths)[length - 1 :], np.full(windows, item, np.uint32)))
+
+    def close(self) -> Patterns:
+        places, shifts = np.concatenate(self.places), np.concatenate(self.shifts)
+        self.bits = min(26, max(12, int(len(places)).bit_length() + 4))
+        most = np.full(1 << self.bits, min(255, self.length - self.block + 1), np.uint8)
+        np.minimum.at(most, places >> np.uint32(32 - self.bits), shifts)
+        self.shift = most.tobytes()
+        keys, starts, ends, items = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.ends, self.items = keys[order].tobytes(), starts[order].astype(np.uint32).tobytes(), ends[order].astype(np.uint32).tobytes(), items[order].tobytes()
+        self.blob = b" ".join(self.words)
+        del self.words, self.places, self.shifts, self.rows
+        return self
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(first word, number of an item) of each occurrence."""
+        length, block, shift, crc, down = self.length, self.block, self.shift, zlib.crc32, 32 - self.bits
+        keys, starts, ends, items = (memoryview(x).cast(kind) for x, kind in ((self.keys, "Q"), (self.starts, "I"), (self.ends, "I"), (self.items, "I")))
+        blob, n, end, known = self.blob, len(words), length, len(keys)
+        while end <= n:
+            suffix = crc(words[end - 1], crc(words[end - 2])) if block == 2 else crc(words[end - 1])
+            step = shift[suffix >> down]
+            if step:
+                end += step
+                continue
+            key = suffix << 32 | crc(b" ".join(words[end - length : end - block]))
+            k = bisect_left(keys, key)
+            if k < known and keys[k] == key:
+                own = b" ".join(words[end - length : end])
+                while k < known and keys[k] == key:
+                    if blob[starts[k] : ends[k]] == own:
+                        yield end - length, items[k]
+                    k += 1
+            end += 1
+
+
+def build(items: list[tuple[str, str]], window: int) -> tuple[list[str], list[Patterns]]:
+    """The items' ids and the tables of one block of the benchmark."""
     tables: dict[int, Patterns] = {}
-    for item, text in items:
+    for i, (_, text) in enumerate(items):
         words = words_of(text)
-        length = min(window, len(words))
-        for i in range(len(words) - length + 1) if words else ():
-            tables.setdefault(length, Patterns(length)).add(tuple(words[i : i + length]), item)
-    return list(tables.values())
-
-
-def digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-def decontaminate(
-    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 1 << 20, spans: bool = False
-) -> DataFrame:
-    """`id_col`, n_words, n_hit, n_items, items_sha256, contaminated of every row, and with `spans` the hit ranges of words and the items."""
-    spark = df.sparkSession
-    small_batches(spark)
-    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // block_bytes))
-    carried = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, text string, n_words long, hits array<int>, items array<string>"
-    found = df.select(id_col, F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    for k in range(n_blocks):
-        block = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).toLocalIterator()]
-        sent = spark.sparkContext.broadcast(pickle.dumps(build(block, window)))
-        last = k == n_blocks - 1
+        if words:
+            length = min(window, len(words))
+            if length not in tables:
+                tables[length] = Patterns(length)
+            tables[length].add(words, i)
+    return [item for item, _ in items], [t.close() for t in tables.values()]
+
+
+def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in runs of about `block_bytes` of text, in one pass; the driver holds one run."""
+    held, size = [], 0
+    for r in items.toLocalIterator():
+        held.append((r.item, r.text))
+        size += len(r.text.encode("utf-8", "surrogatepass"))
+        if size >= block_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def searched(found: DataFrame, blocks: list, kind: str) -> DataFrame:
+    """Rows of (id, text, n_words, hits, items) with the hits of each broadcast block added."""
+    schema = f"id {kind}, text string, n_words long, hits array<int>, items array<string>"
+    for k, sent in enumerate(blocks):
+        last = k == len(blocks) - 1
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
-            tables = pickle.loads(sent.value)
+            ids, tables = pickle.loads(sent.value)
             for batch in batches:
                 counts, hits, names = [], [], []
                 earlier = batch.column(3).to_pylist(), batch.column(4).to_pylist()
                 for i, value in enumerate(batch.column(1)):
                     words = words_of(value.as_py())
-                    ranges, item_ids = earlier[0][i], set(earlier[1][i])
+                    ranges, occurring = earlier[0][i], set()
                     for patterns in tables:
-                        for start, occurring in patterns.search(words):
+                        for start, item in patterns.search(words):
                             ranges += (start, start + patterns.length)
-                            item_ids |= occurring
+                            occurring.add(item)
                     counts.append(len(words))
                     hits.append(merged(ranges) if ranges else ranges)
-                    names.append(sorted(item_ids))
+                    names.append(sorted({*earlier[1][i], *(ids[x] for x in occurring)}))
                 texts = pa.nulls(len(counts), pa.string()) if last else batch.column(1)
                 columns = [batch.column(0), texts, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "text", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n_words", "hits", "items"])
+
+        found = found.mapInArrow(scan, schema)
+    return found
+
 
-        found = found.mapInArrow(scan, carried)
+def decontaminate(
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20, spans: bool = False
+) -> DataFrame:
+    """`id_col`, n_words, n_hit, n_items, items_sha256, contaminated of every row, and with `spans` the hit ranges of words and the items."""
+    spark: SparkSession = df.sparkSession
+    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    sent = [spark.sparkContext.broadcast(pickle.dumps(build(block, window))) for block in blocks_of(items, block_bytes)] or [spark.sparkContext.broadcast(pickle.dumps(([], [])))]
+    found = df.select(
+        col(id_col).alias("id"), col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items")
+    )
+    found = searched(found, sent, df.schema[id_col].dataType.simpleString())
     n_hit = F.expr("cast(aggregate(sequence(0, size(hits) - 2, 2), 0L, (acc, i) -> acc + hits[i + 1] - hits[i]) as long)")
     out = found.select(
-        id_col, "n_words", F.when(F.size("hits") == 0, F.lit(0).cast("long")).otherwise(n_hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.col("id").alias(id_col), "n_words", F.when(F.size("hits") == 0, F.lit(0).cast("long")).otherwise(n_hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "hits", "items",
     )
-    return out if spans else out.drop("hits", "items")
+    return written(out if spans else out.drop("hits", "items"), "decontaminated")
 
 
 def merged(ranges: list[int]) -> list[int]:

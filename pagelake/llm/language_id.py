@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import col, named, scratch, written
+from pagelake.llm.common import col, scratch, written
 
 DIM, SYMBOLS, SEED = 1024, 1024, 20_231
 MOST_VECTORS = 32_768
@@ -162,10 +162,12 @@ def identify(df: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str
                 best = int(cosines.argmax())
                 preds.append(names[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*places[: len(keep)], "lang_pred", "score"])
 
-    schema = ", ".join([*([named(df, *keep)] if keep else []), "lang_pred string, score double"])
-    return written(df.select(*map(col, columns)).mapInArrow(predict, schema), "languages")
+    places = [f"c{i}" for i in range(len(columns))]  # whatever the columns' names are
+    schema = ", ".join([*(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "lang_pred string, score double"])
+    found = df.select(*(col(c).alias(p) for c, p in zip(columns, places, strict=True))).mapInArrow(predict, schema)
+    return written(found, "languages").toDF(*keep, "lang_pred", "score")
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ A document's tokens and its end token are cut into pieces of at most `length` to
 open sequences of residual gap g, a piece of size s goes where the sum of N(g)^2 becomes smallest, that is to the gap
 g >= s (or to a new sequence) for which N(g - s) - N(g) is least; a sequence without gap is closed and counts no more.
 
-Pieces are dealt into blocks of about `block_pieces` by a hash and each block is packed by itself;
+Pieces are dealt into blocks of about `block_pieces` by a hash of the piece and its place in the written table (so that repeated
+rows are spread) and each block is packed by itself;
 the rule works on a stream of mixed sizes, so a block's order is that of the pieces' checksums, the
 smallest quarter last. A block leaves a few
 sequences open, a fraction of a percent, and no task grows with the input.
@@ -34,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import small_batches, written
+from pagelake.llm.common import col, scratch, written
 from pagelake.llm.token_counts import load_tokenizer, safe_pieces
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 4096, 1
@@ -69,8 +70,9 @@ class WordIds(dict):
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
         pieces = np.append(0, np.flatnonzero(self.ends[ids]) + 1) * 4
         upto = np.cumsum([1 if x.isalpha() else len(PIECE.findall(x)) for x in missing])
-        if upto[-1] != len(pieces) - 1 or pieces[-1] != 4 * len(ids):
-            raise ValueError("the tokenizer's pieces aren't those of its pattern")
+        if upto[-1] != len(pieces) - 1 or pieces[-1] != 4 * len(ids):  # some word has other pieces than the pattern says: one by one
+            self.update((x, self.ids(x)) for x in missing)
+            return
         raw, cuts = ids.tobytes(), pieces[np.append(0, upto)].tolist()
         self.update(zip(missing, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
@@ -103,7 +105,7 @@ def runs_of(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
 
 def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
     """`id_col`, piece, start, length, ids_crc32: all pieces of all rows; `path`: the tokenizer's file on every worker."""
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     tail = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +119,9 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     for column, x in zip(columns, (k // 4 // length, k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(x)
             arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "ids_crc32"])
 
-    small_batches(df.sparkSession)
-    return df.select(id_col, text_col).mapInArrow(cut, schema)
+    return df.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
 def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -152,22 +153,27 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     return sequence, offset
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, block_pieces: int = 1 << 16, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to a materialised table of pieces."""
+def pack(pieces: DataFrame, length: int = LENGTH, block_pieces: int = 1 << 16) -> DataFrame:
+    """Adds sequence_id and offset to a written table of pieces."""
     n_blocks = max(1, round(pieces.count() / block_pieces))
-    block = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(n_blocks)).cast("int")
+    block = F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group["_small"] = group["length"] <= group["length"].quantile(0.25)  # the rule wants a mixed order; the small ones fill what is left
-        group = group.sort_values(["_small", "ids_crc32", "length", id_col, "piece"], kind="stable", ignore_index=True).drop(columns="_small")
+        group = group.sort_values(["_small", "ids_crc32", "length", "id", "piece"], kind="stable", ignore_index=True).drop(columns="_small")
         sequence, offset = sum_of_squares(group["length"].to_numpy(), length)
         group["sequence_id"] = sequence + (group["block"].astype("int64") * (1 << 32))
         group["offset"] = offset
         return group.drop(columns="block")
 
-    return pieces.withColumn("block", block).groupBy("block").applyInPandas(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    return pieces.withColumn("block", block).groupBy("block").applyInPandas(place, schema)
 
 
 def packed(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Cut and pack all rows; tokenizing happens once."""
-    return pack(written(pieces_of(df, path, id_col, text_col, length), "pieces"), length, id_col=id_col)
+    with scratch(df.sparkSession) as kept:
+        pieces = written(pieces_of(df, path, id_col, text_col, length), "pieces")
+        out = written(pack(pieces, length), "packed")
+        kept.append(out)
+    return out.withColumnRenamed("id", id_col)

@@ -74,7 +74,7 @@ def token_counts(
 ) -> DataFrame:
     """`id_col`, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row; `path`: a tokenizers .json file on every worker."""
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *fields])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *fields])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
@@ -92,6 +92,7 @@ def token_counts(
                             counts[k] += len(got)
                     pieces, held = [], 0
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return written(df.select(col(id_col), col(text_col)).mapInArrow(count, schema), "token-counts")
+    counted = df.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(count, schema)
+    return written(counted, "token-counts").withColumnRenamed("id", id_col)

@@ -63,3 +63,32 @@ def test_edges(spark, block_bytes):
     assert all(r[:3] == (len(words(t)), 0, 0) for r, t in zip(rows(D.decontaminate(docs, bench.where("false"))), texts, strict=True))
     assert D.decontaminate(docs.where("false"), bench).collect() == []
     assert D.decontaminate(docs.union(docs), bench).count() == 2 * len(texts)
+
+
+def test_one_function_for_a_large_benchmark(spark):
+    r = random.Random(3)
+    items = [(i, " ".join(f"w{r.randint(0, 300)}" for _ in range(200))) for i in range(3000)]  # 2.9 MB
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    texts = [" ".join(f"w{r.randint(0, 300)}" for _ in range(300)) for _ in range(20)] + [t[50:300] for _, t in items[::300]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    real, calls = type(docs).mapInArrow, []
+    type(docs).mapInArrow = lambda *a, **k: calls.append(1) or real(*a, **k)
+    try:
+        got = rows(D.decontaminate(docs, bench))
+    finally:
+        type(docs).mapInArrow = real
+    assert len(calls) == 1 and got == brute(texts, items) and sum(x[4] for x in got) == 10
+
+
+def test_collisions_are_confirmed(spark, monkeypatch):
+    monkeypatch.setattr(D, "place_of", lambda block: 1 << 31)  # every block falls to one place: only comparisons tell patterns
+    tables = D.Patterns(3)
+    tables.add([b"a", b"b", b"c", b"d"], 0)
+    monkeypatch.setattr(D.zlib, "crc32", lambda x, seed=0: 1 << 31)
+    assert list(tables.close().search([b"x", b"b", b"c", b"d", b"a", b"b", b"c"])) == [(1, 0), (4, 0)]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x y", 2, 3, 4)], "`a.b` int, text string, id int, hits int, items int")
+    bench = spark.createDataFrame([(1, "x y", 5)], "item_id int, text string, item int")
+    assert [tuple(r) for r in D.decontaminate(docs, bench, id_col="a.b").select("`a.b`", "n_hit").collect()] == [(1, 2)]

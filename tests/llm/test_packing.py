@@ -75,3 +75,19 @@ def test_the_rule_by_brute_force(seed):
         assert at == (length - gaps[s] if s in gaps else 0)
         gaps[s] = gaps.get(s, length) - size
         assert gaps[s] >= 0 and squares(gaps) == min(options)
+
+
+def test_words_whose_pieces_differ_from_the_pattern(monkeypatch):
+    tokenizer = Tokenizer.from_file(PATH)
+    known = K.WordIds(tokenizer)
+    known.ends[:] = False  # as if no id ended a piece
+    text = "some words, it's 12 o'clock"
+    assert K.id_bytes([text], known) == [np.array(ids_of(tokenizer, text)[:-1], "<u4").tobytes()]
+
+
+def test_equal_rows_are_spread_over_blocks(spark):
+    df = spark.range(3000, numPartitions=3).selectExpr("7L as doc_id", "'a few equal words' as text", "'x' as id", "1 as block", "2 as _small")
+    rows = K.pack(K.written(K.pieces_of(df, PATH), "pieces"), length=64, block_pieces=500).collect()
+    blocks = [r.sequence_id >> 32 for r in rows]
+    assert len(rows) == 3000 and max(map(blocks.count, set(blocks))) < 1500
+    assert {r.length for r in K.packed(df, PATH).collect()} == {5}
