@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
+import http.client
 import json
 import random
+import threading
 import time
-import urllib.error
-import urllib.request
+import urllib.parse
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,20 +43,66 @@ class Retry:
         return min(self.most, max(self.least, 2.0 * 2**attempt)) * (1 + random.uniform(0, self.jitter))
 
 
+class Connections:
+    """Open connections by server, taken by one call at a time: a worker opens as many as it has calls at once."""
+
+    def __init__(self):
+        self.idle: dict[tuple[str, str], list[http.client.HTTPConnection]] = {}
+        self.lock = threading.Lock()
+
+    def take(self, scheme: str, host: str, timeout: float) -> tuple[http.client.HTTPConnection, bool]:
+        """A connection, and whether it has been used before."""
+        with self.lock:
+            held = self.idle.get((scheme, host))
+            if held:
+                one = held.pop()
+                one.timeout = timeout
+                one.sock.settimeout(timeout)
+                return one, True
+        kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
+        return kind(host, timeout=timeout), False
+
+    def give(self, scheme: str, host: str, one: http.client.HTTPConnection) -> None:
+        if one.sock is not None:  # the server may have asked to close it
+            with self.lock:
+                self.idle.setdefault((scheme, host), []).append(one)
+
+
+connections = Connections()
+
+
+def exchange(url: str, headers: dict[str, str], raw: bytes, timeout: float) -> tuple[int, bytes]:
+    """Status and body. Where the server has closed a kept connection meanwhile, the next one is taken."""
+    at = urllib.parse.urlsplit(url)
+    target = at.path + (f"?{at.query}" if at.query else "")
+    while True:
+        one, used = connections.take(at.scheme, at.netloc, timeout)
+        try:
+            one.request("POST", target, raw, headers)
+            response = one.getresponse()
+            got = response.status, response.read()
+        except (http.client.HTTPException, OSError) as e:
+            one.close()
+            if not used or isinstance(e, TimeoutError):
+                raise
+        else:
+            connections.give(at.scheme, at.netloc, one)
+            return got
+
+
 def post_json(url: str, headers: dict[str, str], body: dict, timeout: float) -> dict:
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
     try:
-        with urllib.request.urlopen(request, timeout=timeout) as response:
-            return json.loads(response.read())
-    except urllib.error.HTTPError as e:
-        text = e.read().decode(errors="replace")
-        if e.code == 429:
-            raise RateLimited(f"429 {text[:120]}") from None
-        if e.code >= 500:
-            raise ServerBroke(f"{e.code} {text[:120]}") from None
-        raise HttpRefused(e.code, text[:200]) from None
-    except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
-        raise ServerBroke(str(getattr(e, "reason", e))) from None
+        code, raw = exchange(url, {"Content-Type": "application/json", **headers}, json.dumps(body).encode(), timeout)
+    except (http.client.HTTPException, OSError) as e:
+        raise ServerBroke(str(e) or type(e).__name__) from None
+    if 200 <= code < 300:
+        return json.loads(raw)
+    text = raw.decode(errors="replace")
+    if code == 429:
+        raise RateLimited(f"429 {text[:120]}")
+    if code >= 500:
+        raise ServerBroke(f"{code} {text[:120]}")
+    raise HttpRefused(code, text[:200])
 
 
 class HttpBackend(Backend):

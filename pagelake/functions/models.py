@@ -72,9 +72,28 @@ def prompt_column(model: Column | str, override: Column | str | None = None) ->
     return F.when(F.coalesce(o, F.lit("")) != "", o).otherwise(default)
 
 
+#: Temperature, max_tokens and top_p by model, and those of every other model.
+SAMPLING: dict[str, tuple[float, int, float]] = {
+    "deepseek-ai/DeepSeek-OCR-v2": (0.0, 4096, 1.0),
+    "deepseek-ai/DeepSeek-OCR-v2:free": (0.0, 4096, 1.0),
+    "qwen/qwen3-vl-instruct": (0.0, 4096, 0.95),
+    "qwen/qwen3-vl-instruct:free": (0.0, 4096, 0.95),
+    "Qwen/Qwen3-VL-Instruct": (0.0, 4096, 0.95),
+}
+DEFAULT_SAMPLING = (0.0, 4096, 1.0)
+
+
 def sampling_for(model: str) -> dict[str, float]:
-    #: Fixed values.
-    return {"temperature": 0.0, "max_tokens": 4096, "top_p": 0.95 if "qwen" in model.lower() and model in PRICES else 1.0}
+    temperature, max_tokens, top_p = SAMPLING.get(model, DEFAULT_SAMPLING)
+    return {"temperature": temperature, "max_tokens": max_tokens, "top_p": top_p}
+
+
+def sampling_column(model: Column | str) -> Column:
+    """struct<temperature, max_tokens, top_p> of a column of models."""
+    m = F.col(model) if isinstance(model, str) else model
+    shown = lambda s: F.struct(F.lit(s[0]).alias("temperature"), F.lit(s[1]).alias("max_tokens"), F.lit(s[2]).alias("top_p"))
+    named = F.create_map(*(x for k, s in SAMPLING.items() for x in (F.lit(k), shown(s))))
+    return F.coalesce(F.try_element_at(named, m), shown(DEFAULT_SAMPLING))
 
 
 def chat_request(model: str, prompt: str, image_uri: str) -> dict:
@@ -88,7 +107,8 @@ def chat_request_column(model: Column, prompt: Column, uri: Column) -> Column:
     text = F.struct(F.lit("text").alias("type"), prompt.alias("text"))
     image = F.struct(F.lit("image_url").alias("type"), F.struct(uri.alias("url")).alias("image_url"))
     content = F.concat(F.lit("["), F.to_json(text), F.lit(","), F.to_json(image), F.lit("]"))
-    head = F.to_json(F.struct(model.alias("model"), F.lit(0.0).alias("temperature"), F.lit(4096).alias("max_tokens")))
+    sampling = sampling_column(model)
+    head = F.to_json(F.struct(model.alias("model"), *(sampling[k].alias(k) for k in ("temperature", "max_tokens", "top_p"))))
     return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"messages":[{"role":"user","content":'), content, F.lit("}]}"))
 
 

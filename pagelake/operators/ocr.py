@@ -66,9 +66,15 @@ def run_ocr(pages: DataFrame, backend: str, model: str, partitions: int | None =
         pages = pages.repartition(partitions, "path", "page_num")
     udf = make_ocr_udf(backend, model, concurrency, **options)
     good = flatten(pages.where("page_num > 0").withColumn("ocr", udf("page_png")))
-    failed = OCROutput(model=model, error="ValueError: unreadable document").as_dict()
-    bad = pages.where("page_num = 0").select("path", "filename", "page_num", *(F.lit(failed[f.name]).cast(f.dataType).alias(f.name) for f in OCR_SCHEMA))
-    return good.unionByName(bad).select(SILVER_COLUMNS)
+    return good.unionByName(unreadable(pages, model)).select(SILVER_COLUMNS)
+
+
+def unreadable(pages: DataFrame, model: str) -> DataFrame:
+    """Error rows of page 0, with the cause that stands in the page's bytes."""
+    failed = OCROutput(model=model).as_dict()
+    cause = F.col("page_png").cast("string")
+    values = {f.name: F.lit(failed[f.name]).cast(f.dataType) for f in OCR_SCHEMA} | {"error": F.when(cause == "", "ValueError: unreadable document").otherwise(cause)}
+    return pages.where("page_num = 0").select("path", "filename", "page_num", *(v.alias(k) for k, v in values.items()))
 
 
 def run_ocr_once_each(pages: DataFrame, folder: str, backend: str, model: str, **options) -> DataFrame:
@@ -80,6 +86,4 @@ def run_ocr_once_each(pages: DataFrame, folder: str, backend: str, model: str, *
     distinct.dropDuplicates(["sha"]).select("sha", udf("page_png").alias("ocr")).write.mode("overwrite").parquet(folder)
     results = pages.sparkSession.read.parquet(folder)
     good = flatten(hashed.where("page_num > 0").drop("page_png").join(results, "sha"))
-    failed = OCROutput(model=model, error="ValueError: unreadable document").as_dict()
-    bad = pages.where("page_num = 0").select("path", "filename", "page_num", *(F.lit(failed[f.name]).cast(f.dataType).alias(f.name) for f in OCR_SCHEMA))
-    return good.unionByName(bad).select(SILVER_COLUMNS)
+    return good.unionByName(unreadable(pages, model)).select(SILVER_COLUMNS)

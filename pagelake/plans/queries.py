@@ -6,16 +6,20 @@ so that both engines get the same ones. Every query takes its whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import models as M
 from pagelake.functions import text as X
 from pagelake.operators import budget, evaluate, reports, store
-from pagelake.operators.ocr import make_ocr_udf
-from pagelake.schema import violations
-from pagelake.session import prepare
-from pagelake.sources.dimensions import anchors, with_anchors, with_ground_truth
+from pagelake.operators.ocr import make_ocr_udf, run_ocr
+from pagelake.plans.pipeline import OCRPipeline
+from pagelake.schema import OCROutput, violations
+from pagelake.session import prepare, shared_dir
+from pagelake.sources import documents
+from pagelake.sources.dimensions import anchors, with_anchors, with_canned, with_ground_truth
 from pagelake.sources.documents import text_pages
 
 MODELS = ("deepseek-ai/DeepSeek-OCR-v2", "qwen/qwen3-vl-instruct", "gemini-2.0-flash", "unpriced-model")
@@ -296,17 +300,6 @@ def file_rollup(spark, d):
     return reports.file_rollup(silver(spark, d).drop("filename").withColumnRenamed("source", "filename")).withColumnRenamed("filename", "source")
 
 
-@query(
-    f"""WITH {TURNS}, n AS (SELECT role, {BYTES.format(x=NORM.format(x="text"))} AS a, {BYTES.format(x=NORM.format(x="following"))} AS b, {BYTES.format(x=FIRSTS.format(x="text"))} AS f, {BYTES.format(x=FIRSTS.format(x="following"))} AS g FROM turns)
-SELECT round(avg(levenshtein(a, b) / greatest(length(a), length(b), 1)), 6) AS edit_distance, round(avg(levenshtein(f, g) / greatest(length(f), length(g), 1)), 6) AS reading_order_ed, 1.0::DOUBLE AS exact_token_recall, 1.0::DOUBLE AS table_f1, count(*) AS n_pages_scored FROM n"""
-)
-def score_summary(spark, d):
-    rows = turns(spark, d).select(F.format_string("%d.md", F.col("conv_id") * 100 + F.col("turn")).alias("filename"), F.lit(1).alias("page_num"), F.col("text").alias("markdown"), "following")
-    truth = rows.select(X.stem("filename").alias("stem"), F.lit(None).cast("int").alias("page_num"), F.col("following").alias("gt"))
-    out = evaluate.summarize(evaluate.score_pages(rows, truth, anchors(spark, {"none": []})))
-    return out.select(*(F.round(c, 6).alias(c) for c in evaluate.METRICS), "n_pages_scored")
-
-
 @query(
     f"""WITH {TURNS}, {NATION_TABLES},
 pairs AS (SELECT text AS x, following AS y, CASE WHEN turn % 2 = 0 THEN [string_split(following, ' ')[1], 'zzz'] ELSE [] END AS anchors FROM turns
@@ -316,7 +309,7 @@ n AS (SELECT {BYTES.format(x=NORM.format(x="x"))} AS a, {BYTES.format(x=NORM.for
 SELECT round(avg(levenshtein(a, b) / greatest(length(a), length(b), 1)), 6) AS edit_distance, round(avg(levenshtein(f, g) / greatest(length(f), length(g), 1)), 6) AS reading_order_ed, round(avg(recall), 6) AS exact_token_recall,
   round(avg(CASE WHEN len(q) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(p, q)) / (len(p) + len(q)) END), 6) AS table_f1, count(*) AS n_pages_scored FROM n"""
 )
-def score_summary_anchored(spark, d):
+def score_summary(spark, d):
     """All four scores at work: turns, every other one with an anchor that may be found and one that isn't, and tables of nations with changed cells."""
     words = F.when(F.col("turn") % 2 == 0, F.array(F.split("following", " ")[0], F.lit("zzz"))).otherwise(F.array().cast("array<string>"))
     rows = turns(spark, d).select(F.format_string("%d.md", F.col("conv_id") * 100 + F.col("turn")).alias("filename"), F.lit(1).alias("page_num"), F.col("text").alias("markdown"), F.col("following").alias("gt"), words.alias("anchors"))
@@ -349,10 +342,9 @@ def latest_attempt(spark, d):
     return store.latest(events, ("user_id",), "at").select("user_id", "event_id", "event_type")
 
 
-@query(f"WITH {SILVER} SELECT filename, page_num, row_number() OVER (PARTITION BY source ORDER BY filename, page_num) AS place FROM silver")
+@query(f"WITH {SILVER} SELECT filename, page_num, row_number() OVER (ORDER BY filename, page_num) AS place FROM silver")
 def order_by_page(spark, d):
-    place = F.row_number().over(Window.partitionBy("source").orderBy("filename", "page_num"))
-    return reports.in_page_order(silver(spark, d)).select("filename", "page_num", place.cast("long").alias("place"))
+    return reports.in_page_order(reports.with_places(silver(spark, d)).select("filename", "page_num", "place"))
 
 
 @query(f"WITH {SILVER} SELECT filename, page_num, round(cost_usd, 9) AS cost_usd FROM silver ORDER BY silver.cost_usd DESC, filename, page_num LIMIT 20")
@@ -394,9 +386,9 @@ def cost_ledger(spark, d):
 
 @query(f"WITH {SILVER} SELECT count(*) AS total_pages, round(sum(cost_usd), 6) AS total_cost_usd, count(*) FILTER (error <> '') AS failed FROM silver")
 def run_summary_json(spark, d):
-    schema = "total_pages long, total_cost_usd double, failed array<string>"
+    schema = "total_pages long, total_cost_usd double, n_failed long"
     parsed = reports.run_summary(silver(spark, d), preview_chars=20).select(F.from_json("summary", schema).alias("s"))
-    return parsed.select("s.total_pages", "s.total_cost_usd", F.size("s.failed").cast("long").alias("failed"))
+    return parsed.select("s.total_pages", "s.total_cost_usd", F.col("s.n_failed").alias("failed"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_text, '$' || format('{:.4f}', value) AS shown FROM events")
@@ -409,6 +401,221 @@ def schema_violations(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(violations("event_type", "value"), ",").alias("broken"))
 
 
+def text_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a text file for each document: its text and a line feed."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").write.partitionBy("doc_id").text(folder)
+    return folder
+
+
+def doc_of(path: str = "path"):
+    return F.regexp_extract(path, r"doc_id=(\d+)/", 1).cast("long")
+
+
+FILES = "files AS (SELECT doc_id, coalesce(text, '') || chr(10) AS body FROM documents)"
+
+
+@query(f"WITH {FILES} SELECT doc_id, 'txt' AS suffix, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS sha FROM files WHERE strlen(body) >= 200")
+def binary_scan(spark, d):
+    docs = documents.scan_documents(spark, text_files(spark, d), "*.txt", min_bytes=200)
+    return docs.select(doc_of().alias("doc_id"), F.substring_index("path", ".", -1).alias("suffix"), "length", F.sha2("content", 256).alias("sha"))
+
+
+@query(f"WITH {FILES} SELECT doc_id, 'txt' AS suffix, CAST(strlen(body) AS BIGINT) AS length FROM files")
+def list_files(spark, d):
+    return documents.list_documents(spark, text_files(spark, d), "*.txt").select(doc_of().alias("doc_id"), F.substring_index("name", ".", -1).alias("suffix"), "length")
+
+
+#: Every ninth document begins with a byte that UTF-8 doesn't have.
+CAUSE = "UnicodeDecodeError: 'utf-8' codec can't decode byte 0xff in position 0: invalid start byte"
+FILE_PAGES = (
+    FILES
+    + """, pg AS (SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_num, substr(body, CAST(1 + 1800 * i AS BIGINT), 1800) AS t
+  FROM (SELECT *, unnest(range(0, CAST(ceil(length(body) / 1800) AS BIGINT))) AS i FROM files WHERE doc_id % 9 <> 4)),
+cut AS (SELECT doc_id, page_num, t, CAST(NULL AS VARCHAR) AS error FROM pg UNION ALL SELECT doc_id, 0, '', '"""
+    + CAUSE.replace("'", "''")
+    + "' FROM files WHERE doc_id % 9 = 4)"
+)
+
+
+def file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the text files, of which every ninth is broken."""
+    docs = documents.scan_documents(spark, text_files(spark, sf_dir), "*.txt")
+    broken = F.concat(F.unhex(F.lit("FF")), F.col("content"))
+    return documents.explode_pages(docs.select("path", F.when(doc_of() % 9 == 4, broken).otherwise(F.col("content")).alias("content")), documents.TextExtractor())
+
+
+@query(f"WITH {FILE_PAGES} SELECT doc_id, page_num, sha256(coalesce(error, t)) AS sha FROM cut")
+def binary_pages(spark, d):
+    return file_pages(spark, d).select(doc_of().alias("doc_id"), "page_num", F.sha2("page_png", 256).alias("sha"))
+
+
+@query(f"WITH {FILE_PAGES} SELECT doc_id, page_num, CASE WHEN error IS NULL THEN 'other' ELSE 'unknown' END AS doc_type, 'mock-model' AS model, error, CAST(0.0 AS DOUBLE) AS cost_usd FROM cut")
+def unreadable_rows(spark, d):
+    return run_ocr(file_pages(spark, d), "mock", "mock-model").select(doc_of().alias("doc_id"), "page_num", "doc_type", "model", "error", "cost_usd")
+
+
+@query(f"WITH {FILES} SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_num, 'other' AS doc_type, 'mock-model' AS model, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, unnest(range(0, least(3, CAST(ceil(length(body) / 1800) AS BIGINT)))) AS i FROM files)")
+def pipeline_run(spark, d):
+    """The whole pipeline over a folder: scan, at most three pages a document, bronze, the mock model, silver, read back."""
+    folder = text_files(spark, d)
+    rows = OCRPipeline("mock", "mock-model", folder, folder.replace("files-", "lake-"), pages="text", max_pages_per_doc=3, batch_size=256, max_cost_usd=1.0).run(spark)
+    return rows.select(doc_of().alias("doc_id"), "page_num", "doc_type", "model", "error")
+
+
+CANNED = """canned AS (SELECT sha256(page_text) AS sha, left(page_text, 20) AS markdown, 'invoice' AS doc_type FROM pg WHERE page_num = 1 AND doc_id % 3 = 0 GROUP BY ALL),
+got AS (SELECT doc_id, page_num, coalesce(c.markdown, 'none') AS markdown, coalesce(c.doc_type, 'other') AS doc_type, CASE WHEN c.sha IS NULL THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence, 'm' AS model FROM pg LEFT JOIN canned c ON sha256(page_text) = c.sha)"""
+
+
+@query(f"WITH {PAGES}, {CANNED} SELECT * FROM got")
+def canned_pages(spark, d):
+    """Equal pages get the same canned result by their digests; all others the default; the model's name is put in."""
+    rows = pages(spark, d).withColumn("content", F.encode("page_text", "UTF-8"))
+    ocr = F.struct(
+        F.left("page_text", F.lit(20)).alias("markdown"), F.lit("invoice").alias("doc_type"), F.lit(0.5).alias("confidence"), F.lit(1).alias("prompt_tokens"),
+        F.lit(1).alias("completion_tokens"), F.lit(0.0).alias("cost_usd"), F.lit("another").alias("model"), F.lit(None).cast("string").alias("error"),
+    )
+    canned = rows.where("page_num = 1 AND doc_id % 3 = 0").select(F.sha2("content", 256).alias("sha256"), ocr.alias("ocr")).distinct()
+    found = with_canned(rows, canned, OCROutput("none", "other"), "m", "content")
+    return found.select("doc_id", "page_num", "ocr.markdown", "ocr.doc_type", "ocr.confidence", "ocr.model")
+
+
+@query(f"WITH {PAGES}, c AS (SELECT DISTINCT sha256(page_text) AS sha FROM pg WHERE page_num = 1 AND doc_id % 50 = 0) SELECT doc_id, page_num, CASE WHEN sha IS NULL THEN 'other' ELSE 'report' END AS doc_type FROM pg LEFT JOIN c ON sha256(page_text) = sha")
+def canned_in_workers(spark, d):
+    """Canned results travel to the workers with the backend: a small dictionary, by the pages' digests."""
+    rows = pages(spark, d).withColumn("page_png", F.encode("page_text", "UTF-8"))
+    known = {r.sha: OCROutput("canned", "report") for r in rows.where("page_num = 1 AND doc_id % 50 = 0").select(F.sha2("page_png", 256).alias("sha")).distinct().collect()}
+    return rows.select("doc_id", "page_num", make_ocr_udf("mock", "mock-model", canned=known)("page_png")["doc_type"].alias("doc_type"))
+
+
+@query(
+    """WITH b AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"candidates":[{"content":{"parts":[{"text":"' || event_type || '"},{"text":"x"}]}}],"usageMetadata":{"promptTokenCount":' || json_extract_string(props, '$.k') || ',"candidatesTokenCount":7}}'
+  WHEN 1 THEN '{"candidates":[]}' ELSE '{"candidates":[{"content":{"parts":[{"text":"y"}]}}]}' END AS body FROM events)
+SELECT event_id, json_extract_string(body, '$.candidates[0].content.parts[0].text') AS content, coalesce(CAST(json_extract_string(body, '$.usageMetadata.promptTokenCount') AS INTEGER), 0) AS prompt_tokens,
+  coalesce(CAST(json_extract_string(body, '$.usageMetadata.candidatesTokenCount') AS INTEGER), 0) AS completion_tokens,
+  CASE WHEN json_extract_string(body, '$.candidates[0].content.parts[0].text') IS NULL THEN 'parse: no content' END AS error FROM b"""
+)
+def gemini_response_extract(spark, d):
+    k, kind = F.col("event_id") % 3, F.col("event_type")
+    good = F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"'), kind, F.lit('"},{"text":"x"}]}}],"usageMetadata":{"promptTokenCount":'), F.get_json_object("props", "$.k"), F.lit(',"candidatesTokenCount":7}}'))
+    body = F.when(k == 0, good).when(k == 1, F.lit('{"candidates":[]}')).otherwise(F.lit('{"candidates":[{"content":{"parts":[{"text":"y"}]}}]}'))
+    return table(spark, d, "events").select("event_id", body.alias("body")).select("event_id", M.gemini_answer("body").alias("a")).select("event_id", "a.*")
+
+
+@query("""SELECT event_id, 'rate_limit: ' || left(repeat(event_type || ' ', 40), 120) AS error, 'rate_limit' AS kind FROM events""")
+def long_error_cut(spark, d):
+    """A soft error in a good answer; its text is cut at 120 characters."""
+    body = F.concat(F.lit('{"error":"'), F.expr("repeat(concat(event_type, ' '), 40)"), F.lit('"}'))
+    found = table(spark, d, "events").select("event_id", M.chat_answer(body)["error"].alias("error"))
+    return found.select("event_id", "error", M.error_kind("error").alias("kind"))
+
+
+MORE_MODELS = "CASE event_id % 6 WHEN 0 THEN 'deepseek-ai/DeepSeek-OCR-v2' WHEN 1 THEN 'qwen/qwen3-vl-instruct' WHEN 2 THEN 'Qwen/Qwen3-VL-Instruct' WHEN 3 THEN 'gemini-2.0-flash' WHEN 4 THEN 'qwen/another' END"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.expr(MORE_MODELS).alias("model"))
+
+
+@query("SELECT event_id, 0.0::DOUBLE AS temperature, 4096 AS max_tokens, CASE WHEN event_id % 6 IN (1, 2) THEN 0.95 ELSE 1.0 END::DOUBLE AS top_p FROM events")
+def sampling_lookup(spark, d):
+    return asked(spark, d).select("event_id", M.sampling_column("model").alias("s")).select("event_id", "s.*")
+
+
+@query(
+    f"""SELECT event_id, sha256('{{"model":"' || ({MORE_MODELS}) || '","temperature":0.0,"max_tokens":4096,"top_p":' || CASE WHEN event_id % 6 IN (1, 2) THEN '0.95' ELSE '1.0' END
+  || ',"messages":[{{"role":"user","content":[{{"type":"text","text":"read a ' || event_type || '"}},{{"type":"image_url","image_url":{{"url":"data:image/png;base64,' || base64(encode(event_type)) || '"}}}}]}}]}}') AS sha FROM events"""
+)
+def chat_request_json(spark, d):
+    uri = X.data_uri(F.encode("event_type", "UTF-8"))
+    body = M.chat_request_column(F.col("model"), F.concat(F.lit("read a "), "event_type"), uri)
+    return asked(spark, d).select("event_id", F.when(F.col("model").isNotNull(), F.sha2(body, 256)).alias("sha"))
+
+
+@query(
+    f"""WITH {TURNS}, n AS (SELECT {BYTES.format(x=NORM.format(x="text"))} AS a, {BYTES.format(x=NORM.format(x="following"))} AS b FROM turns), s AS (SELECT round(levenshtein(a, b) / greatest(length(a), length(b), 1), 9) AS e, length(a) AS n FROM n)
+SELECT round(avg(e), 4) AS e, round(avg(n), 4) AS n FROM s"""
+)
+def score_means(spark, d):
+    scores = turns(spark, d).select(F.round(X.normalized_edit_distance("text", "following"), 9).alias("e"), F.length(X.normalize("text")).alias("n"))
+    return reports.score_means(scores, ["e", "n"])
+
+
+@query(f"WITH {SILVER} SELECT count(*) AS pages, round(sum(cost_usd), 6) AS cost_usd, count(error) AS errors FROM silver")
+def perf_totals(spark, d):
+    return reports.perf_totals(silver(spark, d)).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query(f"WITH {SILVER}, r AS (SELECT filename, page_num, sum(cost_usd) OVER (ORDER BY path, page_num ROWS UNBOUNDED PRECEDING) AS r FROM silver) SELECT filename, page_num FROM r WHERE r <= {CAP}")
+def budget_admit(spark, d):
+    return budget.admit(silver(spark, d), CAP).select("filename", "page_num")
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS png FROM documents")
+def png_signature(spark, d):
+    head = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("89504E470D0A1A"))).otherwise(F.unhex(F.lit("")))
+    return table(spark, d, "documents").select("doc_id", X.is_png(F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("png"))
+
+
+@query(
+    f"""WITH w AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS x, string_agg(CASE WHEN turn % 3 = 1 THEN '' ELSE coalesce(text, '') END, chr(10) ORDER BY turn) AS y FROM conversations GROUP BY conv_id),
+n AS (SELECT conv_id, {BYTES.format(x=NORM.format(x="x"))} AS a, {BYTES.format(x=NORM.format(x="y"))} AS b, {BYTES.format(x=FIRSTS.format(x="x"))} AS f, {BYTES.format(x=FIRSTS.format(x="y"))} AS g FROM w)
+SELECT conv_id, round(levenshtein(a, b) / greatest(length(a), length(b), 1), 9) AS edit_distance, round(levenshtein(f, g) / greatest(length(f), length(g), 1), 9) AS reading_order_ed FROM n"""
+)
+def score_documents(spark, d):
+    """Conversations as documents and turns as pages: whole documents against truths that lack some pages."""
+    rows = table(spark, d, "conversations").select(F.format_string("%d.md", "conv_id").alias("filename"), F.col("turn").cast("int").alias("page_num"), F.col("text").alias("markdown"))
+    kept = F.when(F.col("page_num") % 3 == 1, "").otherwise(F.coalesce("markdown", F.lit("")))
+    truth = rows.groupBy(X.stem("filename").alias("stem")).agg(F.array_sort(F.collect_list(F.struct("page_num", kept.alias("t")))).alias("p"))
+    truth = truth.select("stem", F.lit(None).cast("int").alias("page_num"), F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("gt"))
+    found = evaluate.score_documents(rows, truth, anchors(spark, {"none": []}))
+    return found.select(X.stem("filename").cast("long").alias("conv_id"), *(F.round(c, 9).alias(c) for c in ("edit_distance", "reading_order_ed")))
+
+
+@query(f"WITH {SILVER} SELECT path, page_num, sha256(markdown) AS sha, round(cost_usd, 9) AS cost_usd, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE error END AS error FROM silver")
+def silver_round_trip(spark, d):
+    """Written, merged with new results of every other document, and read back by the pointer."""
+    at = f"{shared_dir(spark)}/silver-{uuid.uuid4().hex}"
+    rows = silver(spark, d)
+    store.write_silver(rows, at)
+    store.write_silver(rows.where("doc_id % 2 = 0").withColumn("error", F.lit("again")), at, ["path", "page_num"])
+    return store.read_table(spark, at).select("path", "page_num", F.sha2("markdown", 256).alias("sha"), F.round("cost_usd", 9).alias("cost_usd"), "error")
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page_num, sha256(page_text) AS sha, '2024-01-01T00:00:00Z' AS extracted FROM pg")
+def bronze_round_trip(spark, d):
+    at = f"{shared_dir(spark)}/bronze-{uuid.uuid4().hex}"
+    store.write_bronze(pages(spark, d), at, "2024-01-01 00:00:00")
+    return store.read_table(spark, at).select("doc_id", "page_num", F.sha2("page_text", 256).alias("sha"), X.utc_text("extracted_at").alias("extracted"))
+
+
+@query(f"WITH {SILVER} SELECT source, count(*) AS pages, count(error) AS errors FROM silver GROUP BY source")
+def silver_view(spark, d):
+    """SQL over silver as a temporary view."""
+    store.as_view(silver(spark, d), "silver_rows")
+    return spark.sql("SELECT source, count(*) AS pages, count(error) AS errors FROM silver_rows GROUP BY source")
+
+
+@query(f"WITH {SILVER}, l AS (SELECT model, count(*) AS pages, sum(cost_usd) AS cost FROM silver GROUP BY model) SELECT model, 2 * pages AS pages, round(2 * cost, 6) AS cost_usd, 2 AS entries FROM l")
+def ledger_append(spark, d):
+    """Two runs appended to one ledger."""
+    at = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    store.record_costs(silver(spark, d), at, "2024-01-01 00:00:00")
+    both = store.record_costs(silver(spark, d), at, "2024-01-02 00:00:00")
+    return both.groupBy("model").agg(F.sum("pages").alias("pages"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count_distinct("ts").alias("entries"))
+
+
+@query(f"WITH {SILVER} SELECT filename, page_num, left(coalesce(markdown, ''), 40) AS preview FROM silver")
+def page_previews(spark, d):
+    return reports.page_previews(silver(spark, d), 40)
+
+
+@query(f"WITH {SILVER} SELECT filename || ' p' || page_num AS failed FROM silver WHERE error <> ''")
+def failed_pages(spark, d):
+    return reports.failed_pages(silver(spark, d))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents -> text pages -> the mock model -> pages, cost and errors by source."""
     docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", "source").alias("key"), "text")

@@ -45,14 +45,21 @@ class PageExtractor:
     def __init__(self, dpi: int = 200, max_pages: int | None = None):
         self.dpi, self.max_pages = dpi, max_pages
 
+    @staticmethod
+    def check() -> None:
+        """Raises if there is no renderer, so that a run doesn't take every document for unreadable."""
+        try:
+            import pymupdf  # noqa: F401
+        except ImportError:
+            raise RuntimeError("rendering PDF pages needs pymupdf; text pages need nothing") from None
+
     def extract(self, document: bytes) -> list[bytes]:
         return list(self.pages(document))
 
     def pages(self, document: bytes) -> Iterator[bytes]:
-        try:
-            import pymupdf
-        except ImportError:
-            raise RuntimeError("rendering PDF pages needs pymupdf; text pages need nothing") from None
+        self.check()
+        import pymupdf
+
         with pymupdf.open(stream=document, filetype="pdf") as opened:
             if not len(opened):
                 raise ValueError("the document has no pages")
@@ -77,10 +84,12 @@ class TextExtractor:
 
 
 def explode_pages(docs: DataFrame, extractor=None, keep_failed: bool = True, batch_pages: int = 16) -> DataFrame:
-    """One row a page, numbered from 1. An unreadable document gives one row of page 0 with no bytes, or none.
+    """One row a page, numbered from 1. An unreadable document gives one row of page 0 whose bytes are the cause as text, or none.
 
     Pages leave the worker in small batches, so a large document is never held whole as pages."""
     extractor = extractor or PageExtractor()
+    if isinstance(extractor, PageExtractor):
+        extractor.check()
 
     def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -95,9 +104,9 @@ def explode_pages(docs: DataFrame, extractor=None, keep_failed: bool = True, bat
                         if len(rows) >= batch_pages:
                             yield frame(rows)
                             rows = []
-                except Exception:
+                except Exception as e:
                     if keep_failed:
-                        rows.append((path, name, 0, b""))
+                        rows.append((path, name, 0, f"{type(e).__name__}: {e}".encode()))
                 if rows:
                     yield frame(rows)
 

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
 from pagelake import config
 from pagelake.backends import ChatBackend, get_backend
-from pagelake.backends.http import HttpRefused, RateLimited, Retry, ServerBroke
+from pagelake.backends import http as H
+from pagelake.backends.http import HttpRefused, RateLimited, Retry, ServerBroke, post_json
 from pagelake.schema import OCROutput
 
 GOOD = {"choices": [{"message": {"content": "```markdown\n# T\n```"}}], "usage": {"prompt_tokens": 100, "completion_tokens": 50}}
@@ -77,3 +81,50 @@ def test_output_rules():
         OCROutput(doc_type="poem")
     with pytest.raises(ValueError):
         OCROutput(confidence=1.5)
+
+
+@pytest.fixture
+def server():
+    """Answers by path: /200 with what was sent, /429 and so on with an error; /close ends the connection after its answer."""
+    opened = []
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            opened.append(1)
+            super().setup()
+
+        def do_POST(self):
+            sent = self.rfile.read(int(self.headers["Content-Length"]))
+            code = 200 if self.path == "/close" else int(self.path[1:4])
+            body = json.dumps({"sent": json.loads(sent), "key": self.headers["X-Key"]}).encode() if code == 200 else b"x" * 300
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+            self.close_connection = self.path == "/close"
+
+        def log_message(self, *_):
+            pass
+
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    H.connections.idle.clear()
+    yield f"http://127.0.0.1:{httpd.server_port}", opened
+    httpd.shutdown()
+
+
+def test_one_connection_for_many_calls(server):
+    url, opened = server
+    for i in range(5):
+        assert post_json(f"{url}/200?a=1", {"X-Key": "k"}, {"i": i}, 5) == {"sent": {"i": i}, "key": "k"}
+    assert len(opened) == 1
+    assert post_json(f"{url}/close", {}, {}, 5)["sent"] == {} and post_json(f"{url}/200", {}, {"again": 1}, 5)["sent"] == {"again": 1}
+    assert len(opened) == 2  # a closed connection is opened again
+    for path, kind, text in (("429", RateLimited, "429 " + "x" * 120), ("503", ServerBroke, "503 " + "x" * 120), ("404", HttpRefused, "x" * 200)):
+        with pytest.raises(kind) as e:
+            post_json(f"{url}/{path}", {}, {}, 5)
+        assert str(e.value) == text
+    with pytest.raises(ServerBroke):
+        post_json("http://127.0.0.1:9/200", {}, {}, 1)

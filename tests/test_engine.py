@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagelake import BudgetExceeded, OCROutput, OCRPipeline
+from pagelake.functions import models as M
 from pagelake.functions import text as X
 from pagelake.operators import budget, reports, store
 from pagelake.operators.evaluate import Evaluator, assert_golden, score_documents
@@ -41,7 +43,10 @@ def test_scan_and_pages(spark, folder):
     assert S.scan_documents(spark, str(folder), "*.txt", min_bytes=1000).count() == 1
     assert sorted(r.name for r in S.list_documents(spark, str(folder)).collect()) == ["a.txt", "b.txt", "bad.txt", "c.PDF"]
     pages = S.explode_pages(docs, S.TextExtractor())
-    assert sorted((r.filename, r.page_num, len(r.page_png)) for r in pages.collect()) == [("a.txt", 1, 1800), ("a.txt", 2, 3), ("b.txt", 1, 1), ("bad.txt", 0, 0)]
+    assert sorted((r.filename, r.page_num, len(r.page_png)) for r in pages.collect()) == [("a.txt", 1, 1800), ("a.txt", 2, 3), ("b.txt", 1, 1), ("bad.txt", 0, 90)]
+    cause = "UnicodeDecodeError: 'utf-8' codec can't decode byte 0xff in position 0: invalid start byte"
+    assert [bytes(r.page_png).decode() for r in pages.where("page_num = 0").collect()] == [cause]
+    assert [r.error for r in run_ocr(pages, "mock", "mock-model").where("page_num = 0").collect()] == [cause]
     assert S.explode_pages(docs, S.TextExtractor(max_pages=1), keep_failed=False).count() == 2
     assert S.one_document(spark, b"abc").first()["path"] == "<bytes>"
     plan = S.scan_documents(spark, str(folder), "*.txt", max_bytes=10)._jdf.queryExecution().toString()
@@ -68,7 +73,9 @@ def test_ocr_step(spark, tmp_path):
     out = run_ocr(pages, "mock", "mock-model", partitions=2, concurrency=2, canned=canned)
     assert out.columns == SILVER_COLUMNS
     rows = {r.page_num: r for r in out.collect()}
-    assert rows[0].error.startswith("ValueError") and rows[1].markdown == rows[3].markdown == "one" and rows[2].doc_type == "other" and rows[2].error is None
+    assert rows[0].error == "p0" and rows[1].markdown == rows[3].markdown == "one" and rows[2].doc_type == "other" and rows[2].error is None
+    blank = spark.createDataFrame([("d", "d", 0, bytearray())], pages.schema)
+    assert run_ocr(blank, "mock", "mock-model").first().error == "ValueError: unreadable document"
     once = run_ocr_once_each(pages, f"file://{tmp_path}/once", "mock", "mock-model", canned=canned)
     assert sorted(map(str, once.collect())) == sorted(map(str, out.collect()))
 
@@ -172,6 +179,11 @@ def test_reports(spark, tmp_path):
     assert {r.filename: r.pages for r in reports.file_rollup(rows).collect()} == {"a": 2, "b": 1, None: 3}
     assert [(r.filename, r.page_num) for r in reports.top_cost(rows, 2).collect()] == [("a", 1), ("a", 2)]
     assert reports.error_rows(rows).count() == 1
+    assert [r.failed for r in reports.failed_pages(rows).collect()] == ["a p2"] and reports.page_previews(rows, 2).where("preview = 'tt'").count() == 1
+    many = silver(spark, [("f", i, "t", 0.0, "bad") for i in range(30)])
+    short = json.loads(reports.run_summary(many, most_listed=5).first()[0])
+    assert (short["total_pages"], short["n_failed"], len(short["failed"]), [p["page_num"] for p in short["pages"]]) == (30, 30, 5, [0, 1, 2, 3, 4])
+    assert [r.place for r in reports.with_places(rows).orderBy("place").select("place").collect()] == [1, 2, 3]
     perf = reports.run_perf(spark, 5, output=str(tmp_path / "perf.md"))
     assert perf["pages"] == 5 and perf["errors"] == 0 and "pages_per_s" in (tmp_path / "perf.md").read_text()
 
@@ -254,3 +266,61 @@ def test_stream(spark, tmp_path):
         assert store.read_table(spark, f"file://{tmp_path}/silver").count() == n
         if name:
             (tmp_path / "in" / name).write_text(name)
+
+
+class FakeRenderer:
+    """Stands in for the PDF renderer: pages are what form feeds part."""
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def get_pixmap(self, dpi, alpha):
+            assert not alpha
+            self.dpi = dpi
+            return self
+
+        def tobytes(self, kind):
+            return b"\x89PNG\r\n\x1a\n" + f"{kind} {self.dpi} {self.text}".encode()
+
+    class Document(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    def open(self, stream, filetype):
+        if not stream.startswith(b"%PDF"):
+            raise ValueError("not a PDF")
+        return self.Document(self.Page(x.decode()) for x in stream[4:].split(b"\f") if x)
+
+
+def test_pages_of_a_renderer(monkeypatch):
+    monkeypatch.setitem(sys.modules, "pymupdf", FakeRenderer())
+    extractor = S.PageExtractor(dpi=150, max_pages=2)
+    assert extractor.extract(b"%PDFone\ftwo\fthree") == [b"\x89PNG\r\n\x1a\npng 150 one", b"\x89PNG\r\n\x1a\npng 150 two"]
+    assert len(S.PageExtractor().extract(b"%PDFone\ftwo\fthree")) == 3
+    for broken, cause in ((b"not a pdf", "not a PDF"), (b"%PDF", "no pages")):
+        with pytest.raises(ValueError, match=cause):
+            extractor.extract(broken)
+    rows = OCRPipeline("mock").parse_single(b"%PDFone\ftwo")
+    assert rows.page_num.tolist() == [1, 2] and set(rows.error) == {None}
+
+
+def test_a_missing_renderer_is_one_clear_error(spark, folder, monkeypatch):
+    monkeypatch.setitem(sys.modules, "pymupdf", None)
+    with pytest.raises(RuntimeError, match="needs pymupdf"):
+        S.explode_pages(S.scan_documents(spark, str(folder), "*.txt"))
+    with pytest.raises(RuntimeError, match="needs pymupdf"):
+        OCRPipeline("mock", input_path=str(folder)).run(spark)
+
+
+def test_request_column_and_dictionary_agree(spark):
+    models = [*M.PRICES, "other", None]
+    df = spark.createDataFrame([(m,) for m in models], "model string")
+    rows = df.select("model", M.sampling_column("model").alias("s"), M.chat_request_column(F.col("model"), M.prompt_column("model"), F.lit("data:x")).alias("body")).collect()
+    for r in rows:
+        if r.model is not None:
+            assert r.s.asDict() == M.sampling_for(r.model)
+            assert json.loads(r.body) == M.chat_request(r.model, M.prompt_for(r.model), "data:x")
