@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,7 +10,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.session import share_package
+from pagelake.session import share_package, shared_dir
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: The folders that `written` has made since the innermost open scope began.
@@ -30,20 +28,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without: it gets an own one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="pagelake-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at if "://" in at or at.startswith("file:") else f"file://{os.path.abspath(at)}"
-
-
 def fresh(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

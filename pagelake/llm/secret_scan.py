@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.common import col, fresh, scratch, written
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 10_000
 
 
 @dataclass(frozen=True)

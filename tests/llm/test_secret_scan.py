@@ -57,7 +57,7 @@ def entries(spark, ledger):
     return sorted(tuple(r) for r in S.ledger_rows(spark, ledger).selectExpr("blob", "rule_version", "size(spans)").collect())
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
 def test_only_unseen_pairs_are_scanned(spark, tmp_path, monkeypatch, broadcast_rows):
     monkeypatch.setattr(S, "BROADCAST_ROWS", broadcast_rows)
     ledger = f"file://{tmp_path}/ledger"
@@ -75,7 +75,7 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path, monkeypatch, broadcast_r
 
 
 def test_repeated_rows_are_scanned_once(spark, tmp_path, monkeypatch):
-    for rows in (100_000, 0):
+    for rows in (10_000, 0):
         monkeypatch.setattr(S, "BROADCAST_ROWS", rows)
         ledger = f"file://{tmp_path}/ledger-{rows}"
         df = spark.range(1000).selectExpr("7L as doc_id", "'token=abcdefgh' as text")
