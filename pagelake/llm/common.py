@@ -37,6 +37,22 @@ def fresh(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Places of a bitmap that is broadcast: 16 MB in rows of 4 KB, whatever the input.
+BITS = 1 << 27
+
+
+def marked(rows: DataFrame, key: Column, members: DataFrame) -> DataFrame:
+    """Adds `maybe` to rows, by a bitmap of the hashes in `members`' one column: where it is false, `key` isn't among them.
+
+    A few others are taken for members; what needs certainty joins the rows that are left."""
+    place = F.pmod(F.xxhash64(members.columns[0]), F.lit(BITS))
+    bits = members.select(place.alias("_x")).groupBy(F.bitmap_bucket_number("_x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bitmap"))
+    found = rows.withColumn("_x", F.pmod(F.xxhash64(key), F.lit(BITS))).join(F.broadcast(bits), F.bitmap_bucket_number("_x") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(F.bitmap_bit_position("_x") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = found.withColumn("_byte", byte).withColumn("maybe", F.coalesce(F.expr("shiftright(_byte, cast(bitmap_bit_position(_x) % 8 as int)) & 1") == 1, F.lit(False)))
+    return found.drop("_x", "_bucket", "_bitmap", "_byte")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> Iterator[None]:
     """Arrow batches by bytes, not by ten thousand texts, for what runs inside: Python workers and their batches share an executor's memory."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import written
+from pagelake.llm.common import scratch, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,11 +30,13 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least node of the component, and its own root."""
-    edges = written(edges.where("a != b").distinct(), "edges")
-    for _ in range(rounds):
-        edges = _star(_star(edges, True), False)
-        if _settled(edges):
-            break
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
+    with scratch(edges.sparkSession) as kept:
+        edges = written(edges.where("a != b").distinct(), "edges")
+        for _ in range(rounds):
+            edges = _star(_star(edges, True), False)
+            if _settled(edges):
+                break
+        else:
+            raise RuntimeError(f"components didn't settle in {rounds} rounds")
+        kept.append(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

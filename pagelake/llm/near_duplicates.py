@@ -3,21 +3,26 @@
 A document's set holds the 64-bit digests of its word shingles; documents with equal sets are one node. Two nodes link
 when intersection >= threshold x union, so neither may miss more than a quarter (at 0.75) of its shingles in the other.
 
-1. Sift. The digests below a fixed bound (3/8 of the digest space, `REGION`) are dealt with their nodes to buckets of digests;
-   what no other node has is counted against its node. A node that already lacks too many has no link and is done.
-2. Candidates. The global order puts the digests of the region first, rarest first (their exact document counts are known from
-   step 1), and the others after them. Two sets that link share a digest among the first floor(n/4) + 1 of either. Survivors post
-   those; nodes under one digest whose sizes are close enough are joined to a candidate group (connected components).
-3. Prefix-tree join. A group's whole sets, in a common order, are stored in a path-compressed trie. A query walks it level
-   by level: a segment's overlap with the query is counted once for all sets below it, and a subtree is left when its
-   remaining length can't reach the overlap that its sizes need. Queries go on until every node outside the group's
-   largest component has been asked, so no link between two components can be missed. Groups beyond `most_tokens` are cut into
-   blocks: each is joined by itself, a hub of a few sets a block ties them together, and whoever is still outside the
-   group's largest component is asked against all other blocks.
-4. Components of the links found give each document the smallest id it can reach.
-
-Numbers travel as packed arrays (see packed.py); no task holds more than a bucket, a group or a pair of blocks.
-Digests can collide: two given sets of n shingles with a chance of about n^2 / 2^64, two unlike nodes of N with N^2 / 2^65.
+1. Sets. Each text is shingled once; its first digests in numeric order (those below `REGION`, 3/8 of the digest space, or more
+   where a prefix needs them) are kept. Tasks also count digests in runs of texts; those that have many in some run are summed, and
+   the hot ones (at least `hot_at` nodes and a millionth of all digests, so a million of them at most) are broadcast.
+2. Sift. The kept digests are dealt with their nodes to buckets of digests; what no other node has is counted against its node. A
+   node that already lacks too many has no link and is done. Hot digests are shared for certain and go to their nodes at once, so
+   no bucket gets more pairs of a digest than hot_at and a thirty-thousandth of all.
+3. Candidates. The global order puts the region's digests first, rarest first, then the hot ones, then those beyond the region. Two
+   sets that link share a digest among the first floor(n/4) + 1 of either. Survivors post those; nodes under one digest whose
+   sizes are close enough are joined to a candidate group (connected components). Each task joins its own nodes first and posts a
+   run of close sizes under a digest as one interval, so a digest that all nodes have gives a task a few rows, not one a node.
+4. Prefix-tree join. A group's whole sets, in a common order, are stored in a path-compressed trie (see prefix_tree.py). Queries go
+   on until every node outside the group's largest component has been asked, so no link between two components can be missed.
+   Groups beyond `most_tokens` or `most_sets` are cut into blocks by size classes and hashes: each block is joined by itself, hubs of a
+   few sets a block tie the blocks together, level by level, and whoever is still outside the group's largest component is asked
+   against the other blocks of its own and the neighbouring classes.
+5. Components of the links found give each document the smallest id it can reach.
+
+Numbers travel as packed arrays (see packed.py); no task holds more than a bucket, a block or a hub. A node is named by half of a
+128-bit digest of its set; sets that share this half but not the other are found and named by the other, so unlike sets never
+are one node. Shingle digests can collide: two given sets of n shingles with a chance of about n^2 / 2^64.
 
 Defined results: a null or empty text, or one without words, has n_shingles 0 and is its own component; a text of fewer
 words than a shingle has one, the whole; repeated rows are copies of each other; rows that share an id but not the text
@@ -28,52 +33,35 @@ is no other; an empty table gives an empty table; other columns of the input are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import small_batches, written
+from pagelake.llm.common import col, marked, scratch, written
 from pagelake.llm.components import components
-from pagelake.llm.packed import SCHEMA, deal, gather
+from pagelake.llm.packed import ARROW, SCHEMA, deal, gather, unpacked
+from pagelake.llm.prefix_tree import Trie, Union, ask, edge_batch, link
+from pagelake.llm.shingles import sets_of
+
+__all__ = ["Trie", "near_duplicates", "one_of_each"]
 
 SIZE, PERCENT = 5, 75
 REGION = np.uint64(3 << 61)
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-MOST_WORDS = 250_000
-
-
-class Shingler:
-    """Digests of word shingles, with a bounded table of word digests."""
+HOT = np.uint32(0xFFFFFFFF)
+EDGES = "a long, b long"
+#: Kinds of packed rows: pairs of digest and node (or intervals), nodes with their sizes, hot pairs, edges.
+PAIRS, SIZED, HOT_PAIRS, FOREST = range(4)
 
-    def __init__(self, size: int = SIZE):
-        self.size = size
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted distinct digests."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > MOST_WORDS:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh64_intdigest
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        width = min(self.size, len(h))
-        out = np.full(len(h) - width + 1, width, dtype=np.uint64)
-        for k in range(width):
-            out = (out ^ h[k : len(h) - width + 1 + k]) * MULTIPLIER
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
-
-
-def node_of(digests: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(digests.tobytes(), digest_size=8).digest(), "little", signed=True) if len(digests) else None
+def halves(digests: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The two halves of a set's 128-bit name; tests ask for a first half of fewer bits."""
+    name = hashlib.blake2b(digests.tobytes(), digest_size=16).digest()
+    half = int.from_bytes(name[:8], "little", signed=True)
+    return half if bits == 64 else half % (1 << bits), int.from_bytes(name[8:], "little", signed=True)
 
 
 def may_miss(n, percent: int = PERCENT):
@@ -81,270 +69,199 @@ def may_miss(n, percent: int = PERCENT):
     return n - (n * percent + 99) // 100
 
 
-# ---------------------------------------------------------------- 1, 2: sift and candidates
+def batches_of(found: Iterator[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(list(found), schema=ARROW)
+
 
+# ---------------------------------------------------------------- 1: sets
 
-def shapes_of(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, text_hash (Spark's xxhash64), n, region (how many digests lie in the region), node of every row."""
+
+def shapes_of(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, node_bits: int, run: int, many: int) -> DataFrame:
+    """Of every row doc_id, text_hash (Spark's xxhash64), n, region (how many digests lie in the region), node and other (the halves of
+    its set's name), own (the first digests, where a task sees the set first). Rows of n = -1 have digests (own) that at least `many` sets
+    of a run have, and their counts."""
+    names = ["doc_id", "text_hash", "n", "region", "node", "other", "own", "counts"]
+    kinds = [None, *[pa.int64()] * 5, pa.binary(), pa.binary()]
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        seen: set[tuple[int, int]] = set()
+        held: list[np.ndarray] = []
+        count, id_type = 0, None
+
+        def common() -> pa.RecordBatch:
+            digests, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= many
+            columns = [pa.nulls(1, id_type), *(pa.array([x], pa.int64()) for x in (None, -1, None, None, None)), *(pa.array([x.tobytes()], pa.binary()) for x in (digests[often], counts[often].astype(np.uint32)))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            sets = (shingler(x.as_py()) for x in batch.column(2))
-            n, region, node = zip(*((len(s), int(np.searchsorted(s, REGION)), node_of(s)) for s in sets), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, region, node))], names=["doc_id", "text_hash", "n", "region", "node"])
+            id_type = batch.column(0).type
+            columns: list[list] = [[], [], [], [], []]
+            for digests in sets_of(batch.column(2), size):
+                n = len(digests)
+                region = int(np.searchsorted(digests, REGION))
+                name, own = (halves(digests, node_bits) if n else (None, None)), None
+                if n and name not in seen:
+                    seen.add(name)
+                    first = digests[: max(region, may_miss(n, percent) + 1)]
+                    held.append(first)
+                    count += len(first)
+                    own = first.tobytes()
+                for column, x in zip(columns, (n, region, *name, own), strict=True):
+                    column.append(x)
+            arrays = [batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(columns, kinds[2:7], strict=True)), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if count >= run:
+                yield common()
+                held, count = [], 0
+            if len(seen) > 1_000_000:
+                seen = set()
+        if held:
+            yield common()
+
+    rows = df.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
+    return rows.mapInArrow(shape, f"doc_id {df.schema[id_col].dataType.simpleString()}, text_hash long, n long, region long, node long, other long, own binary, counts binary")
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text_col)
-    return rows.mapInArrow(shape, f"doc_id {df.schema[id_col].dataType.simpleString()}, text_hash long, n long, region long, node long")
 
+def nodes_of(shapes: DataFrame) -> DataFrame:
+    """A row a node: n, region, the least id, one row's id and text as hashes, and the least and greatest other half of its name."""
+    return shapes.where("node IS NOT NULL").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("region").alias("region"), F.min("doc_id").alias("first_id"), F.min(F.struct(F.xxhash64("doc_id").alias("h_id"), F.col("text_hash").alias("h_text"))).alias("at"),
+        F.min("other").alias("other"), F.max("other").alias("_other"),
+    )
 
-def post(df: DataFrame, text_col: str, size: int, percent: int, n_buckets: int, flush: int = 600_000) -> DataFrame:
-    """(digest, node) of the region, and of the first digests beyond it where the region is too short for a prefix."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, nodes, count, seen = Shingler(size), [], [], 0, set()
+def told_apart(shapes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets that share the first half of their names, but not the other, get the other half as their node."""
+    shared = nodes.where("other != _other").select(F.col("node").alias("_shared"))
+    if shared.isEmpty():
+        return shapes, nodes
+    renamed = shapes.join(F.broadcast(shared) if shared.count() <= 100_000 else shared, F.col("node") == F.col("_shared"), "left")
+    shapes = renamed.withColumn("node", F.when(F.col("_shared").isNotNull(), F.col("other")).otherwise(F.col("node"))).select(*shapes.columns)
+    nodes = written(nodes_of(shapes), "nodes")
+    if not nodes.where("other != _other").isEmpty():
+        raise RuntimeError("sets of both halves alike")
+    return shapes, nodes
+
+
+def hot_digests(shapes: DataFrame, total: int, hot_at: int) -> np.ndarray:
+    """The digests with a certain count of at least `hot_at` and a millionth of `total`; so there are a million at most."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
-                digests = shingler(value.as_py())
-                node = node_of(digests)
-                if node is None or node in seen:
-                    continue
-                seen.add(node)
-                own = digests[: max(int(np.searchsorted(digests, REGION)), may_miss(len(digests), percent) + 1)]
-                held.append(own)
-                nodes.append(np.full(len(own), node, dtype=np.int64))
-                count += len(own)
-                if count >= flush:
-                    digests_held = np.concatenate(held)
-                    yield from deal(digests_held, n_buckets, [digests_held, np.concatenate(nodes)])
-                    held, nodes, count = [], [], 0
-                    if len(seen) > 1_000_000:
-                        seen = set()
+            (digest,), (n,) = unpacked(batch.column(0), ["i8"]), unpacked(batch.column(1), ["u4"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(n.astype(np.int64))], names=["digest", "n"])
+
+    counted = shapes.where("n < 0").select("own", "counts").mapInArrow(rows, "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= max(hot_at, -(-total // 1_000_000))).select("digest").toPandas()["digest"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+# ---------------------------------------------------------------- 2, 3: sift and candidates
+
+
+def post(shapes: DataFrame, hot: np.ndarray, n_buckets: int, run: int) -> DataFrame:
+    """(digest, node) by digest, and hot ones by node."""
+    sent = shapes.sparkSession.sparkContext.broadcast(hot)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, count = sent.value, [], 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            digest, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            often = known[np.minimum(np.searchsorted(known, digest), len(known) - 1)] == digest if len(known) else np.zeros(len(digest), bool)
+            yield from deal(digest[~often], n_buckets, [digest[~often], node[~often]], PAIRS)
+            yield from deal(node[often], n_buckets, [node[often], digest[often]], HOT_PAIRS)
+
+        for batch in batches:
+            own = batch.column(1)
+            (digests,) = unpacked(own, ["u8"])
+            places = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1, 4 * own.offset) if len(own) else np.zeros(1, np.int32)
+            held.append((digests, np.repeat(batch.column(0).to_numpy(), np.diff(places) // 8)))
+            count += len(digests)
+            if count >= run:
+                yield from dealt()
+                held, count = [], 0
         if held:
-            digests_held = np.concatenate(held)
-            yield from deal(digests_held, n_buckets, [digests_held, np.concatenate(nodes)])
+            yield from dealt()
+
+    return shapes.where("own IS NOT NULL AND n > 0").select("node", "own").mapInArrow(rows, SCHEMA)
+
 
-    return df.select(text_col).mapInArrow(run, SCHEMA)
+def distinct(*arrays: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows, sorted by the first array, then by the next."""
+    order = np.lexsort(arrays[::-1])
+    arrays = [a[order] for a in arrays]
+    fresh = np.ones(len(order), bool)
+    if len(order):
+        fresh[1:] = np.any([a[1:] != a[:-1] for a in arrays], axis=0)
+    return [a[fresh] for a in arrays]
 
 
 def shared(table: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Of a bucket of (digest, node): those whose digest has two nodes or more, with their number, dealt by node."""
-    digest, node = gather(table, ["u8", "i8"])
-    order = np.argsort(digest, kind="stable")
-    digest, node = digest[order], node[order]
-    starts = np.flatnonzero(np.append(True, digest[1:] != digest[:-1])) if len(digest) else np.empty(0, np.int64)
-    runs = np.diff(np.append(starts, len(digest)))
-    several = np.repeat(runs > 1, runs)
-    digest, node = digest[several], node[several]
-    order = np.lexsort((node, digest))
-    digest, node = digest[order], node[order]
-    fresh = np.append(True, (digest[1:] != digest[:-1]) | (node[1:] != node[:-1])) if len(digest) else np.empty(0, bool)
-    digest, node = digest[fresh], node[fresh]
+    """Of a bucket of (digest, node): those whose digest has two nodes or more, with their number, dealt by node; hot pairs as they are."""
+    digest, node = distinct(*gather(table, ["u8", "i8"], PAIRS))
     starts = np.flatnonzero(np.append(True, digest[1:] != digest[:-1])) if len(digest) else np.empty(0, np.int64)
     runs = np.diff(np.append(starts, len(digest)))
     df = np.repeat(runs, runs)
     keep = df > 1
-    yield from deal(node[keep], n_buckets, [node[keep], digest[keep], df[keep].astype(np.uint32)])
+    yield from deal(node[keep], n_buckets, [node[keep], digest[keep], np.minimum(df[keep], HOT - 1).astype(np.uint32)], PAIRS)
+    node, digest = gather(table, ["i8", "u8"], HOT_PAIRS)
+    yield from deal(node, n_buckets, [node, digest, np.full(len(node), HOT)], PAIRS)
 
 
 def prefixes(table: pa.Table, n_buckets: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of a bucket of nodes: the survivors' prefixes (digest, node, n), without digests that no other node has."""
-    node, digest, df = gather(table, ["i8", "u8", "u4"])
-    known, n, region = gather(table, ["i8", "u4", "u4"], kind=1)
+    """Of a bucket of nodes: the survivors' prefixes, without digests that no other node has, as intervals (digest, a node, least and
+    greatest n), and a forest (a, b) that ties the nodes of each interval together."""
+    node, digest, df = distinct(*gather(table, ["i8", "u8", "u4"], PAIRS))
+    known, n, region = gather(table, ["i8", "u4", "u4"], SIZED)
     known, first = np.unique(known, return_index=True)
     n, region = n[first].astype(np.int64), region[first].astype(np.int64)
-    beyond = digest >= REGION
-    order = np.lexsort((digest, np.where(beyond, 0, df), beyond, node))
-    node, digest, beyond = node[order], digest[order], beyond[order]
-    of = np.searchsorted(known, node)
+    late = (digest >= REGION) | (df == HOT)  # after all others, in numeric order
+    order = np.lexsort((digest, np.where(late, 0, df), late, node))
+    node, digest = node[order], digest[order]
+    beyond, of = digest >= REGION, np.searchsorted(known, node)
     lacking = region - np.bincount(of[~beyond], minlength=len(known))
     starts = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.empty(0, np.int64)
     rank = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
     missable = may_miss(n, percent)
     keep = (lacking <= missable)[of] & (beyond | (rank < (missable + 1 - lacking)[of]))
-    yield from deal(digest[keep], n_buckets, [digest[keep], node[keep], n[of[keep]].astype(np.uint32)])
-
+    digest, node, n = digest[keep], node[keep], n[of[keep]]
+    order = np.lexsort((n, digest))
+    digest, node, n = digest[order], node[order], n[order]
+    close = (digest[1:] == digest[:-1]) & (100 * n[:-1] >= percent * n[1:])
+    starts = np.flatnonzero(np.append(True, ~close)) if len(digest) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(digest)) - 1 if len(digest) else starts
+    yield from deal(digest[starts], n_buckets, [digest[starts], node[starts], n[starts].astype(np.uint32), n[ends].astype(np.uint32)], PAIRS)
+    a, b = forest(node[:-1][close], node[1:][close])
+    yield from deal(a, n_buckets, [a, b], FOREST)
 
-class Union:
-    """Disjoint sets over 0..n-1."""
 
-    def __init__(self, n: int):
-        self.up, self.size = list(range(n)), [1] * n
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that join what the pairs join."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    union, n = Union(len(names)), len(a)
+    for i, j in np.unique(np.stack([at[:n], at[n:]], axis=1), axis=0).tolist() if n else ():
+        union.join(i, j)
+    roots = names[[union.find(i) for i in range(len(names))]] if len(names) else names
+    return names[names != roots], roots[names != roots]
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            if self.size[a] < self.size[b]:
-                a, b = b, a
-            self.up[b] = a
-            self.size[a] += self.size[b]
+def candidates(table: pa.Table, percent: int) -> pa.Table:
+    """A forest of the nodes of a bucket's intervals that touch under a digest, and of its edges."""
+    digest, node, least, most = gather(table, ["u8", "i8", "u4", "u4"], PAIRS)
+    order = np.lexsort((least, digest))
+    digest, node, least, most = digest[order], node[order], least[order].astype(np.int64), most[order].astype(np.int64)
+    if len(digest):  # the greatest size so far under the same digest
+        of = np.cumsum(np.append(0, digest[1:] != digest[:-1])) << 32
+        most = np.maximum.accumulate(of + most) - of
+    touch = (digest[1:] == digest[:-1]) & (100 * most[:-1] >= percent * least[1:])
+    a, b = gather(table, ["i8", "i8"], FOREST)
+    a, b = forest(np.concatenate([a, node[:-1][touch]]), np.concatenate([b, node[1:][touch]]))
+    return pa.table({"a": a, "b": b})
 
 
-def edge_batch(nodes: list[int], union: Union) -> pa.RecordBatch:
-    """(node, root) of the nodes that aren't alone."""
-    roots = [union.find(i) for i in range(len(nodes))]
-    pairs = [(nodes[i], nodes[r]) for i, r in enumerate(roots) if i != r]
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
-
-
-def candidates(table: pa.Table, percent: int) -> pa.Table:
-    """Of a bucket of (digest, node, n): a spanning forest of the nodes that meet under a digest with sizes that may link."""
-    digest, node, n = gather(table, ["u8", "i8", "u4"])
-    order = np.lexsort((n, digest))
-    digest, node, n = digest[order], node[order], n[order].astype(np.int64)
-    close = (digest[1:] == digest[:-1]) & (100 * n[:-1] >= percent * n[1:])
-    names, at = np.unique(node, return_inverse=True)
-    union = Union(len(names))
-    pairs = np.unique(np.stack([at[:-1][close], at[1:][close]], axis=1), axis=0) if len(at) > 1 else np.empty((0, 2), np.int64)
-    for a, b in pairs.tolist():
-        union.join(a, b)
-    return pa.Table.from_batches([edge_batch(names.tolist(), union)])
-
-
-# ---------------------------------------------------------------- 3: prefix-tree join
-
-
-class Trie:
-    """A path-compressed trie of sets of small numbers; segments are numbered by level."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        first, length, parent, depth = [0], [0], [-1], [0]  # of segments: place in `flat`, tokens, segment above, depth at the end
-        flat, offsets, total = [], [], 0
-        ends = [0] * len(sets)
-        stack, last = [0], None
-        for i in order:
-            own = sets[i]
-            offsets.append(total)
-            if last is None:
-                common = 0
-            else:
-                m = min(len(own), len(last))
-                differ = np.flatnonzero(own[:m] != last[:m])
-                common = int(differ[0]) if len(differ) else m
-            while depth[stack[-1]] - length[stack[-1]] >= common and len(stack) > 1:
-                stack.pop()
-            top = stack[-1]
-            if depth[top] > common:  # cut it in two: the upper part is new
-                upper = len(first)
-                keep = common - (depth[top] - length[top])
-                first.append(first[top])
-                length.append(keep)
-                parent.append(parent[top])
-                depth.append(common)
-                first[top], length[top], parent[top] = first[top] + keep, length[top] - keep, upper
-                stack[-1] = top = upper
-            if len(own) > common:
-                first.append(total + common)
-                length.append(len(own) - common)
-                parent.append(top)
-                depth.append(len(own))
-                stack.append(len(first) - 1)
-            ends[i] = stack[-1]
-            flat.append(own)
-            total += len(own)
-            last = own
-        self.flat = np.concatenate(flat)
-        parent_of = np.array(parent)
-        level = np.zeros(len(first), dtype=np.int64)
-        for s in range(len(first)):
-            path, at = [], s
-            while at and not level[at]:
-                path.append(at)
-                at = parent[at]
-            for x in reversed(path):
-                level[x] = level[parent[x]] + 1
-        by_level = np.argsort(level, kind="stable")
-        number = np.empty(len(first), dtype=np.int64)
-        number[by_level] = np.arange(len(first))
-        self.first, self.length, self.depth = (np.array(x)[by_level] for x in (first, length, depth))
-        self.parent = np.where(parent_of[by_level] < 0, 0, number[parent_of[by_level]])
-        self.bounds = np.searchsorted(level[by_level], np.arange(level.max() + 2))
-        self.end, self.size = number[np.array(ends)], np.array([len(s) for s in sets], dtype=np.int64)
-        self.least = np.full(len(first), np.iinfo(np.int64).max)
-        self.most = np.zeros(len(first), dtype=np.int64)
-        np.minimum.at(self.least, self.end, self.size)
-        np.maximum.at(self.most, self.end, self.size)
-        for at, stop in reversed(list(zip(self.bounds[1:-1], self.bounds[2:], strict=True))):
-            np.minimum.at(self.least, self.parent[at:stop], self.least[at:stop])
-            np.maximum.at(self.most, self.parent[at:stop], self.most[at:stop])
-
-    def query(self, own: np.ndarray, mask: np.ndarray, percent: int, n: int | None = None) -> np.ndarray:
-        """The stored sets that link to a set of `n` tokens, of which the trie knows `own`. `mask`: a cleared array over all tokens, cleared again afterwards."""
-        mask[own] = True
-        n = len(own) if n is None else n
-        overlap = np.zeros(len(self.first), dtype=np.int64)
-        alive = np.zeros(len(self.first), dtype=bool)
-        alive[0] = True
-        for at, stop in zip(self.bounds[1:-1], self.bounds[2:], strict=True):
-            here = at + np.flatnonzero(alive[self.parent[at:stop]] & (100 * self.most[at:stop] >= percent * n) & (percent * self.least[at:stop] <= 100 * n))
-            if not len(here):
-                break
-            lengths = self.length[here]
-            begin = np.cumsum(lengths) - lengths
-            hits = mask[self.flat[np.repeat(self.first[here] - begin, lengths) + np.arange(int(lengths.sum()))]]
-            overlap[here] = overlap[self.parent[here]] + np.add.reduceat(hits.astype(np.int64), begin)
-            bound = np.minimum(n, overlap[here] + self.most[here] - self.depth[here])
-            alive[here] = (100 + percent) * bound >= percent * (n + self.least[here])
-        mask[own] = False
-        found = np.flatnonzero(alive[self.end])
-        o = overlap[self.end[found]]
-        return found[100 * o >= percent * (n + self.size[found] - o)]
-
-
-def ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The sets as places in their common order, common digests first, so that paths are shared; the digests, their places and counts."""
-    names, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.empty(len(names), dtype=np.int64)
-    place[np.argsort(-df, kind="stable")] = np.arange(len(names))
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    return [np.sort(x) for x in np.split(place[at], cuts)], names, place, df
-
-
-def link(sets: list[np.ndarray], percent: int) -> Union:
-    """Components of the sets' links. Every set outside the largest component has been asked in the end."""
-    union = Union(len(sets))
-    if len(sets) < 2:
-        return union
-    own, names, place, df = ranked(sets)
-    by_place = np.empty(len(names), dtype=np.int64)
-    by_place[place] = df
-    central = [float(by_place[x].mean()) for x in own]
-    trie, mask, asked = Trie(own), np.zeros(len(names), dtype=bool), [False] * len(sets)
-    todo, best = sorted(range(len(sets)), key=lambda i: -central[i]), 0
-    while todo:
-        for i in todo:
-            if union.size[union.find(i)] > 1 and union.find(i) == union.find(best):
-                continue
-            asked[i] = True
-            for j in trie.query(own[i], mask, percent).tolist():
-                union.join(i, j)
-            if union.size[union.find(i)] > union.size[union.find(best)]:
-                best = i
-        largest = union.find(best)
-        todo = [i for i in todo if not asked[i] and union.find(i) != largest]
-    return union
-
-
-def ask(queries: list[np.ndarray], stored: list[np.ndarray], percent: int) -> Union:
-    """Components of the links between queries (numbered first) and stored sets."""
-    union = Union(len(queries) + len(stored))
-    if not queries or not stored:
-        return union
-    own, names, place, _ = ranked(stored)
-    trie, mask = Trie(own), np.zeros(len(names), dtype=bool)
-    for i, digests in enumerate(queries):
-        at = np.minimum(np.searchsorted(names, digests), len(names) - 1)
-        for j in trie.query(place[at[names[at] == digests]], mask, percent, len(digests)).tolist():
-            union.join(i, len(queries) + j)
-    return union
+# ---------------------------------------------------------------- 4: prefix-tree join
 
 
 def sets_in(table: pa.Table, mask: np.ndarray | None = None) -> tuple[list[int], list[np.ndarray]]:
@@ -367,103 +284,144 @@ def ask_group(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_batches([edge_batch([*queries, *nodes], ask(wanted, stored, percent))])
 
 
-# ---------------------------------------------------------------- Spark
+def size_class(n: Column, percent: int) -> Column:
+    """Sets that link lie in the same class or in neighbouring ones: a class is a little wider than the least share of sizes."""
+    return F.floor(F.log(n) / math.log(101 / percent)).cast("int")
+
+
+def blocked(members: DataFrame, percent: int, most_tokens: int, most_sets: int) -> DataFrame:
+    """Adds class, block (a number of its own in the group) and whether the group is cut at all. `members`: node, root, n, ..."""
 
+    def blocks(tokens: str, sets: str) -> Column:
+        return F.ceil(F.greatest(F.col(tokens) / most_tokens, F.col(sets) / most_sets)).cast("long")
 
-def large_groups(whole: DataFrame, percent: int, most_tokens: int, hub_sets: int = 8) -> DataFrame:
-    """Links (a, b) of groups of several blocks. `whole`: a written table of node, root, n, blocks, block, digests.
+    members = members.withColumn("class", size_class(F.col("n"), percent))
+    by_class = members.groupBy("root", "class").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets"))
+    by_class = written(by_class, "classes")
+    whole = by_class.groupBy("root").agg(F.sum("tokens").alias("_tokens"), F.sum("sets").alias("_sets")).where(blocks("_tokens", "_sets") > 1).select(F.col("root").alias("_root"))
+    large = by_class.join(whole, F.col("root") == F.col("_root")).select(F.col("root").alias("_root"), F.col("class").alias("_class"), blocks("tokens", "sets").alias("n_blocks"))
+    large = written(large, "large-classes")  # so that a large group's join can be split
+    at = members.join(large, (F.col("root") == F.col("_root")) & (F.col("class") == F.col("_class")), "left").drop("_root", "_class")
+    block = F.when(F.col("n_blocks").isNotNull(), F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("node"), "n_blocks")).otherwise(F.lit(0)).cast("long")
+    return at.withColumn("block", block).withColumn("cut", F.col("n_blocks").isNotNull())
 
-    Each block is joined by itself; a few sets of each block's largest component meet in a hub, which ties the blocks
-    together. Whoever isn't in the group's largest component by then is asked against all other blocks. So the work beyond one pass
-    grows with the outsiders, not with the square of the group."""
-    kind = "a long, b long"
-    slim = whole.select("node", "root", "n", "blocks", "block")
-    inside = written(whole.groupBy("root", "block").applyInArrow(lambda t: join_group(t, percent), kind), "inside")
 
-    def labelled(edges: DataFrame) -> DataFrame:
+def large_groups(whole: DataFrame, percent: int, most_tokens: int, most_sets: int, hub_sets: int = 8) -> DataFrame:
+    """Links (a, b) of groups of several blocks. `whole`: a written table of node, root, n, class, n_blocks, block, digests.
+
+    Each block is joined by itself; a few sets of each block's largest component meet in hubs of `most_sets` at most, theirs in further hubs, until
+    a group has one, which ties its blocks together. Whoever isn't in the group's largest component by then is asked against all other blocks
+    of sizes that may link. So the work beyond one pass grows with the outsiders, not with the square of the group."""
+    slim = whole.select("node", "root", "n", "class", "block")
+
+    def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
         labels = components(edges).select(F.col("node").alias("_node"), F.col("root").alias("_label"))
-        return written(slim.join(labels, F.col("node") == F.col("_node"), "left").select(*slim.columns, F.coalesce("_label", "node").alias("label")), "labels")
+        return written(rows.join(labels, F.col("node") == F.col("_node"), "left").select(*rows.columns, F.coalesce("_label", "node").alias("label")), "labels")
 
     def largest(rows: DataFrame, *keys: str) -> DataFrame:
         return written(rows.groupBy(*keys, "label").count().groupBy(*keys).agg(F.max_by("label", F.struct("count", "label")).alias("main")), "largest")
 
-    known = labelled(inside)
-    main = known.join(largest(known, "root", "block"), ["root", "block"]).where("label = main")
-    few = main.withColumn("_k", F.row_number().over(Window.partitionBy("root", "block").orderBy(F.xxhash64("node")))).where(F.col("_k") <= hub_sets).select("node")
-    hub = written(whole.join(few, "node").groupBy("root").applyInArrow(lambda t: join_group(t, percent), kind), "hub")
-    tied = inside.unionByName(hub)
-
-    known = labelled(tied)
-    outside = known.join(largest(known, "root"), "root").where("label != main").select("node", "root", "n")
+    def few(rows: DataFrame) -> DataFrame:
+        """Of each block's largest component some nodes; a block has `most_sets` rows at most."""
+        main = rows.join(largest(rows, "root", "block"), ["root", "block"]).where("label = main")
+        return main.withColumn("_k", F.row_number().over(Window.partitionBy("root", "block").orderBy(F.xxhash64("node")))).where(F.col("_k") <= hub_sets).select("node", "block")
+
+    links = written(whole.groupBy("root", "block").applyInArrow(lambda t: join_group(t, percent), EDGES), "inside")
+    known, sets, level = labelled(slim, links), whole, 0
+    while True:
+        chosen = few(known).withColumnRenamed("block", "_block")
+        sets = sets.join(chosen, "node").select("node", "root", "n", F.col("_block").alias("block"), "digests")
+        hubs = sets.groupBy("root").agg(F.count_distinct("block").alias("_blocks"), F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_tokens"))
+        hubs = hubs.withColumn("n_hubs", F.greatest(F.ceil(F.col("_sets") / F.greatest(F.lit(2 * hub_sets), F.lit(most_sets))), F.ceil(F.col("_tokens") / (2 * most_tokens))))
+        hubs = written(hubs.select("root", "n_hubs", "_blocks"), "hubs")
+        level += 1
+        at = F.pmod(F.xxhash64("block", F.lit(level)), F.least("n_hubs", F.greatest(F.floor(F.col("_blocks") / 2), F.lit(1)))).cast("long")
+        sets = written(sets.join(hubs, "root").withColumn("block", at).select("node", "root", "n", "block", "digests"), "hub-sets")
+        links = links.unionByName(written(sets.groupBy("root", "block").applyInArrow(lambda t: join_group(t, percent), EDGES), "hub-links"))
+        if hubs.where("n_hubs > 1 AND _blocks > 3").isEmpty():
+            break
+        known = labelled(sets.select("node", "root", "block"), links)
+
+    known = labelled(slim, links)
+    outside = known.join(largest(known, "root"), "root").where("label != main").select(F.col("node").alias("_node"), "root", "class", "block", "n")
     outside = written(outside, "outside")
-    chunks = outside.groupBy("root").agg(F.ceil(F.sum("n") * F.lit(1.0) / most_tokens).cast("int").alias("chunks"))
-    asked = whole.join(outside.select("node"), "node").join(chunks, "root").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at != block")
-    asked = asked.select("root", "at", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "digests", F.lit(True).alias("asked"))
-    stored = whole.join(chunks, "root").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    stored = stored.select("root", F.col("block").alias("at"), "chunk", "node", "digests", F.lit(False).alias("asked"))
-    return tied.unionByName(asked.unionByName(stored).groupBy("root", "at", "chunk").applyInArrow(lambda t: ask_group(t, percent), kind))
+    if outside.isEmpty():
+        return links
+    kinds = written(whole.select(F.col("root").alias("_root"), F.col("class").alias("_class"), "block").distinct(), "blocks")
+    near = outside.withColumn("_near", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).withColumnRenamed("block", "_home")
+    asks = near.join(kinds, (F.col("root") == F.col("_root")) & (F.col("_near") == F.col("_class"))).where("block != _home").select("_node", "root", "block", "n")
+    chunks = written(asks.groupBy("root", "block").agg(F.ceil(F.sum("n") / most_tokens).cast("int").alias("chunks")), "chunks")
+    asks = asks.join(chunks, ["root", "block"]).select("_node", "root", F.col("block").alias("_block"), F.pmod(F.xxhash64("_node"), F.col("chunks")).cast("int").alias("chunk"))
+    asked = whole.select("node", "digests").join(asks, F.col("node") == F.col("_node")).select("root", F.col("_block").alias("block"), "chunk", "node", "digests", F.lit(True).alias("asked"))
+    stored = whole.select("root", "block", "node", "digests").join(chunks, ["root", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    stored = stored.select("root", "block", "chunk", "node", "digests", F.lit(False).alias("asked"))
+    return links.unionByName(asked.unionByName(stored).groupBy("root", "block", "chunk").applyInArrow(lambda t: ask_group(t, percent), EDGES))
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bucket_tokens: int = 500_000, most_tokens: int = 2_000_000
-) -> DataFrame:
-    """`id_col`, n_shingles, component_id, text_hash of every row."""
-    small_batches(df.sparkSession)
-    shapes = written(shapes_of(df, id_col, text_col, size), "shapes")
-    total, rows = shapes.agg(F.coalesce(F.sum("region"), F.lit(0)), F.count("node")).first()
-    n_buckets = int(max(8, -(-total // bucket_tokens)))
-
-    def deal_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, n, region = (batch.column(i).to_numpy() for i in range(3))
-            yield from deal(node, n_buckets, [node, n.astype(np.uint32), region.astype(np.uint32)], kind=1)
-
-    def batches_of(found: Iterator[pa.RecordBatch]) -> pa.Table:
-        return pa.Table.from_batches(list(found), schema=pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())]))
-
-    nodes = shapes.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("region").alias("region"), F.min("doc_id").alias("first_id"))
-    nodes = written(nodes, "nodes")
-    postings = post(df, text_col, size, percent, n_buckets).groupBy("bucket").applyInArrow(lambda t: batches_of(shared(t, n_buckets)), SCHEMA)
-    sized = nodes.select("node", "n", "region").mapInArrow(deal_shapes, SCHEMA)
-    survivors = postings.unionByName(sized).groupBy("bucket").applyInArrow(lambda t: batches_of(prefixes(t, n_buckets, percent)), SCHEMA)
-    groups = components(survivors.groupBy("bucket").applyInArrow(lambda t: candidates(t, percent), "a long, b long"))
-    groups = written(groups, "groups")
-
-    members = groups.join(nodes, "node")
-    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / most_tokens).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    routes = written(members.join(sizes, "root").select(F.col("first_id").alias("_id"), "node", "root", "n", "blocks", block), "routes")
-    texts = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    routed = texts.join(routes.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id"))).select("text", "node", "root", "n", "blocks", "block")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-        for batch in batches:
-            found = [shingler(x.as_py()) for x in batch.column(0)]
-            real = [i for i, (s, node) in enumerate(zip(found, batch.column(1).to_pylist(), strict=True)) if node_of(s) == node]  # an id may have more than one text
-            rest = [batch.column(i).take(pa.array(real, pa.int64())) for i in range(1, 6)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([found[i].tobytes() for i in real], pa.binary())], names=["node", "root", "n", "blocks", "block", "digests"])
-
-    whole = routed.mapInArrow(digest, "node long, root long, n long, blocks int, block int, digests binary")
-    links = whole.where("blocks = 1").groupBy("root").applyInArrow(lambda t: join_group(t, percent), "a long, b long")
-    if not routes.where("blocks > 1").isEmpty():
-        links = links.unionByName(large_groups(written(whole.where("blocks > 1"), "large"), percent, most_tokens))
-    linked = components(links)
-
-    ids = linked.join(nodes.select("node", "first_id"), "node")
-    least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = written(linked.join(least, "root").select("node", "component_id"), "linked")
-    by_node = written(nodes.join(known, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "by-node")
-    out = shapes.where("node IS NOT NULL").join(by_node, "node", "left")
-    alone = shapes.where("node IS NULL").withColumn("component_id", F.col("doc_id"))
-    columns = [F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "text_hash"]
-    return out.select(*columns).unionByName(alone.select(*columns))
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bucket_tokens: int = 500_000, most_tokens: int = 250_000, most_sets: int = 1024,
+    hot_at: int = 50_000, run: int = 600_000, many: int = 16, node_bits: int = 64,
+) -> DataFrame:
+    """`id_col`, n_shingles, component_id, text_hash, component (a number that the rows of a component share) of every row."""
+    with scratch(df.sparkSession) as kept:
+        shapes = written(shapes_of(df, id_col, text_col, size, percent, node_bits, run, many), "shapes")
+        shapes, nodes = told_apart(shapes, written(nodes_of(shapes), "nodes"))
+        total, kept_digests = shapes.where("n >= 0").agg(F.coalesce(F.sum("region"), F.lit(0)), F.coalesce(F.sum(F.octet_length("own")) / 8, F.lit(0))).first()
+        hot = hot_digests(shapes, int(kept_digests), hot_at)
+        n_buckets = int(max(8, -(-total // bucket_tokens)))
+
+        def deal_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node, n, region = (batch.column(i).to_numpy() for i in range(3))
+                yield from deal(node, n_buckets, [node, n.astype(np.uint32), region.astype(np.uint32)], SIZED)
+
+        pairs = post(shapes, hot, n_buckets, run).groupBy("bucket").applyInArrow(lambda t: batches_of(shared(t, n_buckets)), SCHEMA)
+        sized = nodes.select("node", "n", "region").mapInArrow(deal_sizes, SCHEMA)
+        survivors = pairs.unionByName(sized).groupBy("bucket").applyInArrow(lambda t: batches_of(prefixes(t, n_buckets, percent)), SCHEMA)
+        groups = components(survivors.groupBy("bucket").applyInArrow(lambda t: candidates(t, percent), EDGES))
+
+        members = groups.join(nodes.select("node", "n", "at", "first_id"), "node")
+        routes = blocked(members, percent, most_tokens, most_sets).select("at.*", F.col("node").alias("_node"), "root", "n", "class", "n_blocks", "block", "cut")
+        routes = written(routes, "routes")
+        texts = df.select(F.xxhash64(col(id_col)).alias("h_id"), F.xxhash64(col(text_col)).alias("h_text"), col(text_col).alias("text"))
+        texts = marked(texts, F.xxhash64("h_id", "h_text"), routes.select(F.xxhash64("h_id", "h_text"))).where("maybe")  # the others aren't dealt
+        texts = texts.groupBy("h_id", "h_text").agg(F.first("text").alias("text"))  # a task sends each repeated row once
+        columns = ["root", "n", "class", "n_blocks", "block", "cut"]
+        routed = texts.join(routes.hint("shuffle_hash"), ["h_id", "h_text"]).select("text", "_node", *columns)
+
+        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(sets_of(batch.column(0), size))
+                real = [i for i, (s, node) in enumerate(zip(found, batch.column(1).to_pylist(), strict=True)) if node in halves(s, node_bits)]
+                rest = [batch.column(i).take(pa.array(real, pa.int64())) for i in range(1, 8)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([found[i].tobytes() for i in real], pa.binary())], names=["node", *columns, "digests"])
+
+        whole = routed.mapInArrow(digest, "node long, root long, n long, class int, n_blocks long, block long, cut boolean, digests binary")
+        links = whole.where("NOT cut").select("root", "node", "digests").groupBy("root").applyInArrow(lambda t: join_group(t, percent), EDGES)
+        if not routes.where("cut").isEmpty():
+            links = links.unionByName(large_groups(written(whole.where("cut"), "large"), percent, most_tokens, most_sets))
+        linked = components(links)
+
+        ids = linked.join(nodes.select("node", "first_id"), "node")
+        least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        known = linked.join(least, "root").select("node", "component_id", F.col("root").alias("component"))
+        by_node = nodes.select("node", "first_id").join(known, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "node").alias("component"))
+        by_node = written(by_node, "by-node")
+        out = shapes.where("node IS NOT NULL").select("doc_id", "text_hash", "n", "node").join(by_node, "node", "left")
+        alone = shapes.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+        columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "component"]
+        found = written(out.select(*columns).unionByName(alone.select(*columns)), "near-duplicates")
+        kept.append(found)
+    return found.withColumnRenamed("doc_id", id_col)
 
 
 def one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that stay: of each component the document with its id, once if its row is repeated; documents without words all stay."""
-    stay = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    rows = df.withColumn("_text_hash", F.xxhash64(text_col))
-    kept = rows.join(stay.hint("shuffle_hash"), rows[id_col].eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"]))
-    rank = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
-    return kept.withColumn("_rank", rank).where("_empty OR _rank = 1").select(*df.columns)
+    """The rows of `df` that stay: of each component the row with its least id (a null one only if there is no other) and one text of it,
+    once if it is repeated; documents without words all stay."""
+    rows = df.select(F.struct(*(col(c) for c in df.columns)).alias("row"), F.xxhash64(col(id_col)).alias("h_id"), F.xxhash64(col(text_col)).alias("h_text"))
+    rows = rows.withColumn("worded", F.coalesce(col("row").getField(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    best = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(col(id_col).isNull().alias("a"), col(id_col).alias("b"), F.col("text_hash").alias("c"))).alias("best"))
+    stay = best.select(F.xxhash64("best.b").alias("h_id"), F.col("best.c").alias("h_text")).distinct()
+    once = rows.where("worded").groupBy("h_id", "h_text").agg(F.first("row").alias("row"))  # a task sends each repeated row once
+    kept = once.join(stay.hint("shuffle_hash"), ["h_id", "h_text"], "left_semi").select("row")
+    return kept.unionByName(rows.where("NOT worded").select("row")).select("row.*")

@@ -58,7 +58,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 QUERIES = {

@@ -8,7 +8,7 @@ Reading: the end record, the ZIP64 locator and record (if any) and the central d
 file's end; local headers give the data's place; the index is range-read, and runs of records are then read in parallel,
 each run by one range, in as many tasks as the archives' bytes ask for. Every response's digest is computed again from its bytes and must agree.
 
-Only rows that may be revisits are dealt with their payloads, to meet what they refer to: a bitmap of BITS hashed (id, digest)
+Only rows that may be revisits are dealt with their payloads, to meet what they refer to: a bitmap of hashed (id, digest)
 pairs, 16 MB whatever the input, tells them, and all others stay where they are.
 
 Defined results: an id of any type that a string can be cast to is kept; a null payload is empty; repeated rows of one id are records of one capture, so those with the smallest id are
@@ -31,13 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import col, fresh, written
+from pagelake.llm.common import col, fresh, marked, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 BIG = 0xFFFFFFFF
-BITS = 1 << 27
 NO_ID = "urn:page"
 
 
@@ -220,17 +219,11 @@ def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     groups = written(groups.select("of", "first"), "warc-groups")  # a written table, so that a hot digest's join can be split
     revisits = slim.join(groups, "of").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("_id"), "of", F.col("first").alias("refers_to")).distinct()
     revisits = written(revisits, "warc-revisits")
-    bit = lambda i, of: F.pmod(F.xxhash64(i, of), F.lit(BITS))
-    hashed = revisits.select(bit("_id", "of").alias("x"))
-    bitmap = hashed.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bitmap"))  # BITS / 32768 rows of 4 KB at most
-    marked = digest.withColumn("x", bit("id", "sha1")).withColumn("bucket", F.bitmap_bucket_number("x")).join(F.broadcast(bitmap), "bucket", "left")
-    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.bitmap_bit_position("x") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    maybe = F.coalesce(F.expr("shiftright({}, cast(bitmap_bit_position(x) % 8 as int)) & 1".format("b")) == 1, F.lit(False))
-    marked = marked.withColumn("b", byte).withColumn("maybe", maybe).drop("b", "bitmap", "bucket", "x")
+    rows = marked(digest, F.xxhash64("id", "sha1"), revisits.select(F.xxhash64("_id", "of")))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("of"))
-    met = marked.where("maybe").join(revisits.hint("shuffle_hash"), same, "left").select("id", "url", "payload", "refers_to")
+    met = rows.where("maybe").join(revisits.hint("shuffle_hash"), same, "left").select("id", "url", "payload", "refers_to")
     kind = pages.schema["id"].dataType
-    return met.unionByName(marked.where("NOT maybe").select("id", "url", "payload", F.lit(None).cast(kind).alias("refers_to")))
+    return met.unionByName(rows.where("NOT maybe").select("id", "url", "payload", F.lit(None).cast(kind).alias("refers_to")))
 
 
 def write_archives(

@@ -70,9 +70,9 @@ def test_query(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs) and len(got) == len(docs)
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_tokens": 100, "most_tokens": 600}])
+@pytest.mark.parametrize("options", [{}, {"bucket_tokens": 100, "most_tokens": 600}, {"bucket_tokens": 100, "most_sets": 5, "hot_at": 3, "run": 100, "many": 2}, {"node_bits": 4, "hot_at": 8, "many": 2}])
 def test_near_copies(spark, options):
-    """The second setting cuts groups into blocks, whose pairs meet."""
+    """The second and third settings cut groups into blocks, whose pairs meet, with hot digests; the last has sets that share a name's first half."""
     docs = list(enumerate([None, "", " \t", "A b C", "a B c", "x", *near_copies(), *near_copies(2)]))
     df = spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id long, text string, n_shingles int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, **options).collect()}
@@ -116,3 +116,52 @@ def test_components(spark):
     got = {x.node: x.root for x in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: min(s) for x, s in want.items() if len(s) > 1}
     assert C.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_shingle_that_all_documents_have(spark):
+    """It stays out of the buckets (hot), and a task posts a few intervals of it, not a row a document."""
+    r = random.Random(9)
+    say = lambda n: " ".join(str(r.randrange(10**6)) for _ in range(n))
+    common = next(x for x in (f"one common line of {k} " for k in range(99)) if next(N.sets_of(N.pa.array([x]), 5))[0] < N.REGION)
+    docs = [(i, common + say(8)) for i in range(600)] + [(1000 + i, common * 5 + str(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    shapes = N.written(N.shapes_of(df, "doc_id", "text", 5, 75, 64, 2000, 16), "shapes")
+    hot = N.hot_digests(shapes, 10**4, 500)
+    assert len(hot) == 1 and len(N.hot_digests(shapes, 10**12, 500)) == 0
+    pairs = N.post(shapes, hot, 4, 10**6).toPandas()
+    kept = [d for p in pairs[pairs.kind == N.PAIRS].payload for d in N.unpacked(N.pa.array([p]), ["u8", "i8"])[0]]
+    assert hot[0] not in kept and (pairs.kind == N.HOT_PAIRS).sum() > 0
+    for options in ({}, {"hot_at": 500, "run": 2000}, {"hot_at": 500, "run": 2000, "bucket_tokens": 200, "most_sets": 40}):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in N.near_duplicates(df, **options).collect()} == brute(docs)
+
+
+def test_intervals_of_a_hot_digest():
+    """A task's own nodes under a digest become one row if their sizes are close."""
+    n_nodes, digest = 5000, 7
+    node = np.arange(n_nodes, dtype=np.int64)
+    pairs = list(N.deal(node, 1, [node, np.full(n_nodes, digest, np.uint64), np.full(n_nodes, N.HOT)], N.PAIRS))
+    sized = list(N.deal(node, 1, [node, np.where(node % 2 == 0, 4, 100).astype(np.uint32), np.ones(n_nodes, np.uint32)], N.SIZED))
+    out = N.batches_of(N.prefixes(N.batches_of([*pairs, *sized]), 1, 75))
+    digests, _, least, most = N.gather(out, ["u8", "i8", "u4", "u4"], N.PAIRS)
+    assert digests.tolist() == [digest] * 2 and sorted(zip(least, most, strict=True)) == [(4, 4), (100, 100)]
+    found = N.candidates(out, 75)
+    assert len(found) == n_nodes - 2
+
+
+def test_rows_with_ids_and_columns_of_all_kinds(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text, 1), (None, text + " eight", 2), (3, text, 3), (3, text + " eight", 4), (3, text, 3), (4, None, 5), (4, None, 5), (None, "", 6)]
+    df = spark.createDataFrame(rows, "`a.b` long, text string, _id int").selectExpr("*", "77 AS _rank", "88 AS _hash", "99 AS _empty", "11 AS _text_hash", "12 AS component", "13 AS h_id", "14 AS `row`", "15 AS n", "16 AS node")
+    found = N.near_duplicates(df, id_col="a.b")
+    assert {(x["a.b"], x.component_id) for x in found.collect()} == {(None, 3), (3, 3), (4, 4), (None, None)}
+    kept = N.one_of_each(df, found, id_col="a.b")
+    assert kept.columns == df.columns
+    got = sorted([(x["a.b"], x.text is None, x._rank, x._hash, x.h_id, x.row) for x in kept.collect()], key=str)
+    assert got == sorted([(3, False, 77, 88, 13, 14), (4, True, 77, 88, 13, 14), (4, True, 77, 88, 13, 14), (None, False, 77, 88, 13, 14)], key=str)
+
+
+def test_repeated_rows_of_null_ids_meet_in_no_product(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('a b c d e f g h i j k l m n o p ', id % 3) as text")
+    found = N.near_duplicates(df)
+    assert found.count() == 3000 and found.where("component_id IS NOT NULL").count() == 0 and found.select("component").distinct().count() == 1
+    assert N.one_of_each(df, found).count() == 1
