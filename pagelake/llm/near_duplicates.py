@@ -16,8 +16,8 @@ when intersection >= threshold x union, so neither may miss more than a quarter
 4. Prefix-tree join. A group's whole sets, in a common order, are stored in a path-compressed trie (see prefix_tree.py). Queries go
    on until every node outside the group's largest component has been asked, so no link between two components can be missed.
    Groups beyond `most_tokens` or `most_sets` are cut into blocks by size classes and hashes: each block is joined by itself, hubs of a
-   few sets a block tie the blocks together, level by level, and whoever is still outside the group's largest component is asked
-   against the other blocks of its own and the neighbouring classes.
+   few sets a block tie the blocks together, level by level, and whoever isn't tied to them is asked against the other blocks of its
+   own and the neighbouring classes.
 5. Components of the links found give each document the smallest id it can reach.
 
 Numbers travel as packed arrays (see packed.py); no task holds more than a bucket, a block or a hub. A node is named by half of a
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import col, marked, scratch, written
@@ -277,6 +277,35 @@ def join_group(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_batches([edge_batch(nodes, link(sets, percent))])
 
 
+def join_block(table: pa.Table, percent: int, hub_sets: int) -> pa.Table:
+    """One row a node of a block, or of a hub: label (its component's least node), state (0: outside the largest component, 1: in it, 2: one of
+    the `hub_sets` that stand for it, with their digests). In a hub, nodes that come from one block are one already."""
+    nodes, sets = sets_in(table)
+    union = link(sets, percent)
+    at = np.searchsorted(nodes, table.column("node").to_numpy())
+    home = np.zeros(len(nodes), np.int64)
+    home[at] = table.column("home").to_numpy()
+    if "hub" in table.column_names:
+        order = np.argsort(home, kind="stable")
+        for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            if home[i] == home[j]:
+                union.join(i, j)
+    roots = np.array([union.find(i) for i in range(len(nodes))])
+    label = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(label, roots, np.array(nodes, np.int64))
+    label = label[roots]
+    names, counts = np.unique(label, return_counts=True)
+    main = label == names[counts.argmax()]
+    state = main.astype(np.int32)
+    few = np.flatnonzero(main)[np.argsort([halves(sets[i])[1] for i in np.flatnonzero(main)], kind="stable")[:hub_sets]]
+    state[few] = 2
+    digests = pa.array([sets[i].tobytes() if state[i] == 2 else None for i in range(len(nodes))], pa.binary())
+    first = np.unique(at, return_index=True)[1]
+    kept = [table.column(c).take(pa.array(first)) for c in ("root", "n", "class", "home")]
+    block = table.column("hub" if "hub" in table.column_names else "home").take(pa.array(first))
+    return pa.table([pa.array(nodes, pa.int64()), *kept, block, pa.array(label), pa.array(state), digests], names=["node", "root", "n", "class", "home", "block", "label", "state", "digests"])
+
+
 def ask_group(table: pa.Table, percent: int) -> pa.Table:
     """Rows of a block, and of queries from other blocks (asked)."""
     asked = table.column("asked").to_numpy(zero_copy_only=False)
@@ -290,7 +319,7 @@ def size_class(n: Column, percent: int) -> Column:
 
 
 def blocked(members: DataFrame, percent: int, most_tokens: int, most_sets: int) -> DataFrame:
-    """Adds class, block (a number of its own in the group) and whether the group is cut at all. `members`: node, root, n, ..."""
+    """Adds class, n_blocks (of the class, where the group is cut) and home (a block's number in its group). `members`: node, root, n, ..."""
 
     def blocks(tokens: str, sets: str) -> Column:
         return F.ceil(F.greatest(F.col(tokens) / most_tokens, F.col(sets) / most_sets)).cast("long")
@@ -302,64 +331,73 @@ def blocked(members: DataFrame, percent: int, most_tokens: int, most_sets: int)
     large = by_class.join(whole, F.col("root") == F.col("_root")).select(F.col("root").alias("_root"), F.col("class").alias("_class"), blocks("tokens", "sets").alias("n_blocks"))
     large = written(large, "large-classes")  # so that a large group's join can be split
     at = members.join(large, (F.col("root") == F.col("_root")) & (F.col("class") == F.col("_class")), "left").drop("_root", "_class")
-    block = F.when(F.col("n_blocks").isNotNull(), F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("node"), "n_blocks")).otherwise(F.lit(0)).cast("long")
-    return at.withColumn("block", block).withColumn("cut", F.col("n_blocks").isNotNull())
+    return at.withColumn("home", F.when(F.col("n_blocks").isNotNull(), F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("node"), "n_blocks")).otherwise(F.lit(0)).cast("long"))
 
 
-def large_groups(whole: DataFrame, percent: int, most_tokens: int, most_sets: int, hub_sets: int = 8) -> DataFrame:
-    """Links (a, b) of groups of several blocks. `whole`: a written table of node, root, n, class, n_blocks, block, digests.
-
-    Each block is joined by itself; a few sets of each block's largest component meet in hubs of `most_sets` at most, theirs in further hubs, until
-    a group has one, which ties its blocks together. Whoever isn't in the group's largest component by then is asked against all other blocks
-    of sizes that may link. So the work beyond one pass grows with the outsiders, not with the square of the group."""
-    slim = whole.select("node", "root", "n", "class", "block")
+BLOCK = "node long, root long, n long, class int, home long, block long, label long, state int, digests binary"
 
-    def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-        labels = components(edges).select(F.col("node").alias("_node"), F.col("root").alias("_label"))
-        return written(rows.join(labels, F.col("node") == F.col("_node"), "left").select(*rows.columns, F.coalesce("_label", "node").alias("label")), "labels")
 
-    def largest(rows: DataFrame, *keys: str) -> DataFrame:
-        return written(rows.groupBy(*keys, "label").count().groupBy(*keys).agg(F.max_by("label", F.struct("count", "label")).alias("main")), "largest")
-
-    def few(rows: DataFrame) -> DataFrame:
-        """Of each block's largest component some nodes; a block has `most_sets` rows at most."""
-        main = rows.join(largest(rows, "root", "block"), ["root", "block"]).where("label = main")
-        return main.withColumn("_k", F.row_number().over(Window.partitionBy("root", "block").orderBy(F.xxhash64("node")))).where(F.col("_k") <= hub_sets).select("node", "block")
-
-    links = written(whole.groupBy("root", "block").applyInArrow(lambda t: join_group(t, percent), EDGES), "inside")
-    known, sets, level = labelled(slim, links), whole, 0
+def large_groups(whole: DataFrame, percent: int, most_tokens: int, most_sets: int, hub_sets: int = 8) -> DataFrame:
+    """Links (a, b) of groups of several blocks. `whole`: a written table of node, root, n, class, n_blocks, home, digests.
+
+    Each block is joined by itself; a few sets of each block's largest component meet in hubs of about `most_sets`, theirs in further hubs, until
+    a group has one. What hangs together with its block's, its hub's and so on largest component up to the last one is tied together;
+    whoever isn't is asked against all other blocks of sizes that may link. So the work beyond one pass grows with these outsiders, not
+    with the square of the group."""
+    links = []
+
+    def joined(rows: DataFrame, *keys: str) -> DataFrame:
+        found = written(rows.groupBy(*keys).applyInArrow(lambda t: join_block(t, percent, hub_sets), BLOCK), "blocks")
+        links.append(found.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return found
+
+    inside = joined(whole.select("node", "root", "n", "class", "home", "digests"), "root", "home")
+    outside = inside.where("state = 0").select("node", "root", "n", "class", "home")
+    level, ways = inside, []  # ways: of each level, who went up from which block
     while True:
-        chosen = few(known).withColumnRenamed("block", "_block")
-        sets = sets.join(chosen, "node").select("node", "root", "n", F.col("_block").alias("block"), "digests")
-        hubs = sets.groupBy("root").agg(F.count_distinct("block").alias("_blocks"), F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_tokens"))
-        hubs = hubs.withColumn("n_hubs", F.greatest(F.ceil(F.col("_sets") / F.greatest(F.lit(2 * hub_sets), F.lit(most_sets))), F.ceil(F.col("_tokens") / (2 * most_tokens))))
-        hubs = written(hubs.select("root", "n_hubs", "_blocks"), "hubs")
-        level += 1
-        at = F.pmod(F.xxhash64("block", F.lit(level)), F.least("n_hubs", F.greatest(F.floor(F.col("_blocks") / 2), F.lit(1)))).cast("long")
-        sets = written(sets.join(hubs, "root").withColumn("block", at).select("node", "root", "n", "block", "digests"), "hub-sets")
-        links = links.unionByName(written(sets.groupBy("root", "block").applyInArrow(lambda t: join_group(t, percent), EDGES), "hub-links"))
-        if hubs.where("n_hubs > 1 AND _blocks > 3").isEmpty():
+        up = level.where("state = 2").select("node", "root", "n", "class", F.col("block").alias("home"), "digests")
+        number = up.groupBy("root").agg(F.count_distinct("home").alias("_blocks")).select(F.col("root").alias("_root"), F.ceil(F.col("_blocks") * hub_sets / most_sets).alias("_hubs"), "_blocks")
+        number = written(number.where("_blocks > 1"), "hubs")
+        if number.isEmpty():
             break
-        known = labelled(sets.select("node", "root", "block"), links)
-
-    known = labelled(slim, links)
-    outside = known.join(largest(known, "root"), "root").where("label != main").select(F.col("node").alias("_node"), "root", "class", "block", "n")
+        hub = F.pmod(F.xxhash64("home", F.lit(len(ways))), F.least("_hubs", F.floor(F.col("_blocks") / 2))).cast("long")
+        level = joined(up.join(number, F.col("root") == F.col("_root")).withColumn("hub", hub).drop("_root", "_hubs", "_blocks"), "root", "hub")
+        ways.append(level.groupBy("root", "home", "block").agg(F.max("state").alias("tied")))
+    if ways:  # blocks that aren't tied to the last hub, by way of all between
+        at = written(whole.select("root", "home").distinct().withColumn("at", F.col("home")).withColumn("lost", F.lit(False)), "ways")
+        for way in ways:
+            way = way.select(F.col("root").alias("_root"), F.col("home").alias("_from"), F.col("block").alias("_to"), "tied")
+            at = at.join(way, (F.col("root") == F.col("_root")) & (F.col("at") == F.col("_from")), "left")
+            at = at.select("root", "home", F.coalesce("_to", "at").alias("at"), (F.col("lost") | F.coalesce(F.col("tied") == 0, F.lit(False))).alias("lost"))
+        lost = written(at.where("lost").select("root", "home"), "lost")
+        if not lost.isEmpty():
+            outside = outside.unionByName(inside.where("state > 0").select(*outside.columns).join(lost, ["root", "home"], "left_semi"))
     outside = written(outside, "outside")
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
     if outside.isEmpty():
-        return links
-    kinds = written(whole.select(F.col("root").alias("_root"), F.col("class").alias("_class"), "block").distinct(), "blocks")
-    near = outside.withColumn("_near", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).withColumnRenamed("block", "_home")
-    asks = near.join(kinds, (F.col("root") == F.col("_root")) & (F.col("_near") == F.col("_class"))).where("block != _home").select("_node", "root", "block", "n")
+        return found
+
+    # outsiders meet the blocks of their and the neighbouring classes; the more outsiders, the more blocks are taken together
+    several = outside.groupBy("root").agg(F.greatest(F.lit(1), F.least(F.lit(16), F.ceil(F.count(F.lit(1)) / most_sets))).cast("long").alias("_several")).withColumnRenamed("root", "_root")
+    several = written(several, "several")
+    at = F.col("class") * F.lit(1 << 40) + F.pmod(F.col("home"), F.greatest(F.lit(1), F.ceil(F.col("n_blocks") / F.col("_several"))).cast("long"))
+    stored = whole.join(several, F.col("root") == F.col("_root")).select("root", "class", F.when(F.col("n_blocks") > 1, at).otherwise(F.col("class") * F.lit(1 << 40)).alias("block"), "node", "digests")
+    kinds = stored.select(F.col("root").alias("_root"), F.col("class").alias("_class"), "block").distinct()
+    kinds = written(kinds, "kinds")
+    near = outside.withColumn("_near", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    asks = near.join(kinds, (F.col("root") == F.col("_root")) & (F.col("_near") == F.col("_class"))).select(F.col("node").alias("_node"), "root", "block", "n")
     chunks = written(asks.groupBy("root", "block").agg(F.ceil(F.sum("n") / most_tokens).cast("int").alias("chunks")), "chunks")
     asks = asks.join(chunks, ["root", "block"]).select("_node", "root", F.col("block").alias("_block"), F.pmod(F.xxhash64("_node"), F.col("chunks")).cast("int").alias("chunk"))
     asked = whole.select("node", "digests").join(asks, F.col("node") == F.col("_node")).select("root", F.col("_block").alias("block"), "chunk", "node", "digests", F.lit(True).alias("asked"))
-    stored = whole.select("root", "block", "node", "digests").join(chunks, ["root", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    stored = stored.join(chunks, ["root", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     stored = stored.select("root", "block", "chunk", "node", "digests", F.lit(False).alias("asked"))
-    return links.unionByName(asked.unionByName(stored).groupBy("root", "block", "chunk").applyInArrow(lambda t: ask_group(t, percent), EDGES))
+    return found.unionByName(asked.unionByName(stored).groupBy("root", "block", "chunk").applyInArrow(lambda t: ask_group(t, percent), EDGES))
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bucket_tokens: int = 500_000, most_tokens: int = 250_000, most_sets: int = 1024,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bucket_tokens: int = 200_000, most_tokens: int = 250_000, most_sets: int = 256,
     hot_at: int = 50_000, run: int = 600_000, many: int = 16, node_bits: int = 64,
 ) -> DataFrame:
     """`id_col`, n_shingles, component_id, text_hash, component (a number that the rows of a component share) of every row."""
@@ -381,25 +419,25 @@ def near_duplicates(
         groups = components(survivors.groupBy("bucket").applyInArrow(lambda t: candidates(t, percent), EDGES))
 
         members = groups.join(nodes.select("node", "n", "at", "first_id"), "node")
-        routes = blocked(members, percent, most_tokens, most_sets).select("at.*", F.col("node").alias("_node"), "root", "n", "class", "n_blocks", "block", "cut")
+        routes = blocked(members, percent, most_tokens, most_sets).select("at.*", F.col("node").alias("_node"), "root", "n", "class", "n_blocks", "home")
         routes = written(routes, "routes")
         texts = df.select(F.xxhash64(col(id_col)).alias("h_id"), F.xxhash64(col(text_col)).alias("h_text"), col(text_col).alias("text"))
         texts = marked(texts, F.xxhash64("h_id", "h_text"), routes.select(F.xxhash64("h_id", "h_text"))).where("maybe")  # the others aren't dealt
         texts = texts.groupBy("h_id", "h_text").agg(F.first("text").alias("text"))  # a task sends each repeated row once
-        columns = ["root", "n", "class", "n_blocks", "block", "cut"]
+        columns = ["root", "n", "class", "n_blocks", "home"]
         routed = texts.join(routes.hint("shuffle_hash"), ["h_id", "h_text"]).select("text", "_node", *columns)
 
         def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = list(sets_of(batch.column(0), size))
                 real = [i for i, (s, node) in enumerate(zip(found, batch.column(1).to_pylist(), strict=True)) if node in halves(s, node_bits)]
-                rest = [batch.column(i).take(pa.array(real, pa.int64())) for i in range(1, 8)]
+                rest = [batch.column(i).take(pa.array(real, pa.int64())) for i in range(1, 7)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([found[i].tobytes() for i in real], pa.binary())], names=["node", *columns, "digests"])
 
-        whole = routed.mapInArrow(digest, "node long, root long, n long, class int, n_blocks long, block long, cut boolean, digests binary")
-        links = whole.where("NOT cut").select("root", "node", "digests").groupBy("root").applyInArrow(lambda t: join_group(t, percent), EDGES)
-        if not routes.where("cut").isEmpty():
-            links = links.unionByName(large_groups(written(whole.where("cut"), "large"), percent, most_tokens, most_sets))
+        whole = routed.mapInArrow(digest, "node long, root long, n long, class int, n_blocks long, home long, digests binary")
+        links = whole.where("n_blocks IS NULL").select("root", "node", "digests").groupBy("root").applyInArrow(lambda t: join_group(t, percent), EDGES)
+        if not routes.where("n_blocks IS NOT NULL").isEmpty():
+            links = links.unionByName(large_groups(written(whole.where("n_blocks IS NOT NULL"), "large"), percent, most_tokens, most_sets))
         linked = components(links)
 
         ids = linked.join(nodes.select("node", "first_id"), "node")

@@ -42,7 +42,7 @@ TOKENIZER, LENGTH, END = "word_bpe_49k.json", 4096, 1
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f]*")
 #: The tokenizer's own pattern, as its file gives it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-MOST_WORDS = 600_000
+MOST_WORDS = 900_000
 
 
 class WordIds(dict):
