@@ -4,14 +4,19 @@ A paragraph is a line; lines are cut further at every sentence end, so that an e
 only. Each distinct paragraph digest goes into three cells of
 a table of m cells; a cell holds a count, the XOR of its digests and the XOR of their checks. The sketches of two
 versions are subtracted cell by cell; what they share cancels out, and peeling (a cell that holds one digest gives it
-away, which frees others) recovers the digests that differ. The fingerprints are tried first; where peeling gets stuck,
-it is tried again with 64 times the cells. Cells are kept sparsely, so a large table costs no more than its content.
+away, which frees others) recovers the digests that differ.
 
-The fingerprint is the sketch of 12 cells, which has the same size for every text. Likeness of two sets of digests A and
-B with d recovered differences: (|A| + |B| - d) / (|A| + |B| + d), the Jaccard similarity.
+The fingerprint is the sketch of 12 cells, which has the same size for every text. The fingerprints are tried first, row by row.
+Where peeling gets stuck, it is tried again with a table that has two cells a third for each paragraph of both texts, and then with 64 times
+as many, until all is recovered: cells are rows of (pair, cell) then, summed by a hash aggregate over rows that have been dealt by their pair
+once, so a round costs no shuffle and no more than the digests that are left. A round peels one third of the table, in which each digest has
+one cell only, so none is taken out twice.
+
+Likeness of two sets of digests A and B with d recovered differences: (|A| + |B| - d) / (|A| + |B| + d), the Jaccard similarity.
 
 `next_of` gives each row the next one in descending order of ids without a global sort: rows are dealt into ranges of
-ids by cut points, and each range also gets the first row of the range that follows.
+ids by cut points, and each range also gets the first row of the range that follows. Repeated rows are combined before and
+told apart again afterwards.
 
 Defined results: a null text counts as empty; two texts without paragraphs are alike (1.0), one with and one without are
 not (0.0); rows that share an id follow each other in the order of their texts' hashes, repeated rows one after the
@@ -24,27 +29,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, GROWTH, TRIES, ROUNDS = 12, 64, 4, 64
+from pagelake.llm.common import col, marked, scratch, written
+
+CELLS, GROWTH, TRIES, ROUNDS = 12, 64, 6, 12
 #: Paragraph ends: line ends, and sentence ends of any script: a mark and blanks, or a full-width mark; closing quotes go with their sentence.
 CLOSERS = r"[\"\\x27\u00bb\u2019\u201d)\\]\u300d\u300f\uff09]"
 MARKS, WIDE = "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]", "[\u3002\uff01\uff1f\uff61]"
-PARTS = rf"\\n+| (?<={MARKS}{CLOSERS}{{0,2}} ) *|(?<={WIDE}{CLOSERS}{{0,2}})(?!{WIDE}|{CLOSERS})"
+WIDE_ENDS, PARTS = rf"({WIDE}{CLOSERS}{{0,2}})(?!{WIDE}|{CLOSERS})", rf"\\n+| (?<={MARKS}{CLOSERS}{{0,2}} ) *"
 CELL = "struct<c:bigint,n:bigint,k:bigint,h:bigint>"
+PAIR = ["rid", "w"]
 
 
 def digests(text: str) -> str:
-    """SQL: the distinct paragraph digests of the text expression, sorted."""
-    return f"array_sort(array_distinct(transform(filter(transform(split({text}, '{PARTS}'), p -> trim(p)), p -> p != ''), p -> xxhash64(p))))"
+    """SQL: the distinct paragraph digests of the text expression, sorted. Full-width marks are sought only where there are any."""
+    lines = f"if({text} rlike '{WIDE}', regexp_replace({text}, '{WIDE_ENDS}', '$1\\n'), {text})"
+    return f"array_sort(array_distinct(transform(filter(transform(split({lines}, '{PARTS}'), p -> trim(p)), p -> p != ''), p -> xxhash64(p))))"
 
 
 def check(key: str) -> str:
     return f"(xxhash64({key}, 7) & 4294967295L)"
 
 
+def place(key: str, third: int, m: str) -> str:
+    """SQL: the cell of a digest in a third of a table of m cells."""
+    return f"({third}L * ({m} div 3) + pmod(xxhash64({key}, {third}L), {m} div 3))"
+
+
 def entries(key: str, sign: str, m: str) -> str:
     """SQL: the three cells that a digest goes to."""
-    cell = "named_struct('c', {j} * ({m} div 3) + pmod(xxhash64({key}, {j}), {m} div 3), 'n', {sign}, 'k', {key}, 'h', {check})"
-    return "array(" + ", ".join(cell.format(j=f"{j}L", m=m, key=key, sign=sign, check=check(key)) for j in range(3)) + ")"
+    return "array(" + ", ".join(f"named_struct('c', {place(key, j, m)}, 'n', {sign}, 'k', {key}, 'h', {check(key)})" for j in range(3)) + ")"
+
+
+# ---------------------------------------------------------------- fingerprints, row by row
 
 
 def combined(cells: str) -> str:
@@ -57,9 +73,11 @@ def combined(cells: str) -> str:
         c -> c.n != 0 or c.k != 0 or c.h != 0)"""
 
 
-def sketch(keys: str, m: str) -> str:
-    """SQL: the sparse sketch of m cells of an array of digests."""
-    return combined(f"flatten(transform({keys}, d -> {entries('d', '1L', m)}))")
+def sketch(keys: str) -> str:
+    """SQL: the CELLS cells of an array of digests, without empty ones: a fold over the digests a cell."""
+    one = f"""aggregate({keys}, named_struct('c', i, 'n', 0L, 'k', 0L, 'h', 0L), (a, d) -> if(i = (i div {CELLS // 3}L) * {CELLS // 3}L + pmod(xxhash64(d, i div {CELLS // 3}L), {CELLS // 3}L),
+        named_struct('c', i, 'n', a.n + 1L, 'k', a.k ^ d, 'h', a.h ^ {check('d')}), a))"""
+    return f"filter(transform(sequence(0L, {CELLS - 1}L), i -> {one}), c -> c.n != 0)"
 
 
 def subtracted(a: str, b: str) -> str:
@@ -86,21 +104,9 @@ def peeled(cells: str, m: str) -> str:
         (s, i) -> if(s.on and size(s.cells) > 0, {step}, s))"""
 
 
-def difference(a: str, b: str, a_cells: str, b_cells: str) -> str:
-    """SQL: struct<done, m, plus, minus>: the digests in which two arrays differ, recovered from their fingerprints or from larger sketches."""
-    first = peeled(subtracted(a_cells, b_cells), f"{CELLS}L")
-    both = f"concat(transform({a}, d -> {entries('d', '1L', 't.m')}), transform({b}, d -> {entries('d', '-1L', 't.m')}))"  # sketches are sums, so is their difference
-    again = peeled(combined(f"flatten({both})"), "t.m")
-    result = "named_struct('done', size(r.cells) = 0, 'm', {m}, 'plus', r.plus, 'minus', r.minus)"
-    return f"""aggregate(sequence(1, {TRIES}), transform(array({first}), r -> {result.format(m=f"{CELLS * GROWTH}L")})[0],
-        (t, i) -> if(t.done, t, transform(array({again}), r -> {result.format(m=f"t.m * {GROWTH}")})[0]))"""
-
-
-def likeness(a: str, b: str, a_cells: str, b_cells: str) -> Column:
-    """By the recovered differences; by plain set difference if no size could be peeled (which no case is known to need)."""
-    d = f"if(x.done, size(x.plus) + size(x.minus), size(array_except({a}, {b})) + size(array_except({b}, {a})))"
-    ratio = f"if(size({a}) + size({b}) = 0, 1.0d, cast(size({a}) + size({b}) - d as double) / greatest(size({a}) + size({b}) + d, 1))"
-    return F.expr(f"transform(transform(array({difference(a, b, a_cells, b_cells)}), x -> {d}), d -> {ratio})[0]")
+def first_try(a_cells: str, b_cells: str) -> Column:
+    """How many digests the fingerprints' difference gives away; null if peeling gets stuck."""
+    return F.expr(f"transform(array({peeled(subtracted(a_cells, b_cells), f'{CELLS}L')}), r -> if(size(r.cells) = 0, size(r.plus) + size(r.minus), null))[0]")
 
 
 def fingerprint(cells: str) -> Column:
@@ -110,22 +116,71 @@ def fingerprint(cells: str) -> Column:
     return F.expr(f"replace(replace(base64(unhex(array_join(transform(array_sort({dense}), c -> {text}), ''))), '\r', ''), '\n', '')")
 
 
+# ---------------------------------------------------------------- larger tables, cell by cell
+
+
+def tries(pairs: DataFrame, power: int, least_cells: int = 256, cells_each: int = 2, sweeps: int = 2) -> DataFrame:
+    """rid, w, done, plus, minus of pairs (rid, w, a, b: arrays of digests) that lie by their rid already; a third has `cells_each` cells a digest."""
+    size = F.size("a") + F.size("b")
+    sized = pairs.withColumn("m", (F.lit(3) * F.greatest(F.lit(least_cells), cells_each * size) * F.lit(GROWTH**power)).cast("long"))
+    keys = sized.select(*PAIR, "m", F.explode(F.expr("concat(transform(a, d -> struct(1L as n, d as k)), transform(b, d -> struct(-1L as n, d as k)))")).alias("x")).select(*PAIR, "m", "x.n", "x.k")
+    rows = keys.select(*PAIR, "m", F.explode(F.expr(entries("k", "n", "m"))).alias("x")).select(*PAIR, "m", F.lit(False).alias("got"), "x.*")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        """Cells by their sums; recovered digests (got) are rows by themselves, with the digest for a cell."""
+        cells = rows.groupBy(*PAIR, "m", "got", "c").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+        return cells.where("n != 0 OR k != 0 OR h != 0")
+
+    cells = summed(rows)
+    for j in list(range(3)) * sweeps:
+        pure = f"NOT got AND abs(n) = 1 AND h = {check('k')} AND c = {place('k', j, 'm')}"
+        others = [f"named_struct('got', false, 'c', {place('k', i, 'm')}, 'n', -n, 'k', k, 'h', h)" for i in range(3) if i != j]
+        given = f"array(named_struct('got', true, 'c', k, 'n', n, 'k', 0L, 'h', 0L), {', '.join(others)})"
+        step = F.expr(f"if({pure}, {given}, array(named_struct('got', got, 'c', c, 'n', n, 'k', k, 'h', h)))")
+        cells = summed(cells.select(*PAIR, "m", F.explode(step).alias("x")).select(*PAIR, "m", "x.*"))
+    digest = lambda sign: F.collect_list(F.when(F.col("got") & (F.col("n") == sign), F.col("c")))
+    found = cells.groupBy(*PAIR).agg(F.bool_and("got").alias("done"), digest(1).alias("plus"), digest(-1).alias("minus"))
+    whole = pairs.select(F.col("rid").alias("_rid"), F.col("w").alias("_w"))
+    none = F.array().cast("array<bigint>")  # pairs without a difference have no cell
+    joined = whole.join(found, (F.col("rid") == F.col("_rid")) & (F.col("w") == F.col("_w")), "left")
+    return joined.select(F.col("_rid").alias("rid"), F.col("_w").alias("w"), F.coalesce("done", F.lit(True)).alias("done"), F.coalesce("plus", none).alias("plus"), F.coalesce("minus", none).alias("minus"))
+
+
+def differences(pairs: DataFrame, least_cells: int = 256, cells_each: int = 2, entries_a_task: int = 2_000_000) -> DataFrame:
+    """rid, w, plus, minus: the digests in which the arrays a and b of each pair (rid, w) differ, recovered from sketches."""
+    with scratch(pairs.sparkSession) as kept:
+        left, found = written(pairs.select("rid", "w", "a", "b"), "pairs"), None
+        for power in range(TRIES):
+            total = left.agg(F.coalesce(F.sum(F.size("a") + F.size("b")), F.lit(0))).first()[0]
+            if left.isEmpty():
+                break
+            tried = written(tries(left.repartition(max(1, -(-3 * total // entries_a_task)), "rid"), power, least_cells, cells_each), "tried")
+            kept.append(tried)
+            good = tried.where("done").drop("done")
+            found = good if found is None else found.unionByName(good)
+            left = written(left.join(tried.where("NOT done").select("rid", "w"), PAIR, "left_semi"), "pairs")
+        else:
+            raise RuntimeError("the digests of some pair can't be told apart")
+    return pairs.select("rid", "w", F.col("a").alias("plus"), F.col("b").alias("minus")).where("false") if found is None else found
+
+
 def next_of(rows: DataFrame, id_col: str, columns: list[str], block_rows: int = 1000, most_blocks: int = 1 << 16) -> DataFrame:
-    """Adds next_<column> of the row that follows in descending order of ids (after the last: the first). `rows` has `h`, a hash of its text.
+    """Adds next_<column> of the row that follows in descending order of ids (after the last: the first). `rows` has `h`, a hash of its text,
+    `n`, how many equal rows it stands for, and the columns; equal rows follow each other.
 
     At most `most_blocks` cut points, and as many first rows, are broadcast."""
-    n = rows.count()
-    n_blocks = min(most_blocks, max(1, -(-n // block_rows)))
+    total = rows.count()
+    n_blocks = min(most_blocks, max(1, -(-total // block_rows)))
     coarse = max(1, round(n_blocks**0.5))
     shares = [i / n_blocks for i in range(1, n_blocks)]
     cuts = rows.agg(F.percentile_approx(id_col, shares, 10 * n_blocks).alias("c")).first()["c"] if shares else None
     cuts = sorted(set(cuts or []))
-    groups = [cuts[i : i + coarse] for i in range(0, len(cuts), coarse)]
     # the number of cut points below the id, by groups first; ids fall with the block's number, null ids come last, by their hashes
-    if groups:
-        lists = F.array(*(F.array(*(F.lit(x).cast("long") for x in g)) for g in groups))
-        below = F.size(F.filter(lists, lambda g: F.try_element_at(g, F.lit(-1)) < F.col(id_col)))
-        inside = F.size(F.filter(F.coalesce(F.get(lists, below), F.array().cast("array<bigint>")), lambda c: c < F.col(id_col)))
+    if cuts:
+        listed = lambda xs: F.expr(f"cast(split('{','.join(map(str, xs))}', ',') as array<bigint>)")  # noqa: E731  one literal, which Catalyst folds
+        tops = listed([cuts[min(i + coarse, len(cuts)) - 1] for i in range(0, len(cuts), coarse)])
+        below = F.size(F.filter(tops, lambda c: c < F.col(id_col)))
+        inside = F.size(F.filter(F.slice(listed(cuts), below * coarse + 1, coarse), lambda c: c < F.col(id_col)))
         rank = below * coarse + inside
     else:
         rank = F.lit(0)
@@ -135,25 +190,61 @@ def next_of(rows: DataFrame, id_col: str, columns: list[str], block_rows: int =
     whole = Window.orderBy("block")  # over one row a block
     before = F.coalesce(F.lag("block").over(whole), F.max("block").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     tops = tops.select(F.col("top._id").alias("_id"), F.bitwise_not("top._h").alias("_h"), before.alias("_before"))
-    marked = rows.join(F.broadcast(tops), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    found = rows.join(F.broadcast(tops), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     targets = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("block").alias("b"), F.lit(False).alias("extra")))).otherwise(
         F.array(F.struct(F.col("block").alias("b"), F.lit(False).alias("extra")), F.struct(F.col("_before").alias("b"), F.lit(True).alias("extra")))
     )
-    dealt = marked.withColumn("to", F.explode(targets)).drop("_id", "_h", "_before", "block")
-    order = Window.partitionBy("to.b").orderBy("to.extra", F.col(id_col).desc_nulls_last(), "h")
-    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("NOT to.extra").drop("to")
+    dealt = found.withColumn("to", F.explode(targets)).drop("_id", "_h", "_before", "block").select("*", "to.*").drop("to").repartition("b")
+    order = Window.partitionBy("b").orderBy("extra", F.col(id_col).desc_nulls_last(), "h")
+    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("NOT extra").drop("extra", "b")
+
+
+def once_each(rows: DataFrame) -> DataFrame:
+    """rows (id, text, h) without repeats, and n, how many there were."""
+    several = rows.groupBy("id", "h").count().where("count > 1").select(F.xxhash64("id", "h").alias("x"))
+    several = written(several, "repeated")
+    if several.isEmpty():
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    told = marked(rows, F.xxhash64("id", "h"), several)
+    repeated = told.where("maybe").groupBy("id", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    return told.where("NOT maybe").select("id", "text", "h", F.lit(1).cast("long").alias("n")).unionByName(repeated.select("id", "text", "h", "n"))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_share: int = 3) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last 1/edit_share of it replaced by the next document's beginning), and how alike they are."""
-    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("keys", F.expr(digests("text"))).withColumn("cells", F.expr(sketch("keys", f"{CELLS}L")))
-    rows = next_of(rows, id_col, ["text", "keys", "cells"])
-    cut = F.floor(F.length("text") / edit_share).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut))
-    rows = rows.select(id_col, F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "keys", "cells", "next_keys", "next_cells")
-    rows = rows.withColumn("edited_keys", F.expr(digests("edited"))).withColumn("edited_cells", F.expr(sketch("edited_keys", f"{CELLS}L")))
-    return rows.select(
-        id_col, "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint("cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"),
-        likeness("keys", "edited_keys", "cells", "edited_cells").alias("near_edited"), likeness("keys", "next_keys", "cells", "next_cells").alias("near_next"),
+    with scratch(df.sparkSession) as kept:
+        rows = once_each(df.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")))
+        rows = next_of(rows.withColumn("keys", F.expr(digests("text"))), "id", ["text", "keys"])
+        # of equal rows, all but the last are followed by an equal one
+        follow = F.array(F.struct(F.col("next_text").alias("text"), F.col("next_keys").alias("keys")))
+        own = F.struct("text", "keys")
+        follow = F.when(F.col("n") == 1, follow).otherwise(F.concat(F.array_repeat(own, (F.col("n") - 1).cast("int")), follow))
+        rows = rows.withColumn("next", F.explode(follow))
+        cut = F.floor(F.length("text") / edit_share).cast("int")
+        edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next.text", F.lit(1), cut))
+        rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "keys", F.col("next.keys").alias("next_keys"))
+        rows = rows.withColumn("edited_keys", F.expr(digests("edited"))).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).drop("edited")
+        rows = rows.withColumn("cells", F.expr(sketch("keys"))).withColumn("edited_cells", F.expr(sketch("edited_keys"))).withColumn("next_cells", F.expr(sketch("next_keys")))
+        tried = rows.select(
+            F.monotonically_increasing_id().alias("rid"), "id", "n_chars", "edited_sha256", fingerprint("cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"),
+            "keys", "edited_keys", "next_keys", first_try("cells", "edited_cells").alias("d_edited"), first_try("cells", "next_cells").alias("d_next"),
+        )
+        tried = written(tried, "fingerprints")
+        kept.append(tried)
+        pair = lambda w, b: F.when(F.col(w).isNull(), F.struct(F.lit(w).alias("w"), F.col("keys").alias("a"), F.col(b).alias("b")))
+        stuck = tried.select("rid", F.explode(F.array_compact(F.array(pair("d_edited", "edited_keys"), pair("d_next", "next_keys")))).alias("x")).select("rid", "x.*")
+        found = differences(stuck)
+        n = F.size("plus") + F.size("minus")
+        found = found.groupBy(F.col("rid").alias("_rid")).agg(F.max(F.when(F.col("w") == "d_edited", n)).alias("_edited"), F.max(F.when(F.col("w") == "d_next", n)).alias("_next"))
+        found = written(found, "recovered")
+        kept.append(found)
+
+    def likeness(b: str, first: str, again: str) -> Column:
+        both, d = F.size("keys") + F.size(b), F.coalesce(F.col(first), F.col(again))
+        return F.when(both == 0, F.lit(1.0)).otherwise((both - d).cast("double") / (both + d))
+
+    out = tried.join(found, F.col("rid") == F.col("_rid"), "left")
+    return out.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness("edited_keys", "d_edited", "_edited").alias("near_edited"), likeness("next_keys", "d_next", "_next").alias("near_next"),
     )

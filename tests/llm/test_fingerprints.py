@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.llm import fingerprints as P
@@ -10,7 +11,14 @@ from pagelake.llm import queries
 
 
 def parts(text):
-    return {x.strip(" ") for x in re.split(r"\n+|(?<=[aiou][.!?]) +", text) if x.strip(" ")}
+    """Sentences, by walking the characters."""
+    out, at = [], 0
+    for i, c in enumerate(text):
+        before = text[max(0, i - 3) : i].rstrip("\"'»’”)]") if c == " " else ""
+        if c == "\n" or before and before[-1] in ".!?…" and min(i, 3) - len(before) <= 2:
+            out.append(text[at:i])
+            at = i
+    return {x.strip(" \n") for x in [*out, text[at:]] if x.strip(" \n")}
 
 
 def jaccard(a, b):
@@ -63,13 +71,49 @@ def test_repeated_and_null_ids(spark):
         key = lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h)
         ordered = sorted(got, key=key)
         assert sorted((r.text, r.next_text) for r in got) == sorted((a.text, b.text) for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True))
+    h = {r.text: r.h for r in df.collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]]))]
+    want = sorted((t, hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest(), jaccard(t, n)) for t, n in zip(order, [*order[1:], order[0]], strict=True))
+    got = P.fingerprints(df.drop("h")).collect()
+    text = {hashlib.sha256(t.encode()).hexdigest(): t for t in "abcde"}
+    assert sorted((text[r.edited_sha256], r.edited_sha256, r.near_next) for r in got) == want
 
 
-def test_differences_are_recovered(spark):
-    """Any two sets: the digests peeled out are the symmetric difference, side by side."""
+def test_many_repeated_rows_are_combined(spark):
+    df = spark.range(3000).selectExpr("if(id % 10 = 0, id, 7L) as doc_id", "if(id % 10 = 0, concat('row ', id), 'the same') as text")
+    once = P.once_each(df.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("h")))
+    assert once.count() == 301 and once.agg({"n": "sum"}).first()[0] == 3000
+    got = P.fingerprints(df).collect()
+    assert len(got) == 3000 and sum(r.near_next == 1.0 for r in got if r.doc_id == 7) == 2699
+
+
+@pytest.mark.parametrize("cells", [{}, {"least_cells": 4, "cells_each": 0}])
+def test_differences_are_recovered(spark, cells):
+    """Any two sets: the digests peeled out are the symmetric difference, side by side. Also where the first tables are far too small."""
     rows = [(list(range(a)), list(range(b, c))) for a, b, c in ((0, 0, 0), (5, 0, 5), (30, 1, 33), (3, 100, 104), (400, 200, 900), (2000, 5, 2001), (1, 0, 0))]
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>").select(*(F.expr(f"transform({x}, i -> xxhash64(i))").alias(x) for x in "ab"))
-    df = df.withColumn("ac", F.expr(P.sketch("a", f"{P.CELLS}L"))).withColumn("bc", F.expr(P.sketch("b", f"{P.CELLS}L")))
-    for r in df.select("a", "b", F.expr(P.difference("a", "b", "ac", "bc")).alias("d")).collect():
-        assert r.d.done and set(r.d.plus) == set(r.a) - set(r.b) and set(r.d.minus) == set(r.b) - set(r.a)
-        assert len(r.d.plus) + len(r.d.minus) == len(set(r.a) ^ set(r.b))
+    df = spark.createDataFrame([(i, "x", a, b) for i, (a, b) in enumerate(rows)], "rid long, w string, a array<long>, b array<long>")
+    df = df.select("rid", "w", *(F.expr(f"transform({x}, i -> xxhash64(i))").alias(x) for x in "ab"))
+    got = {r.rid: r for r in P.differences(df, **cells).collect()}
+    for r in df.collect():
+        d = got[r.rid]
+        assert set(d.plus) == set(r.a) - set(r.b) and set(d.minus) == set(r.b) - set(r.a) and len(d.plus) + len(d.minus) == len(set(r.a) ^ set(r.b))
+    cells = df.select("rid", "a", "b", F.expr(P.sketch("a")).alias("ac"), F.expr(P.sketch("b")).alias("bc")).select("a", "b", P.first_try("ac", "bc").alias("d")).collect()
+    assert all(r.d is None or r.d == len(set(r.a) ^ set(r.b)) for r in cells) and [r.d is not None for r in cells[:2]] == [True, True]
+
+
+def test_time_grows_as_the_paragraphs(spark):
+    """Two documents that share nothing: twice the paragraphs take about twice the time."""
+    took = {}
+    for n in (4000, 4000, 8000, 16_000):
+        text = lambda k: "\n".join(f"paragraph {k} {i}" for i in range(n))  # noqa: B023, E731
+        df = spark.createDataFrame([(1, text(1)), (2, text(2))], "doc_id long, text string")
+        began = time.perf_counter()
+        rows = P.fingerprints(df).collect()
+        took[n] = time.perf_counter() - began
+        assert [r.near_next for r in rows] == [0.0, 0.0]
+    assert took[16_000] < 3 * took[8000] and took[16_000] < 5 * took[4000]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b. c d", 2, 3, 4, 5)], "`a.b` long, text string, id int, h int, n int, keys int")
+    assert P.fingerprints(df, id_col="a.b").columns[0] == "a.b" and P.fingerprints(df, id_col="a.b").first().near_next == 1.0
