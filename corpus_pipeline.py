@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm import decontamination, language_id, near_duplicates, packing, secret_scan
-from pagelake.llm.common import table, written
+from pagelake.llm.common import col, marked, removed, scratch, table, written
+
+
+def boxed(docs: DataFrame, *named: str) -> DataFrame:
+    """All columns as one, `row`, and copies of some of them by their names: whatever else a table has can't clash with an operator's columns."""
+    return docs.select(F.struct(*map(col, docs.columns)).alias("row"), *map(col, named))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
-    found = language_id.language_id(whole, keep=["row"])
+    plain = docs.toDF(*(c if c in ("doc_id", "text", "lang") else f"column_{i}" for i, c in enumerate(docs.columns)))
+    found = language_id.language_id(plain, keep=plain.columns)
     # no least score: for a short text the best cosine lies within the noise; texts with letters are und only where no language could be learned
-    return found.where((F.col("lang_pred") != "und") | F.col("row.text").rlike(r"\p{L}")).select("row.*")
+    kept = found.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*plain.columns)
+    return kept.toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +33,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = decontamination.decontaminate(whole, table(spark, sf_dir, "benchmark"), id_col="row")
-    return found.where("NOT contaminated").select("row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    plain = docs.select(F.struct(*(col(c).alias(f"column_{i}") for i, c in enumerate(rest))).alias("row"), "text")
+    found = decontamination.decontaminate(plain, table(spark, sf_dir, "benchmark"), id_col="row", keep_text=True).where("NOT contaminated")
+    place = {c: F.col(f"row.column_{i}") for i, c in enumerate(rest)} | {"text": F.col("text")}
+    return found.select(*(place[c].alias(c) for c in docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.secret_scan(docs).where(F.size("spans") > 0)
-    found = written(found.groupBy(F.col("blob").alias("_secret_blob")).agg(F.first("spans").alias("_secret_spans")), "secrets")
+    with scratch(spark) as kept:
+        found = secret_scan.secret_scan(docs).where(F.size("spans") > 0)
+        found = written(found.groupBy(F.col("blob").alias("found")).agg(F.first("spans").alias("spans")), "secrets")
+        kept.append(found)
     blob = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    joined = docs.join(found.hint("shuffle_hash"), blob == F.col("_secret_blob"), "left").withColumn("_redacted_text", secret_scan.redacted(F.col("text"), F.col("_secret_spans")))
-    clean = F.col("_secret_spans").isNull()
-    changed = {"text": F.when(clean, F.col("text")).otherwise(F.col("_redacted_text")), "n_chars": F.when(clean, F.col("n_chars")).otherwise(F.length("_redacted_text"))}
-    return joined.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else docs[c] for c in docs.columns))
+    rows = boxed(docs, "text", "n_chars").withColumn("blob", blob)
+    rows = marked(rows, F.xxhash64("blob"), found.select(F.xxhash64("found")))  # only texts that may hold secrets are dealt
+    joined = rows.where("maybe").join(found.hint("shuffle_hash"), F.col("blob") == F.col("found"), "left")
+    joined = joined.select("row", F.when(F.col("spans").isNotNull(), secret_scan.redacted(F.col("text"), F.col("spans"))).alias("clean"))
+    rows = joined.unionByName(rows.where("NOT maybe").select("row", F.lit(None).cast("string").alias("clean")))
+    changed = {"text": F.col("clean"), "n_chars": F.length("clean")}
+    old = lambda c: F.col("row").getField(c)
+    return rows.select(*((F.when(F.col("clean").isNotNull(), changed[c].cast(docs.schema[c].dataType)).otherwise(old(c)) if c in changed else old(c)).alias(c) for c in docs.columns))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +67,17 @@ STAGES = [
     ("secret_scan", redact_secrets),
     ("packing", pack_tokens),
 ]
-#: SQL has no hypervectors, tries or packing rules: tests hold the stages against brute-force versions.
+#: SQL has no hypervectors, tries or packing rules: tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written and read again as the next one's."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each stage's rows written and read again as the next one's. What a stage has written goes once the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        removed(spark, before)
+        before = sorted({path.rsplit("/", 1)[0] for path in docs.inputFiles()})
     return STAGES[-1][1](spark, docs, sf_dir)
