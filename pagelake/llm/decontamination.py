@@ -131,11 +131,11 @@ def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, st
         yield held
 
 
-def searched(found: DataFrame, blocks: list, kind: str) -> DataFrame:
-    """Rows of (id, text, n_words, hits, items) with the hits of each broadcast block added."""
+def searched(found: DataFrame, blocks: list, kind: str, keep_text: bool = False) -> DataFrame:
+    """Rows of (id, text, n_words, hits, items) with the hits of each broadcast block added; the last function leaves the text out, if it isn't to be kept."""
     schema = f"id {kind}, text string, n_words long, hits array<int>, items array<string>"
     for k, sent in enumerate(blocks):
-        last = k == len(blocks) - 1
+        last = k == len(blocks) - 1 and not keep_text
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             ids, tables = pickle.loads(sent.value)
@@ -161,22 +161,22 @@ def searched(found: DataFrame, blocks: list, kind: str) -> DataFrame:
 
 
 def decontaminate(
-    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20, spans: bool = False
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20, spans: bool = False, keep_text: bool = False
 ) -> DataFrame:
-    """`id_col`, n_words, n_hit, n_items, items_sha256, contaminated of every row, and with `spans` the hit ranges of words and the items."""
+    """`id_col`, n_words, n_hit, n_items, items_sha256, contaminated of every row, with `spans` the hit ranges of words and the items, and with `keep_text` the text."""
     spark: SparkSession = df.sparkSession
     items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
     sent = [spark.sparkContext.broadcast(pickle.dumps(build(block, window))) for block in blocks_of(items, block_bytes)] or [spark.sparkContext.broadcast(pickle.dumps(([], [])))]
     found = df.select(
         col(id_col).alias("id"), col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items")
     )
-    found = searched(found, sent, df.schema[id_col].dataType.simpleString())
+    found = searched(found, sent, df.schema[id_col].dataType.simpleString(), keep_text)
     n_hit = F.expr("cast(aggregate(sequence(0, size(hits) - 2, 2), 0L, (acc, i) -> acc + hits[i + 1] - hits[i]) as long)")
     out = found.select(
         F.col("id").alias(id_col), "n_words", F.when(F.size("hits") == 0, F.lit(0).cast("long")).otherwise(n_hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "hits", "items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "hits", "items", "text",
     )
-    return written(out if spans else out.drop("hits", "items"), "decontaminated")
+    return written(out.drop(*([] if spans else ["hits", "items"]), *([] if keep_text else ["text"])), "decontaminated")
 
 
 def merged(ranges: list[int]) -> list[int]:
