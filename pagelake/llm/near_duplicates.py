@@ -434,10 +434,10 @@ def near_duplicates(
                 rest = [batch.column(i).take(pa.array(real, pa.int64())) for i in range(1, 7)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([found[i].tobytes() for i in real], pa.binary())], names=["node", *columns, "digests"])
 
-        whole = routed.mapInArrow(digest, "node long, root long, n long, class int, n_blocks long, home long, digests binary")
+        whole = written(routed.mapInArrow(digest, "node long, root long, n long, class int, n_blocks long, home long, digests binary"), "members")
         links = whole.where("n_blocks IS NULL").select("root", "node", "digests").groupBy("root").applyInArrow(lambda t: join_group(t, percent), EDGES)
         if not routes.where("n_blocks IS NOT NULL").isEmpty():
-            links = links.unionByName(large_groups(written(whole.where("n_blocks IS NOT NULL"), "large"), percent, most_tokens, most_sets))
+            links = links.unionByName(large_groups(whole.where("n_blocks IS NOT NULL"), percent, most_tokens, most_sets))
         linked = components(links)
 
         ids = linked.join(nodes.select("node", "first_id"), "node")
