@@ -6,9 +6,9 @@ however many paths, versions and repeated rows hold the blob. Findings are then
 
 The ledger is a folder with one Parquet table (blob, rule_version, spans) a scan, which has every blob of that scan, also those
 without findings. Only tables that were ended (Spark's _SUCCESS) are read, so a scan that failed leaves no trace. Texts are dealt
-by id (one row a blob is chosen), never by their copies, and repeated rows are combined before the shuffle; where few blobs are
-unseen, the chosen ones are broadcast (BROADCAST_ROWS rows of 80 bytes at most) and the other texts go nowhere. A hot blob meets its
-findings in a join of two written tables, which Spark can split.
+by id (one row a blob is chosen), never by their copies, and repeated rows are combined before the shuffle; a bitmap of the chosen
+rows' hashes, 16 MB whatever the input, keeps all other texts where they are. A hot blob meets its findings in a join of two
+written tables, which Spark can split.
 
 Positions come from splitting a text by the same pattern: the parts' and the matches' lengths add up to each match's
 start. Lengths are code points.
@@ -26,9 +26,8 @@ from dataclasses import astuple, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import col, fresh, scratch, written
+from pagelake.llm.common import col, fresh, marked, scratch, written
 
-BROADCAST_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -113,15 +112,11 @@ def scan_unseen(df: DataFrame, ledger: str, id_col: str = "doc_id", text_col: st
         seen = ledger_rows(spark, ledger).where(F.col("rule_version") == version).select("blob")
         chosen = versions.groupBy("blob").agg(F.min(F.xxhash64("path")).alias("_at")).join(seen, "blob", "left_anti")
         chosen = written(chosen.select(F.col("blob").alias("_blob"), "_at"), "unseen")
-        unseen = chosen.count()
-        if not unseen:
+        if chosen.isEmpty():
             return versions
-        keys = (F.xxhash64("path") == F.col("_at")) & (F.col("blob") == F.col("_blob"))
-        if unseen <= BROADCAST_ROWS:
-            texts = rows.join(F.broadcast(chosen), keys).groupBy("blob").agg(F.first("text").alias("text"))
-        else:
-            one = rows.groupBy("path", "blob").agg(F.first("text").alias("text"))  # partial sums first: a task sends each repeated row once
-            texts = one.withColumn("_h", F.xxhash64("path")).join(chosen.hint("shuffle_hash"), (F.col("_h") == F.col("_at")) & (F.col("blob") == F.col("_blob")))
+        rows = marked(rows.withColumn("_h", F.xxhash64("path")), F.xxhash64("_h", "blob"), chosen.select(F.xxhash64("_at", "_blob"))).where("maybe")
+        once = rows.groupBy("_h", "blob").agg(F.first("text").alias("text"))  # partial sums first: a task sends each repeated row once
+        texts = once.join(chosen.hint("shuffle_hash"), (F.col("_h") == F.col("_at")) & (F.col("blob") == F.col("_blob")))
         found = texts.select("blob", F.lit(version).alias("rule_version"), spans_of(F.col("text"), rules).alias("spans"))  # no filter: it would move below the join, to all rows
         found.write.parquet(f"{ledger}/scan-{uuid.uuid4().hex}")
     return versions

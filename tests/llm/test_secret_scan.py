@@ -4,7 +4,6 @@ import hashlib
 import os
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from pagelake.llm import queries, secret_scan as S
@@ -57,9 +56,7 @@ def entries(spark, ledger):
     return sorted(tuple(r) for r in S.ledger_rows(spark, ledger).selectExpr("blob", "rule_version", "size(spans)").collect())
 
 
-@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
-def test_only_unseen_pairs_are_scanned(spark, tmp_path, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(S, "BROADCAST_ROWS", broadcast_rows)
+def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     one = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "clean"), (3, "clean"), (None, None), (None, None)], "doc_id int, text string")
     two = spark.createDataFrame([(1, "token=abcdefgh!"), (4, "clean"), (5, "token=abcdefgh")], "doc_id int, text string")
@@ -74,13 +71,11 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path, monkeypatch, broadcast_r
     assert len(entries(spark, ledger)) == 7 and {v for _, v, _ in entries(spark, ledger)} == {S.version_of(S.RULES), S.version_of(fewer)}
 
 
-def test_repeated_rows_are_scanned_once(spark, tmp_path, monkeypatch):
-    for rows in (10_000, 0):
-        monkeypatch.setattr(S, "BROADCAST_ROWS", rows)
-        ledger = f"file://{tmp_path}/ledger-{rows}"
-        df = spark.range(1000).selectExpr("7L as doc_id", "'token=abcdefgh' as text")
-        assert S.secret_scan(df, ledger).where("size(spans) = 1").count() == 1000
-        assert len(entries(spark, ledger)) == 1
+def test_repeated_rows_are_scanned_once(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    df = spark.range(1000).selectExpr("7L as doc_id", "'token=abcdefgh' as text")
+    assert S.secret_scan(df, ledger).where("size(spans) = 1").count() == 1000
+    assert len(entries(spark, ledger)) == 1
 
 
 def test_a_scan_that_failed_leaves_no_trace(spark, tmp_path):
