@@ -7,10 +7,11 @@ versions are subtracted cell by cell; what they share cancels out, and peeling (
 away, which frees others) recovers the digests that differ.
 
 The fingerprint is the sketch of 12 cells, which has the same size for every text. The fingerprints are tried first, row by row.
-Where peeling gets stuck, it is tried again with a table that has two cells a third for each paragraph of both texts, and then with 64 times
-as many, until all is recovered: cells are rows of (pair, cell) then, summed by a hash aggregate over rows that have been dealt by their pair
-once, so a round costs no shuffle and no more than the digests that are left. A round peels one third of the table, in which each digest has
-one cell only, so none is taken out twice.
+Where peeling gets stuck, it is tried again with 2^20 cells a third (kept sparsely), of which the first third is made and peeled: it holds
+each digest once, so if each of its cells gives one away, all are recovered. Where some doesn't (texts of very many paragraphs), whole
+tables are peeled that have at least two cells a third for each paragraph of both texts, then 64 times as many, until all is recovered:
+cells are rows of (pair, cell) there, summed by a hash aggregate over rows that have been dealt by their pair once, so a round costs no
+shuffle and no more than the digests that are left. A round peels one third of the table, so no digest is taken out twice.
 
 Likeness of two sets of digests A and B with d recovered differences: (|A| + |B| - d) / (|A| + |B| + d), the Jaccard similarity.
 
@@ -31,19 +32,25 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.common import col, marked, scratch, written
 
-CELLS, GROWTH, TRIES, ROUNDS = 12, 64, 6, 12
+CELLS, LARGER, GROWTH, TRIES, ROUNDS = 12, 3 << 20, 64, 6, 12
 #: Paragraph ends: line ends, and sentence ends of any script: a mark and blanks, or a full-width mark; closing quotes go with their sentence.
 CLOSERS = r"[\"\\x27\u00bb\u2019\u201d)\\]\u300d\u300f\uff09]"
-MARKS, WIDE = "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]", "[\u3002\uff01\uff1f\uff61]"
+COMMON, MARKS, WIDE = ".!?\u2026", "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]", "[\u3002\uff01\uff1f\uff61]"
+OTHERS = "[\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]"
+RARE = f"{MARKS}{CLOSERS}{{1,2}} |{OTHERS} |{WIDE}"
 WIDE_ENDS, PARTS = rf"({WIDE}{CLOSERS}{{0,2}})(?!{WIDE}|{CLOSERS})", rf"\\n+| (?<={MARKS}{CLOSERS}{{0,2}} ) *"
 CELL = "struct<c:bigint,n:bigint,k:bigint,h:bigint>"
 PAIR = ["rid", "w"]
 
 
 def digests(text: str) -> str:
-    """SQL: the distinct paragraph digests of the text expression, sorted. Full-width marks are sought only where there are any."""
-    lines = f"if({text} rlike '{WIDE}', regexp_replace({text}, '{WIDE_ENDS}', '$1\\n'), {text})"
-    return f"array_sort(array_distinct(transform(filter(transform(split({lines}, '{PARTS}'), p -> trim(p)), p -> p != ''), p -> xxhash64(p))))"
+    """SQL: the distinct paragraph digests of the text expression, sorted. The patterns are used only where plain replacements don't tell all ends."""
+    plain = text
+    for mark in COMMON:
+        plain = f"replace({plain}, '{mark} ', '{mark}\n')"
+    lines = f"if({text} rlike '{WIDE}', regexp_replace({text}, '{WIDE_ENDS}', '$1\n'), {text})"
+    parts = f"if({text} rlike '{RARE}', split({lines}, '{PARTS}'), split({plain}, '\n'))"
+    return f"sort_array(array_distinct(transform(filter(transform({parts}, p -> trim(p)), p -> p != ''), p -> xxhash64(p))))"
 
 
 def check(key: str) -> str:
@@ -74,10 +81,14 @@ def combined(cells: str) -> str:
 
 
 def sketch(keys: str) -> str:
-    """SQL: the CELLS cells of an array of digests, without empty ones: a fold over the digests a cell."""
-    one = f"""aggregate({keys}, named_struct('c', i, 'n', 0L, 'k', 0L, 'h', 0L), (a, d) -> if(i = (i div {CELLS // 3}L) * {CELLS // 3}L + pmod(xxhash64(d, i div {CELLS // 3}L), {CELLS // 3}L),
-        named_struct('c', i, 'n', a.n + 1L, 'k', a.k ^ d, 'h', a.h ^ {check('d')}), a))"""
-    return f"filter(transform(sequence(0L, {CELLS - 1}L), i -> {one}), c -> c.n != 0)"
+    """SQL: the CELLS cells of an array of digests, without empty ones. A digest's places are worked out once."""
+    third = CELLS // 3
+    q = " + ".join(f"{third**j} * pmod(xxhash64(d, {j}L), {third}L)" for j in range(3))
+    x = f"transform({keys}, d -> named_struct('d', d, 'h', {check('d')}, 'q', {q}))"
+    own = f"filter(x, e -> (e.q div cast(pow({third}, i div {third}) as bigint)) % {third} = i % {third})"
+    cell = "named_struct('c', i, 'n', cast(size(own) as bigint), 'k', aggregate(own, 0L, (a, e) -> a ^ e.d), 'h', aggregate(own, 0L, (a, e) -> a ^ e.h))"
+    cells = f"transform(sequence(0L, {CELLS - 1}L), i -> transform(array({own}), own -> {cell})[0])"
+    return f"filter(transform(array({x}), x -> {cells})[0], c -> c.n != 0)"
 
 
 def subtracted(a: str, b: str) -> str:
@@ -109,11 +120,19 @@ def first_try(a_cells: str, b_cells: str) -> Column:
     return F.expr(f"transform(array({peeled(subtracted(a_cells, b_cells), f'{CELLS}L')}), r -> if(size(r.cells) = 0, size(r.plus) + size(r.minus), null))[0]")
 
 
+def second_try(a: str, b: str) -> Column:
+    """How many digests the first third of a larger table gives away; null if one of its cells holds several."""
+    entry = "transform({of}, d -> named_struct('c', {at}, 'n', {sign}L, 'k', d, 'h', {check}))"
+    both = f"concat({entry.format(of=a, at=place('d', 0, f'{LARGER}L'), sign=1, check=check('d'))}, {entry.format(of=b, at=place('d', 0, f'{LARGER}L'), sign=-1, check=check('d'))})"
+    pure = f"abs(c.n) = 1 and c.h = {check('c.k')} and c.c = {place('c.k', 0, f'{LARGER}L')}"
+    return F.expr(f"transform(array({combined(both)}), s -> if(forall(s, c -> {pure}), size(s), null))[0]")
+
+
 def fingerprint(cells: str) -> Column:
     """A sketch of CELLS cells in base64: 2 bytes of count, 8 of digests, 4 of checks a cell."""
     text = "concat(lpad(hex(c.n & 65535), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.h), 8, '0'))"
     dense = f"concat({cells}, transform(array_except(sequence(0L, {CELLS - 1}L), transform({cells}, c -> c.c)), i -> named_struct('c', i, 'n', 0L, 'k', 0L, 'h', 0L)))"
-    return F.expr(f"replace(replace(base64(unhex(array_join(transform(array_sort({dense}), c -> {text}), ''))), '\r', ''), '\n', '')")
+    return F.expr(f"replace(replace(base64(unhex(array_join(transform(sort_array({dense}), c -> {text}), ''))), '\r', ''), '\n', '')")
 
 
 # ---------------------------------------------------------------- larger tables, cell by cell
@@ -226,25 +245,29 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.withColumn("edited_keys", F.expr(digests("edited"))).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).drop("edited")
         rows = rows.withColumn("cells", F.expr(sketch("keys"))).withColumn("edited_cells", F.expr(sketch("edited_keys"))).withColumn("next_cells", F.expr(sketch("next_keys")))
         tried = rows.select(
-            F.monotonically_increasing_id().alias("rid"), "id", "n_chars", "edited_sha256", fingerprint("cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"),
-            "keys", "edited_keys", "next_keys", first_try("cells", "edited_cells").alias("d_edited"), first_try("cells", "next_cells").alias("d_next"),
+            "id", "n_chars", "edited_sha256", fingerprint("cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"), "keys", "edited_keys", "next_keys",
+            first_try("cells", "edited_cells").alias("d_edited"), first_try("cells", "next_cells").alias("d_next"),
         )
+        again = lambda d, b: F.when(F.col(d).isNull(), second_try("keys", b)).otherwise(F.col(d)).alias(d)
+        tried = tried.select("*", F.size("keys").alias("n"), F.size("edited_keys").alias("n_edited"), F.size("next_keys").alias("n_next")).withColumns({"d_edited": again("d_edited", "edited_keys"), "d_next": again("d_next", "next_keys")})
+        pair = lambda d, b: F.when(F.col(d).isNull(), F.struct(F.lit(d).alias("w"), F.col("keys").alias("a"), F.col(b).alias("b")))
+        stuck = F.array_compact(F.array(pair("d_edited", "edited_keys"), pair("d_next", "next_keys")))
+        tried = tried.select(F.monotonically_increasing_id().alias("rid"), "*", F.when(F.size(stuck) > 0, stuck).alias("stuck")).drop("keys", "edited_keys", "next_keys")
         tried = written(tried, "fingerprints")
         kept.append(tried)
-        pair = lambda w, b: F.when(F.col(w).isNull(), F.struct(F.lit(w).alias("w"), F.col("keys").alias("a"), F.col(b).alias("b")))
-        stuck = tried.select("rid", F.explode(F.array_compact(F.array(pair("d_edited", "edited_keys"), pair("d_next", "next_keys")))).alias("x")).select("rid", "x.*")
-        found = differences(stuck)
+        found = differences(tried.where("stuck IS NOT NULL").select("rid", F.explode("stuck").alias("x")).select("rid", "x.*"))
         n = F.size("plus") + F.size("minus")
         found = found.groupBy(F.col("rid").alias("_rid")).agg(F.max(F.when(F.col("w") == "d_edited", n)).alias("_edited"), F.max(F.when(F.col("w") == "d_next", n)).alias("_next"))
         found = written(found, "recovered")
         kept.append(found)
 
-    def likeness(b: str, first: str, again: str) -> Column:
-        both, d = F.size("keys") + F.size(b), F.coalesce(F.col(first), F.col(again))
+    def likeness(n: str, first: str, again: str) -> Column:
+        both, d = F.col("n") + F.col(n), F.coalesce(F.col(first), F.col(again))
         return F.when(both == 0, F.lit(1.0)).otherwise((both - d).cast("double") / (both + d))
 
-    out = tried.join(found, F.col("rid") == F.col("_rid"), "left")
-    return out.select(
+    columns = lambda df: df.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("edited_keys", "d_edited", "_edited").alias("near_edited"), likeness("next_keys", "d_next", "_next").alias("near_next"),
+        likeness("n_edited", "d_edited", "_edited").alias("near_edited"), likeness("n_next", "d_next", "_next").alias("near_next"),
     )
+    never = tried.where("stuck IS NULL").select("*", *(F.lit(None).cast("int").alias(c) for c in ("_edited", "_next")))
+    return columns(never).unionByName(columns(tried.where("stuck IS NOT NULL").join(found, F.col("rid") == F.col("_rid"), "left")))

@@ -99,6 +99,8 @@ def test_differences_are_recovered(spark, cells):
         assert set(d.plus) == set(r.a) - set(r.b) and set(d.minus) == set(r.b) - set(r.a) and len(d.plus) + len(d.minus) == len(set(r.a) ^ set(r.b))
     cells = df.select("rid", "a", "b", F.expr(P.sketch("a")).alias("ac"), F.expr(P.sketch("b")).alias("bc")).select("a", "b", P.first_try("ac", "bc").alias("d")).collect()
     assert all(r.d is None or r.d == len(set(r.a) ^ set(r.b)) for r in cells) and [r.d is not None for r in cells[:2]] == [True, True]
+    larger = df.select("a", "b", P.second_try("a", "b").alias("d")).collect()
+    assert all(r.d is None or r.d == len(set(r.a) ^ set(r.b)) for r in larger) and sum(r.d is not None for r in larger) >= 6
 
 
 def test_time_grows_as_the_paragraphs(spark):
