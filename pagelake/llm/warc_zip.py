@@ -278,10 +278,24 @@ def write_archives(
     return written(rows.mapInArrow(write, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
+def sized(archives: DataFrame) -> DataFrame:
+    """Adds n_bytes, the size of the file at `path`."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [store.get_file_info(at).size for store, at in map(fs.FileSystem.from_uri, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["path", "n_bytes"])
+
+    return written(archives.select("path").mapInArrow(sizes, "path string, n_bytes long"), "warc-sizes")
+
+
 def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool = False, id_type: str = "long", task_bytes: int = 32 << 20) -> DataFrame:
     """One row a record of the archives at `archives.path`; runs of about `run_bytes` are dealt to tasks of about `task_bytes`.
 
-    The number of tasks follows the bytes that are to be read (`archives.n_bytes`), and no fewer than the cluster's cores, if there are as many runs."""
+    The number of tasks follows the bytes that are to be read (`archives.n_bytes`, or else the files' sizes), and no fewer than the cluster's cores, if
+    there are as many runs."""
+    if "n_bytes" not in archives.columns:
+        archives = sized(archives)
     total = archives.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_tasks = max(1, -(-total // task_bytes), min(archives.sparkSession.sparkContext.defaultParallelism, -(-total // run_bytes)))
 

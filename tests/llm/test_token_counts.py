@@ -34,3 +34,14 @@ def test_pieces_join_to_the_text(most):
     text = "  ab c\n\n d  e f g\th i" * 20
     parts = T.safe_pieces(text, most)
     assert "".join(parts) == text and all(p[0] in " \n" for p in parts[1:])
+
+
+def test_clashing_columns_and_other_ids(spark):
+    df = spark.createDataFrame([("x", "é a", 1, 2), (None, None, 1, 2)], "`a.b` string, text string, id int, n_tokens int")
+    got = T.token_counts(df, PATH, id_col="a.b").collect()
+    assert sorted(((r["a.b"], r.n_bytes, r.n_tokens > 0, r.over_limit) for r in got), key=str) == sorted([("x", 4, True, False), (None, 0, False, False)], key=str)
+
+
+def test_batches_are_balanced_by_bytes():
+    pieces = [(i, x) for i, x in enumerate(["é" * 50, "a" * 50, "日" * 40, "b" * 10])]
+    assert [[i for i, _ in run] for run in T.byte_batches(pieces, 100)] == [[0], [1, 2], [3]]

@@ -87,7 +87,7 @@ def test_reading_back_is_dealt_by_bytes(spark):
     total = archives.agg({"n_bytes": "sum"}).first()[0]
     assert W.read_archives(archives, run_bytes=20_000, task_bytes=total // 20).rdd.getNumPartitions() >= 20  # the runs' descriptors have a few KB
     assert W.read_archives(archives, run_bytes=20_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert W.read_archives(archives, run_bytes=20_000).count() == 400
+    assert W.read_archives(archives, run_bytes=20_000).count() == 400 == W.read_archives(archives.select("path")).count()
 
 
 def test_payloads_without_copies_are_not_dealt(spark):
