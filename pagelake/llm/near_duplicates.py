@@ -318,6 +318,11 @@ def size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / math.log(101 / percent)).cast("int")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows by keys to all of the session's shuffle partitions: a given number isn't coalesced by bytes, of which joins take few and much time for each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def blocked(members: DataFrame, percent: int, most_tokens: int, most_sets: int) -> DataFrame:
     """Adds class, n_blocks (of the class, where the group is cut) and home (a block's number in its group). `members`: node, root, n, ..."""
 
@@ -347,7 +352,7 @@ def large_groups(whole: DataFrame, percent: int, most_tokens: int, most_sets: in
     links = []
 
     def joined(rows: DataFrame, *keys: str) -> DataFrame:
-        found = written(rows.groupBy(*keys).applyInArrow(lambda t: join_block(t, percent, hub_sets), BLOCK), "blocks")
+        found = written(spread(rows, *keys).groupBy(*keys).applyInArrow(lambda t: join_block(t, percent, hub_sets), BLOCK), "blocks")
         links.append(found.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")))
         return found
 
@@ -379,8 +384,8 @@ def large_groups(whole: DataFrame, percent: int, most_tokens: int, most_sets: in
     if outside.isEmpty():
         return found
 
-    # outsiders meet the blocks of their and the neighbouring classes; the more outsiders, the more blocks are taken together
-    several = outside.groupBy("root").agg(F.greatest(F.lit(1), F.least(F.lit(16), F.ceil(F.count(F.lit(1)) / most_sets))).cast("long").alias("_several")).withColumnRenamed("root", "_root")
+    # outsiders meet the blocks of their and the neighbouring classes; where they are many, two blocks are taken together, and outsiders are cut as blocks are
+    several = outside.groupBy("root").agg(F.least(F.lit(2), F.ceil(F.count(F.lit(1)) / most_sets)).cast("long").alias("_several")).withColumnRenamed("root", "_root")
     several = written(several, "several")
     at = F.col("class") * F.lit(1 << 40) + F.pmod(F.col("home"), F.greatest(F.lit(1), F.ceil(F.col("n_blocks") / F.col("_several"))).cast("long"))
     stored = whole.join(several, F.col("root") == F.col("_root")).select("root", "class", F.when(F.col("n_blocks") > 1, at).otherwise(F.col("class") * F.lit(1 << 40)).alias("block"), "node", "digests")
@@ -388,12 +393,12 @@ def large_groups(whole: DataFrame, percent: int, most_tokens: int, most_sets: in
     kinds = written(kinds, "kinds")
     near = outside.withColumn("_near", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
     asks = near.join(kinds, (F.col("root") == F.col("_root")) & (F.col("_near") == F.col("_class"))).select(F.col("node").alias("_node"), "root", "block", "n")
-    chunks = written(asks.groupBy("root", "block").agg(F.ceil(F.sum("n") / most_tokens).cast("int").alias("chunks")), "chunks")
+    chunks = written(asks.groupBy("root", "block").agg(F.ceil(F.greatest(F.sum("n") / most_tokens, F.count(F.lit(1)) / (2 * most_sets))).cast("int").alias("chunks")), "chunks")
     asks = asks.join(chunks, ["root", "block"]).select("_node", "root", F.col("block").alias("_block"), F.pmod(F.xxhash64("_node"), F.col("chunks")).cast("int").alias("chunk"))
     asked = whole.select("node", "digests").join(asks, F.col("node") == F.col("_node")).select("root", F.col("_block").alias("block"), "chunk", "node", "digests", F.lit(True).alias("asked"))
     stored = stored.join(chunks, ["root", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     stored = stored.select("root", "block", "chunk", "node", "digests", F.lit(False).alias("asked"))
-    return found.unionByName(asked.unionByName(stored).groupBy("root", "block", "chunk").applyInArrow(lambda t: ask_group(t, percent), EDGES))
+    return found.unionByName(spread(asked.unionByName(stored), "root", "block", "chunk").groupBy("root", "block", "chunk").applyInArrow(lambda t: ask_group(t, percent), EDGES))
 
 
 def near_duplicates(
@@ -435,7 +440,7 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([found[i].tobytes() for i in real], pa.binary())], names=["node", *columns, "digests"])
 
         whole = written(routed.mapInArrow(digest, "node long, root long, n long, class int, n_blocks long, home long, digests binary"), "members")
-        links = whole.where("n_blocks IS NULL").select("root", "node", "digests").groupBy("root").applyInArrow(lambda t: join_group(t, percent), EDGES)
+        links = spread(whole.where("n_blocks IS NULL").select("root", "node", "digests"), "root").groupBy("root").applyInArrow(lambda t: join_group(t, percent), EDGES)
         if not routes.where("n_blocks IS NOT NULL").isEmpty():
             links = links.unionByName(large_groups(whole.where("n_blocks IS NOT NULL"), percent, most_tokens, most_sets))
         linked = components(links)
