@@ -68,13 +68,13 @@ def small_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> Iterator[No
             spark.conf.set(BATCH_BYTES, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it again: the lineage is cut, and a lost executor loses nothing.
 
     The folder goes with the innermost `scratch`; outside one it stays, as the table that is returned reads it."""
     path = fresh(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
