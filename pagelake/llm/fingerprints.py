@@ -36,8 +36,8 @@ CELLS, LARGER, GROWTH, TRIES, ROUNDS = 12, 3 << 20, 64, 6, 12
 #: Paragraph ends: line ends, and sentence ends of any script: a mark and blanks, or a full-width mark; closing quotes go with their sentence.
 CLOSERS = r"[\"\\x27\u00bb\u2019\u201d)\\]\u300d\u300f\uff09]"
 COMMON, MARKS, WIDE = ".!?\u2026", "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]", "[\u3002\uff01\uff1f\uff61]"
-OTHERS = "[\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]"
-RARE = f"{MARKS}{CLOSERS}{{1,2}} |{OTHERS} |{WIDE}"
+#: Texts with one of these marks and closers, or with an ASCII closer in front of a blank, are cut by patterns, all others by plain replacements.
+RARE, CLOSED = "[\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4\u3002\uff01\uff1f\uff61\u00bb\u2019\u201d\u300d\u300f\uff09]", ('" ', "\\' ", ") ", "] ")
 WIDE_ENDS, PARTS = rf"({WIDE}{CLOSERS}{{0,2}})(?!{WIDE}|{CLOSERS})", rf"\\n+| (?<={MARKS}{CLOSERS}{{0,2}} ) *"
 CELL = "struct<c:bigint,n:bigint,k:bigint,h:bigint>"
 PAIR = ["rid", "w"]
@@ -48,8 +48,9 @@ def digests(text: str) -> str:
     plain = text
     for mark in COMMON:
         plain = f"replace({plain}, '{mark} ', '{mark}\n')"
+    rare = " or ".join([*(f"contains({text}, '{x}')" for x in CLOSED), f"(octet_length({text}) != length({text}) and {text} rlike '{RARE}')"])
     lines = f"if({text} rlike '{WIDE}', regexp_replace({text}, '{WIDE_ENDS}', '$1\n'), {text})"
-    parts = f"if({text} rlike '{RARE}', split({lines}, '{PARTS}'), split({plain}, '\n'))"
+    parts = f"if({rare}, split({lines}, '{PARTS}'), split({plain}, '\n'))"
     return f"sort_array(array_distinct(transform(filter(transform({parts}, p -> trim(p)), p -> p != ''), p -> xxhash64(p))))"
 
 
@@ -165,7 +166,7 @@ def tries(pairs: DataFrame, power: int, least_cells: int = 256, cells_each: int
     return joined.select(F.col("_rid").alias("rid"), F.col("_w").alias("w"), F.coalesce("done", F.lit(True)).alias("done"), F.coalesce("plus", none).alias("plus"), F.coalesce("minus", none).alias("minus"))
 
 
-def differences(pairs: DataFrame, least_cells: int = 256, cells_each: int = 2, entries_a_task: int = 2_000_000) -> DataFrame:
+def differences(pairs: DataFrame, least_cells: int = 256, cells_each: int = 2, entries_a_task: int = 300_000) -> DataFrame:
     """rid, w, plus, minus: the digests in which the arrays a and b of each pair (rid, w) differ, recovered from sketches."""
     with scratch(pairs.sparkSession) as kept:
         left, found = written(pairs.select("rid", "w", "a", "b"), "pairs"), None
