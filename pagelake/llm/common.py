@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -17,6 +17,17 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
+#: Of this Python worker: which operator holds large tables, and how they are let go.
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def claim(holder: str, clear: Callable[[], None]) -> None:
+    """Called in a worker by an operator that keeps tables from task to task: those of all other operators go, as workers serve one after the other."""
+    for other in [x for x in _holders if x != holder]:
+        _holders.pop(other)()
+    _holders[holder] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder; any path that Spark can read."""
     share_package(spark)

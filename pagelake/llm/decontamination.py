@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import col, written
+from pagelake.llm.common import claim, col, written
 
 #: Letters A-Z in lower case; every other ASCII character but digits and a-z parts words; all bytes of other characters are kept.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -138,6 +138,7 @@ def searched(found: DataFrame, blocks: list, kind: str, keep_text: bool = False)
         last = k == len(blocks) - 1 and not keep_text
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+            claim("decontamination", int)  # nothing of its own stays
             ids, tables = pickle.loads(sent.value)
             for batch in batches:
                 counts, hits, names = [], [], []

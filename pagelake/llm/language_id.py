@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import col, scratch, written
+from pagelake.llm.common import claim, col, scratch, written
 
 DIM, SYMBOLS, SEED = 1024, 1024, 20_231
-MOST_VECTORS = 32_768
+MOST_VECTORS, MOST_KEYS = 32_768, 2048
 MOST_LANGUAGES = 4096
 
 
@@ -63,7 +63,7 @@ class Vectors:
         self.matrix = np.empty((1024, self.dim), dtype=np.int8)
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if len(keys) > MOST_VECTORS // 2:  # a text of very many different trigrams: part by part
+        if len(keys) > min(MOST_KEYS, MOST_VECTORS // 2):  # a text of many different trigrams: part by part
             half = len(keys) // 2
             return self.bundle(keys[:half], counts[:half]) + self.bundle(keys[half:], counts[half:])
         names = keys.tolist()
@@ -114,6 +114,7 @@ def prototypes(df: DataFrame, text_col: str = "text", lang_col: str = "lang", di
         yield from rows()
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id", vectors.cache_clear)
         sums: dict[str, np.ndarray] = {}
         bound = vectors(dim)
         for batch in batches:
@@ -147,6 +148,7 @@ def identify(df: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str
     at = columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id", vectors.cache_clear)
         names, protos = sent.value
         bound = vectors(dim)
         for batch in batches:

@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import col, marked, scratch, written
+from pagelake.llm.common import claim, col, marked, scratch, written
 from pagelake.llm.components import components
 from pagelake.llm.packed import ARROW, SCHEMA, deal, gather, unpacked
 from pagelake.llm.prefix_tree import Trie, Union, ask, edge_batch, link
-from pagelake.llm.shingles import sets_of
+from pagelake.llm.shingles import powers, sets_of
 
 __all__ = ["Trie", "near_duplicates", "one_of_each"]
 
@@ -84,6 +84,7 @@ def shapes_of(df: DataFrame, id_col: str, text_col: str, size: int, percent: int
     kinds = [None, *[pa.int64()] * 5, pa.binary(), pa.binary()]
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_duplicates", powers.cache_clear)
         seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
         count, id_type = 0, None
@@ -114,7 +115,7 @@ def shapes_of(df: DataFrame, id_col: str, text_col: str, size: int, percent: int
             if count >= run:
                 yield common()
                 held, count = [], 0
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen = set()
         if held:
             yield common()

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import col, scratch, written
+from pagelake.llm.common import claim, col, scratch, written
 from pagelake.llm.token_counts import load_tokenizer, safe_pieces
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 4096, 1
@@ -83,6 +83,11 @@ def known_words(path: str) -> WordIds:
     return WordIds(load_tokenizer(path))
 
 
+def forget() -> None:
+    known_words.cache_clear()
+    load_tokenizer.cache_clear()
+
+
 def id_bytes(texts: list[str], known: WordIds) -> list[bytes]:
     """The ids of each text, little-endian unsigned 32-bit, as the tokenizer gives them."""
     words = [x.lower().split() if PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
@@ -109,6 +114,7 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     tail = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", forget)
         known = known_words(path)
         for batch in batches:
             rows, columns = [], ([], [], [], [])

@@ -16,7 +16,7 @@ import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
-LONG, CHUNK = 64, 1 << 20
+LONG, CHUNK = 64, 1 << 18
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
@@ -48,7 +48,7 @@ def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts, ends = offsets[:-1][offsets[:-1] < n], offsets[1:][offsets[1:] > 0] - 1
     first[starts], last[ends] = word[starts], word[ends]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(1 << max(21, int(n).bit_length()))
+    up, down = powers(1 << max(19, int(n).bit_length()))
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     h = (sums[end] - sums[begin]) * down[begin]

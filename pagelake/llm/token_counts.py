@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagelake.llm.common import col, written
+from pagelake.llm.common import claim, col, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -77,6 +77,7 @@ def token_counts(
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *fields])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts", load_tokenizer.cache_clear)
         tokenizer = load_tokenizer(path)
         for batch in batches:
             texts = batch.column(1)

@@ -91,3 +91,15 @@ def test_equal_rows_are_spread_over_blocks(spark):
     blocks = [r.sequence_id >> 32 for r in rows]
     assert len(rows) == 3000 and max(map(blocks.count, set(blocks))) < 1500
     assert {r.length for r in K.packed(df, PATH).collect()} == {5}
+
+
+def test_one_operators_tables_at_a_time():
+    from pagelake.llm import common
+
+    gone = []
+    common.claim("a", lambda: gone.append("a"))
+    common.claim("a", lambda: gone.append("a"))
+    common.claim("b", lambda: gone.append("b"))
+    assert gone == ["a"]
+    common.claim("a", int)
+    assert gone == ["a", "b"]
