@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import claim, col, marked, scratch, written
+from pagelake.llm.common import claim, col, marked, scratch, spread, written
 from pagelake.llm.components import components
 from pagelake.llm.packed import ARROW, SCHEMA, deal, gather, unpacked
 from pagelake.llm.prefix_tree import Trie, Union, ask, edge_batch, link
@@ -319,11 +319,6 @@ def size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / math.log(101 / percent)).cast("int")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals rows by keys to all of the session's shuffle partitions: a given number isn't coalesced by bytes, of which joins take few and much time for each."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def blocked(members: DataFrame, percent: int, most_tokens: int, most_sets: int) -> DataFrame:
     """Adds class, n_blocks (of the class, where the group is cut) and home (a block's number in its group). `members`: node, root, n, ..."""
 
