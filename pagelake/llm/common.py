@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +25,19 @@ _holders: dict[str, Callable[[], None]] = {}
 
 
 def claim(holder: str, clear: Callable[[], None]) -> None:
-    """Called in a worker by an operator that keeps tables from task to task: those of all other operators go, as workers serve one after the other."""
-    for other in [x for x in _holders if x != holder]:
+    """Called in a worker by an operator that keeps tables from task to task: those of all other operators go, as workers serve one after the other.
+
+    The memory goes back to the system, too, where the C library can do that."""
+    others = [x for x in _holders if x != holder]
+    for other in others:
         _holders.pop(other)()
     _holders[holder] = clear
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

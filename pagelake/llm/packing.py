@@ -42,7 +42,7 @@ TOKENIZER, LENGTH, END = "word_bpe_49k.json", 4096, 1
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f]*")
 #: The tokenizer's own pattern, as its file gives it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-MOST_WORDS = 900_000
+MOST_WORDS = 500_000
 
 
 class WordIds(dict):
@@ -118,7 +118,7 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         known = known_words(path)
         for batch in batches:
             rows, columns = [], ([], [], [], [])
-            for i, ids in ((first + i, x + tail) for first, texts in runs_of(batch.column(1), 2 << 20) for i, x in enumerate(id_bytes(texts, known))):
+            for i, ids in ((first + i, x + tail) for first, texts in runs_of(batch.column(1), 1 << 19) for i, x in enumerate(id_bytes(texts, known))):
                 for k in range(0, len(ids), 4 * length):
                     part = ids[k : k + 4 * length]
                     rows.append(i)
