@@ -42,14 +42,14 @@ TOKENIZER, LENGTH, END = "word_bpe_49k.json", 4096, 1
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f]*")
 #: The tokenizer's own pattern, as its file gives it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-MOST_WORDS = 500_000
+MOST_WORDS, RUN_CHARS = 900_000, 2 << 20
 
 
 class WordIds(dict):
-    """Word between white space -> its ids as bytes; holds MOST_WORDS and those of one batch at most."""
+    """Word between white space -> its ids as bytes; holds `most` and those of one run at most."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, most: int | None = None):
+        self.tokenizer, self.most = tokenizer, most or MOST_WORDS
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end one of the tokenizer's own pieces
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -62,8 +62,8 @@ class WordIds(dict):
         missing = [x for x in words if x not in self]
         if not missing:
             return
-        if len(self) >= MOST_WORDS:
-            first = list(islice(self.items(), MOST_WORDS * 3 // 4))  # those met first are the common ones
+        if len(self) >= self.most:
+            first = list(islice(self.items(), self.most * 3 // 4))  # those met first are the common ones
             self.clear()
             self.update(first)
             missing = [x for x in words if x not in self]
@@ -78,9 +78,9 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=2)
-def known_words(path: str) -> WordIds:
+def known_words(path: str, most: int) -> WordIds:
     """One table a worker, kept from task to task."""
-    return WordIds(load_tokenizer(path))
+    return WordIds(load_tokenizer(path), most)
 
 
 def forget() -> None:
@@ -108,17 +108,18 @@ def runs_of(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
-    """`id_col`, piece, start, length, ids_crc32: all pieces of all rows; `path`: the tokenizer's file on every worker."""
+def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, most_words: int = MOST_WORDS, run_chars: int = RUN_CHARS) -> DataFrame:
+    """id, piece, start, length, ids_crc32: all pieces of all rows; `path`: the tokenizer's file on every worker. A worker's table holds `most_words`
+    and the words of a run of texts of `run_chars`: more take memory, fewer take time."""
     schema = f"id {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     tail = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing", forget)
-        known = known_words(path)
+        known = known_words(path, most_words)
         for batch in batches:
             rows, columns = [], ([], [], [], [])
-            for i, ids in ((first + i, x + tail) for first, texts in runs_of(batch.column(1), 1 << 19) for i, x in enumerate(id_bytes(texts, known))):
+            for i, ids in ((first + i, x + tail) for first, texts in runs_of(batch.column(1), run_chars) for i, x in enumerate(id_bytes(texts, known))):
                 for k in range(0, len(ids), 4 * length):
                     part = ids[k : k + 4 * length]
                     rows.append(i)
@@ -176,10 +177,10 @@ def pack(pieces: DataFrame, length: int = LENGTH, block_pieces: int = 1 << 16) -
     return pieces.withColumn("block", block).groupBy("block").applyInPandas(place, schema)
 
 
-def packed(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def packed(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_words: int = MOST_WORDS, run_chars: int = RUN_CHARS) -> DataFrame:
     """Cut and pack all rows; tokenizing happens once."""
     with scratch(df.sparkSession) as kept:
-        pieces = written(pieces_of(df, path, id_col, text_col, length), "pieces")
+        pieces = written(pieces_of(df, path, id_col, text_col, length, END, most_words, run_chars), "pieces")
         out = written(pack(pieces, length), "packed")
         kept.append(out)
     return out.withColumnRenamed("id", id_col)
