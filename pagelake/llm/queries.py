@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontamination, fingerprints, html_text, language_id, near_duplicates, oracles, packing, secret_scan, sharding, token_counts, warc_zip
+from pagelake.llm import decontamination, fingerprints, html_text, language_id, near_duplicates, neighbours, oracles, packing, secret_scan, sharding, token_counts, warc_zip
 from pagelake.llm.common import fresh, table
 
 
@@ -61,11 +61,15 @@ def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
+def op13_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_warc_zip, op3_secret_scan, op4_language_id, op5_html_text,
-        op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination, op10_prefix_tree_join,
+        op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination, op10_prefix_tree_join, op13_block_neighbours,
     )
 }
-ORACLES = {"op2_warc_zip": oracles.OP2, "op3_secret_scan": oracles.OP3, "op9_decontamination": oracles.OP9, "op10_prefix_tree_join": oracles.OP10}
+ORACLES = {"op2_warc_zip": oracles.OP2, "op3_secret_scan": oracles.OP3, "op9_decontamination": oracles.OP9, "op10_prefix_tree_join": oracles.OP10, "op13_block_neighbours": oracles.OP13}
