@@ -76,6 +76,25 @@ def marked(rows: DataFrame, key: Column, members: DataFrame) -> DataFrame:
     return found.drop("_x", "_bucket", "_bitmap", "_byte")
 
 
+#: A key is hot if one row in so many has it, so there are at most as many hot keys.
+HOT_SHARE = 1000
+
+
+def with_found(rows: DataFrame, keys: list[str], found: DataFrame, n: str) -> DataFrame:
+    """Left join of rows to `found` (one row a key; `n`: how many of `rows` have that key). Both are written tables.
+
+    Hot keys are met by a broadcast of at most HOT_SHARE rows, whatever the input; of any other key less than 1 / HOT_SHARE of all rows are dealt to one task."""
+    total = rows.count()
+    hot = F.col(n) * HOT_SHARE >= total
+    renamed = found.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    drop = [f"_{k}" for k in keys]
+    top = F.broadcast(renamed.where(hot))
+    met = rows.join(top, same, "inner").drop(*drop)
+    rest = rows.join(F.broadcast(renamed.where(hot).select(*drop)), same, "left_anti").join(renamed.where(~hot), same, "left").drop(*drop)
+    return met.unionByName(rest)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deals rows by keys to all of the session's shuffle partitions: a given number isn't coalesced by bytes, of which joins take few and much time for each."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

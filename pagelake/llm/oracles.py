@@ -53,6 +53,23 @@ r AS (SELECT DISTINCT a AS src, a AS got FROM l UNION SELECT r.src, l.b FROM r J
 c AS (SELECT src, min(got) AS component_id FROM r GROUP BY src)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.src = d.doc_id"""
 
+OP11 = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY x) AS first FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+  100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fail FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, good, toxic, fail, count(*) AS n FROM f GROUP BY ALL),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM a p, a q, a r, a s, a t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+h AS (SELECT g.*, filter_order, list_min(list_filter(range(1, 6), lambda i: fail[instr('ABCDE', substr(filter_order, CAST(i AS BIGINT), 1))])) AS first FROM g, o),
+s AS (SELECT *, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM h),
+y AS (SELECT *, substr(filter_order, step, 1) AS letter, fail[instr('ABCDE', substr(filter_order, step, 1))] AS fails FROM s),
+z AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (first IS NULL OR first > step), 0) AS kept, coalesce(sum(n) FILTER (first = step), 0) AS removed,
+  coalesce(sum(n) FILTER (fails AND first < step), 0) AS redundant, coalesce(sum(n) FILTER (fails AND len(list_filter(fail, lambda v: v)) = 1), 0) AS unique_fails,
+  coalesce(sum(n) FILTER (first = step AND good), 0) AS good_lost, coalesce(sum(n) FILTER (first = step AND toxic), 0) AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM z"""
+
 OP13 = """WITH v AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.n <> c.n AND len(q.e) = len(c.e)),
