@@ -70,6 +70,21 @@ z AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (first IS
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM z"""
 
+#: crc32 by its table of 256 entries, which a list makes out of the polynomial.
+OP12 = """WITH k AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))) AS k),
+o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id AS c, list({'r': r, 't': t} ORDER BY i) AS own FROM o GROUP BY conv_id),
+h AS (SELECT c, own, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT))),
+  lambda a, b: xor(a >> 8, k[1 + (xor(a, b) & 255)])), 4294967295) % 4 AS h FROM c, k),
+b AS (SELECT h.c, list_concat(coalesce(list_slice(p.own, 1, h), []), list_slice(h.own, h + 1, len(h.own))) AS s FROM h LEFT JOIN c p ON p.c = h.c - h.c % 20),
+e AS (SELECT c, s, CAST(len(s) AS BIGINT) AS n, unnest(range(0, len(s) + 1)) AS d FROM b),
+v AS (SELECT list_slice(s, 1, d) AS v, d AS depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '') AS ends FROM e GROUP BY ALL),
+q AS (SELECT list_slice(v, 1, depth - 1) AS v, depth - 1 AS depth, count(*) AS n FROM v WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(q.n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(v[depth].t, '[^\\x20\\x09-\\x0D]+')) END AS saved FROM v LEFT JOIN q USING (v, depth)),
+u AS (SELECT list_slice(v, 1, a) AS v, a AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN u USING (v, depth) LEFT JOIN v p ON w.depth > 0 AND p.depth = w.depth - 1 AND p.v = list_slice(w.v, 1, w.depth - 1)"""
+
 OP13 = """WITH v AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.n <> c.n AND len(q.e) = len(c.e)),

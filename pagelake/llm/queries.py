@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontamination, filter_audit, fingerprints, html_text, language_id, near_duplicates, neighbours, oracles, packing, secret_scan, sharding, token_counts, warc_zip
+from pagelake.llm import conversation_trie, decontamination, filter_audit, fingerprints, html_text, language_id, near_duplicates, neighbours, oracles, packing, secret_scan, sharding, token_counts, warc_zip
 from pagelake.llm.common import fresh, table
 
 
@@ -65,6 +65,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
 def op13_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -73,7 +77,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_warc_zip, op3_secret_scan, op4_language_id, op5_html_text,
-        op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination, op10_prefix_tree_join, op11_filter_audit, op13_block_neighbours,
+        op6_fingerprints, op7_virtual_slots, op8_packing, op9_decontamination, op10_prefix_tree_join, op11_filter_audit, op12_conversation_trie, op13_block_neighbours,
     )
 }
-ORACLES = {"op2_warc_zip": oracles.OP2, "op3_secret_scan": oracles.OP3, "op9_decontamination": oracles.OP9, "op10_prefix_tree_join": oracles.OP10, "op11_filter_audit": oracles.OP11, "op13_block_neighbours": oracles.OP13}
+ORACLES = {"op2_warc_zip": oracles.OP2, "op3_secret_scan": oracles.OP3, "op9_decontamination": oracles.OP9, "op10_prefix_tree_join": oracles.OP10, "op11_filter_audit": oracles.OP11, "op12_conversation_trie": oracles.OP12, "op13_block_neighbours": oracles.OP13}
