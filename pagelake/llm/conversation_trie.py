@@ -74,7 +74,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keyed(rows: DataFrame) -> DataFrame:
     """Adds x1, x2 (with the depth, the node's key) and p1, p2 (the parent's)."""
     salted = rows.select("*", F.xxhash64("d1", "d2", "depth").alias("o1"), F.xxhash64("depth", "d2", "d1").alias("o2"))
-    found = scanned(written(salted, "salted"), ["conv", "depth"], ["conv"], {"x1": ("xor", "o1"), "x2": ("xor", "o2")})
+    found = scanned(salted, ["conv", "depth"], ["conv"], {"x1": ("xor", "o1"), "x2": ("xor", "o2")})
     return found.select("conv", *KEY, F.col("x1").bitwiseXOR(F.col("o1")).alias("p1"), F.col("x2").bitwiseXOR(F.col("o2")).alias("p2"), "words")
 
 
@@ -143,7 +143,7 @@ def digests(ends: DataFrame) -> DataFrame:
 
     tasks = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = ends.repartitionByRange(tasks, *KEY, "conv").sortWithinPartitions(*KEY, "conv")
-    cut = written(rows.mapInArrow(pieces, "depth long, x1 long, x2 long, at long, ids string"), "pieces")
+    cut = rows.mapInArrow(pieces, "depth long, x1 long, x2 long, at long, ids string")
     return spread(cut, *KEY).sortWithinPartitions(*KEY, "at").mapInArrow(hashes, "depth long, x1 long, x2 long, sha string")
 
 
@@ -153,8 +153,7 @@ def trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     with scratch(df.sparkSession) as kept:
         rows, convs = rebuilt(ordered(df, conv_col, turn_col, role_col, text_col))
         ranks = ranked(rows, convs, run).join(convs.select(F.col("conv").alias("_conv"), "length"), F.col("conv") == F.col("_conv"))
-        ranks = written(ranks.select("_conv", "rank", "length"), "ranks")
-        members = written(keyed(rows).join(ranks, F.col("conv") == F.col("_conv")), "members")
+        members = written(keyed(rows).join(ranks.select("_conv", "rank", "length"), F.col("conv") == F.col("_conv")), "members")
         nodes = members.groupBy(*KEY).agg(
             F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.max("words").alias("words"), F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("p1").alias("p1"), F.max("p2").alias("p2")
         )
@@ -181,7 +180,7 @@ def trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
         sums = scanned(events, ["rank", "kind", "level", *KEY], [], {}, {"leaves": ("sum", "leaf"), "savings": ("sum", "saving"), "count": ("sum", "one")})
 
         last = members.where(F.col("depth") == F.col("length")).select(*KEY, "conv").unionByName(convs.where("length = 0").select(*(zero.alias(k) for k in KEY), "conv"))
-        shas = digests(written(last, "ends"))
+        shas = digests(last)
         both = sums.select(*KEY, *own, "kind", F.col("leaves") - F.col("leaf"), "leaves", F.col("savings") - F.col("saving"), "savings", "count", F.lit(None).cast("string").alias("sha"))
         both = both.toDF(*KEY, *own, "kind", "leaves_before", "leaves", "savings_before", "savings", "count", "sha")
         both = both.unionByName(shas, allowMissingColumns=True)

@@ -37,7 +37,7 @@ def changes(columns: list[pa.Array], before: list[pa.Scalar] | None) -> np.ndarr
 def scanned(df: DataFrame, order: list[str], group: list[str], within: dict[str, tuple[str, str]], overall: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Adds running values: {new column: ("sum" or "xor", long column)}, inclusive, in the order of columns (nulls first); `within` starts anew with each group.
 
-    `df` is a written table; `group` is the beginning of `order`."""
+    `df` is a written table, or a projection of one, as it is read twice; `group` is the beginning of `order`."""
     spark = df.sparkSession
     overall = overall or {}
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
