@@ -12,6 +12,7 @@ from contextvars import ContextVar
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.session import share_package, shared_dir
 
@@ -51,6 +52,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fields(typed: list[tuple[str, T.DataType]], rest: str = "") -> T.StructType:
+    """A schema of columns of given types, and of others as DDL text. Types that the caller's tables bring aren't written as text: their fields may have any names."""
+    return T.StructType([*(T.StructField(name, kind) for name, kind in typed), *(T.StructType.fromDDL(rest).fields if rest else ())])
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

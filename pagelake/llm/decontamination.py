@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagelake.llm.common import claim, col, written
+from pagelake.llm.common import claim, col, fields, written
 
 #: Letters A-Z in lower case; every other ASCII character but digits and a-z parts words; all bytes of other characters are kept.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -131,9 +132,9 @@ def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, st
         yield held
 
 
-def searched(found: DataFrame, blocks: list, kind: str, keep_text: bool = False) -> DataFrame:
+def searched(found: DataFrame, blocks: list, kind: T.DataType, keep_text: bool = False) -> DataFrame:
     """Rows of (id, text, n_words, hits, items) with the hits of each broadcast block added; the last function leaves the text out, if it isn't to be kept."""
-    schema = f"id {kind}, text string, n_words long, hits array<int>, items array<string>"
+    schema = fields([("id", kind)], "text string, n_words long, hits array<int>, items array<string>")
     for k, sent in enumerate(blocks):
         last = k == len(blocks) - 1 and not keep_text
 
@@ -171,7 +172,7 @@ def decontaminate(
     found = df.select(
         col(id_col).alias("id"), col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items")
     )
-    found = searched(found, sent, df.schema[id_col].dataType.simpleString(), keep_text)
+    found = searched(found, sent, df.schema[id_col].dataType, keep_text)
     n_hit = F.expr("cast(aggregate(sequence(0, size(hits) - 2, 2), 0L, (acc, i) -> acc + hits[i + 1] - hits[i]) as long)")
     out = found.select(
         F.col("id").alias(id_col), "n_words", F.when(F.size("hits") == 0, F.lit(0).cast("long")).otherwise(n_hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -6,12 +6,12 @@ a table of m cells; a cell holds a count, the XOR of its digests and the XOR of
 versions are subtracted cell by cell; what they share cancels out, and peeling (a cell that holds one digest gives it
 away, which frees others) recovers the digests that differ.
 
-The fingerprint is the sketch of 12 cells, which has the same size for every text. The fingerprints are tried first, row by row.
-Where peeling gets stuck, it is tried again with 2^20 cells a third (kept sparsely), of which the first third is made and peeled: it holds
-each digest once, so if each of its cells gives one away, all are recovered. Where some doesn't (texts of very many paragraphs), whole
-tables are peeled that have at least two cells a third for each paragraph of both texts, then 64 times as many, until all is recovered:
-cells are rows of (pair, cell) there, summed by a hash aggregate over rows that have been dealt by their pair once, so a round costs no
-shuffle and no more than the digests that are left. A round peels one third of the table, so no digest is taken out twice.
+The fingerprint is the sketch of 12 cells, which has the same size for every text. The difference of two fingerprints is peeled first, row by row.
+Where peeling gets stuck, a larger sketch is made, subtracted and peeled: of 48, 192, 768, ... cells, four times as many after each failure. It begins with the size that
+an estimate asks for (from the 16 least digests of either side, which tell about how many differ; the estimate decides nothing else). Pairs of more than `ROW_DIGESTS` digests don't
+fit into a row's arrays: their cells are rows of (pair, cell), summed by a hash aggregate over rows that have been dealt by their pair once, so a round of peeling costs no
+shuffle and no more than the digests that are left; a round peels one third of the table, so no digest is taken out twice. They begin with two cells a third for each
+digest and grow by the same factor. `cells_edited` and `cells_next` say which size gave the digests away.
 
 Likeness of two sets of digests A and B with d recovered differences: (|A| + |B| - d) / (|A| + |B| + d), the Jaccard similarity.
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.common import col, marked, scratch, written
 
-CELLS, LARGER, GROWTH, TRIES, ROUNDS = 12, 3 << 20, 64, 6, 12
+CELLS, GROWTH, TRIES, ROUNDS = 12, 4, 16, 64
+#: Sketches that are made row by row: sizes by the factor GROWTH, and the most digests of a pair. SAMPLE: digests of a side that the first size is told from.
+ROW_SIZES, ROW_DIGESTS, SAMPLE = 7, 40_000, 16
 #: Paragraph ends: line ends, and sentence ends of any script: a mark and blanks, or a full-width mark; closing quotes go with their sentence.
 CLOSERS = r"[\"\\x27\u00bb\u2019\u201d)\\]\u300d\u300f\uff09]"
 COMMON, MARKS, WIDE = ".!?\u2026", "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]", "[\u3002\uff01\uff1f\uff61]"
@@ -121,12 +123,24 @@ def first_try(a_cells: str, b_cells: str) -> Column:
     return F.expr(f"transform(array({peeled(subtracted(a_cells, b_cells), f'{CELLS}L')}), r -> if(size(r.cells) = 0, size(r.plus) + size(r.minus), null))[0]")
 
 
-def second_try(a: str, b: str) -> Column:
-    """How many digests the first third of a larger table gives away; null if one of its cells holds several."""
-    entry = "transform({of}, d -> named_struct('c', {at}, 'n', {sign}L, 'k', d, 'h', {check}))"
-    both = f"concat({entry.format(of=a, at=place('d', 0, f'{LARGER}L'), sign=1, check=check('d'))}, {entry.format(of=b, at=place('d', 0, f'{LARGER}L'), sign=-1, check=check('d'))})"
-    pure = f"abs(c.n) = 1 and c.h = {check('c.k')} and c.c = {place('c.k', 0, f'{LARGER}L')}"
-    return F.expr(f"transform(array({combined(both)}), s -> if(forall(s, c -> {pure}), size(s), null))[0]")
+def guess(a: str, b: str) -> str:
+    """SQL: about how many digests differ, from the least SAMPLE of either sorted side."""
+    least = f"array(array(slice({a}, 1, {SAMPLE}), slice({b}, 1, {SAMPLE})))"
+    union = f"slice(array_sort(array_union(x[0], x[1])), 1, {SAMPLE})"
+    shared = f"size(array_intersect(array_intersect({union}, x[0]), x[1])) / greatest(size({union}), 1)"
+    return f"transform(transform({least}, x -> {shared}), j -> (size({a}) + size({b})) * (1 - j) / (1 + j))[0]"
+
+
+def larger_try(a: str, b: str) -> Column:
+    """struct<d, m>: how many digests a larger sketch gives away, and its cells; sketches grow by GROWTH until one peels. A null d if none of ROW_SIZES does."""
+    of = lambda keys, sign: f"flatten(transform({keys}, d -> {entries('d', sign, 'm')}))"
+    cells = combined(f"concat({of(a, '1L')}, {of(b, '-1L')})")
+    count = f"transform(array({peeled(cells, 'm')}), r -> if(size(r.cells) = 0, size(r.plus) + size(r.minus), cast(null as int)))[0]"
+    sizes = f"transform(sequence(1, {ROW_SIZES}), p -> {CELLS}L * cast(pow({GROWTH}, p) as bigint))"
+    largest = CELLS * GROWTH**ROW_SIZES
+    asked = f"filter({sizes}, m -> m >= least({largest}, greatest(g, abs(size({a}) - size({b})))))"
+    fold = f"aggregate({asked}, named_struct('d', cast(null as int), 'm', 0L), (acc, m) -> if(acc.d is null, named_struct('d', {count}, 'm', m), acc))"
+    return F.expr(f"transform(array({guess(a, b)}), g -> {fold})[0]")
 
 
 def fingerprint(cells: str) -> Column:
@@ -140,7 +154,7 @@ def fingerprint(cells: str) -> Column:
 
 
 def tries(pairs: DataFrame, power: int, least_cells: int = 256, cells_each: int = 2, sweeps: int = 2) -> DataFrame:
-    """rid, w, done, plus, minus of pairs (rid, w, a, b: arrays of digests) that lie by their rid already; a third has `cells_each` cells a digest."""
+    """rid, w, done, m, plus, minus of pairs (rid, w, a, b: arrays of digests) that lie by their rid already; a third has `cells_each` cells a digest."""
     size = F.size("a") + F.size("b")
     sized = pairs.withColumn("m", (F.lit(3) * F.greatest(F.lit(least_cells), cells_each * size) * F.lit(GROWTH**power)).cast("long"))
     keys = sized.select(*PAIR, "m", F.explode(F.expr("concat(transform(a, d -> struct(1L as n, d as k)), transform(b, d -> struct(-1L as n, d as k)))")).alias("x")).select(*PAIR, "m", "x.n", "x.k")
@@ -159,15 +173,15 @@ def tries(pairs: DataFrame, power: int, least_cells: int = 256, cells_each: int
         step = F.expr(f"if({pure}, {given}, array(named_struct('got', got, 'c', c, 'n', n, 'k', k, 'h', h)))")
         cells = summed(cells.select(*PAIR, "m", F.explode(step).alias("x")).select(*PAIR, "m", "x.*"))
     digest = lambda sign: F.collect_list(F.when(F.col("got") & (F.col("n") == sign), F.col("c")))
-    found = cells.groupBy(*PAIR).agg(F.bool_and("got").alias("done"), digest(1).alias("plus"), digest(-1).alias("minus"))
+    found = cells.groupBy(*PAIR).agg(F.bool_and("got").alias("done"), F.max("m").alias("m"), digest(1).alias("plus"), digest(-1).alias("minus"))
     whole = pairs.select(F.col("rid").alias("_rid"), F.col("w").alias("_w"))
     none = F.array().cast("array<bigint>")  # pairs without a difference have no cell
     joined = whole.join(found, (F.col("rid") == F.col("_rid")) & (F.col("w") == F.col("_w")), "left")
-    return joined.select(F.col("_rid").alias("rid"), F.col("_w").alias("w"), F.coalesce("done", F.lit(True)).alias("done"), F.coalesce("plus", none).alias("plus"), F.coalesce("minus", none).alias("minus"))
+    return joined.select(F.col("_rid").alias("rid"), F.col("_w").alias("w"), F.coalesce("done", F.lit(True)).alias("done"), F.coalesce("m", F.lit(0).cast("long")).alias("m"), F.coalesce("plus", none).alias("plus"), F.coalesce("minus", none).alias("minus"))
 
 
 def differences(pairs: DataFrame, least_cells: int = 256, cells_each: int = 2, entries_a_task: int = 300_000) -> DataFrame:
-    """rid, w, plus, minus: the digests in which the arrays a and b of each pair (rid, w) differ, recovered from sketches."""
+    """rid, w, m (cells), plus, minus: the digests in which the arrays a and b of each pair (rid, w) differ, recovered from sketches."""
     with scratch(pairs.sparkSession) as kept:
         left, found = written(pairs.select("rid", "w", "a", "b"), "pairs"), None
         for power in range(TRIES):
@@ -181,7 +195,7 @@ def differences(pairs: DataFrame, least_cells: int = 256, cells_each: int = 2, e
             left = written(left.join(tried.where("NOT done").select("rid", "w"), PAIR, "left_semi"), "pairs")
         else:
             raise RuntimeError("the digests of some pair can't be told apart")
-    return pairs.select("rid", "w", F.col("a").alias("plus"), F.col("b").alias("minus")).where("false") if found is None else found
+    return pairs.select("rid", "w", F.lit(0).cast("long").alias("m"), F.col("a").alias("plus"), F.col("b").alias("minus")).where("false") if found is None else found
 
 
 def next_of(rows: DataFrame, id_col: str, columns: list[str], block_rows: int = 1000, most_blocks: int = 1 << 16) -> DataFrame:
@@ -249,8 +263,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "id", "n_chars", "edited_sha256", fingerprint("cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"), "keys", "edited_keys", "next_keys",
             first_try("cells", "edited_cells").alias("d_edited"), first_try("cells", "next_cells").alias("d_next"),
         )
-        again = lambda d, b: F.when(F.col(d).isNull(), second_try("keys", b)).otherwise(F.col(d)).alias(d)
-        tried = tried.select("*", F.size("keys").alias("n"), F.size("edited_keys").alias("n_edited"), F.size("next_keys").alias("n_next")).withColumns({"d_edited": again("d_edited", "edited_keys"), "d_next": again("d_next", "next_keys")})
+        tried = tried.select("*", F.size("keys").alias("n"), F.size("edited_keys").alias("n_edited"), F.size("next_keys").alias("n_next"))
+        larger = lambda d, b: F.when(F.col(d).isNull() & (F.size("keys") + F.size(b) <= ROW_DIGESTS), larger_try("keys", b))
+        tried = tried.withColumns({"l_edited": larger("d_edited", "edited_keys"), "l_next": larger("d_next", "next_keys")})
+        cells = lambda d, x: F.when(F.col(d).isNotNull(), F.lit(CELLS).cast("long")).when(F.col(f"{x}.d").isNotNull(), F.col(f"{x}.m"))
+        tried = tried.withColumns({"cells_edited": cells("d_edited", "l_edited"), "cells_next": cells("d_next", "l_next"), "d_edited": F.coalesce("d_edited", "l_edited.d"), "d_next": F.coalesce("d_next", "l_next.d")}).drop("l_edited", "l_next")
         pair = lambda d, b: F.when(F.col(d).isNull(), F.struct(F.lit(d).alias("w"), F.col("keys").alias("a"), F.col(b).alias("b")))
         stuck = F.array_compact(F.array(pair("d_edited", "edited_keys"), pair("d_next", "next_keys")))
         tried = tried.select(F.monotonically_increasing_id().alias("rid"), "*", F.when(F.size(stuck) > 0, stuck).alias("stuck")).drop("keys", "edited_keys", "next_keys")
@@ -258,7 +275,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         kept.append(tried)
         found = differences(tried.where("stuck IS NOT NULL").select("rid", F.explode("stuck").alias("x")).select("rid", "x.*"))
         n = F.size("plus") + F.size("minus")
-        found = found.groupBy(F.col("rid").alias("_rid")).agg(F.max(F.when(F.col("w") == "d_edited", n)).alias("_edited"), F.max(F.when(F.col("w") == "d_next", n)).alias("_next"))
+        of = lambda w, c, name: F.max(F.when(F.col("w") == w, c)).alias(name)
+        found = found.groupBy(F.col("rid").alias("_rid")).agg(of("d_edited", n, "_edited"), of("d_next", n, "_next"), of("d_edited", F.col("m"), "_m_edited"), of("d_next", F.col("m"), "_m_next"))
         found = written(found, "recovered")
         kept.append(found)
 
@@ -269,6 +287,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = lambda df: df.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("n_edited", "d_edited", "_edited").alias("near_edited"), likeness("n_next", "d_next", "_next").alias("near_next"),
+        F.coalesce("cells_edited", "_m_edited").alias("cells_edited"), F.coalesce("cells_next", "_m_next").alias("cells_next"),
     )
-    never = tried.where("stuck IS NULL").select("*", *(F.lit(None).cast("int").alias(c) for c in ("_edited", "_next")))
+    never = tried.where("stuck IS NULL").select("*", *(F.lit(None).cast("int").alias(c) for c in ("_edited", "_next")), *(F.lit(None).cast("long").alias(c) for c in ("_m_edited", "_m_next")))
     return columns(never).unionByName(columns(tried.where("stuck IS NOT NULL").join(found, F.col("rid") == F.col("_rid"), "left")))

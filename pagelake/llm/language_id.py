@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import claim, col, scratch, written
+from pagelake.llm.common import claim, col, fields, scratch, written
 
 DIM, SYMBOLS, SEED = 1024, 1024, 20_231
 MOST_VECTORS, MOST_KEYS = 32_768, 2048
@@ -167,7 +167,7 @@ def identify(df: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*places[: len(keep)], "lang_pred", "score"])
 
     places = [f"c{i}" for i in range(len(columns))]  # whatever the columns' names are
-    schema = ", ".join([*(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "lang_pred string, score double"])
+    schema = fields([(f"c{i}", df.schema[c].dataType) for i, c in enumerate(keep)], "lang_pred string, score double")
     found = df.select(*(col(c).alias(p) for c, p in zip(columns, places, strict=True))).mapInArrow(predict, schema)
     return written(found, "languages").toDF(*keep, "lang_pred", "score")
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import claim, col, marked, scratch, spread, written
+from pagelake.llm.common import claim, col, fields, marked, scratch, spread, written
 from pagelake.llm.components import components
 from pagelake.llm.packed import ARROW, SCHEMA, deal, gather, unpacked
 from pagelake.llm.prefix_tree import Trie, Union, ask, edge_batch, link
@@ -121,7 +121,7 @@ def shapes_of(df: DataFrame, id_col: str, text_col: str, size: int, percent: int
             yield common()
 
     rows = df.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
-    return rows.mapInArrow(shape, f"doc_id {df.schema[id_col].dataType.simpleString()}, text_hash long, n long, region long, node long, other long, own binary, counts binary")
+    return rows.mapInArrow(shape, fields([("doc_id", df.schema[id_col].dataType)], "text_hash long, n long, region long, node long, other long, own binary, counts binary"))
 
 
 def nodes_of(shapes: DataFrame) -> DataFrame:

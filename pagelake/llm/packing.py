@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import claim, col, scratch, written
+from pagelake.llm.common import claim, col, fields, scratch, written
 from pagelake.llm.token_counts import load_tokenizer, safe_pieces
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 4096, 1
@@ -111,7 +111,7 @@ def runs_of(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
 def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, most_words: int = MOST_WORDS, run_chars: int = RUN_CHARS) -> DataFrame:
     """id, piece, start, length, ids_crc32: all pieces of all rows; `path`: the tokenizer's file on every worker. A worker's table holds `most_words`
     and the words of a run of texts of `run_chars`: more take memory, fewer take time."""
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    schema = fields([("id", df.schema[id_col].dataType)], "piece int, start long, length long, ids_crc32 long")
     tail = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, block_pieces: int = 1 << 16) -
         group["offset"] = offset
         return group.drop(columns="block")
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = fields([(f.name, f.dataType) for f in pieces.schema], "sequence_id long, offset long")
     return pieces.withColumn("block", block).groupBy("block").applyInPandas(place, schema)
 
 

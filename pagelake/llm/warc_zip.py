@@ -30,6 +30,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.llm.common import col, fresh, marked, written
 
@@ -289,7 +290,7 @@ def sized(archives: DataFrame) -> DataFrame:
     return written(archives.select("path").mapInArrow(sizes, "path string, n_bytes long"), "warc-sizes")
 
 
-def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool = False, id_type: str = "long", task_bytes: int = 32 << 20) -> DataFrame:
+def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool = False, id_type: T.DataType | str = "long", task_bytes: int = 32 << 20) -> DataFrame:
     """One row a record of the archives at `archives.path`; runs of about `run_bytes` are dealt to tasks of about `task_bytes`.
 
     The number of tasks follows the bytes that are to be read (`archives.n_bytes`, or else the files' sizes), and no fewer than the cluster's cores, if
@@ -343,4 +344,4 @@ def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool
 def archived(spark: SparkSession, pages: DataFrame, folder: str | None = None, id_col: str = "page_id", **options) -> DataFrame:
     """Write all pages, then read the archives back; ids have the type that they had."""
     archives = write_archives(pages, folder or fresh(spark, "warc"), id_col, **options)
-    return read_archives(archives, id_type=pages.schema[id_col].dataType.simpleString())
+    return read_archives(archives, id_type=pages.schema[id_col].dataType)

@@ -111,6 +111,21 @@ def test_columns_of_any_name_pass(spark, sf):
     assert docs.where("text LIKE '%[REDACTED]%'").count() == 1 and P.STAGES[-1][1](spark, docs, sf).count() == 2
 
 
+def test_nested_columns_and_no_n_chars(spark, sf):
+    """Fields of any name one level down, no n_chars, a text of 10 MB, and an empty table."""
+    long = "some words in a row " * 500_000 + "token=abcdefghijk"
+    docs = spark.createDataFrame([(1, "words in a text with token=abcdefghijk", "en"), (2, "other words", None), (3, long, "en")], "doc_id long, text string, lang string")
+    docs = docs.selectExpr("*", "named_struct('content-type', 1, 'x y', array(named_struct('a.b', 2))) AS meta", "map('k', named_struct('`', 3)) AS m")
+    kinds = docs.dtypes
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), sf).collect() == []
+        docs = stage(spark, docs, sf)
+        assert docs.dtypes == kinds and docs.count() == 3
+        assert {str(r.meta.asDict()) + str(r.m) for r in docs.select("meta", "m").collect()} == {"{'content-type': 1, 'x y': [Row(a.b=2)]}{'k': Row(`=3)}"}
+    assert docs.where("text LIKE '%[REDACTED]%'").count() == 2
+    assert P.STAGES[-1][1](spark, docs, sf).agg({"length": "sum"}).first()[0] > 2_000_000
+
+
 def test_settings_are_put_back(spark, sf):
     from pagelake.llm.common import BATCH_BYTES
 
