@@ -3,6 +3,10 @@
 language_id rejects texts without a letter; near_duplicates keeps one document of each group;
 decontamination drops documents with a benchmark passage; secret_scan redacts secrets inside the texts; packing cuts and packs
 the tokens of what is left. All but the last return the columns of documents.
+
+Defined results: a null or empty text has no letter and goes in the first stage; stages called by themselves keep such rows (they are no duplicates, hold no passage and
+no secret, and are packed as one end token). Null ids, languages and sources pass. Texts of any length are read whole. Of equal rows, and of near duplicates, one stays: the one
+with the least id, one of them if that ties. An empty table stays empty. Further columns of any name and type pass; `n_chars` follows a redacted text where there is such a column.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         found = written(found.groupBy(F.col("blob").alias("found")).agg(F.first("spans").alias("spans")), "secrets")
         kept.append(found)
     blob = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    rows = boxed(docs, "text", "n_chars").withColumn("blob", blob)
+    rows = boxed(docs, "text").withColumn("blob", blob)
     rows = marked(rows, F.xxhash64("blob"), found.select(F.xxhash64("found")))  # only texts that may hold secrets are dealt
     joined = rows.where("maybe").join(found.hint("shuffle_hash"), F.col("blob") == F.col("found"), "left")
     joined = joined.select("row", F.when(F.col("spans").isNotNull(), secret_scan.redacted(F.col("text"), F.col("spans"))).alias("clean"))
