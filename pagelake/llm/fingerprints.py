@@ -6,7 +6,7 @@ a table of m cells; a cell holds a count, the XOR of its digests and the XOR of
 versions are subtracted cell by cell; what they share cancels out, and peeling (a cell that holds one digest gives it
 away, which frees others) recovers the digests that differ.
 
-The fingerprint is the sketch of 12 cells, which has the same size for every text. The difference of two fingerprints is peeled first, row by row.
+The fingerprint is the sketch of 12 cells, which has the same size for every text. The difference of two fingerprints is peeled first, row by row, unless far more digests seem to differ than it can hold.
 Where peeling gets stuck, a larger sketch is made, subtracted and peeled: of 48, 192, 768, ... cells, four times as many after each failure. It begins with the size that
 an estimate asks for (from the 16 least digests of either side, which tell about how many differ; the estimate decides nothing else). Pairs of more than `ROW_DIGESTS` digests don't
 fit into a row's arrays: their cells are rows of (pair, cell), summed by a hash aggregate over rows that have been dealt by their pair once, so a round of peeling costs no
@@ -35,6 +35,8 @@ from pagelake.llm.common import col, marked, scratch, written
 CELLS, GROWTH, TRIES, ROUNDS = 12, 4, 16, 64
 #: Sketches that are made row by row: sizes by the factor GROWTH, and the most digests of a pair. SAMPLE: digests of a side that the first size is told from.
 ROW_SIZES, ROW_DIGESTS, SAMPLE = 7, 40_000, 16
+#: Cells for each digest that is thought to differ, in the first larger sketch: so one or two rounds of peeling do, and cells without a digest cost nothing.
+ROOM = 4
 #: Paragraph ends: line ends, and sentence ends of any script: a mark and blanks, or a full-width mark; closing quotes go with their sentence.
 CLOSERS = r"[\"\\x27\u00bb\u2019\u201d)\\]\u300d\u300f\uff09]"
 COMMON, MARKS, WIDE = ".!?\u2026", "[.!?\u2026\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]", "[\u3002\uff01\uff1f\uff61]"
@@ -131,6 +133,11 @@ def guess(a: str, b: str) -> str:
     return f"transform(transform({least}, x -> {shared}), j -> (size({a}) + size({b})) * (1 - j) / (1 + j))[0]"
 
 
+def hopeful(a: str, b: str, tried: Column) -> Column:
+    """The fingerprints are peeled unless twice as many digests seem to differ as they have cells: then a larger sketch is made at once."""
+    return F.when(F.expr(f"{guess(a, b)} < {2 * CELLS}"), tried)
+
+
 def larger_try(a: str, b: str) -> Column:
     """struct<d, m>: how many digests a larger sketch gives away, and its cells; sketches grow by GROWTH until one peels. A null d if none of ROW_SIZES does."""
     of = lambda keys, sign: f"flatten(transform({keys}, d -> {entries('d', sign, 'm')}))"
@@ -138,7 +145,7 @@ def larger_try(a: str, b: str) -> Column:
     count = f"transform(array({peeled(cells, 'm')}), r -> if(size(r.cells) = 0, size(r.plus) + size(r.minus), cast(null as int)))[0]"
     sizes = f"transform(sequence(1, {ROW_SIZES}), p -> {CELLS}L * cast(pow({GROWTH}, p) as bigint))"
     largest = CELLS * GROWTH**ROW_SIZES
-    asked = f"filter({sizes}, m -> m >= least({largest}, greatest(g, abs(size({a}) - size({b})))))"
+    asked = f"filter({sizes}, m -> m >= least({largest}, {ROOM} * greatest(g, abs(size({a}) - size({b})))))"
     fold = f"aggregate({asked}, named_struct('d', cast(null as int), 'm', 0L), (acc, m) -> if(acc.d is null, named_struct('d', {count}, 'm', m), acc))"
     return F.expr(f"transform(array({guess(a, b)}), g -> {fold})[0]")
 
@@ -261,7 +268,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.withColumn("cells", F.expr(sketch("keys"))).withColumn("edited_cells", F.expr(sketch("edited_keys"))).withColumn("next_cells", F.expr(sketch("next_keys")))
         tried = rows.select(
             "id", "n_chars", "edited_sha256", fingerprint("cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"), "keys", "edited_keys", "next_keys",
-            first_try("cells", "edited_cells").alias("d_edited"), first_try("cells", "next_cells").alias("d_next"),
+            hopeful("keys", "edited_keys", first_try("cells", "edited_cells")).alias("d_edited"), hopeful("keys", "next_keys", first_try("cells", "next_cells")).alias("d_next"),
         )
         tried = tried.select("*", F.size("keys").alias("n"), F.size("edited_keys").alias("n_edited"), F.size("next_keys").alias("n_next"))
         larger = lambda d, b: F.when(F.col(d).isNull() & (F.size("keys") + F.size(b) <= ROW_DIGESTS), larger_try("keys", b))
