@@ -5,6 +5,8 @@ White space and line ends are Unicode's, with U+001C to U+001F, as Python's str
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,14 +55,62 @@ def normalize(x: Column | str) -> Column:
     return F.regexp_replace(text, rf"(?U){WS}+", " ")
 
 
-def edit_ratio(a: Column, b: Column) -> Column:
+#: Texts of up to so many characters are compared whole; the first bound on the distance of longer ones, how bounds grow, and how many there are.
+SHORT, FIRST_BOUND, BOUND_GROWTH, BOUNDS = 2048, 64, 4, 8
+
+
+def _shared_length(at: Callable[[Column, Column], Column], n: Column) -> Column:
+    """How many characters agree, of n at most: by halving steps, the next 2^k characters at a time. at(i, k): whether k characters after the first i agree."""
+    steps = F.sequence(F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1)).cast("int"), F.lit(0))
+
+    def step(i: Column, p: Column) -> Column:
+        more = F.call_function("shiftleft", F.lit(1), p)
+        return F.when((i + more <= n) & at(i, more), i + more).otherwise(i)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def without_shared_ends(a: Column, b: Column) -> Column:
+    """struct<a, b>: the texts without their common beginning and end, which no best edit touches."""
+    head = _shared_length(lambda i, k: F.substring(a, i + 1, k) == F.substring(b, i + 1, k), F.least(F.length(a), F.length(b)))
+    rest = F.transform(F.array(head), lambda h: F.struct(F.substring(a, h + 1, F.length(a)).alias("a"), F.substring(b, h + 1, F.length(b)).alias("b")))
+
+    def without_tail(x: Column) -> Column:
+        piece = lambda t, i, k: F.substring(t, F.length(t) - i - k + 1, k)
+        tail = _shared_length(lambda i, k: piece(x["a"], i, k) == piece(x["b"], i, k), F.least(F.length(x["a"]), F.length(x["b"])))
+        cut = lambda t, n: F.substring(t, F.lit(1), F.length(t) - n)
+        return F.transform(F.array(tail), lambda n: F.struct(cut(x["a"], n).alias("a"), cut(x["b"], n).alias("b")))[0]
+
+    return F.transform(rest, without_tail)[0]
+
+
+def edit_distance(a: Column | str, b: Column | str) -> Column:
+    """Levenshtein distance by code points, exact for texts of any length, without Python.
+
+    Of long texts the common beginning and end go first. What is left is compared within a band of 64, 256, ... edits until the distance lies within it; a band that would
+    be as wide as the text is given up for the whole table. The band spares most of a table's work, but Spark's walks along every line up to it: for
+    texts of a hundred thousand characters use distance.edit_distance. A null text gives null."""
+    a, b = _col(a), _col(b)
+
+    def banded(x: Column) -> Column:
+        short, long = F.least(F.length(x["a"]), F.length(x["b"])), F.greatest(F.length(x["a"]), F.length(x["b"]))
+        bounds = [FIRST_BOUND * BOUND_GROWTH**i for i in range(BOUNDS)]
+        within = lambda k: F.transform(F.array(F.levenshtein(x["a"], x["b"], k)), lambda d: F.when(d >= 0, d))[0]
+        tries = [F.when((long - short <= k) & (2 * k < long), within(k)) for k in bounds]
+        return F.when(short == 0, long).otherwise(F.coalesce(*tries, F.levenshtein(x["a"], x["b"])))
+
+    bounded = F.transform(F.array(without_shared_ends(a, b)), banded)[0]
+    return F.when(a == b, F.lit(0)).when(F.greatest(F.length(a), F.length(b)) <= SHORT, F.levenshtein(a, b)).otherwise(bounded)
+
+
+def edit_ratio(a: Column, b: Column, distance: Callable[[Column, Column], Column] = edit_distance) -> Column:
     """Levenshtein distance over the longer length; 0.0 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / F.greatest(longest, F.lit(1)))
+    return F.when(longest == 0, F.lit(0.0)).otherwise(distance(a, b) / F.greatest(longest, F.lit(1)))
 
 
-def normalized_edit_distance(a: Column | str, b: Column | str) -> Column:
-    return edit_ratio(normalize(a), normalize(b))
+def normalized_edit_distance(a: Column | str, b: Column | str, distance: Callable[[Column, Column], Column] = edit_distance) -> Column:
+    return edit_ratio(normalize(a), normalize(b), distance)
 
 
 def anchor_recall(actual: Column | str, anchors: Column | str) -> Column:
@@ -79,7 +129,7 @@ def first_tokens(x: Column | str) -> Column:
 def reading_order_distance(actual: Column | str, expected: Column | str) -> Column:
     """Edit ratio of the first words of all lines, joined by |, by characters."""
     a, b = (F.array_join(first_tokens(x), "|") for x in (actual, expected))
-    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return edit_distance(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 def _cells(line: Column) -> Column:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from pagelake.operators.store import observed, there
+
+WAVE = "wave long, pages long, cost_usd double, errors long"
 
 
 class BudgetExceeded(RuntimeError):
@@ -47,6 +54,47 @@ def running_cost(pages: DataFrame, cost: str = "cost_usd", doc: str = "path", pa
     return summed.join(starts, F.col(doc).eqNullSafe(F.col("_doc"))).withColumn("running_usd", F.col("_start") + F.col("_inside")).drop("_doc", "_start", "_inside")
 
 
+def in_waves(pages: DataFrame, wave_usd: float, cost: str = "planned_usd", doc: str = "path", page: str = "page_num") -> DataFrame:
+    """Adds wave, from 0: pages in the order of documents and pages, cut where their planned cost has come to another `wave_usd`."""
+    if not wave_usd > 0:
+        raise ValueError("a wave must have room for some cost")
+    placed = running_cost(pages, cost, doc, page)
+    before = F.col("running_usd") - F.coalesce(F.col(cost), F.lit(0.0))
+    return placed.withColumn("wave", F.floor(before / wave_usd + 1e-9).cast("long")).drop("running_usd")
+
+
+def run_in_waves(pages: DataFrame, call: Callable[[DataFrame], DataFrame], folder: str, cap: float, wave_usd: float, cost: str = "planned_usd", doc: str = "path", page: str = "page_num") -> tuple[DataFrame, list[dict]]:
+    """Calls the model wave by wave as long as the true cost so far is within the cap: (silver with `wave`, a record a wave).
+
+    Each wave is one job over its pages, which writes them below `folder`; its true cost is observed while it is written. A wave is let go only if the waves before it
+    have cost no more than the cap, so the spend is beyond the cap by less than one wave's true cost, however wrong the plan is. `call` takes pages (without `wave`) and
+    returns silver rows. Waves follow each other on the driver, their number is planned cost / wave_usd; pages are dealt into folders by wave first, so that no wave reads
+    another's. A run that was stopped goes on where it ended: waves whose record is in `folder` aren't called again."""
+    spark = pages.sparkSession
+    at = f"{folder}/pages"
+    if not there(spark, f"{at}/_SUCCESS"):
+        in_waves(pages, wave_usd, cost, doc, page).write.partitionBy("wave").parquet(at)
+    rows = spark.read.schema(StructType([*pages.schema.fields, StructField("wave", LongType())])).parquet(at)
+    waves = sorted(r[0] for r in rows.select("wave").distinct().collect())
+    done = {r["wave"]: r.asDict() for r in spark.read.schema(WAVE).json(f"{folder}/records").collect()} if there(spark, f"{folder}/records") else {}
+    records, spent = [], 0.0
+    for wave in waves:
+        if spent > cap:
+            break
+        record = done.get(wave)
+        if record is None:
+            silver, seen = observed(call(rows.where(F.col("wave") == wave).drop("wave")), "wave")
+            silver.write.mode("overwrite").parquet(f"{folder}/silver/wave={wave}")
+            record = {"wave": wave, "pages": seen.get["pages"], "cost_usd": float(seen.get["cost_usd"]), "errors": seen.get["errors"]}
+            spark.createDataFrame([record], WAVE).coalesce(1).write.mode("append").json(f"{folder}/records")
+        records.append(record)
+        spent += record["cost_usd"]
+    written = [f"{folder}/silver/wave={r['wave']}" for r in records]
+    if not written:
+        return call(rows.drop("wave")).withColumn("wave", F.lit(0).cast("long")).where("false"), records
+    return spark.read.option("basePath", f"{folder}/silver").parquet(*written).withColumn("wave", F.col("wave").cast("long")), records
+
+
 def admit(pages: DataFrame, cap: float, cost: str = "cost_usd", doc: str = "path", page: str = "page_num") -> DataFrame:
     """The pages whose running cost stays within the cap."""
     return running_cost(pages, cost, doc, page).where(F.col("running_usd") <= cap).drop("running_usd")

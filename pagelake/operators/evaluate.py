@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as X
+from pagelake.functions.distance import edit_distance as long_distance
+from pagelake.operators.alignment import N, passages
 from pagelake.sources.dimensions import anchors as anchor_table
 from pagelake.sources.dimensions import ground_truth, with_anchors, with_ground_truth
 
 METRICS = ("edit_distance", "exact_token_recall", "table_f1", "reading_order_ed")
 
 
-def score_pages(silver: DataFrame, truth: DataFrame, anchors: DataFrame) -> DataFrame:
+def scores_of(text: str, gt: str, distance: Callable[[Column, Column], Column] = X.edit_distance) -> list[Column]:
+    """The four scores of a text against its truth; `anchors` is a column."""
+    return [
+        X.normalized_edit_distance(text, gt, distance).alias("edit_distance"), X.anchor_recall(text, "anchors").alias("exact_token_recall"),
+        X.table_cell_f1(text, gt).alias("table_f1"), X.reading_order_distance(text, gt).alias("reading_order_ed"),
+    ]
+
+
+def score_pages(silver: DataFrame, truth: DataFrame, anchors: DataFrame, distance: Callable[[Column, Column], Column] = X.edit_distance) -> DataFrame:
     """Four scores of every page that has a ground truth; the others are left out. A null text counts as empty."""
     pages = with_ground_truth(silver.withColumn("stem", X.stem("filename")), truth).where("gt IS NOT NULL")
     pages = with_anchors(pages, anchors).withColumn("_text", F.coalesce("markdown", F.lit("")))
-    return pages.select(
-        "filename", "page_num",
-        X.normalized_edit_distance("_text", "gt").alias("edit_distance"), X.anchor_recall("_text", "anchors").alias("exact_token_recall"),
-        X.table_cell_f1("_text", "gt").alias("table_f1"), X.reading_order_distance("_text", "gt").alias("reading_order_ed"),
-    )
+    return pages.select("filename", "page_num", *scores_of("_text", "gt", distance))
 
 
 def score_documents(silver: DataFrame, truth: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The same with a document's pages joined in order, for ground truths of whole documents."""
+    """The same with a document's pages joined in order, for ground truths of whole documents; texts of any length, by the distance of long texts."""
     whole = silver.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("page_num", F.coalesce("markdown", F.lit("")).alias("t")))).alias("p"))
     whole = whole.select("filename", F.lit(None).cast("int").alias("page_num"), F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("markdown"))
-    return score_pages(whole, truth, anchors)
+    return score_pages(whole, truth, anchors, long_distance)
+
+
+def score_passages(silver: DataFrame, truth: DataFrame, anchors: DataFrame, n: int = N) -> DataFrame:
+    """Scores of every page against the passage of its document's truth (stem, gt) that it shows, with `matches`, the n-grams that tell the passage."""
+    pages = passages(silver.select("filename", "page_num", F.coalesce("markdown", F.lit("")).alias("_text"), X.stem("filename").alias("stem")), truth.select("stem", "gt"), n, text="_text")
+    pages = with_anchors(pages, anchors)
+    return pages.select("filename", "page_num", *scores_of("_text", "passage"), "matches", "begins", "ends")
 
 
 def summarize(scores: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ class OCRPipeline:
 
     Unlike in a plain chain of lazy steps, the results are written once and read again, so that no later action calls the
     model a second time; with a cap the plan is checked before any call, and the true cost afterwards. `over_cap="admit"`
-    sends only the pages that the plan has money for."""
+    sends only the pages that the plan has money for. `totals` has pages, cost and errors of this run's rows, observed while they were written."""
 
     def __init__(
         self, backend: str | None = None, model: str | None = None, input_path: str | None = None, output_path: str | None = None, batch_size: int = 8,
@@ -36,6 +36,7 @@ class OCRPipeline:
             raise ValueError("pages is pdf or text, mode is overwrite, merge or resume, over_cap is raise or admit")
         self.over_cap = over_cap
         self.backend_kwargs, self.kind, self.mode = backend_kwargs or {}, pages, mode
+        self.totals: dict = {}
         self.keep_failed, self.partitions, self.concurrency, self.processed_at = keep_failed, partitions, concurrency, processed_at
 
     @property
@@ -88,11 +89,13 @@ class OCRPipeline:
         if self.processed_at:
             silver = silver.withColumn("processed_at", F.current_timestamp())
         if silver_at:
-            silver = store.write_silver(silver, silver_at, None if self.mode == "overwrite" else ["path", "page_num"])
+            silver, self.totals = store.write_observed(silver, silver_at, None if self.mode == "overwrite" else ["path", "page_num"])
         else:
             # without a path to write to, the results are held, or every action would pay again
+            silver, seen = store.observed(silver)
             silver = silver.checkpoint() if spark.sparkContext.getCheckpointDir() else silver.persist()
             silver.count()
+            self.totals = seen.get
         if c.max_cost_usd is not None:
-            budget.check_cap(budget.total_cost(silver), c.max_cost_usd)
+            budget.check_cap(self.totals["cost_usd"], c.max_cost_usd)
         return silver

@@ -19,8 +19,9 @@ from pagelake.plans.pipeline import OCRPipeline
 from pagelake.schema import OCROutput, violations
 from pagelake.session import prepare, shared_dir
 from pagelake.sources import documents
-from pagelake.sources.dimensions import anchors, with_anchors, with_canned, with_ground_truth
+from pagelake.sources.dimensions import anchors, canned_silver, with_anchors, with_canned, with_ground_truth
 from pagelake.sources.documents import text_pages
+from pagelake.sources.synthetic import register
 
 MODELS = ("deepseek-ai/DeepSeek-OCR-v2", "qwen/qwen3-vl-instruct", "gemini-2.0-flash", "unpriced-model")
 ANCHORS = {"en": ["The", "THAT", "ing and", "zzz"], "fr": ["une", "ée", "ÉÉ"], "de": ["ung"]}
@@ -573,6 +574,41 @@ def score_documents(spark, d):
     return found.select(X.stem("filename").cast("long").alias("conv_id"), *(F.round(c, 9).alias(c) for c in ("edit_distance", "reading_order_ed")))
 
 
+#: A turn as a page that isn't quite its passage: some have a heading in front, of some the last third stands first.
+PAGE_WORDS = "string_split(coalesce(text, ''), ' ')"
+SHOWN = f"""CASE turn % 3 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN 'Page head ' || coalesce(text, '')
+  ELSE array_to_string(list_concat({PAGE_WORDS}[len({PAGE_WORDS}) - len({PAGE_WORDS}) // 3 + 1:], {PAGE_WORDS}[1:len({PAGE_WORDS}) - len({PAGE_WORDS}) // 3]), ' ') END"""
+PLACES = "unnest(range(0, len(w) - 2)) AS i"
+GRAM = "lower(trim(w[i + 1], E' \\t\\n\\r')) || ' ' || lower(trim(w[i + 2], E' \\t\\n\\r')) || ' ' || lower(trim(w[i + 3], E' \\t\\n\\r'))"
+
+
+@query(
+    f"""WITH p AS (SELECT conv_id, turn, {SHOWN} AS x FROM conversations),
+pw AS (SELECT *, regexp_extract_all(x, '\\s*\\S+') AS w FROM p),
+tw AS (SELECT conv_id, regexp_extract_all(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), '\\s*\\S+') AS w FROM conversations GROUP BY conv_id),
+pg AS (SELECT conv_id, turn, {GRAM} AS gram, min(i) AS page FROM (SELECT conv_id, turn, w, {PLACES} FROM pw) GROUP BY ALL HAVING count(*) = 1),
+tg AS (SELECT conv_id, {GRAM} AS gram, min(i) AS pos FROM (SELECT conv_id, w, {PLACES} FROM tw) GROUP BY ALL HAVING count(*) = 1),
+m AS (SELECT conv_id, turn, list([{{'n': 1, 'k': -pos, 'p': page, 't': pos, 'fp': page, 'ft': pos}}] ORDER BY page) AS m FROM pg JOIN tg USING (conv_id, gram) GROUP BY ALL),
+c AS (SELECT conv_id, turn, list_max(list_reduce(m, lambda a, x: list_append(a, CASE WHEN len(list_filter(a, lambda s: s.t < x[1].t)) = 0 THEN x[1]
+  ELSE {{'n': list_max(list_filter(a, lambda s: s.t < x[1].t)).n + 1, 'k': x[1].k, 'p': x[1].p, 't': x[1].t, 'fp': list_max(list_filter(a, lambda s: s.t < x[1].t)).fp, 'ft': list_max(list_filter(a, lambda s: s.t < x[1].t)).ft}} END))) AS c FROM m),
+b AS (SELECT pw.conv_id, pw.turn, x, tw.w AS t, coalesce(c.n, 0) AS matches, CASE WHEN c IS NULL THEN 0 ELSE greatest(c.ft - c.fp, 0) END AS begins, CASE WHEN c IS NULL THEN 0 ELSE least(c.t + len(pw.w) - c.p, len(tw.w)) END AS ends
+  FROM pw JOIN tw USING (conv_id) LEFT JOIN c USING (conv_id, turn)),
+n AS (SELECT conv_id, turn, matches, begins, ends, {BYTES.format(x=NORM.format(x="x"))} AS a, {BYTES.format(x=NORM.format(x="array_to_string(t[begins + 1:ends], '')"))} AS b FROM b)
+SELECT conv_id, turn, CAST(matches AS BIGINT) AS matches, CAST(begins AS BIGINT) AS begins, CAST(ends AS BIGINT) AS ends, round(levenshtein(a, b) / greatest(length(a), length(b), 1), 9) AS edit_distance FROM n"""
+)
+def score_passages(spark, d):
+    """Turns as pages of a conversation, each scored against the passage of the conversation's whole text that it shows."""
+    turns = table(spark, d, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    words = F.split("t", " ", -1)
+    third = F.floor(F.size(words) / 3).cast("int")
+    moved = F.array_join(F.concat(F.slice(words, F.size(words) - third + 1, third), F.slice(words, F.lit(1), F.size(words) - third)), " ")
+    shown = F.when(F.col("turn") % 3 == 0, F.col("t")).when(F.col("turn") % 3 == 1, F.concat(F.lit("Page head "), "t")).otherwise(moved)
+    rows = turns.select(F.format_string("%d.md", "conv_id").alias("filename"), F.col("turn").alias("page_num"), shown.alias("markdown"))
+    whole = turns.groupBy(F.col("conv_id").cast("string").alias("stem")).agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("p")).select("stem", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("gt"))
+    found = evaluate.score_passages(rows, whole, anchors(spark, {"none": []}))
+    return found.select(X.stem("filename").cast("long").alias("conv_id"), F.col("page_num").alias("turn"), *(F.col(c).cast("long").alias(c) for c in ("matches", "begins", "ends")), F.round("edit_distance", 9).alias("edit_distance"))
+
+
 @query(f"WITH {SILVER} SELECT path, page_num, sha256(markdown) AS sha, round(cost_usd, 9) AS cost_usd, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE error END AS error FROM silver")
 def silver_round_trip(spark, d):
     """Written, merged with new results of every other document, and read back by the pointer."""
@@ -583,6 +619,92 @@ def silver_round_trip(spark, d):
     return store.read_table(spark, at).select("path", "page_num", F.sha2("markdown", 256).alias("sha"), F.round("cost_usd", 9).alias("cost_usd"), "error")
 
 
+@query(f"WITH {SILVER} SELECT path, page_num, sha256(markdown) AS sha, round(cost_usd, 9) AS cost_usd, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE error END AS error FROM silver")
+def bucket_upsert(spark, d):
+    """The same upsert into a table in hash buckets, of which only those are rewritten that new results fall into."""
+    at = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    rows = silver(spark, d)
+    store.write_buckets(rows, at, ["path", "page_num"], 16)
+    store.upsert_buckets(rows.where("doc_id % 2 = 0").withColumn("error", F.lit("again")), at)
+    return store.read_buckets(spark, at).select("path", "page_num", F.sha2("markdown", 256).alias("sha"), F.round("cost_usd", 9).alias("cost_usd"), "error")
+
+
+@query(f"WITH {SILVER} SELECT count(*) AS pages, round(sum(cost_usd), 6) AS cost_usd, count(error) AS errors, count(*) FILTER (error <> '') AS failed, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM silver")
+def observed_write(spark, d):
+    """What a run came to, counted by the job that writes silver and by no other."""
+    _, totals = store.write_observed(silver(spark, d), f"{shared_dir(spark)}/silver-{uuid.uuid4().hex}")
+    return spark.range(1).select(*((F.round(F.lit(float(v)), 6) if k == "cost_usd" else F.lit(v).cast("long")).alias(k) for k, v in totals.items()))
+
+
+#: A page is planned with 800 and 300 tokens of its model, a wave with so much; the cap is reached on the way.
+WAVE_USD, WAVE_CAP = 0.02, 0.11
+
+
+@query(
+    f"""WITH {SILVER}, p AS (SELECT s.*, coalesce(800 / 1e6 * usd_in + 300 / 1e6 * usd_out, 0.0) AS planned FROM silver s LEFT JOIN prices USING (model)),
+r AS (SELECT *, sum(planned) OVER (ORDER BY doc_id, page_num ROWS UNBOUNDED PRECEDING) - planned AS before FROM p),
+w AS (SELECT *, CAST(floor(before / {WAVE_USD} + 1e-9) AS BIGINT) AS wave FROM r), c AS (SELECT wave, sum(cost_usd) AS usd FROM w GROUP BY wave),
+g AS (SELECT wave, coalesce(sum(usd) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS spent FROM c)
+SELECT doc_id, page_num, wave, round(cost_usd, 9) AS cost_usd FROM w JOIN g USING (wave) WHERE spent <= {WAVE_CAP}"""
+)
+def budget_waves(spark, d):
+    """Pages in waves of planned cost, priced by their true tokens; no wave begins once the true cost is beyond the cap. Seen from outside a run that stops half-way."""
+    priced = M.with_cost(silver(spark, d).withColumn("true_usd", F.col("cost_usd")).withColumn("_out", F.lit(300)).drop("cost_usd"), completion="_out").withColumnRenamed("cost_usd", "planned_usd").drop("_out")
+    call = lambda pages: pages.withColumn("cost_usd", F.col("true_usd")).drop("true_usd")
+    folder = f"{shared_dir(spark)}/waves-{uuid.uuid4().hex}"
+    rows, _ = budget.run_in_waves(priced, call, folder, WAVE_CAP, WAVE_USD, doc="doc_id")
+    return rows.select("doc_id", "page_num", "wave", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@query(
+    f"""WITH {PAGES}, {TRUTH}, t AS (SELECT stem, min(gt) AS gt FROM truth GROUP BY stem) SELECT pg.doc_id, pg.page_num, gt FROM pg JOIN t ON t.stem = pg.doc_id"""
+)
+def bucketed_truth_join(spark, d):
+    """Pages and truths as catalogue tables bucketed by the document: saved, read by name, replaced, and joined without a shuffle."""
+    at, run = shared_dir(spark), uuid.uuid4().hex
+    rows = pages(spark, d).select("doc_id", "page_num", F.sha2("page_text", 256).alias("sha"))
+    truth = table(spark, d, "labels").groupBy("doc_id").agg(F.min(F.format_string("q%dt%d", "quality", "toxic")).alias("gt"))
+    for name, df in (("pages", rows), ("truth", truth.withColumn("old", F.lit(1))), ("truth", truth)):  # the second write of truth replaces rows and columns
+        store.save_bucketed(df, f"{name}_{run}", ["doc_id"], 8, f"{at}/tables-{run}/{name}")
+    joined = spark.table(f"pages_{run}").join(spark.table(f"truth_{run}").hint("merge"), "doc_id")
+    return joined.select("doc_id", "page_num", "gt")
+
+
+@query(f"WITH {SILVER}, x AS (SELECT path, page_num, row_number() OVER (PARTITION BY path ORDER BY page_num) AS k FROM silver) SELECT path, page_num, k = page_num AS in_order FROM x")
+def clustered_silver(spark, d):
+    """Silver in the order of its pages: the order in which the files hold them is what is checked."""
+    at = f"{shared_dir(spark)}/silver-{uuid.uuid4().hex}"
+    found = store.write_clustered(silver(spark, d), at).select("path", "page_num", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("i"))
+    within = Window.partitionBy("path").orderBy("file", "i")
+    return found.select("path", "page_num", (F.row_number().over(within) == F.col("page_num")).alias("in_order"))
+
+
+@query(f"WITH {PAGES}, {CANNED} SELECT * FROM got")
+def canned_slim(spark, d):
+    """The same answers as canned_pages, while the pages' bytes stay where they are read."""
+    rows = pages(spark, d).withColumn("content", F.encode("page_text", "UTF-8"))
+    ocr = F.struct(
+        F.left("page_text", F.lit(20)).alias("markdown"), F.lit("invoice").alias("doc_type"), F.lit(0.5).alias("confidence"), F.lit(1).alias("prompt_tokens"),
+        F.lit(1).alias("completion_tokens"), F.lit(0.0).alias("cost_usd"), F.lit("another").alias("model"), F.lit(None).cast("string").alias("error"),
+    )
+    canned = rows.where("page_num = 1 AND doc_id % 3 = 0").select(F.sha2("content", 256).alias("sha256"), ocr.alias("ocr")).distinct()
+    found = canned_silver(rows.select("doc_id", "page_num", "content"), canned, OCROutput("none", "other"), "m", "content")
+    return found.select("doc_id", "page_num", "ocr.markdown", "ocr.doc_type", "ocr.confidence", "ocr.model")
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'report' ELSE 'other' END AS kind, CASE doc_id % 3 WHEN 1 THEN 2 ELSE 1 END AS pages, true AS marked FROM documents")
+def synthetic_source(spark, d):
+    """A synthetic PDF for each document, made by the tasks of a data source; its own mark stands on every page and in its Markdown."""
+    register(spark)
+    docs = table(spark, d, "documents").select("doc_id")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    made = spark.read.format("synthetic_documents").option("copies", (last if last is not None else -1) + 1).option("partitions", spark.conf.get("spark.sql.shuffle.partitions")).load()
+    text = F.decode("content", "ISO-8859-1")
+    mark = F.regexp_extract("markdown", r"Copy \d+-[0-9a-f]{8}", 0)
+    shown = made.select("number", "kind", F.regexp_count(text, F.lit("/Type /Page /")).alias("pages"), (F.regexp_count(text, mark) == F.regexp_count(text, F.lit("/Type /Page /"))).alias("marked"))
+    return docs.join(shown, F.col("doc_id") == F.col("number")).select("doc_id", "kind", "pages", "marked")
+
+
 @query(f"WITH {PAGES} SELECT doc_id, page_num, sha256(page_text) AS sha, '2024-01-01T00:00:00Z' AS extracted FROM pg")
 def bronze_round_trip(spark, d):
     at = f"{shared_dir(spark)}/bronze-{uuid.uuid4().hex}"

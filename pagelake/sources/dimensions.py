@@ -49,3 +49,38 @@ def with_canned(pages: DataFrame, canned: DataFrame, default: OCROutput, model:
     found = canned.select(F.col("sha256").alias("_sha"), F.col("ocr").alias("_ocr"))
     joined = pages.join(found, F.sha2(F.col(content), 256) == F.col("_sha"), "left")
     return joined.withColumn("ocr", F.coalesce("_ocr", fallback).withField("model", F.lit(model))).drop("_sha", "_ocr")
+
+
+#: Places of the bitmap of canned digests: eight for each digest, within bounds.
+LEAST_PLACES, MOST_PLACES = 1 << 15, 1 << 27
+
+
+def maybe_among(rows: DataFrame, digest: str, known: DataFrame, name: str = "maybe") -> DataFrame:
+    """Adds a boolean: false where the digest (a hexadecimal text) surely isn't among `known` (one column); about one in eight others is true as well.
+
+    The bitmap of hashes is summed up by tasks and broadcast, at most 16 MB whatever the tables are; beyond some 10^8 digests it fills up and says true more often."""
+    n = known.count()
+    places = LEAST_PLACES
+    while places < min(8 * n, MOST_PLACES):
+        places *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(places))
+    bits = known.select(place(known.columns[0]).alias("_x")).groupBy(F.bitmap_bucket_number("_x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bitmap"))
+    found = rows.withColumn("_x", place(digest)).join(F.broadcast(bits), F.bitmap_bucket_number("_x") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(F.bitmap_bit_position("_x") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(bitmap_bit_position(_x) % 8 as int)) & 1") == 1
+    return found.withColumn("_byte", byte).withColumn(name, F.coalesce(bit, F.lit(False))).drop("_x", "_bucket", "_bitmap", "_byte")
+
+
+def canned_silver(pages: DataFrame, canned: DataFrame, default: OCROutput, model: str, content: str = "page_png") -> DataFrame:
+    """Like with_canned, but for the results alone: the pages' other columns and `ocr`, without their bytes, which never leave the task that reads them.
+
+    Digests are made there; pages that the bitmap rules out get the default where they are, and only slim rows (the other columns and a digest) of the others are joined."""
+    keys = [c for c in pages.columns if c != content]
+    slim = pages.select(*keys, F.sha2(F.col(content), 256).alias("_digest"))
+    told = maybe_among(slim, "_digest", canned.select("sha256"), "_maybe")
+    values = default.as_dict()
+    fallback = F.struct(*(F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in OCR_SCHEMA))
+    rest = told.where("NOT _maybe").select(*keys, fallback.withField("model", F.lit(model)).alias("ocr"))
+    found = canned.select(F.col("sha256").alias("_sha"), F.col("ocr").alias("_ocr"))
+    joined = told.where("_maybe").join(found, F.col("_digest") == F.col("_sha"), "left")
+    return joined.select(*keys, F.coalesce("_ocr", fallback).withField("model", F.lit(model)).alias("ocr")).unionByName(rest)

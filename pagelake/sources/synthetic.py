@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
 from pagelake.schema import OCROutput
 from pagelake.sources.documents import simple_pdf
 
@@ -29,6 +34,51 @@ DOCUMENTS: dict[str, tuple[list[list[str]], str, str]] = {
 ANCHORS = {"synth_invoice": ["INV-2024-001", "Example Ltd", "$35.00"], "synth_report": ["Yearly Report", "Summary", "South grew"], "synth_table": ["North", "South", "Q3"]}
 
 
+class SyntheticReader(DataSourceReader):
+    """Documents first .. first + copies - 1 in equal runs; a document's bytes hang on the seed and its number alone."""
+
+    def __init__(self, options: dict):
+        self.copies, self.parts = int(options.get("copies", "3")), int(options.get("partitions", "4"))
+        self.seed, self.first = int(options.get("seed", "42")), int(options.get("first", "0"))
+        if self.copies < 0 or self.parts < 1:
+            raise ValueError("copies must not be negative, and there must be a partition")
+
+    def partitions(self) -> list[InputPartition]:
+        cuts = [self.first + self.copies * i // self.parts for i in range(self.parts + 1)]
+        return [InputPartition((a, b)) for a, b in zip(cuts, cuts[1:], strict=False) if a < b] or [InputPartition((0, 0))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for n in range(*partition.value):
+            stem, pages, markdown, kind = numbered(self.seed, n)
+            yield n, f"synthetic://{stem}.pdf", simple_pdf(pages), markdown, kind
+
+
+class SyntheticSource(DataSource):
+    """`spark.read.format("synthetic_documents")` with copies, first, partitions and seed: PDF files made in the tasks, with the Markdown that a perfect model gives."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "synthetic_documents"
+
+    def schema(self) -> str:
+        return "number long, path string, content binary, markdown string, kind string"
+
+    def reader(self, schema) -> SyntheticReader:
+        return SyntheticReader(self.options)
+
+
+def numbered(seed: int, n: int) -> tuple[str, list[list[str]], str, str]:
+    """Document n of a seed: stem, pages, Markdown and kind. One of the three patterns, with a number of its own on every page."""
+    stem = list(DOCUMENTS)[n % len(DOCUMENTS)]
+    pages, markdown, kind = DOCUMENTS[stem]
+    mark = f"Copy {n}-{zlib.crc32(f'{seed}:{n}'.encode()):08x}"
+    return f"{stem}_{n}", [[*lines, mark] for lines in pages], f"{markdown}\n{mark}\n", kind
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(SyntheticSource)
+
+
 class SyntheticDocuments:
     """Writes the documents as PDF files, and their texts as ground truth."""
 
