@@ -131,7 +131,7 @@ def read_buckets(spark: SparkSession, path: str, schema: StructType | None = Non
     return reader.parquet(path).drop(BUCKET)
 
 
-def only_key(spark: SparkSession, path: str, **values) -> DataFrame:
+def only_key(spark: SparkSession, path: str, values: dict) -> DataFrame:
     """The rows of one key: their bucket alone is read."""
     keys, n_buckets = bucket_layout(spark, path)
     if set(values) != set(keys):
