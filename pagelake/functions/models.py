@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,29 @@ def with_cost(df: DataFrame, prices: DataFrame | None = None, model: str = "mode
     return joined.withColumn("cost_usd", cost if strict else F.coalesce(cost, F.lit(0.0))).drop("_priced", "usd_in", "usd_out")
 
 
+#: Exact costs: USD with twelve decimals. Whole tokens at prices of up to six decimals a million have no more.
+EXACT = "decimal(31,12)"
+
+
+def exact_price_table(spark: SparkSession) -> DataFrame:
+    """model, usd_in, usd_out as decimals."""
+    rows = [(m, *(Decimal(str(x)) for x in p)) for m, p in PRICES.items()]
+    return spark.createDataFrame(rows, "model string, usd_in decimal(12,6), usd_out decimal(12,6)")
+
+
+def with_exact_cost(df: DataFrame, prices: DataFrame | None = None, model: str = "model", prompt: str = "prompt_tokens", completion: str = "completion_tokens", strict: bool = False) -> DataFrame:
+    """Like with_cost, in decimals: sums don't hang on the order in which tasks end, so a cap is kept or broken the same way in every run.
+
+    `prices` of the caller's may hold decimals or doubles; doubles are taken as their shortest text."""
+    named = F.broadcast(exact_price_table(df.sparkSession)) if prices is None else prices
+    of = lambda c: F.col(c).cast("string").cast("decimal(12,6)")
+    named = named.select(F.col("model").alias("_priced"), of("usd_in").alias("_in"), of("usd_out").alias("_out"))
+    joined = df.join(named, F.col(model) == F.col("_priced"), "left")
+    part = lambda tokens, price: (F.col(tokens).cast("decimal(10,0)") * F.col(price) * F.lit(Decimal("0.000001"))).cast(EXACT)
+    cost = (part(prompt, "_in") + part(completion, "_out")).cast(EXACT)
+    return joined.withColumn("cost_usd", cost if strict else F.coalesce(cost, F.lit(0).cast(EXACT))).drop("_priced", "_in", "_out")
+
+
 def money(x: Column | str) -> Column:
     """$ and four decimals."""
     return F.format_string("$%.4f", x)

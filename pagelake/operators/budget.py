@@ -3,27 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pagelake.operators.store import observed, there
 
-WAVE = "wave long, pages long, cost_usd double, errors long"
+WAVE = "wave long, pages long, cost_usd decimal(38,12), errors long"
 
 
 class BudgetExceeded(RuntimeError):
     """The pages' cost is, or would be, more than the cap."""
 
 
-def total_cost(silver: DataFrame) -> float:
-    return float(silver.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0])
+def zero_of(df: DataFrame, cost: str) -> Column:
+    """0 in the type of a cost column: decimals stay exact."""
+    return F.lit(0).cast(df.schema[cost].dataType)
 
 
-def check_cap(cost: float, cap: float | None, when: str = "the run") -> None:
-    """A cost equal to the cap is within it."""
-    if cap is not None and cost > cap:
+def total_cost(silver: DataFrame) -> float | Decimal:
+    """A Decimal if the costs are."""
+    return silver.agg(F.coalesce(F.sum("cost_usd"), zero_of(silver, "cost_usd"))).first()[0]
+
+
+def check_cap(cost: float | Decimal, cap: float | Decimal | None, when: str = "the run") -> None:
+    """A cost equal to the cap is within it. A decimal cost is compared with the cap as it is written."""
+    if cap is not None and cost > (Decimal(str(cap)) if isinstance(cost, Decimal) else cap):
         raise BudgetExceeded(f"{when} costs ${cost:.4f}, more than ${cap:.4f}")
 
 
@@ -33,7 +40,8 @@ def running_cost(pages: DataFrame, cost: str = "cost_usd", doc: str = "path", pa
     No window holds all pages: documents are dealt into `ranges` ranges by cut points; only the ranges' sums pass through one task,
     documents are summed inside their range and pages inside their document."""
     kind = pages.schema[doc].dataType
-    usd = F.coalesce(F.col(cost), F.lit(0.0))
+    zero = zero_of(pages, cost)
+    usd = F.coalesce(F.col(cost), zero)
     docs = pages.groupBy(doc).agg(F.sum(usd).alias("_doc_usd"))
     if kind.typeName() in ("long", "integer", "short", "byte"):
         shares = [i / ranges for i in range(1, ranges)]
@@ -45,9 +53,9 @@ def running_cost(pages: DataFrame, cost: str = "cost_usd", doc: str = "path", pa
         part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(doc))) if cuts else F.lit(0)
     docs = docs.withColumn("_part", part)
     before_part = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    parts = docs.groupBy("_part").agg(F.sum("_doc_usd").alias("_part_usd")).withColumn("_before_part", F.coalesce(F.sum("_part_usd").over(before_part), F.lit(0.0)))
+    parts = docs.groupBy("_part").agg(F.sum("_doc_usd").alias("_part_usd")).withColumn("_before_part", F.coalesce(F.sum("_part_usd").over(before_part), zero))
     before_doc = Window.partitionBy("_part").orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("_before_doc", F.coalesce(F.sum("_doc_usd").over(before_doc), F.lit(0.0))).join(F.broadcast(parts), "_part")
+    placed = docs.withColumn("_before_doc", F.coalesce(F.sum("_doc_usd").over(before_doc), zero)).join(F.broadcast(parts), "_part")
     starts = placed.select(F.col(doc).alias("_doc"), (F.col("_before_part") + F.col("_before_doc")).alias("_start"))
     inside = Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
     summed = pages.withColumn("_inside", F.sum(usd).over(inside))
@@ -59,7 +67,7 @@ def in_waves(pages: DataFrame, wave_usd: float, cost: str = "planned_usd", doc:
     if not wave_usd > 0:
         raise ValueError("a wave must have room for some cost")
     placed = running_cost(pages, cost, doc, page)
-    before = F.col("running_usd") - F.coalesce(F.col(cost), F.lit(0.0))
+    before = (F.col("running_usd") - F.coalesce(F.col(cost), zero_of(pages, cost))).cast("double")
     return placed.withColumn("wave", F.floor(before / wave_usd + 1e-9).cast("long")).drop("running_usd")
 
 
@@ -77,15 +85,15 @@ def run_in_waves(pages: DataFrame, call: Callable[[DataFrame], DataFrame], folde
     rows = spark.read.schema(StructType([*pages.schema.fields, StructField("wave", LongType())])).parquet(at)
     waves = sorted(r[0] for r in rows.select("wave").distinct().collect())
     done = {r["wave"]: r.asDict() for r in spark.read.schema(WAVE).json(f"{folder}/records").collect()} if there(spark, f"{folder}/records") else {}
-    records, spent = [], 0.0
+    records, spent = [], Decimal(0)
     for wave in waves:
-        if spent > cap:
+        if spent > Decimal(str(cap)):
             break
         record = done.get(wave)
         if record is None:
             silver, seen = observed(call(rows.where(F.col("wave") == wave).drop("wave")), "wave")
             silver.write.mode("overwrite").parquet(f"{folder}/silver/wave={wave}")
-            record = {"wave": wave, "pages": seen.get["pages"], "cost_usd": float(seen.get["cost_usd"]), "errors": seen.get["errors"]}
+            record = {"wave": wave, "pages": seen.get["pages"], "cost_usd": round(Decimal(str(seen.get["cost_usd"])), 12), "errors": seen.get["errors"]}
             spark.createDataFrame([record], WAVE).coalesce(1).write.mode("append").json(f"{folder}/records")
         records.append(record)
         spent += record["cost_usd"]
@@ -95,9 +103,13 @@ def run_in_waves(pages: DataFrame, call: Callable[[DataFrame], DataFrame], folde
     return spark.read.option("basePath", f"{folder}/silver").parquet(*written).withColumn("wave", F.col("wave").cast("long")), records
 
 
-def admit(pages: DataFrame, cap: float, cost: str = "cost_usd", doc: str = "path", page: str = "page_num") -> DataFrame:
+def admit(pages: DataFrame, cap: float | Decimal, cost: str = "cost_usd", doc: str = "path", page: str = "page_num") -> DataFrame:
     """The pages whose running cost stays within the cap."""
-    return running_cost(pages, cost, doc, page).where(F.col("running_usd") <= cap).drop("running_usd")
+    return running_cost(pages, cost, doc, page).where(F.col("running_usd") <= _cap_of(pages, cap, cost)).drop("running_usd")
+
+
+def _cap_of(pages: DataFrame, cap: float | Decimal, cost: str) -> Column:
+    return F.lit(Decimal(str(cap))) if pages.schema[cost].dataType.typeName() == "decimal" else F.lit(float(cap))
 
 
 def preflight(pages: DataFrame, usd_per_page: float, cap: float | None) -> float:

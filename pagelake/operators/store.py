@@ -216,7 +216,7 @@ def latest(attempts: DataFrame, keys: tuple[str, ...] = ("path", "page_num"), at
 def ledger_rows(silver: DataFrame, at: str | None = None) -> DataFrame:
     """ts, model, pages, cost_usd: what a silver table has cost by model."""
     ts = F.date_format(F.current_timestamp() if at is None else F.lit(at).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return silver.groupBy("model").agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd")).select(ts.alias("ts"), "model", "pages", "cost_usd")
+    return silver.groupBy("model").agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("cost_usd"), F.lit(0).cast(silver.schema["cost_usd"].dataType)).alias("cost_usd")).select(ts.alias("ts"), "model", "pages", "cost_usd")
 
 
 def record_costs(silver: DataFrame, path: str, at: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ so that both engines get the same ones. Every query takes its whole tables.
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -291,6 +292,51 @@ def budget_running(spark, d):
     return rows.select("doc_id", "page_num", F.round("running_usd", 9).alias("running_usd"), (F.col("running_usd") <= CAP).alias("admitted"))
 
 
+#: Costs in 10^-12 USD are whole numbers: twins of decimals without their notation.
+EXACT = f"""{SILVER}, x AS (SELECT silver.*, CAST(coalesce(prompt_tokens * CAST(round(usd_in * 1e6) AS BIGINT) + completion_tokens * CAST(round(usd_out * 1e6) AS BIGINT), 0) AS HUGEINT) AS pico FROM silver LEFT JOIN prices USING (model))"""
+
+
+def exact_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.with_exact_cost(silver(spark, sf_dir).drop("cost_usd"))
+
+
+def pico(c: str):
+    return (F.col(c) * F.lit(10**12).cast("decimal(13,0)")).cast("long").alias("pico_usd")
+
+
+@query(f"WITH {EXACT}, r AS (SELECT doc_id, page_num, sum(pico) OVER (ORDER BY doc_id, page_num ROWS UNBOUNDED PRECEDING) AS r FROM x) SELECT doc_id, page_num, CAST(r AS BIGINT) AS pico_usd, r <= {round(CAP * 10**12)} AS admitted FROM r")
+def exact_running(spark, d):
+    """Running costs in decimals: the same to the last digit however the rows are dealt."""
+    rows = exact_silver(spark, d).select("doc_id", "page_num", "cost_usd")
+    found = budget.running_cost(rows, doc="doc_id")
+    return found.select("doc_id", "page_num", pico("running_usd"), (F.col("running_usd") <= F.lit(Decimal(str(CAP)))).alias("admitted"))
+
+
+@query(f"WITH {EXACT} SELECT model, 2 * count(*) AS pages, CAST(2 * sum(pico) AS BIGINT) AS pico_usd FROM x GROUP BY model")
+def exact_ledger(spark, d):
+    """Two runs in a ledger of decimals."""
+    at = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    rows = exact_silver(spark, d)
+    store.record_costs(rows, at, "2024-01-01 00:00:00")
+    both = store.record_costs(rows, at, "2024-01-02 00:00:00")
+    return both.groupBy("model").agg(F.sum("pages").alias("pages"), F.sum("cost_usd").alias("usd")).select("model", "pages", pico("usd"))
+
+
+@query(f"WITH {PAGES}, c AS (SELECT count(*) AS n FROM pg), m AS (SELECT unnest([{', '.join(repr(m) for m in MODELS)}]) AS model), e AS (SELECT model, n, round(n * coalesce(800 / 1e6 * usd_in + 1200 / 1e6 * usd_out, 0.0), 9) AS planned_usd FROM (SELECT * FROM m, c) LEFT JOIN (VALUES {', '.join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in M.PRICES.items())}) p(model, usd_in, usd_out) USING (model)) SELECT model, planned_usd, planned_usd > 0.5 AS refused FROM e")
+def preflight_plans(spark, d):
+    """What a run over all pages is planned to cost by model, and whether a cap of 0.5 USD refuses it before any call."""
+    rows, out = pages(spark, d), []
+    for model in MODELS:
+        planned = budget.preflight(rows, M.page_estimate(model), None)
+        try:
+            budget.check_cap(planned, 0.5, "the plan")
+            refused = False
+        except budget.BudgetExceeded:
+            refused = True
+        out.append((model, round(planned, 9), refused))
+    return spark.createDataFrame(out, "model string, planned_usd double, refused boolean")
+
+
 @query(f"WITH {SILVER} SELECT sum(cost_usd) > {CAP} AS exceeded, count(*) AS pages FROM silver")
 def budget_exceeded(spark, d):
     return silver(spark, d).agg((F.sum("cost_usd") > CAP).alias("exceeded"), F.count(F.lit(1)).alias("pages"))
