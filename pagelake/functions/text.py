@@ -99,7 +99,9 @@ def edit_distance(a: Column | str, b: Column | str) -> Column:
         tries = [F.when((long - short <= k) & (2 * k < long), within(k)) for k in bounds]
         return F.when(short == 0, long).otherwise(F.coalesce(*tries, F.levenshtein(x["a"], x["b"])))
 
-    bounded = F.transform(F.array(without_shared_ends(a, b)), banded)[0]
+    # the texts are bound first: inside the steps they would be worked out again each time
+    given = F.array(F.struct(a.alias("a"), b.alias("b")))
+    bounded = F.transform(F.transform(given, lambda x: without_shared_ends(x["a"], x["b"])), banded)[0]
     return F.when(a == b, F.lit(0)).when(F.greatest(F.length(a), F.length(b)) <= SHORT, F.levenshtein(a, b)).otherwise(bounded)
 
 

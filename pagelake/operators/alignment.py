@@ -34,10 +34,15 @@ def words(text: Column) -> Column:
 
 def single_grams(found: Column, n: int = N) -> Column:
     """array<struct<gram, at>>: the digests of n words that occur once, with their places from 0, in the order of digests."""
-    plain = F.transform(found, lambda w: F.lower(F.trim(F.regexp_replace(w, r"(?U)\A[\s\x1C-\x1F]+", ""))))
-    last = F.size(found) - n
-    grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.xxhash64(F.array_join(F.slice(plain, i + 1, F.lit(n)), " ")).alias("gram"), i.alias("at"))))
-    ordered = F.array_sort(F.coalesce(grams, F.array().cast("array<struct<gram:bigint,at:int>>")))
+    none = F.array().cast("array<struct<gram:bigint,at:int>>")
+
+    def grams(plain: Column) -> Column:
+        gram = lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(plain, i + k) for k in range(n))))
+        return F.when(F.size(plain) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(plain) - n, F.lit(0))), lambda i: F.struct(gram(i).alias("gram"), i.alias("at")))).otherwise(none)
+
+    # each step is bound once: an expression inside a lambda would be worked out again for every element
+    plain = F.transform(found, lambda w: F.lower(F.regexp_replace(w, r"(?U)\A[\s\x1C-\x1F]+", "")))
+    ordered = F.array_sort(F.transform(F.array(plain), grams)[0])
     other = lambda g, i: F.try_element_at(g, i)["gram"]
 
     def single(g: Column) -> Column:
