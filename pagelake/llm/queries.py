@@ -44,8 +44,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), fresh(spark, "slot-maps")
     first = sharding.first_map(sharding.slot_sizes(sharding.measured(docs)), 8)
-    version = sharding.store_map(first, folder)
-    version = sharding.store_map(sharding.rebalanced(sharding.stored_map(spark, folder, version), 8), folder)
+    version = sharding.store_map(first, folder, 1)
+    version = sharding.store_map(sharding.rebalanced(sharding.stored_map(spark, folder, version), 8), folder, version + 1)
     return sharding.shard_rows(docs, sharding.stored_map(spark, folder, version))
 
 

@@ -75,27 +75,24 @@ def rebalanced(slot_map: DataFrame, n_shards: int) -> DataFrame:
         F.ceil(F.sum("bytes") / n_shards).alias("target"),
         F.max("version").alias("version"),
     )
+    # the folds carry loads and shard numbers, nothing else: what they append to is copied at each step
     loads = f"transform(sequence(0, {n_shards - 1}), i -> 0L)"
     add = "transform(acc.loads, (v, i) -> if(i = {to}, v + x.bytes, v))"
     stay = f"x.shard < {n_shards} AND acc.loads[x.shard] + x.bytes <= target"
-    empty = "CAST(array() AS ARRAY<STRUCT<neg: BIGINT, vslot: INT, bytes: BIGINT, rows: BIGINT, shard: INT>>)"
-    entry = "array(named_struct('neg', x.neg, 'vslot', x.vslot, 'bytes', x.bytes, 'rows', x.rows, 'shard', {to}))"
-    at_home = f"""aggregate(slots, named_struct('loads', {loads}, 'kept', {empty}, 'over', {empty}), (acc, x) -> CASE WHEN {stay}
-        THEN named_struct('loads', {add.format(to="x.shard")}, 'kept', concat(acc.kept, {entry.format(to="x.shard")}), 'over', acc.over)
-        ELSE named_struct('loads', acc.loads, 'kept', acc.kept, 'over', concat(acc.over, {entry.format(to="x.shard")})) END)"""
+    none = "CAST(array() AS ARRAY<INT>)"
+    at_home = f"""aggregate(slots, named_struct('loads', {loads}, 'to', {none}), (acc, x) -> CASE WHEN {stay}
+        THEN named_struct('loads', {add.format(to="x.shard")}, 'to', array_append(acc.to, x.shard)) ELSE named_struct('loads', acc.loads, 'to', array_append(acc.to, -1)) END)"""
     lightest = "CAST(array_position(acc.loads, array_min(acc.loads)) - 1 AS INT)"
-    moved = f"""aggregate(home.over, named_struct('loads', home.loads, 'kept', home.kept), (acc, x) -> named_struct(
-        'loads', {add.format(to=lightest)}, 'kept', concat(acc.kept, {entry.format(to=lightest)}))).kept"""
-    return (
-        one.withColumn("home", F.expr(at_home))
-        .select(F.explode(F.expr(moved)).alias("x"), (F.col("version") + 1).alias("version"))
-        .select("x.vslot", "x.bytes", "x.rows", "x.shard", "version")
-    )
+    over = "filter(slots, (x, i) -> home.to[i] = -1)"
+    moved = f"aggregate({over}, named_struct('loads', home.loads, 'to', {none}), (acc, x) -> named_struct('loads', {add.format(to=lightest)}, 'to', array_append(acc.to, {lightest}))).to"
+    placed = one.withColumn("home", F.expr(at_home)).withColumn("moved", F.expr(f"map_from_arrays(transform({over}, x -> x.vslot), {moved})"))
+    rows = placed.select(F.posexplode("slots").alias("i", "x"), "home.to", "moved", (F.col("version") + 1).alias("version"))
+    return rows.select("x.vslot", "x.bytes", "x.rows", F.coalesce(F.try_element_at("moved", F.col("x.vslot")), F.get("to", F.col("i"))).alias("shard"), "version")
 
 
-def store_map(slot_map: DataFrame, folder: str) -> int:
-    """Keeps a version of the map in its own folder and returns its number; a version that is there already is an error."""
-    version = slot_map.agg(F.max("version")).first()[0]
+def store_map(slot_map: DataFrame, folder: str, version: int | None = None) -> int:
+    """Keeps a version of the map in its own folder and returns its number; a version that is there already is an error. Without the number the map is worked out once more for it."""
+    version = slot_map.agg(F.max("version")).first()[0] if version is None else version
     slot_map.coalesce(1).write.parquet(f"{folder}/version-{version}")
     return version
 
