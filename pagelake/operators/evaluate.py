@@ -11,7 +11,7 @@ from pagelake.functions import text as X
 from pagelake.functions.distance import edit_distance as long_distance
 from pagelake.operators.alignment import N, passages
 from pagelake.sources.dimensions import anchors as anchor_table
-from pagelake.sources.dimensions import ground_truth, with_anchors, with_ground_truth
+from pagelake.sources.dimensions import ground_truth, ground_truth_folders, with_anchors, with_ground_truth
 
 METRICS = ("edit_distance", "exact_token_recall", "table_f1", "reading_order_ed")
 
@@ -51,14 +51,22 @@ def summarize(scores: DataFrame) -> DataFrame:
 
 
 class Evaluator:
-    """Ground truth from a folder, anchors from a dictionary; score_df returns a dictionary."""
+    """Ground truth from a folder of Markdown files (or, with `folders`, of write_ground_truth), anchors from a dictionary; score_df returns a dictionary.
 
-    def __init__(self, ground_truth_dir: str, anchors_by_doc: dict[str, list[str]] | None = None):
-        self.folder, self.anchors = str(ground_truth_dir), anchors_by_doc or {}
+    `by="page"` scores pages against their own truth or the whole document's, "passage" against the passage of the document's truth, "document" whole documents."""
+
+    def __init__(self, ground_truth_dir: str, anchors_by_doc: dict[str, list[str]] | None = None, folders: bool = False, by: str = "page"):
+        if by not in ("page", "passage", "document"):
+            raise ValueError("by is page, passage or document")
+        self.folder, self.anchors, self.folders, self.by = str(ground_truth_dir), anchors_by_doc or {}, folders, by
 
     def score_pages(self, silver: DataFrame) -> DataFrame:
         spark: SparkSession = silver.sparkSession
-        return score_pages(silver, ground_truth(spark, self.folder), anchor_table(spark, self.anchors))
+        truth = ground_truth_folders(spark, self.folder) if self.folders else ground_truth(spark, self.folder)
+        if self.by != "page":
+            truth = truth.where("page_num IS NULL")
+        score = {"page": score_pages, "passage": score_passages, "document": score_documents}[self.by]
+        return score(silver, truth, anchor_table(spark, self.anchors))
 
     def score_df(self, silver: DataFrame) -> dict[str, float]:
         return summarize(self.score_pages(silver)).first().asDict()

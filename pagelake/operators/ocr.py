@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -13,22 +14,27 @@ from pyspark.sql import functions as F
 from pagelake.backends import Backend, get_backend
 from pagelake.schema import OCR_SCHEMA, SILVER_COLUMNS, OCROutput
 
-_backends: dict[tuple, Backend] = {}
+_backends: dict[str, Backend] = {}
 _lock = threading.Lock()
 
 
-def cached_backend(name: str, options: dict) -> Backend:
+def backend_key(name: str, options: dict) -> str:
+    """A digest of a backend's name and options; worked out once for all batches."""
+    return hashlib.sha256(repr((name.lower(), sorted(options.items(), key=lambda x: x[0]))).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def cached_backend(name: str, options: dict, key: str | None = None) -> Backend:
     """One backend a worker process for each name and set of options."""
-    key = (name.lower(), repr(sorted(options.items(), key=lambda x: x[0])))
+    key = key or backend_key(name, options)
     with _lock:
         if key not in _backends:
             _backends[key] = get_backend(name, **options)
         return _backends[key]
 
 
-def parse_batch(backend: str | Backend, model: str, images: list[bytes], concurrency: int = 1, prompt: str | None = None, **options) -> list[dict]:
-    """Results of some pages, in order; what goes wrong becomes a row with `error`."""
-    own = backend if isinstance(backend, Backend) else cached_backend(backend, {"model": model, **options})
+def parse_batch(backend: str | Backend, model: str, images: list[bytes], concurrency: int = 1, prompt: str | None = None, key: str | None = None, **options) -> list[dict]:
+    """Results of some pages, in order; what goes wrong becomes a row with `error`. key: the backend_key, if it is known."""
+    own = backend if isinstance(backend, Backend) else cached_backend(backend, {"model": model, **options}, key)
 
     def one(image: bytes) -> dict:
         try:
@@ -44,10 +50,11 @@ def parse_batch(backend: str | Backend, model: str, images: list[bytes], concurr
 
 def make_ocr_udf(backend: str, model: str, concurrency: int = 1, prompt: str | None = None, **options):
     """A pandas UDF bytes -> struct. Keys are read from the worker's settings unless given in `options`."""
+    key = backend_key(backend, {"model": model, **options})
 
     def ocr(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for images in batches:
-            rows = parse_batch(backend, model, list(images), concurrency, prompt, **options)
+            rows = parse_batch(backend, model, list(images), concurrency, prompt, key, **options)
             frame = pd.DataFrame(rows, columns=OCR_SCHEMA.fieldNames())
             yield frame.astype({"prompt_tokens": "int32", "completion_tokens": "int32", "confidence": "float64", "cost_usd": "float64"})
 

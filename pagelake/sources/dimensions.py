@@ -19,6 +19,18 @@ def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
     return by_page.unionByName(files.select(F.col("name").alias("stem"), F.lit(None).cast("int").alias("page_num"), "gt"))
 
 
+def write_ground_truth(truth: DataFrame, folder: str) -> None:
+    """Truths (stem, page_num or null, gt) as text files in folders of their stem and page, in any store that Spark writes. Several truths of one page share a file, a line each."""
+    truth.select("stem", "page_num", F.coalesce("gt", F.lit("")).alias("gt")).repartition("stem", "page_num").write.partitionBy("stem", "page_num").text(folder)
+
+
+def ground_truth_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(stem, page_num, gt) of what write_ground_truth has written. Files of other names than Spark's are left out."""
+    reader = spark.read.schema("value string, stem string, page_num int").option("pathGlobFilter", "part-*.txt")
+    found = reader.text(folder, wholetext=True)
+    return found.select("stem", "page_num", F.left("value", F.greatest(F.length("value") - 1, F.lit(0))).alias("gt"))
+
+
 def with_ground_truth(pages: DataFrame, truth: DataFrame, stem: str = "stem", page_num: str = "page_num") -> DataFrame:
     """Adds gt: the page's own text, else the document's, else null."""
     own = truth.where("page_num IS NOT NULL").select(F.col("stem").alias("_s"), F.col("page_num").alias("_p"), F.col("gt").alias("_own"))

@@ -156,3 +156,28 @@ def test_near_equal_long_texts_take_seconds(spark, edits):
     began = time.perf_counter()
     assert df.select(D.edit_distance("a", "b")).first()[0] == sum(x == "#" for x in b)
     assert time.perf_counter() - began < 20
+
+
+def test_the_class_reads_truths_of_either_kind(spark, tmp_path):
+    """Pages, passages and whole documents, by flat Markdown files and by folders that Spark wrote."""
+    from pagelake.sources.dimensions import ground_truth_folders, write_ground_truth
+
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 300)}" for _ in range(200)]
+    halves = [" ".join(words[:100]), " ".join(words[100:])]
+    silver = spark.createDataFrame([("a.pdf", i, t) for i, t in enumerate(halves, 1)] + [("b.pdf", 1, "no truth")], "filename string, page_num int, markdown string")
+    truth = spark.createDataFrame([("a", None, " ".join(halves)), ("a", 2, "quite another text\nof two lines\n"), ("c", 1, ""), ("d", 1, None)], "stem string, page_num int, gt string")
+    write_ground_truth(truth, str(tmp_path / "folders"))
+    (tmp_path / "folders" / "stem=a" / "page_num=2" / "notes.txt").write_text("left out by its name")
+    read = sorted((r.stem, r.page_num or 0, r.gt) for r in ground_truth_folders(spark, str(tmp_path / "folders")).collect())
+    assert read == [("a", 0, " ".join(halves)), ("a", 2, "quite another text\nof two lines\n"), ("c", 1, ""), ("d", 1, "")]
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "a.md").write_text(" ".join(halves))
+    (tmp_path / "flat" / "a_p2.md").write_text("quite another text\nof two lines\n")
+    for folder, folders in (("folders", True), ("flat", False)):
+        score = lambda by: evaluate.Evaluator(tmp_path / folder, {"a": [words[0]]}, folders, by).score_df(silver)  # noqa: B023, E731
+        assert score("page")["n_pages_scored"] == 2 and score("page")["edit_distance"] > 0.4
+        assert score("passage")["n_pages_scored"] == 2 and score("passage")["edit_distance"] == 0.0
+        assert score("document")["n_pages_scored"] == 1 and score("document")["edit_distance"] == 0.0
+    with pytest.raises(ValueError):
+        evaluate.Evaluator("x", by="line")
