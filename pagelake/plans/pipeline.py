@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 import pandas as pd
@@ -22,19 +23,23 @@ class OCRPipeline:
 
     Unlike in a plain chain of lazy steps, the results are written once and read again, so that no later action calls the
     model a second time; with a cap the plan is checked before any call, and the true cost afterwards. `over_cap="admit"`
-    sends only the pages that the plan has money for. `totals` has pages, cost and errors of this run's rows, observed while they were written."""
+    sends only the pages that the plan has money for; `over_cap="waves"` sends `wave_pages` pages after the others and ends the run, without an error, once their true cost is
+    beyond the cap (`waves` has a record of each): what it spends is beyond the cap by less than one wave. Pages that were not sent are pending for mode="resume". `totals` has pages, cost and errors of this run's rows, observed while they were written."""
 
     def __init__(
         self, backend: str | None = None, model: str | None = None, input_path: str | None = None, output_path: str | None = None, batch_size: int = 8,
         max_cost_usd: float | None = None, dpi: int = 200, max_pages_per_doc: int | None = None, backend_kwargs: dict | None = None,
         pages: str = "pdf", mode: str = "overwrite", keep_failed: bool = True, partitions: int | None = None, concurrency: int = 1, processed_at: bool = False,
-        over_cap: str = "raise",
+        over_cap: str = "raise", wave_pages: int = 1000,
     ):
         own = settings()
         self.cfg = PipelineConfig(backend or own.default_backend, model or own.default_model, input_path, output_path, batch_size, max_cost_usd, dpi, max_pages_per_doc)
-        if pages not in ("pdf", "text") or mode not in ("overwrite", "merge", "resume") or over_cap not in ("raise", "admit"):
-            raise ValueError("pages is pdf or text, mode is overwrite, merge or resume, over_cap is raise or admit")
-        self.over_cap = over_cap
+        if pages not in ("pdf", "text") or mode not in ("overwrite", "merge", "resume") or over_cap not in ("raise", "admit", "waves"):
+            raise ValueError("pages is pdf or text, mode is overwrite, merge or resume, over_cap is raise, admit or waves")
+        if over_cap == "waves" and (not output_path or wave_pages < 1):
+            raise ValueError("waves are written below output_path, and have a page at least")
+        self.over_cap, self.wave_pages = over_cap, wave_pages
+        self.waves: list[dict] = []
         self.backend_kwargs, self.kind, self.mode = backend_kwargs or {}, pages, mode
         self.totals: dict = {}
         self.keep_failed, self.partitions, self.concurrency, self.processed_at = keep_failed, partitions, concurrency, processed_at
@@ -69,6 +74,20 @@ class OCRPipeline:
         finally:
             spark.conf.set(key, before)
 
+    def _merge_keys(self) -> list[str] | None:
+        return None if self.mode == "overwrite" else ["path", "page_num"]
+
+    def _called(self, pages: DataFrame) -> DataFrame:
+        silver = run_ocr(pages, self.cfg.backend, self.cfg.model, self.partitions, self.concurrency, **self.backend_kwargs)
+        return silver.withColumn("processed_at", F.current_timestamp()) if self.processed_at else silver
+
+    def _in_waves(self, pages: DataFrame, silver_at: str) -> DataFrame:
+        counted = pages.withColumn("_page", F.when(F.col("page_num") > 0, 1.0).otherwise(0.0))  # unreadable documents cost nothing
+        folder = f"{self.cfg.output_path}/waves-{uuid.uuid4().hex}"
+        silver, self.waves = budget.run_in_waves(counted, lambda rows: self._called(rows.drop("_page")), folder, self.cfg.max_cost_usd, float(self.wave_pages), cost="_page")
+        silver, self.totals = store.write_observed(silver.drop("wave"), silver_at, self._merge_keys())
+        return silver
+
     def _run(self, spark: SparkSession) -> DataFrame:
         c = self.cfg
         pages = self.pages(spark)
@@ -80,16 +99,16 @@ class OCRPipeline:
         if c.max_cost_usd is not None:
             backend = get_backend(c.backend, model=c.model, **self.backend_kwargs)
             planned = backend.estimate_cost(1)
+            if self.over_cap == "waves":
+                return self._in_waves(pages, silver_at)
             if self.over_cap == "raise":
                 budget.preflight(pages.where("page_num > 0"), planned, c.max_cost_usd)
             else:  # pages in the order of documents and pages, as far as the plan goes
                 usd = F.when(F.col("page_num") > 0, F.lit(planned)).otherwise(F.lit(0.0))
                 pages = budget.admit(pages.withColumn("_planned_usd", usd), c.max_cost_usd, "_planned_usd").drop("_planned_usd")
-        silver = run_ocr(pages, c.backend, c.model, self.partitions, self.concurrency, **self.backend_kwargs)
-        if self.processed_at:
-            silver = silver.withColumn("processed_at", F.current_timestamp())
+        silver = self._called(pages)
         if silver_at:
-            silver, self.totals = store.write_observed(silver, silver_at, None if self.mode == "overwrite" else ["path", "page_num"])
+            silver, self.totals = store.write_observed(silver, silver_at, self._merge_keys())
         else:
             # without a path to write to, the results are held, or every action would pay again
             silver, seen = store.observed(silver)

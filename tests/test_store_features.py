@@ -143,7 +143,8 @@ def test_spend_is_beyond_the_cap_by_less_than_a_wave(spark, tmp_path, factor):
     log = []
     pages = planned(spark, [0.1 * factor] * 30)
     silver, records = budget.run_in_waves(pages, caller(log), str(tmp_path / "w"), cap=1.0, wave_usd=0.5)
-    spent, largest = sum(r["cost_usd"] for r in records), max(r["cost_usd"] for r in records)
+    costs = [float(r["cost_usd"]) for r in records]  # decimals, whatever the costs are
+    spent, largest = sum(costs), max(costs)
     assert spent <= 1.0 + largest and silver.count() == sum(log) == sum(r["pages"] for r in records)
     assert spent > 1.0 or silver.count() == 30  # it stops for the cap alone
     assert abs(silver.agg(F.sum("cost_usd")).first()[0] - spent) < 1e-9
@@ -175,6 +176,24 @@ def test_no_pages_no_waves(spark, tmp_path):
         budget.in_waves(planned(spark, [0.1]), 0.0)
 
 
+def test_the_pipeline_stops_half_way_and_resumes(spark, tmp_path):
+    """Three documents of four pages, each page for 0.25 USD by its canned answer; a cap of 1 USD, waves of two pages."""
+    (tmp_path / "in").mkdir()
+    bodies = {n: [f"{n}{i}" * 900 for i in range(4)] for n in "abc"}
+    for n, parts in bodies.items():
+        (tmp_path / "in" / f"{n}.txt").write_text("".join(parts))
+    canned = {hashlib.sha256(p.encode()).hexdigest(): OCROutput(p[:2], cost_usd=0.25) for parts in bodies.values() for p in parts}
+    make = lambda **o: OCRPipeline("mock", "mock-model", str(tmp_path / "in"), str(tmp_path / "out"), pages="text", max_cost_usd=1.0, backend_kwargs={"canned": canned}, over_cap="waves", wave_pages=2, **o)
+    run = make()
+    rows = run.run(spark)
+    assert [w["pages"] for w in run.waves] == [2, 2, 2] and run.totals["pages"] == 6 and run.totals["cost_usd"] == 1.5  # 1.0 is within the cap, so a third wave went
+    assert sorted(r.markdown for r in rows.collect()) == ["a0", "a1", "a2", "a3", "b0", "b1"]
+    again = make(mode="resume")
+    assert sorted(r.markdown for r in again.run(spark).collect()) == sorted(p[:2] for parts in bodies.values() for p in parts) and again.totals["pages"] == 6
+    with pytest.raises(ValueError):
+        OCRPipeline("mock", "mock-model", str(tmp_path / "in"), None, over_cap="waves")
+
+
 # ---------------------------------------------------------------- catalogue tables and clustered files
 
 
