@@ -21,18 +21,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.llm.common import col, fresh, marked, written
+from pagelake.llm.stores import Stores
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -230,38 +231,38 @@ def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
 def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = 1 << 30, zip64: bool = False
 ) -> DataFrame:
-    """Writes one or more archives a task below `folder` and returns their paths. A task that runs again replaces its own files."""
+    """Writes one or more archives a task below `folder` and returns their paths.
+
+    Each attempt of a task writes files of its own, and the returned manifest names those of the attempts that Spark has taken: a task that runs again, or
+    twice at once, changes no file that the manifest knows. What lost attempts have left lies beside, unnamed. No file is moved, which object stores can't do."""
     rows = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), F.coalesce(col(payload_col), F.lit("")).alias("payload"))
     rows = with_revisits(rows, min_bytes)
+    stores = Stores.of(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        store, top = fs.FileSystem.from_uri(folder)
+        task, attempt = TaskContext.get(), uuid.uuid4().hex
+        store, top = stores.at(folder)
         store.create_dir(top, recursive=True)
         opened, done = None, []
 
         def close() -> None:
             nonlocal opened
-            out, stream, index, temporary, final = opened
+            out, stream, index, name = opened
             out.end()
             out.begin(INDEX)
             out.write("".join(index).encode())
             out.end()
             out.close()
             stream.close()
-            if store.get_file_info(final).type != fs.FileType.NotFound:  # left by an attempt that was lost; not every store moves over a file
-                store.delete_file(final)
-            store.move(temporary, final)
-            done.append((f"{folder}/{final.rsplit('/', 1)[1]}", len(index), out.at))
+            done.append((f"{folder}/{name}", len(index), out.at))
             opened = None
 
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if opened is None:
-                    final = f"{top}/pages-{task.partitionId():05d}-{len(done):03d}.zip"
-                    temporary = f"{final}.{task.taskAttemptId()}.tmp"
-                    stream = store.open_output_stream(temporary)
-                    opened = (ZipWriter(stream, zip64), stream, [], temporary, final)
+                    name = f"pages-{task.partitionId():05d}-{len(done):03d}-{attempt}.zip"
+                    stream = store.open_output_stream(f"{top}/{name}")
+                    opened = (ZipWriter(stream, zip64), stream, [], name)
                     opened[0].begin(DATA)
                     start = opened[0].at
                 raw = record_bytes(page_id.as_py(), url.as_py(), payload.as_py().encode("utf-8", "surrogatepass"), refers_to.as_py())
@@ -281,10 +282,11 @@ def write_archives(
 
 def sized(archives: DataFrame) -> DataFrame:
     """Adds n_bytes, the size of the file at `path`."""
+    stores = Stores.of(archives.sparkSession)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [store.get_file_info(at).size for store, at in map(fs.FileSystem.from_uri, batch.column(0).to_pylist())]
+            found = [store.get_file_info(at).size for store, at in map(stores.at, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["path", "n_bytes"])
 
     return written(archives.select("path").mapInArrow(sizes, "path string, n_bytes long"), "warc-sizes")
@@ -297,13 +299,14 @@ def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool
     there are as many runs."""
     if "n_bytes" not in archives.columns:
         archives = sized(archives)
+    stores = Stores.of(archives.sparkSession)
     total = archives.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_tasks = max(1, -(-total // task_bytes), min(archives.sparkSession.sparkContext.defaultParallelism, -(-total // run_bytes)))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = stores.at(path)
                 with store.open_input_file(at) as file:
                     members = zip_members(file)
                     base, _ = stored(members, DATA)
@@ -327,7 +330,7 @@ def read_archives(archives: DataFrame, run_bytes: int = 1 << 20, payloads: bool
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, lengths in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = stores.at(path)
                 with store.open_input_file(at) as file:
                     raw = read_range(file, start, sum(lengths))
                 found, k = [], 0

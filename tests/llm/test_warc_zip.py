@@ -8,6 +8,7 @@ import pytest
 from pyarrow import fs
 
 from pagelake.llm import queries, warc_zip as W
+from pagelake.llm.stores import Stores
 
 
 def expected(rows):
@@ -94,3 +95,30 @@ def test_payloads_without_copies_are_not_dealt(spark):
     df = spark.createDataFrame([(i, "u", f"<p>{i % 90}") for i in range(100)], "page_id long, url string, html string")
     rows = W.with_revisits(df.selectExpr("page_id as id", "url", "html as payload"), 0)
     assert sorted((r.id, r.refers_to) for r in rows.collect()) == [(i, i - 90 if i >= 90 else None) for i in range(100)]
+
+
+def test_attempts_do_not_touch_each_other(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "u", f"<p>{i}") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/w"
+    first = W.write_archives(rows.orderBy("page_id"), folder, archive_bytes=900)
+    before = {r.path: open(r.path.removeprefix("file://"), "rb").read() for r in first.collect()}
+    again = W.write_archives(rows.orderBy(-rows.page_id), folder, archive_bytes=900)  # as a late attempt, whose rows came in another order
+    (tmp_path / "w" / "pages-00000-000-lost.zip").write_bytes(b"PK half of an arch")
+    assert len(before) > 1 and not set(before) & {r.path for r in again.collect()}
+    assert all(open(path.removeprefix("file://"), "rb").read() == data for path, data in before.items())
+    assert [sorted(r.page_id for r in W.read_archives(x).collect()) for x in (first, again)] == [list(range(40))] * 2
+
+
+def test_names_of_stores(spark, tmp_path):
+    settings = {"endpoint": "http://store:9000", "access.key": "k", "secret.key": "s", "path.style.access": "true", "bucket.b2.endpoint": "other:1", "bucket.b2.endpoint.region": "r2", "bucket.b2.access.key": "k2"}
+    stores = Stores(settings)
+    assert stores.s3_options("b1") == {"access_key": "k", "secret_key": "s", "region": "us-east-1", "endpoint_override": "store:9000", "scheme": "http", "force_virtual_addressing": False}
+    assert stores.s3_options("b2") == {"access_key": "k2", "secret_key": "s", "region": "r2", "endpoint_override": "other:1", "scheme": "https", "force_virtual_addressing": False}
+    assert Stores({"aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"}).s3_options("b") == {"anonymous": True}
+    for name in ("s3a", "s3n"):
+        store, path = stores.at(f"{name}://b1/archives/a b.zip")
+        assert store.type_name == "s3" and path == "b1/archives/a b.zip"
+    store, path = Stores.of(spark).at(f"file://{tmp_path}/x")
+    assert store.type_name == "local" and path == f"{tmp_path}/x"
+    spark._jsc.hadoopConfiguration().set("fs.s3a.bucket.mine.endpoint", "here:9")
+    assert Stores.of(spark).s3_options("mine")["endpoint_override"] == "here:9"
