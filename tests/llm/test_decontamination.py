@@ -91,3 +91,34 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "x y", 2, 3, 4)], "`a.b` int, text string, id int, hits int, items int")
     bench = spark.createDataFrame([(1, "x y", 5)], "item_id int, text string, item int")
     assert [tuple(r) for r in D.decontaminate(docs, bench, id_col="a.b").select("`a.b`", "n_hit").collect()] == [(1, 2)]
+
+
+def test_blocks_are_built_by_tasks(spark):
+    r = random.Random(4)
+    items = [(i, " ".join(f"w{r.randint(0, 40)}" for _ in range(60))) for i in range(200)]
+    bench = spark.createDataFrame(items + items[:50], "item_id int, text string")
+    clean = [" ".join(f"v{r.randint(0, 40)}" for _ in range(80)) for _ in range(150)]
+    spread = [items[i][1][:90] + " - " + items[(i * 7) % 200][1][20:] for i in range(40)]  # passages of items of several blocks
+    texts = clean + spread + [spread[3]] * 200 + [None, ""] * 10
+    schema = "doc_id int, text string, `meta` struct<`a-b c`:int>"
+    docs = spark.createDataFrame([(i, t, (i,)) for i, t in enumerate(texts)], schema)
+    with D.scratch(spark):
+        assert len(D.built(bench, 10, 1000)) > 2 * D.PASSES // 3
+    want = brute(texts, items)
+    for block_bytes in (700, 4000):  # some 60 and some 12 passes
+        found = D.decontaminate(docs, bench, block_bytes=block_bytes, spans=True, keep_text=True)
+        got = sorted(found.collect(), key=lambda x: x.doc_id)
+        assert [(x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got] == want
+        assert [x.text for x in got] == texts and all(x.items == sorted(x.items) for x in got)
+        assert all(sum(b - a for a, b in zip(x.hits[::2], x.hits[1::2], strict=True)) == x.n_hit and x.hits == sorted(set(x.hits)) for x in got)
+    boxed = D.decontaminate(docs, bench, id_col="meta", block_bytes=4000).collect()  # ids of any type
+    assert sorted((x["meta"][0], x.n_hit) for x in boxed) == [(i, w[1]) for i, w in enumerate(want)]
+
+
+def test_nothing_of_the_benchmark_on_the_driver(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j"), (2, "x")], "doc_id int, text string")
+    for name in ("toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(bench), name, lambda *a, **k: pytest.fail("the driver reads rows"))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: pytest.fail("a broadcast"))
+    assert rows(D.decontaminate(docs, bench)) == brute(["x a b c d e f g h i j", "x"], [(1, "a b c d e f g h i j k")])
