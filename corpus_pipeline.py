@@ -62,7 +62,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # workers that have served the stages before keep less for the words than they could alone
-    return packing.packed(docs, public_tokenizers.path(packing.TOKENIZER), most_words=500_000, run_chars=1 << 19)
+    return packing.packed(docs, public_tokenizers.path(packing.TOKENIZER), most_words=200_000, run_chars=1 << 19)
 
 
 STAGES = [
