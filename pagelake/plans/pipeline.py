@@ -61,7 +61,8 @@ class OCRPipeline:
     def pages(self, spark: SparkSession) -> DataFrame:
         if not self.cfg.input_path:
             raise ValueError("run() needs input_path")
-        docs = scan_documents(spark, self.cfg.input_path, "*.txt" if self.kind == "text" else "*.pdf")
+        text = self.kind == "text"  # small files, read in no time: few tasks have many of them
+        docs = scan_documents(spark, self.cfg.input_path, "*.txt" if text else "*.pdf", tasks=int(spark.conf.get("spark.sql.shuffle.partitions")) if text else None)
         return explode_pages(docs, self.extractor, self.keep_failed)
 
     def run(self, spark: SparkSession) -> DataFrame:

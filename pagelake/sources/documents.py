@@ -6,7 +6,7 @@ import io
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +17,16 @@ BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content b
 PAGE_CHARS = 1800
 
 
-def scan_documents(spark: SparkSession, path: str, glob: str = "*.pdf", min_bytes: int | None = None, max_bytes: int | None = None, modified_after: str | None = None) -> DataFrame:
-    """All files below `path` whose name fits `glob` (case counts). Bounds on size are pushed into the scan."""
+def scan_documents(spark: SparkSession, path: str, glob: str = "*.pdf", min_bytes: int | None = None, max_bytes: int | None = None, modified_after: str | None = None, tasks: int | None = None) -> DataFrame:
+    """All files below `path` whose name fits `glob` (case counts). Bounds on size are pushed into the scan.
+
+    Spark counts each file as 4 MB at least, so that a task gets 32 small ones or fewer; `tasks` joins these to at most so many tasks, without a shuffle."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     df = reader.load(path)
+    if tasks is not None:
+        df = df.coalesce(tasks)
     if min_bytes is not None:
         df = df.where(F.col("length") >= min_bytes)
     return df if max_bytes is None else df.where(F.col("length") <= max_bytes)
@@ -34,9 +38,9 @@ def one_document(spark: SparkSession, document: str | bytes | Path) -> DataFrame
     return spark.createDataFrame([(name, content)], "path string, content binary")
 
 
-def list_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def list_documents(spark: SparkSession, path: str, glob: str = "*", tasks: int | None = None) -> DataFrame:
     """name, path and size of each file; contents aren't read."""
-    return scan_documents(spark, path, glob).select(base_name("path").alias("name"), "path", "length")
+    return scan_documents(spark, path, glob, tasks=tasks).select(base_name("path").alias("name"), "path", "length")
 
 
 class PageExtractor:
@@ -83,34 +87,45 @@ class TextExtractor:
             yield text[i * self.page_chars : (i + 1) * self.page_chars].encode()
 
 
+#: A batch of pages leaves the worker once it has so many bytes (and `batch_pages` pages), or so many pages.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 4096
+
+
 def explode_pages(docs: DataFrame, extractor=None, keep_failed: bool = True, batch_pages: int = 16) -> DataFrame:
     """One row a page, numbered from 1. An unreadable document gives one row of page 0 whose bytes are the cause as text, or none.
 
-    Pages leave the worker in small batches, so a large document is never held whole as pages."""
+    Pages leave the worker in small batches, so a large document is never held whole as pages; small documents share a batch."""
     extractor = extractor or PageExtractor()
     if isinstance(extractor, PageExtractor):
         extractor.check()
+    kinds = {"path": pa.string(), "filename": pa.string(), "page_num": pa.int32(), "page_png": pa.binary()}
+    schema = pa.schema([(f.name, kinds[f.name]) for f in PAGE_SCHEMA])
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
 
-    def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=PAGE_SCHEMA.fieldNames()).astype({"page_num": "int32"})
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        for docs_frame in frames:
-            for path, content in zip(docs_frame["path"], docs_frame["content"], strict=True):
-                name, rows = path.rsplit("/", 1)[-1], []
+        for docs_batch in batches:
+            for path, content in zip(docs_batch.column(0), docs_batch.column(1), strict=True):
+                path = path.as_py()
+                name = path.rsplit("/", 1)[-1]
                 try:
-                    for i, page in enumerate(extractor.pages(bytes(content)), 1):
+                    for i, page in enumerate(extractor.pages(content.as_py()), 1):
                         rows.append((path, name, i, page))
-                        if len(rows) >= batch_pages:
-                            yield frame(rows)
-                            rows = []
+                        held += len(page)
+                        if len(rows) >= BATCH_ROWS or (len(rows) >= batch_pages and held >= BATCH_BYTES):
+                            yield batch()
+                            rows, held = [], 0
                 except Exception as e:
                     if keep_failed:
                         rows.append((path, name, 0, f"{type(e).__name__}: {e}".encode()))
-                if rows:
-                    yield frame(rows)
+        if rows:
+            yield batch()
 
-    return docs.select("path", "content").mapInPandas(pages, PAGE_SCHEMA)
+    return docs.select("path", "content").mapInArrow(pages, PAGE_SCHEMA)
 
 
 def text_pages(docs: DataFrame, text: str = "text", key: str = "doc_id", page_chars: int = PAGE_CHARS, max_pages: int | None = None) -> DataFrame:
