@@ -35,3 +35,12 @@ def test_small_documents_share_a_batch(spark):
     assert len(rows) == 1000 and [r.path for r in rows if r.page_num == 0] == ["/d/500.txt"]
     long = spark.createDataFrame([("/d/l.txt", bytearray(b"x" * 10_000)), ("/d/m.txt", bytearray(b"y"))], "path string, content binary").coalesce(1)
     assert [(r.filename, r.page_num) for r in documents.explode_pages(long, documents.TextExtractor(), batch_pages=2).collect()] == [("l.txt", i) for i in range(1, 7)] + [("m.txt", 1)]
+
+
+def test_canned_results_of_whole_pages(spark, sf):
+    """Pages that begin with one letter and differ after it aren't taken for each other; the results don't travel in the plan."""
+    rows = core.QUERIES["canned_in_workers"](spark, sf).collect()
+    firsts = {r.doc_id for r in rows if r.page_num == 1 and r.doc_id % 50 == 0}
+    assert firsts and firsts <= {r.doc_id for r in rows if r.doc_type == "report"}
+    n = sum(r.doc_type == "report" for r in rows)
+    assert n < len(rows) / 10
