@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -76,33 +76,52 @@ def run_in_waves(pages: DataFrame, call: Callable[[DataFrame], DataFrame], folde
 
     Each wave is one job over its pages, which writes them below `folder`; its true cost is observed while it is written. A wave is let go only if the waves before it
     have cost no more than the cap, so the spend is beyond the cap by less than one wave's true cost, however wrong the plan is. `call` takes pages (without `wave`) and
-    returns silver rows. Waves follow each other on the driver, their number is planned cost / wave_usd; pages are dealt into folders by wave first, so that no wave reads
-    another's. A run that was stopped goes on where it ended: waves whose record is in `folder` aren't called again."""
+    returns silver rows. Waves follow each other on the driver, their number is planned cost / wave_usd. Pages are written once, in the order of waves, in as many files as
+    the session has shuffle partitions, however many waves there are: a wave reads the files that hold it, and of these the row groups. The driver knows the first and the
+    last wave of each file. A run that was stopped goes on where it ended: waves whose record is in `folder` aren't called again."""
     spark = pages.sparkSession
     at = f"{folder}/pages"
     if not there(spark, f"{at}/_SUCCESS"):
-        in_waves(pages, wave_usd, cost, doc, page).write.partitionBy("wave").parquet(at)
-    rows = spark.read.schema(StructType([*pages.schema.fields, StructField("wave", LongType())])).parquet(at)
-    waves = sorted(r[0] for r in rows.select("wave").distinct().collect())
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        in_waves(pages, wave_usd, cost, doc, page).repartitionByRange(n, "wave", doc, page).sortWithinPartitions("wave").write.parquet(at)
+    schema = StructType([*pages.schema.fields, StructField("wave", LongType())])
+    rows = spark.read.schema(schema).parquet(at)
+    files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("wave").alias("first"), F.max("wave").alias("last")).collect()
     done = {r["wave"]: r.asDict() for r in spark.read.schema(WAVE).json(f"{folder}/records").collect()} if there(spark, f"{folder}/records") else {}
     records, spent = [], Decimal(0)
-    for wave in waves:
-        if spent > Decimal(str(cap)):
-            break
+    wave = min((f["first"] for f in files), default=None)
+    while wave is not None and spent <= Decimal(str(cap)):
+        held = [f["file"] for f in files if f["first"] <= wave <= f["last"]]
         record = done.get(wave)
         if record is None:
-            silver, seen = observed(call(rows.where(F.col("wave") == wave).drop("wave")), "wave")
+            own = spark.read.schema(schema).parquet(*held).where(F.col("wave") == wave).drop("wave")
+            silver, seen = observed(call(own), "wave")
             silver.write.mode("overwrite").parquet(f"{folder}/silver/wave={wave}")
             record = {"wave": wave, "pages": seen.get["pages"], "cost_usd": round(Decimal(str(seen.get["cost_usd"])), 12), "errors": seen.get["errors"]}
             spark.createDataFrame([record], WAVE).coalesce(1).write.mode("append").json(f"{folder}/records")
         records.append(record)
         spent += record["cost_usd"]
+        wave = _next_wave(spark, files, schema, wave)
     written = [f"{folder}/silver/wave={r['wave']}" for r in records]
     if not written:
         return call(rows.drop("wave")).withColumn("wave", F.lit(0).cast("long")).where("false"), records
     return spark.read.option("basePath", f"{folder}/silver").parquet(*written).withColumn("wave", F.col("wave").cast("long")), records
 
 
+def _next_wave(spark: SparkSession, files: list, schema: StructType, wave: int) -> int | None:
+    """The least wave after this one that has pages: a page that costs more than a wave leaves the next ones empty."""
+    later = [f for f in files if f["last"] > wave]
+    if not later:
+        return None
+    first = min(max(f["first"], wave + 1) for f in later)
+    if any(f["first"] == first for f in later):
+        return first
+    inside = [f["file"] for f in later if f["first"] <= wave]  # at most the files that hold this wave and go on
+    after = min((f["first"] for f in later if f["first"] > wave), default=None)
+    found = spark.read.schema(schema).parquet(*inside).where(F.col("wave") > wave).agg(F.min("wave")).first()[0]
+    return found if after is None else min(found, after)
+
+
 def admit(pages: DataFrame, cap: float | Decimal, cost: str = "cost_usd", doc: str = "path", page: str = "page_num") -> DataFrame:
     """The pages whose running cost stays within the cap."""
     return running_cost(pages, cost, doc, page).where(F.col("running_usd") <= _cap_of(pages, cap, cost)).drop("running_usd")

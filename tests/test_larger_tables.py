@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from pagelake.operators import budget
 from pagelake.plans import queries as core
 from pagelake.sources import documents
 from pagelake.sources.files import write_files
@@ -44,3 +45,19 @@ def test_canned_results_of_whole_pages(spark, sf):
     assert firsts and firsts <= {r.doc_id for r in rows if r.doc_type == "report"}
     n = sum(r.doc_type == "report" for r in rows)
     assert n < len(rows) / 10
+
+
+def test_files_of_waves_dont_grow_with_their_number(spark, tmp_path):
+    """Forty waves, of which some are empty behind a dear page: as many files as shuffle partitions at most, and the waves in their order."""
+    rows = spark.range(60).select(F.format_string("d%02d", F.col("id")).alias("path"), F.lit(1).alias("page_num"), F.when(F.col("id") == 10, 2.5).otherwise(0.5).alias("planned_usd"))
+    asked = []
+
+    def call(pages):
+        asked.append(sorted(r.path for r in pages.collect()))
+        return pages.select("path", "page_num", F.lit(0.01).alias("cost_usd"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("prompt_tokens"), F.lit(0).alias("completion_tokens"))
+
+    silver, records = budget.run_in_waves(rows, call, str(tmp_path / "w"), cap=0.115, wave_usd=1.0)
+    files = [name for _, _, names in os.walk(tmp_path / "w" / "pages") for name in names if name.endswith(".parquet")]
+    assert len(files) <= 4
+    assert [r["wave"] for r in records] == [0, 1, 2, 3, 4, 5, 7]
+    assert [x for wave in asked for x in wave] == sorted(r.path for r in silver.collect()) == [f"d{i:02d}" for i in range(sum(map(len, asked)))]
