@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -72,9 +73,17 @@ def chained(matches: list[tuple[int, int]]) -> tuple[int, int, int, int, int]:
 CHAIN = StructType([StructField(name, IntegerType()) for name in ("n", "page_first", "first", "page_last", "last")])
 
 
-def chain(matches: pd.Series) -> pd.DataFrame:
-    rows = [chained([(m["page"], m["at"]) for m in x]) for x in matches]
-    return pd.DataFrame(rows, columns=CHAIN.fieldNames()).astype("int32")
+def chain(matches: pa.Array) -> pa.Array:
+    """CHAIN of each list of (page, at). The places stay arrays of numbers; only one row's are Python's at a time."""
+    ends = np.cumsum(matches.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    places = matches.flatten()
+    page, at = (places.field(name).to_numpy(zero_copy_only=False) for name in ("page", "at"))
+    found = np.zeros((len(matches), len(CHAIN)), dtype=np.int32)
+    begin = 0
+    for i, end in enumerate(ends):
+        found[i] = chained(list(zip(page[begin:end].tolist(), at[begin:end].tolist(), strict=True)))
+        begin = end
+    return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(CHAIN))], names=CHAIN.fieldNames())
 
 
 def passages(pages: DataFrame, truth: DataFrame, n: int = N, stem: str = "stem", text: str = "markdown", gt: str = "gt") -> DataFrame:
@@ -86,7 +95,7 @@ def passages(pages: DataFrame, truth: DataFrame, n: int = N, stem: str = "stem",
     of_page = shown.select("_row", "_stem", F.explode("_g").alias("x")).select("_row", "_stem", F.col("x.gram").alias("gram"), F.col("x.at").alias("page"))
     of_truth = whole.select("_doc", "_stem", F.explode(single_grams(F.col("_words"), n)).alias("x")).select("_doc", "_stem", F.col("x.gram").alias("gram"), "x.at")
     matches = of_page.join(of_truth, ["_stem", "gram"]).groupBy("_row", "_doc").agg(F.array_sort(F.collect_list(F.struct("page", "at"))).alias("m"))
-    chains = matches.select("_row", F.struct(F.col("_doc").alias("doc"), F.pandas_udf(chain, CHAIN)("m").alias("c")).alias("x")).groupBy(F.col("_row").alias("_r")).agg(F.collect_list("x").alias("_chains"))
+    chains = matches.select("_row", F.struct(F.col("_doc").alias("doc"), F.arrow_udf(chain, CHAIN)("m").alias("c")).alias("x")).groupBy(F.col("_row").alias("_r")).agg(F.collect_list("x").alias("_chains"))
 
     # pages meet their chains first, then their document's truth: of its words only the passage goes on
     joined = rows.join(chains, F.col("_row") == F.col("_r"), "left").withColumn("_n", F.size(words(F.col(text)))).join(whole, F.col(stem) == F.col("_stem"))

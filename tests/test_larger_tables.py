@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
+import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagelake.operators import budget
+from pagelake.functions import distance
+from pagelake.operators import alignment, budget, evaluate
 from pagelake.plans import queries as core
-from pagelake.sources import documents
+from pagelake.sources import dimensions, documents
 from pagelake.sources.files import write_files
 
 
@@ -61,3 +65,12 @@ def test_files_of_waves_dont_grow_with_their_number(spark, tmp_path):
     assert len(files) <= 4
     assert [r["wave"] for r in records] == [0, 1, 2, 3, 4, 5, 7]
     assert [x for wave in asked for x in wave] == sorted(r.path for r in silver.collect()) == [f"d{i:02d}" for i in range(sum(map(len, asked)))]
+
+
+def test_chains_of_arrow_lists():
+    kind = pa.list_(pa.struct([("page", pa.int32()), ("at", pa.int32())]))
+    rows = [[(0, 5), (1, 1), (2, 2)], [], [(3, 9)], [(0, 1), (1, 0)]]
+    given = pa.array([[{"page": p, "at": t} for p, t in row] for row in rows], kind)
+    for part in (given, given[1:]):
+        got = [tuple(x.values()) for x in alignment.chain(part).to_pylist()]
+        assert got == [alignment.chained(row) for row in rows[len(rows) - len(part) :]]
