@@ -67,6 +67,26 @@ def test_files_of_waves_dont_grow_with_their_number(spark, tmp_path):
     assert [x for wave in asked for x in wave] == sorted(r.path for r in silver.collect()) == [f"d{i:02d}" for i in range(sum(map(len, asked)))]
 
 
+def test_unlike_texts_by_columns_of_bits():
+    rng = random.Random(3)
+
+    def plain(a, b):
+        above = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+            above = row
+        return above[-1]
+
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abcé𝄞"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, 70))) for _ in range(2))
+        assert distance.by_bits(a, b) == plain(a, b)
+    began = time.perf_counter()
+    found = distance.whole_distance("ab" * 15_000, "ac" * 15_000)  # the plain table has 900 million places
+    assert found == 15_000 and time.perf_counter() - began < 10
+
+
 def test_chains_of_arrow_lists():
     kind = pa.list_(pa.struct([("page", pa.int32()), ("at", pa.int32())]))
     rows = [[(0, 5), (1, 1), (2, 2)], [], [(3, 9)], [(0, 1), (1, 0)]]
