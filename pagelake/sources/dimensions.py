@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions.text import base_name
+from pagelake.operators.store import there
 from pagelake.schema import OCR_SCHEMA, OCROutput
+from pagelake.sources.files import write_files
 
 
 def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,9 +21,26 @@ def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
     return by_page.unionByName(files.select(F.col("name").alias("stem"), F.lit(None).cast("int").alias("page_num"), "gt"))
 
 
+#: What Spark has for null in a partition's folder, and the characters that it writes there as %XX.
+NO_VALUE, ESCAPED = "__HIVE_DEFAULT_PARTITION__", "%" + "".join(map(chr, range(1, 32))) + "\"#'*/:=?\\\x7f{[]^"
+
+
+def folder_value(value: Column) -> Column:
+    """A value as Spark's partitionBy names its folder."""
+    text = value.cast("string")
+    for c in ESCAPED:
+        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.when(text.isNull() | (text == ""), NO_VALUE).otherwise(text)
+
+
 def write_ground_truth(truth: DataFrame, folder: str) -> None:
-    """Truths (stem, page_num or null, gt) as text files in folders of their stem and page, in any store that Spark writes. Several truths of one page share a file, a line each."""
-    truth.select("stem", "page_num", F.coalesce("gt", F.lit("")).alias("gt")).repartition("stem", "page_num").write.partitionBy("stem", "page_num").text(folder)
+    """Truths (stem, page_num or null, gt) as text files in folders of their stem and page, as Spark's partitionBy lays them out, but written by tasks without a
+    commit for each. Several truths of one page share a file, a line each."""
+    if there(truth.sparkSession, folder):
+        raise FileExistsError(f"there is something at {folder}")
+    pages = truth.groupBy("stem", "page_num").agg(F.array_sort(F.collect_list(F.coalesce("gt", F.lit("")))).alias("gt"))
+    name = F.concat(F.lit("stem="), folder_value(F.col("stem")), F.lit("/page_num="), folder_value(F.col("page_num")), F.lit("/part-0.txt"))
+    write_files(pages.select(name.alias("name"), F.encode(F.concat(F.array_join("gt", "\n"), F.lit("\n")), "UTF-8").alias("body")), folder)
 
 
 def ground_truth_folders(spark: SparkSession, folder: str) -> DataFrame:

@@ -94,3 +94,13 @@ def test_chains_of_arrow_lists():
     for part in (given, given[1:]):
         got = [tuple(x.values()) for x in alignment.chain(part).to_pylist()]
         assert got == [alignment.chained(row) for row in rows[len(rows) - len(part) :]]
+
+
+def test_truths_in_folders_as_spark_names_them(spark, tmp_path):
+    """Odd stems, nulls and several truths of a page are read back; no checksum files and commits lie about."""
+    rows = [("a b", 1, "x"), ("é=%/:", None, "y\nz"), ("c", 2, None), ("c", 3, "2"), ("c", 3, "1"), (None, 1, "n")]
+    at = tmp_path / "truth"
+    dimensions.write_ground_truth(spark.createDataFrame(rows, "stem string, page_num int, gt string"), str(at))
+    got = {(r.stem, r.page_num): r.gt for r in dimensions.ground_truth_folders(spark, str(at)).collect()}
+    assert got == {("a b", 1): "x", ("é=%/:", None): "y\nz", ("c", 2): "", ("c", 3): "1\n2", (None, 1): "n"}
+    assert {n for _, _, names in os.walk(at) for n in names} == {"part-0.txt"}
