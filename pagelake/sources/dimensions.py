@@ -59,7 +59,8 @@ def with_ground_truth(pages: DataFrame, truth: DataFrame, stem: str = "stem", pa
 
 
 def anchors(spark: SparkSession, by_stem: dict[str, list[str]]) -> DataFrame:
-    return spark.createDataFrame(list(by_stem.items()), "stem string, anchors array<string>")
+    """(stem, anchors) of a dictionary. It is the driver's, so it is broadcast: many pages of one stem aren't sent to one task for it."""
+    return F.broadcast(spark.createDataFrame(list(by_stem.items()), "stem string, anchors array<string>"))
 
 
 def with_anchors(pages: DataFrame, table: DataFrame, stem: str = "stem") -> DataFrame:

@@ -87,6 +87,12 @@ def test_unlike_texts_by_columns_of_bits():
     assert found == 15_000 and time.perf_counter() - began < 10
 
 
+def test_anchors_of_a_dictionary_move_no_page(spark, sf):
+    """Pages of four languages would all go to four tasks; broadcast, nothing is exchanged but the anchors."""
+    plan = core.QUERIES["anchor_recall"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_chains_of_arrow_lists():
     kind = pa.list_(pa.struct([("page", pa.int32()), ("at", pa.int32())]))
     rows = [[(0, 5), (1, 1), (2, 2)], [], [(3, 9)], [(0, 1), (1, 0)]]
