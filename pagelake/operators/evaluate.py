@@ -24,25 +24,30 @@ def scores_of(text: str, gt: str, distance: Callable[[Column, Column], Column] =
     ]
 
 
-def score_pages(silver: DataFrame, truth: DataFrame, anchors: DataFrame, distance: Callable[[Column, Column], Column] = X.edit_distance) -> DataFrame:
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals pages to all of the session's shuffle partitions: joins leave few tasks, by bytes, while a distance takes the product of two texts."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "filename", "page_num")
+
+
+def score_pages(silver: DataFrame, truth: DataFrame, anchors: DataFrame, distance: Callable[[Column, Column], Column] = long_distance) -> DataFrame:
     """Four scores of every page that has a ground truth; the others are left out. A null text counts as empty."""
     pages = with_ground_truth(silver.withColumn("stem", X.stem("filename")), truth).where("gt IS NOT NULL")
-    pages = with_anchors(pages, anchors).withColumn("_text", F.coalesce("markdown", F.lit("")))
-    return pages.select("filename", "page_num", *scores_of("_text", "gt", distance))
+    pages = with_anchors(pages, anchors).select("filename", "page_num", F.coalesce("markdown", F.lit("")).alias("_text"), "gt", "anchors")
+    return spread(pages).select("filename", "page_num", *scores_of("_text", "gt", distance))
 
 
 def score_documents(silver: DataFrame, truth: DataFrame, anchors: DataFrame) -> DataFrame:
     """The same with a document's pages joined in order, for ground truths of whole documents; texts of any length, by the distance of long texts."""
     whole = silver.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("page_num", F.coalesce("markdown", F.lit("")).alias("t")))).alias("p"))
     whole = whole.select("filename", F.lit(None).cast("int").alias("page_num"), F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("markdown"))
-    return score_pages(whole, truth, anchors, long_distance)
+    return score_pages(whole, truth, anchors)
 
 
 def score_passages(silver: DataFrame, truth: DataFrame, anchors: DataFrame, n: int = N) -> DataFrame:
     """Scores of every page against the passage of its document's truth (stem, gt) that it shows, with `matches`, the n-grams that tell the passage."""
     pages = passages(silver.select("filename", "page_num", F.coalesce("markdown", F.lit("")).alias("_text"), X.stem("filename").alias("stem")), truth.select("stem", "gt"), n, text="_text")
-    pages = with_anchors(pages, anchors)
-    return pages.select("filename", "page_num", *scores_of("_text", "passage"), "matches", "begins", "ends")
+    pages = with_anchors(pages, anchors).select("filename", "page_num", "_text", "passage", "anchors", "matches", "begins", "ends")
+    return spread(pages).select("filename", "page_num", *scores_of("_text", "passage", long_distance), "matches", "begins", "ends")
 
 
 def summarize(scores: DataFrame) -> DataFrame:

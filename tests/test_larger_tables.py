@@ -87,6 +87,16 @@ def test_unlike_texts_by_columns_of_bits():
     assert found == 15_000 and time.perf_counter() - began < 10
 
 
+def test_pages_are_dealt_out_before_they_are_scored(spark):
+    """Of a few kilobytes a join leaves one task; the distances of all pages don't run in it."""
+    rows = spark.range(40).select(F.format_string("%d.md", "id").alias("filename"), F.lit(1).alias("page_num"), F.lit("some text").alias("markdown"))
+    truth = spark.range(40).select(F.col("id").cast("string").alias("stem"), F.lit(None).cast("int").alias("page_num"), F.lit("other text").alias("gt"))
+    none = dimensions.anchors(spark, {"none": []})
+    for scored in (evaluate.score_pages(rows, truth, none), evaluate.score_documents(rows, truth, none), evaluate.score_passages(rows, truth.drop("page_num"), none)):
+        got = scored.select("edit_distance", F.spark_partition_id().alias("p")).collect()
+        assert len(got) == 40 and len({r.p for r in got}) == 4
+
+
 def test_anchors_of_a_dictionary_move_no_page(spark, sf):
     """Pages of four languages would all go to four tasks; broadcast, nothing is exchanged but the anchors."""
     plan = core.QUERIES["anchor_recall"](spark, sf)._jdf.queryExecution().executedPlan().toString()
