@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.text import base_name
 from pagelake.schema import PAGE_SCHEMA
+from pagelake.sources import files
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 PAGE_CHARS = 1800
@@ -20,7 +21,13 @@ PAGE_CHARS = 1800
 def scan_documents(spark: SparkSession, path: str, glob: str = "*.pdf", min_bytes: int | None = None, max_bytes: int | None = None, modified_after: str | None = None, tasks: int | None = None) -> DataFrame:
     """All files below `path` whose name fits `glob` (case counts). Bounds on size are pushed into the scan.
 
-    Spark counts each file as 4 MB at least, so that a task gets 32 small ones or fewer; `tasks` joins these to at most so many tasks, without a shuffle."""
+    Spark lists all files in the driver and counts each as 4 MB at least, so that a task gets 32 small ones or fewer. With `tasks`, so many tasks list and read a folder's files; a
+    store that Arrow doesn't open is listed by Spark, and its tasks are joined."""
+    if tasks is not None and files.can_list(spark, path):
+        found = listed(spark, path, glob, tasks, modified_after)
+        for bound in ([F.col("length") >= min_bytes] if min_bytes is not None else []) + ([F.col("length") <= max_bytes] if max_bytes is not None else []):
+            found = found.where(bound)
+        return files.read_files(found, path)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
@@ -38,9 +45,17 @@ def one_document(spark: SparkSession, document: str | bytes | Path) -> DataFrame
     return spark.createDataFrame([(name, content)], "path string, content binary")
 
 
+def listed(spark: SparkSession, path: str, glob: str, tasks: int, modified_after: str | None = None) -> DataFrame:
+    """(path, modificationTime, length) of a folder's files, listed by tasks. The pattern is Hadoop's, as in Spark's own scan."""
+    pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    found = files.list_files(spark, path, tasks).where(F.substring_index("path", "/", -1).rlike(rf"(?s)\A(?:{pattern})\z"))
+    return found if modified_after is None else found.where(F.col("modificationTime") > F.lit(modified_after).cast("timestamp"))
+
+
 def list_documents(spark: SparkSession, path: str, glob: str = "*", tasks: int | None = None) -> DataFrame:
     """name, path and size of each file; contents aren't read."""
-    return scan_documents(spark, path, glob, tasks=tasks).select(base_name("path").alias("name"), "path", "length")
+    found = listed(spark, path, glob, tasks) if tasks is not None and files.can_list(spark, path) else scan_documents(spark, path, glob, tasks=tasks)
+    return found.select(base_name("path").alias("name"), "path", "length")
 
 
 class PageExtractor:

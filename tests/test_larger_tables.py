@@ -7,6 +7,7 @@ import random
 import time
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.functions import distance
@@ -26,6 +27,27 @@ def test_a_file_each_in_few_folders(spark, sf):
     assert docs.rdd.getNumPartitions() <= 3 and docs.count() == n
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """The driver's plan names no file, and the rows are those of Spark's own scan: hidden and empty files aside, odd names, nested folders, patterns, bounds on size and time."""
+    names = ["a.txt", "b c%20.txt", "é+.txt", "x/d.txt", "x/y/z/e.txt", "x/y/z/f.pdf", "p=1/_q=2.txt", "_hidden/g.txt", ".h.txt", "x/_i.txt", "empty.txt", "k.TXT", "x/l.txt._COPYING_", "nl\n.txt"]
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "empty.txt" else b"\xff" * (i + 1))
+    os.utime(tmp_path / "a.txt", (10**9, 10**9))
+    for kw in ({"glob": "*.txt"}, {"glob": "*"}, {"glob": "[a-f]*.{txt,pdf}"}, {"glob": "?.txt", "min_bytes": 2, "max_bytes": 5}, {"glob": "*", "modified_after": "2020-01-01T00:00:00"}, {"glob": "no"}):
+        for tasks in (1, 3):
+            docs = documents.scan_documents(spark, str(tmp_path), **kw, tasks=tasks)
+            assert "binaryFile" not in docs._jdf.queryExecution().toString()
+            assert sorted(docs.collect()) == sorted(documents.scan_documents(spark, str(tmp_path), **kw).collect()), kw
+            assert docs.schema == documents.scan_documents(spark, str(tmp_path), **kw).schema
+    a, b = (documents.list_documents(spark, f"file://{tmp_path}/", "*.txt", t) for t in (2, None))
+    assert "binaryFile" not in a._jdf.queryExecution().toString() and sorted(a.collect()) == sorted(b.collect())
+    # what isn't one folder is Spark's
+    assert documents.scan_documents(spark, f"{tmp_path}/x/*", "*.txt", tasks=2).count() == documents.scan_documents(spark, f"{tmp_path}/x/*", "*.txt").count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        documents.scan_documents(spark, f"{tmp_path}/none", tasks=2)
+
+
 def test_files_hold_their_bodies(spark, tmp_path):
     bodies = {"a/x.txt": b"1", "a/y é.txt": "zwölf\n".encode(), "b/empty": b"", "c": None}
     rows = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in bodies.items()], "name string, body binary")
