@@ -48,6 +48,16 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
         documents.scan_documents(spark, f"{tmp_path}/none", tasks=2)
 
 
+def test_scans_of_text_files_name_no_file_in_their_plan(spark, sf, tmp_path):
+    """Half a million files in the driver's listing and tasks ended its process."""
+    for name in ("binary_scan", "list_files", "binary_pages"):
+        assert "binaryFile" not in core.QUERIES[name](spark, sf)._jdf.queryExecution().toString(), name
+    folder = core.text_files(spark, sf)
+    pages = core.OCRPipeline("mock", "m", folder, str(tmp_path / "lake"), pages="text").pages(spark)
+    assert "binaryFile" not in pages._jdf.queryExecution().toString()
+    assert pages.select("path").distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_files_hold_their_bodies(spark, tmp_path):
     bodies = {"a/x.txt": b"1", "a/y é.txt": "zwölf\n".encode(), "b/empty": b"", "c": None}
     rows = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in bodies.items()], "name string, body binary")
