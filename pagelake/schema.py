@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, fields
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,7 +55,7 @@ class OCROutput:
             raise ValueError(f"confidence must lie between 0 and 1, not {self.confidence}")
 
     def as_dict(self) -> dict:
-        return asdict(self)
+        return dict(vars(self))  # plain values, which asdict would copy one by one
 
 
 @dataclass(frozen=True)
