@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -119,6 +120,20 @@ def test_unlike_texts_by_columns_of_bits():
     assert found == 15_000 and time.perf_counter() - began < 10
 
 
+def test_a_batch_of_texts_is_compared_row_by_row(monkeypatch):
+    """Of a batch of texts Python holds one row's at a time, whatever the batch's size."""
+    a = pa.array([f"{i:05d}" * 2000 for i in range(1000)] + [None, "x", None, "kitten"])
+    b = pa.array(["y" * 10_000] * 1000 + ["x", None, None, "sitting"])
+    tracemalloc.start()
+    with monkeypatch.context() as m:
+        m.setattr(distance, "whole_distance", lambda x, y: len(x) - len(y))
+        got = distance.distances(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [0] * 1000 + [None] * 3 + [-1] and most < 2_000_000  # the texts are 20 MB
+    assert distance.distances(a[1000:], b[1000:]).to_pylist() == [None, None, None, 3]
+
+
 def test_pages_are_dealt_out_before_they_are_scored(spark):
     """Of a few kilobytes a join leaves one task; the distances of all pages don't run in it."""
     rows = spark.range(40).select(F.format_string("%d.md", "id").alias("filename"), F.lit(1).alias("page_num"), F.lit("some text").alias("markdown"))
